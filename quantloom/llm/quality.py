@@ -32,6 +32,8 @@ BOILERPLATE = (
     "powered by",
     "copyright",
 )
+#: A line that ends in punctuation.
+ENDS = r"""[.!?…:;,"'”’»)\]][\x20\x09-\x0D]*\z"""
 WINDOW = 5
 
 
@@ -74,7 +76,7 @@ def line_fault(line: Column) -> Column:
     """The name of the first rule that a line with a word breaks, or null."""
     n = F.length(line)
     symbols = n - F.length(F.regexp_replace(line, r"[#*$%&|<>{}\\^~]+", ""))
-    bars = F.regexp_count(line, F.lit(r"(?:^| )[|»›•·>](?= |$)"))
+    bars = F.regexp_count(line, F.lit(r"[|»›•·>](?: |\z)"))
     n_words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     phrases = "(?i)" + "|".join(BOILERPLATE)
     return (
@@ -82,7 +84,7 @@ def line_fault(line: Column) -> Column:
         .when((symbols >= 5) & (symbols * 12 > n), "symbols")
         .when((n >= 20) & line.rlike(r"\p{Lu}") & ~line.rlike(r"\p{Ll}"), "shouting")
         .when((n_words <= 20) & line.rlike(phrases), "boilerplate")
-        .when((n_words <= 3) & ~line.rlike(r"[.!?…:;,\"'”’»)\]]\s*$"), "punctuation")
+        .when((n_words <= 3) & ~line.rlike(ENDS), "punctuation")
     )
 
 
@@ -133,4 +135,41 @@ def stage(docs: DataFrame) -> DataFrame:
     return out.select(*docs.columns)
 
 
+#: The same as digest() for DuckDB.
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
+         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM d
+), g AS (
+  SELECT rid, i, list_value(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) AS g
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)
+), r AS (
+  SELECT rid, count(DISTINCT q) AS n FROM (
+    SELECT rid, unnest(range(i, i + 5)) AS q FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1
+  ) GROUP BY rid
+), m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+         length(array_to_string(lines, '')) AS all_chars,
+         length(array_to_string(list_filter(lines, x -> NOT (
+           (len(regexp_extract_all(x, '[|»›•·>](?: |\z)')) >= 3 AND len(regexp_extract_all(x, '[|»›•·>](?: |\z)')) * 6 >= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))
+           OR (length(x) - length(regexp_replace(x, '[#*$%&|<>{}\\^~]+', '', 'g')) >= 5 AND (length(x) - length(regexp_replace(x, '[#*$%&|<>{}\\^~]+', '', 'g'))) * 12 > length(x))
+           OR (length(x) >= 20 AND regexp_matches(x, '\p{Lu}') AND NOT regexp_matches(x, '\p{Ll}'))
+           OR (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) <= 20 AND regexp_matches(x, '@PHRASES'))
+           OR (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) <= 3 AND NOT regexp_matches(x, '@ENDS'))
+         )), '')) AS good_chars
+  FROM w LEFT JOIN r USING (rid)
+), v AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         coalesce(1 - CAST(good_chars AS DOUBLE) / nullif(all_chars, 0), 1.0) AS lost
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.5 AS kept, CAST(lost AS DOUBLE) AS lost
+FROM v
+""".replace("@PHRASES", "(?i)" + "|".join(BOILERPLATE)).replace("@ENDS", ENDS.replace("'", "''"))
+
 __all__ = ["ASCII_SPACE", "clean_lines", "digest", "line_fault", "repeat_words", "stage"]
