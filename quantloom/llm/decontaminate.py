@@ -35,6 +35,10 @@ def bench_words(text: Column) -> Column:
 
 def gram_hashes(words: Column, k: int) -> Column:
     """64-bit hashes of all runs of k words; empty if there are fewer."""
+    return let(words, lambda w: _gram_hashes(w, k))
+
+
+def _gram_hashes(words: Column, k: int) -> Column:
     n = F.size(words)
     return F.when(n < k, F.expr("cast(array() as array<bigint>)")).otherwise(
         F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
@@ -43,6 +47,10 @@ def gram_hashes(words: Column, k: int) -> Column:
 
 def winnow(hashes: Column) -> Column:
     """The distinct minima of all runs of WINNOW hashes; empty if there are fewer."""
+    return let(hashes, _winnow)
+
+
+def _winnow(hashes: Column) -> Column:
     n = F.size(hashes)
     return F.when(n < WINNOW, F.expr("cast(array() as array<bigint>)")).otherwise(
         F.array_distinct(F.transform(F.sequence(F.lit(1), n - WINNOW + 1), lambda i: F.array_min(F.slice(hashes, i, WINNOW))))
@@ -179,10 +187,10 @@ __all__ = ["bench_words", "contamination", "digest", "discard", "gram_hashes", "
 #: The same as digest() for DuckDB: every window of both sides, joined as text.
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+  SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM documents
 ), b AS (
-  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM benchmark
 ), bw AS (
   SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS g

@@ -38,9 +38,12 @@ WINDOW = 5
 
 
 def repeat_words(words: Column) -> Column:
-    """Words inside 5-word windows that occur twice or more in the array, the first included.
+    """Words inside 5-word windows that occur twice or more in the array, the first included."""
+    return let(words, _repeat_words)
 
-    Windows are compared by a 64-bit hash. Equal hashes are found by array_distinct; only
+
+def _repeat_words(words: Column) -> Column:
+    """Windows are compared by a 64-bit hash. Equal hashes are found by array_distinct; only
     arrays that have some are sorted to find where, so the work is n log n at most.
     """
     n = F.size(words)
@@ -108,6 +111,8 @@ def clean_lines(docs: DataFrame, text: str = "text", max_loss: float = 0.5) -> D
             "n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
             "n_repeat_words": repeat_words(words).cast("long"),
+            # A filter on the verdict must not be pushed below this: it would compute all of it once more.
+            "_q_row": F.monotonically_increasing_id(),
             "_q_good": F.filter(lines, lambda x: line_fault(x).isNull()),
         }
     )
@@ -120,8 +125,8 @@ def clean_lines(docs: DataFrame, text: str = "text", max_loss: float = 0.5) -> D
                 "clean_text": F.array_join(F.col("_q_good"), "\n"),
             }
         )
-        .withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= max_loss))
-        .drop("_q_text", "_q_words", "_q_lines", "_q_good")
+        .withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= max_loss) & (F.col("_q_row") >= 0))
+        .drop("_q_row", "_q_text", "_q_words", "_q_lines", "_q_good")
     )
 
 
@@ -140,8 +145,8 @@ SQL = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents
 ), w AS (
-  SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM d
 ), g AS (
   SELECT rid, i, list_value(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) AS g
@@ -155,7 +160,7 @@ WITH d AS (
          CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
          length(array_to_string(lines, '')) AS all_chars,
-         length(array_to_string(list_filter(lines, x -> NOT (
+         length(array_to_string(list_filter(lines, lambda x: NOT (
            (len(regexp_extract_all(x, '[|»›•·>](?: |\z)')) >= 3 AND len(regexp_extract_all(x, '[|»›•·>](?: |\z)')) * 6 >= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))
            OR (length(x) - length(regexp_replace(x, '[#*$%&|<>{}\\^~]+', '', 'g')) >= 5 AND (length(x) - length(regexp_replace(x, '[#*$%&|<>{}\\^~]+', '', 'g'))) * 12 > length(x))
            OR (length(x) >= 20 AND regexp_matches(x, '\p{Lu}') AND NOT regexp_matches(x, '\p{Ll}'))
