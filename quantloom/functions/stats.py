@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,8 +96,6 @@ def t_test(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
 
 def with_p_value(df: DataFrame, t: str = "t_stat", n: str = "count", name: str = "p_value") -> DataFrame:
     """Two-sided p of a t-statistic with n - 1 degrees of freedom; for aggregated rows, as it runs in Python."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def p(ts: pd.Series, ns: pd.Series) -> pd.Series:
         return pd.Series([None if pd.isna(a) or b < 2 else student_t_two_sided(a, b - 1) for a, b in zip(ts, ns, strict=True)], dtype="float64")
