@@ -65,10 +65,25 @@ def _around(words: Column, p: Column, left: int, gram: int, right: int) -> list[
     ]
 
 
-def _at(words: Column, hashes: Column, wanted: Column, gram: int, left: int, right: int) -> Column:
-    """Positions whose hash is in the array `wanted`, with the words on both sides."""
-    where = F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: F.array_contains(wanted, F.get(hashes, i)))
-    return F.transform(where, lambda p: F.struct(p.alias("p"), F.get(hashes, p).alias("h"), *_around(words, p, left, gram, right)))
+def winnow_places(hashes: Column) -> Column:
+    """Positions of the minima of all runs of WINNOW hashes, the first of equal ones; empty if there are fewer."""
+
+    def places(h: Column) -> Column:
+        first = lambda i: let(F.slice(h, i, WINNOW), lambda run: (i - 2 + F.array_position(run, F.array_min(run))).cast("int"))
+        n = F.size(h)
+        return F.when(n < WINNOW, F.expr("cast(array() as array<int>)")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n - WINNOW + 1), first)))
+
+    return let(hashes, places)
+
+
+def _equal_to(hashes: Column, wanted: Column) -> Column:
+    """Positions whose hash is in the array `wanted`, which is short: matches of a benchmark."""
+    return F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: F.array_contains(wanted, F.get(hashes, i)))
+
+
+def _at(words: Column, hashes: Column, places: Column, gram: int, left: int, right: int) -> Column:
+    """The positions with their hash and the words on both sides."""
+    return F.transform(places, lambda p: F.struct(p.alias("p"), F.get(hashes, p).alias("h"), *_around(words, p, left, gram, right)))
 
 
 def _member(x: Column, values: list[int]) -> Column:
@@ -88,7 +103,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: s
     long_items, short_items = items.where(F.size("w") >= SPAN), items.where(F.size("w") < SPAN)
     with_h = long_items.withColumn("h", gram_hashes(F.col("w"), GRAM))
     fingerprints = (
-        with_h.withColumn("keep", winnow(F.col("h")))
+        with_h.withColumn("keep", winnow_places(F.col("h")))
         .select("item", F.explode(_at(F.col("w"), F.col("h"), F.col("keep"), GRAM, SIDE, SIDE)).alias("x"))
         .select("item", F.col("x.h").alias("h"), F.col("x.l").alias("il"), F.col("x.r").alias("ir"))
         .distinct()
@@ -101,19 +116,23 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: s
     rows = rows.withColumn("n_words", F.size("_w").cast("long"))
     w = F.col("_w")
     rows = rows.withColumn("_h", gram_hashes(w, GRAM))
-    rows = rows.withColumn("_m", winnow(F.col("_h")))
-    if known is not None:
-        rows = rows.withColumn("_m", F.filter("_m", lambda x: _member(x, known)))
-    rows = rows.withColumn("_hit", F.when(F.size("_m") > 0, _at(w, F.col("_h"), F.col("_m"), GRAM, SIDE, SIDE)).otherwise(F.expr(NO_HITS)))
+    if known is None:
+        places = winnow_places(F.col("_h"))
+    else:
+        rows = rows.withColumn("_m", F.filter(winnow(F.col("_h")), lambda x: _member(x, known)))
+        places = F.when(F.size("_m") > 0, _equal_to(F.col("_h"), F.col("_m"))).otherwise(F.expr("cast(array() as array<int>)"))
+    rows = rows.withColumn("_p", places)
+    rows = rows.withColumn("_hit", F.when(F.size("_p") > 0, _at(w, F.col("_h"), F.col("_p"), GRAM, SIDE, SIDE)).otherwise(F.expr(NO_HITS)))
     short_hit = F.expr(NO_HITS)
     first = None
     if gram_short:
         first = short_items.select("item", F.xxhash64(*[F.get("w", F.lit(j)) for j in range(gram_short)]).alias("h"), F.slice("w", gram_short + 1, SPAN).alias("ir"))
         some = _literals(first.select("h"), literal_limit)
         rows = rows.withColumn("_g", gram_hashes(w, gram_short))
-        wanted = F.col("_g") if some is None else F.filter("_g", lambda x: _member(x, some))
-        short_hit = F.when(F.size(wanted) > 0, _at(w, F.col("_g"), F.array_distinct(wanted), gram_short, 0, SPAN)).otherwise(F.expr(NO_HITS))
-    rows = rows.withColumn("_short", short_hit).drop("_w", "_h", "_m", "_g", *[] if keep_text else [text])
+        every = F.sequence(F.lit(0), F.size("_g") - 1)
+        chosen = every if some is None else F.filter(every, lambda i: _member(F.get("_g", i), some))
+        short_hit = F.when(F.size("_g") > 0, _at(w, F.col("_g"), chosen, gram_short, 0, SPAN)).otherwise(F.expr(NO_HITS))
+    rows = rows.withColumn("_short", short_hit).drop("_w", "_h", "_m", "_p", "_g", *[] if keep_text else [text])
     rows = materialize(rows, "rows")
 
     found = (

@@ -196,7 +196,7 @@ def context_totals(hist: DataFrame) -> DataFrame:
 def at_limits(totals: DataFrame, limits: list[int]) -> DataFrame:
     """(limit, n_longer, tokens_truncated) for any limits, of the result of context_totals()."""
     asked = totals.sparkSession.createDataFrame([(int(x),) for x in limits], "limit long")
-    fits = F.coalesce(F.max(F.when(F.col("n_tokens") <= F.col("limit"), F.struct("n_tokens", "n_within", "tokens_within"))), F.struct(F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long")))
+    fits = F.coalesce(F.max(F.when(F.col("n_tokens") <= F.col("limit"), F.struct("n_tokens", "n_within", "tokens_within"))), F.struct(*[F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_within", "tokens_within")]))
     joined = totals.join(F.broadcast(asked)).groupBy("limit").agg(fits.alias("x"), F.max(F.col("n_within") + F.col("n_longer")).alias("all"))
     over = F.col("all") - F.col("x.n_within")
     return joined.select("limit", over.alias("n_longer"), (F.col("x.tokens_within") + over * F.col("limit")).alias("tokens_truncated"))
