@@ -34,6 +34,8 @@ BOILERPLATE = (
 )
 #: A line that ends in punctuation.
 ENDS = r"""[.!?…:;,"'”’»)\]][\x20\x09-\x0D]*\z"""
+#: Phrases start at a word, so that "catalog in" isn't "log in".
+PHRASES = r"(?i)(?:^|[^A-Za-z])(?:" + "|".join(BOILERPLATE) + ")"
 WINDOW = 5
 
 
@@ -81,12 +83,11 @@ def line_fault(line: Column) -> Column:
     symbols = n - F.length(F.regexp_replace(line, r"[#*$%&|<>{}\\^~]+", ""))
     bars = F.regexp_count(line, F.lit(r"[|»›•·>](?: |\z)"))
     n_words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
-    phrases = "(?i)" + "|".join(BOILERPLATE)
     return (
         F.when((bars >= 3) & (bars * 6 >= n_words), "navigation")
         .when((symbols >= 5) & (symbols * 12 > n), "symbols")
         .when((n >= 20) & line.rlike(r"\p{Lu}") & ~line.rlike(r"\p{Ll}"), "shouting")
-        .when((n_words <= 20) & line.rlike(phrases), "boilerplate")
+        .when((n_words <= 20) & line.rlike(PHRASES), "boilerplate")
         .when((n_words <= 3) & ~line.rlike(ENDS), "punctuation")
     )
 
@@ -175,6 +176,6 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.5 AS kept, CAST(lost AS DOUBLE) AS lost
 FROM v
-""".replace("@PHRASES", "(?i)" + "|".join(BOILERPLATE)).replace("@ENDS", ENDS.replace("'", "''"))
+""".replace("@PHRASES", PHRASES).replace("@ENDS", ENDS.replace("'", "''"))
 
 __all__ = ["ASCII_SPACE", "clean_lines", "digest", "line_fault", "repeat_words", "stage"]

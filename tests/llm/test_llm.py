@@ -262,3 +262,10 @@ def test_chat_masks_cover_the_assistant_only(spark):
     whole = next(r["text"] for r in out if r["perspective"] == "ann")
     assert "".join(t for _, _, t in small) == whole and [s for _, s, _ in small] == [sum(len(t) for _, _, t in small[:i]) for i in range(len(small))]
     assert chat.perspectives(df.limit(0)).count() == 0
+
+
+def test_boilerplate_phrases_start_at_a_word(spark):
+    lines = ["We keep the old catalog in the hall.", "A bold design in blue.", "Please log in now.", "(Subscribe) to the letter."]
+    docs = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = {r["line"]: r["f"] for r in docs.select("line", quality.line_fault(docs["line"]).alias("f")).collect()}
+    assert [got[x] for x in lines] == [None, None, "boilerplate", "boilerplate"]
