@@ -103,9 +103,13 @@ def with_p_value(df: DataFrame, t: str = "t_stat", n: str = "count", name: str =
     return df.withColumn(name, p(F.col(t), F.col(n)))
 
 
-def normal_quantiles(n: int) -> list[float]:
-    """Theoretical quantiles of n ordered values, at (i + 0.5) / n."""
-    return [NormalDist().inv_cdf((i + 0.5) / n) for i in range(n)]
+def normal_quantile(p: Column) -> Column:
+    """The standard normal quantile of p in (0, 1); for aggregated rows, as it runs in Python."""
+    @F.pandas_udf("double")
+    def inverse(ps: pd.Series) -> pd.Series:
+        return ps.map(NormalDist().inv_cdf)
+
+    return inverse(p)
 
 
 def forward_rate(r: Column, period: int, base: int) -> Column:

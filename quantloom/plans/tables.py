@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.frames import forward_periods, melted, period_number
-from quantloom.functions.stats import error_rate, finite, forward_rate, normal_quantiles, t_test, with_p_value
+from quantloom.functions.frames import forward_periods, sessions_of
+from quantloom.functions.stats import error_rate, finite, forward_rate, normal_quantile, t_test, with_p_value
 from quantloom.operators import performance as perf
-from quantloom.operators import portfolio as pf
 
 
 def quantile_statistics(factor_data: DataFrame) -> DataFrame:
@@ -33,26 +33,19 @@ def ic_histogram(ic: DataFrame, bins: int = 20) -> DataFrame:
 
 
 def qq_normal(ic: DataFrame) -> DataFrame:
-    """period, position, theoretical and observed quantiles of standardized ICs. Runs over dates, on the driver."""
-    known = ic.where("ic is not null").select("period", "ic").collect()
-    rows = []
-    for period in sorted({r["period"] for r in known}):
-        xs = sorted(r["ic"] for r in known if r["period"] == period)
-        mean = sum(xs) / len(xs)
-        sd = (sum((x - mean) ** 2 for x in xs) / (len(xs) - 1)) ** 0.5 if len(xs) > 1 else 0.0
-        if sd:
-            rows += [(period, i, q, (x - mean) / sd) for i, (q, x) in enumerate(zip(normal_quantiles(len(xs)), xs, strict=True))]
-    return ic.sparkSession.createDataFrame(rows, "period string, position int, theoretical double, observed double")
-
-
-def ic_summary(factor_data: DataFrame, group_neutral: bool = False) -> DataFrame:
-    """period, metric, value, count: mean, std, risk-adjusted IC, t, p, skew and kurtosis."""
-    ic = perf.factor_information_coefficient(factor_data, group_adjust=group_neutral)
-    wide = with_p_value(t_test(ic, ["period"], "ic"))
-    wide = wide.withColumn("risk_adjusted", F.col("mean") / F.nullif("std", F.lit(0.0)))
-    names = {"ic_mean": "mean", "ic_std": "std", "risk_adjusted_ic": "risk_adjusted", "t_stat": "t_stat", "p_value": "p_value", "skew": "skew", "excess_kurtosis": "excess_kurtosis"}
-    pairs = F.array(*[F.struct(F.lit(k).alias("metric"), F.col(v).alias("value")) for k, v in names.items()])
-    return wide.select("period", "count", F.explode(pairs).alias("x")).select("x.metric", "period", "x.value", F.col("count").cast("long").alias("count"))
+    """period, position, theoretical and observed quantiles of standardized ICs; none where they don't vary."""
+    every = Window.partitionBy("period")
+    place = F.row_number().over(every.orderBy("ic")) - 1
+    sized = ic.where("ic is not null").select("period", place.alias("position"), "ic", F.count("*").over(every).alias("n"), F.avg("ic").over(every).alias("mean"), F.stddev_samp("ic").over(every).alias("sd"))
+    at = normal_quantile((F.col("position") + 0.5) / F.col("n"))
+    return sized.where("sd > 0").select("period", "position", at.alias("theoretical"), ((F.col("ic") - F.col("mean")) / F.col("sd")).alias("observed"))
+
+
+def ic_summary(ic: DataFrame) -> DataFrame:
+    """period, ic_mean, ic_std, risk_adjusted_ic, t_stat, p_value, skew, excess_kurtosis, count."""
+    by = with_p_value(t_test(ic, ["period"], "ic"))
+    risk = F.col("mean") / F.nullif("std", F.lit(0.0))
+    return by.select("period", F.col("mean").alias("ic_mean"), F.col("std").alias("ic_std"), risk.alias("risk_adjusted_ic"), "t_stat", "p_value", "skew", "excess_kurtosis", "count")
 
 
 def mean_by_quantile(factor_data: DataFrame, demeaned: bool = True, group_adjust: bool = False, by_date: bool = False, by_group: bool = False) -> DataFrame:
@@ -67,6 +60,11 @@ def mean_by_quantile(factor_data: DataFrame, demeaned: bool = True, group_adjust
     return out.withColumns({"mean_return": mean, "std_error": error})
 
 
+def raw_mean_by_quantile(factor_data: DataFrame, demeaned: bool = True, group_adjust: bool = False, by_date: bool = False, by_group: bool = False) -> DataFrame:
+    """Mean returns by quantile as they are, each over its own period."""
+    return perf.mean_return_by_quantile(factor_data, by_date, by_group, demeaned, group_adjust)
+
+
 def returns_summary(factor_data: DataFrame, long_short: bool = True, group_neutral: bool = False) -> DataFrame:
     """metric, period, value, count: alpha and beta, mean returns of the outer quantiles and their spread."""
     ab = perf.factor_alpha_beta(factor_data, demeaned=long_short, group_adjust=group_neutral)
@@ -85,31 +83,50 @@ def returns_summary(factor_data: DataFrame, long_short: bool = True, group_neutr
     return first.unionByName(sides.select("period", F.explode(means).alias("x")).select("x.metric", "period", "x.value", "x.count"))
 
 
-def daily_spread(factor_data: DataFrame, long_short: bool = True, group_neutral: bool = False) -> DataFrame:
+def daily_spread(factor_data: DataFrame, long_short: bool = True, group_neutral: bool = False, ends: Sequence[int] | None = None) -> DataFrame:
     """date, period, difference and joint error of the outer quantiles that each date has."""
     daily = mean_by_quantile(factor_data, long_short, group_neutral, by_date=True)
-    ends = factor_data.agg(F.max("factor_quantile"), F.min("factor_quantile")).first()
+    ends = ends or factor_data.agg(F.max("factor_quantile"), F.min("factor_quantile")).first()
     both = daily.where(F.col("factor_quantile").isin(*ends)).groupBy("date", "period").agg(F.count_distinct("factor_quantile").alias("n"))
     whole = daily.join(both.where(F.col("n") == len(set(ends))), ["date", "period"], "left_semi")
     return perf.compute_mean_returns_spread(whole, *ends)
 
 
 def turnover_series(factor_data: DataFrame, lags: Sequence[int]) -> DataFrame:
-    """date, factor_quantile, period, turnover for all quantiles and lags."""
-    out = None
-    for q in sorted(r[0] for r in factor_data.select("factor_quantile").distinct().collect()):
-        for lag in lags:
-            one = perf.quantile_turnover(factor_data, q, lag)
-            out = one if out is None else out.unionByName(one)
-    return out
+    """date, factor_quantile, period, turnover for all quantiles and lags.
+
+    One sort by asset serves every lag; the grid it is laid on has a row for each date and bucket.
+    """
+    dates = sessions_of(factor_data)
+    own = Window.partitionBy("asset").orderBy("idx")
+    placed = factor_data.where("factor_quantile is not null").select("date", "asset", "factor_quantile").join(dates, "date")
+    new = {f"n{k}": F.when(F.max("factor_quantile").over(own.rangeBetween(-k, -k)).eqNullSafe(F.col("factor_quantile")), 0).otherwise(1) for k in lags}
+    shares = placed.withColumns(new).groupBy("idx", "factor_quantile").agg(*[F.avg(f"n{k}").alias(f"n{k}") for k in lags])
+    grid = dates.join(placed.select("factor_quantile").distinct())
+    each = F.array(*[F.struct(F.lit(f"{k}D").alias("period"), F.when(F.col("idx") >= k, F.col(f"n{k}")).alias("turnover")) for k in lags])
+    return grid.join(shares, ["idx", "factor_quantile"], "left").select("date", "factor_quantile", F.explode(each).alias("x")).select("date", "factor_quantile", "x.*")
 
 
 def autocorrelation_series(factor_data: DataFrame, lags: Sequence[int]) -> DataFrame:
-    out = None
-    for lag in lags:
-        one = perf.factor_rank_autocorrelation(factor_data, lag)
-        out = one if out is None else out.unionByName(one)
-    return out
+    """date, period, autocorrelation for all lags."""
+    return reduce(DataFrame.unionByName, [perf.factor_rank_autocorrelation(factor_data, k) for k in lags])
+
+
+def mean_turnover(series: DataFrame) -> DataFrame:
+    """factor_quantile, period, turnover (mean over dates that have one), count."""
+    return series.groupBy("factor_quantile", "period").agg(F.avg("turnover").alias("turnover"), F.count("turnover").alias("count"))
+
+
+def mean_autocorrelation(series: DataFrame) -> DataFrame:
+    """period, autocorrelation (mean over dates that have one), count."""
+    return series.groupBy("period").agg(F.avg("autocorrelation").alias("autocorrelation"), F.count("autocorrelation").alias("count"))
+
+
+def wealth_by_quantile(daily: DataFrame) -> DataFrame:
+    """date, factor_quantile, cumulative_return of one-session means by date. A window over dates by bucket."""
+    own = Window.partitionBy("factor_quantile").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    grown = F.product(1 + F.coalesce("mean_return", F.lit(0.0))).over(own)
+    return daily.where("period = '1D'").select("date", "factor_quantile", grown.alias("cumulative_return"))
 
 
 def event_distribution(factor_data: DataFrame, bins: int = 50) -> DataFrame:
@@ -125,6 +142,3 @@ def event_distribution(factor_data: DataFrame, bins: int = 50) -> DataFrame:
     table = factor_data.sparkSession.createDataFrame([(i, edges[i], edges[i + 1], i == n - 1) for i in range(n)], "bin int, start long, end long, last boolean")
     inside = (F.col("t") >= F.col("start")) & ((F.col("t") < F.col("end")) | (F.col("last") & (F.col("t") <= F.col("end"))))
     return F.broadcast(table).join(counted, inside, "left").groupBy("bin", "start", "end").agg(F.coalesce(F.sum("c"), F.lit(0).cast("long")).alias("count"))
-
-
-__all__ = ["finite", "melted", "period_number", "pf"]

@@ -13,7 +13,7 @@ from quantloom.operators import events as ev
 from quantloom.operators import performance as perf
 from quantloom.operators import portfolio as pf
 from quantloom.operators import prep
-from quantloom.plans import tables
+from quantloom.plans import reports, tables
 from quantloom.sources import bridge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -360,6 +360,43 @@ on_clean(
     lambda d: tables.ic_histogram(perf.factor_information_coefficient(d)),
 )
 
+IC = ", " + _ranked("date, period") + f""", i AS (SELECT date, period, {_CORR.format(x='rx', y='ry')} AS ic FROM rk GROUP BY 1, 2)"""
+# The period by which rates are stated is the shortest, one session.
+RATES = """, rate AS (SELECT * REPLACE (CASE WHEN period = '1D' THEN mean_return WHEN 1 + mean_return >= 0 THEN pow(1 + mean_return, 1.0 / CAST(rtrim(period, 'D') AS INTEGER)) - 1 END AS mean_return,
+std_error / sqrt(CAST(rtrim(period, 'D') AS INTEGER)) AS std_error) FROM dayq)"""
+on_clean(
+    "r1_quantile_cumulative",
+    DEMEANED + " SELECT date, factor_quantile, product(1 + coalesce(mean_return, 0)) OVER (PARTITION BY factor_quantile ORDER BY date ROWS UNBOUNDED PRECEDING) AS cumulative_return FROM dayq WHERE period = '1D'",
+    lambda d: reports.create_returns_tear_sheet_data(d).table("returns.quantile_cumulative_1d"),
+)
+on_clean(
+    "r1_daily_spread",
+    DEMEANED + RATES + """ SELECT date, period, u.mean_return - l.mean_return AS mean_return_difference, sqrt(u.std_error * u.std_error + l.std_error * l.std_error) AS joint_std_error
+    FROM rate u JOIN rate l USING (date, period) WHERE u.factor_quantile = 5 AND l.factor_quantile = 1""",
+    lambda d: reports.create_returns_tear_sheet_data(d).table("returns.daily_spread"),
+)
+on_clean("r2_ic_monthly", IC + " SELECT date_trunc('month', date)::TIMESTAMP AS date, period, avg(ic) AS mean_ic, CAST(count(ic) AS INTEGER) AS count FROM i WHERE ic IS NOT NULL GROUP BY 1, 2", lambda d: reports.create_information_tear_sheet_data(d).table("information.ic_monthly"))
+on_clean("r2_qq_normal", None, lambda d: reports.create_information_tear_sheet_data(d).table("information.qq_normal"))
+on_clean(
+    "r3_mean_turnover",
+    AXIS + """, m AS (SELECT idx, asset, factor_quantile FROM clean JOIN axis USING (date)), lag AS (SELECT unnest([1, 3]) AS k),
+    t AS (SELECT m.factor_quantile, k, m.idx, avg(CASE WHEN o.asset IS NULL THEN 1 ELSE 0 END) AS s FROM m JOIN lag ON m.idx >= k LEFT JOIN m o ON o.asset = m.asset AND o.factor_quantile = m.factor_quantile AND o.idx = m.idx - k GROUP BY 1, 2, 3)
+    SELECT factor_quantile, k || 'D' AS period, avg(s) AS turnover, count(s) AS count FROM t GROUP BY 1, 2""",
+    lambda d: reports.create_turnover_tear_sheet_data(d, [1, 3]).table("turnover.mean_by_quantile"),
+)
+on_clean(
+    "r7_event_distribution",
+    """, b AS (SELECT min(epoch_us(date)) AS lo, max(epoch_us(date)) AS hi FROM clean), e AS (SELECT i AS bin, lo + (hi - lo) * i // 50 AS start, lo + (hi - lo) * (i + 1) // 50 AS stop FROM b, range(50) r(i))
+    SELECT CAST(bin AS INTEGER) AS bin, start, stop AS "end", count(date) AS count FROM e LEFT JOIN clean ON epoch_us(date) >= start AND (epoch_us(date) < stop OR (bin = 49 AND epoch_us(date) = stop)) GROUP BY 1, 2, 3""",
+    lambda d: reports.create_event_study_tear_sheet_data(d).table("events.distribution"),
+)
+on_clean(
+    "s4_statistics_from_json",
+    """ SELECT factor_quantile, min(factor) AS min, max(factor) AS max, avg(factor) AS mean, stddev_samp(factor) AS std, count(*) AS count, count(*) / CAST((SELECT count(*) FROM clean) AS DOUBLE) AS count_percent FROM clean GROUP BY 1""",
+    lambda d: reports.TearSheetData.from_json(reports.create_summary_tear_sheet_data(d).to_json()).table("quantile.statistics"),
+)
+on_clean("r5_full_report_tables", None, lambda d: d.sparkSession.createDataFrame([(i, len(t)) for i, t in reports.create_full_tear_sheet_data(d).collect().tables.items()], "table_id string, row_count long"))
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)

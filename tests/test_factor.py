@@ -140,4 +140,4 @@ def test_driver_side_helpers():
     assert timeutil.get_forward_returns_columns(["forward_return_1D", "2h", "x"]) == ["forward_return_1D", "2h"]
     assert timeutil.add_custom_calendar_timedelta(dt.datetime(2024, 1, 5), dt.timedelta(days=1)) == dt.datetime(2024, 1, 8)
     assert stats.student_t_two_sided(2.0, 10) == pytest.approx(0.07338803477074)
-    assert stats.normal_quantiles(1) == [0.0] and math.isclose(stats.incomplete_beta(2, 3, 0.4), 0.5248)
+    assert math.isclose(stats.incomplete_beta(2, 3, 0.4), 0.5248)
