@@ -2,12 +2,14 @@
 
 import datetime as dt
 import json
+import re
+from xml.etree import ElementTree
 
 import pytest
 
 from quantloom.errors import FactorError
 from quantloom.operators import performance as perf
-from quantloom.plans import reports, tables
+from quantloom.plans import plots, render, reports, tables
 
 SCHEMA = "date timestamp_ntz, asset string, group string, factor double, factor_quantile int, forward_return_1D double, forward_return_5D double"
 DAYS = [dt.datetime(2024, 1, d) for d in range(1, 13)]
@@ -87,3 +89,46 @@ def test_qq_is_the_normal_quantile_of_the_place(spark):
     got = sorted(tables.qq_normal(ic).collect())
     assert [(r.period, r.position) for r in got] == [("1D", 0), ("1D", 1), ("1D", 2)]
     assert [round(r.theoretical, 6) for r in got] == [-0.967422, 0.0, 0.967422] and [round(r.observed, 6) for r in got] == [-1.0, 0.0, 1.0]
+
+
+@pytest.mark.parametrize(("x", "unit", "decimals", "want"), [(None, "raw", 2, "—"), (-0.0001, "raw", 2, "0.00"), (0.0123, "decimal_return", 2, "1.23%"), (0.0005, "basis_points", 1, "5.0 bps"), (3.0, "count", 0, "3")])
+def test_numbers(x, unit, decimals, want):
+    assert render.format_number(x, unit, decimals) == want
+
+
+def test_density_has_its_peak_at_one():
+    got = render.kde([0.0, 1.0, None, 2.0])
+    assert len(got) == 64 and max(y for _, y in got) == 1.0 and render.kde([2.0, 2.0]) == [(2.0, 1.0)] and render.kde([None]) == []
+
+
+def test_layout_pairs_halves_only_where_wide(full):
+    wide, narrow = render.plan_report(full), render.plan_report(full, render.Options(width=800))
+    assert {p.span for p in narrow} == {12} and len({p.row for p in narrow}) == len(narrow)
+    assert any(p.column == 6 for p in wide) and len({(p.row, p.column) for p in wide}) == len(wide)
+
+
+def test_drawn_reports_are_well_formed_and_saved(full, tmp_path):
+    svg = render.render(full, "svg", width=720, scale=2.0, theme="dark")
+    ElementTree.fromstring(svg.content)
+    assert svg.width == 1440
+    page = render.render_html(full)
+    for part in re.findall(r"<svg.*?</svg>", page.content):
+        ElementTree.fromstring(part)
+    assert page.content == render.render_html(reports.TearSheetData.from_json(full.to_json())).content
+    page.save(tmp_path / "a.html")
+    for call in (lambda: page.save(tmp_path / "a.svg"), lambda: render.render(full, "png"), lambda: render.render(full, width=100), lambda: render.render(full, scale=9), lambda: render.render(full, theme="red")):
+        with pytest.raises(FactorError):
+            call()
+    with pytest.raises(AttributeError):
+        page.width = 1
+
+
+def test_plots_of_operator_outputs(clean, full, capsys):
+    made = [plots.plot_ic_ts(full.table("information.ic_by_date")), plots.plot_ic_hist(full.table("information.ic_by_date")), plots.plot_monthly_ic_heatmap(full.table("information.ic_monthly")), plots.plot_quantile_returns_bar(full.table("returns.mean_by_quantile")), plots.plot_quantile_returns_violin(full.table("returns.daily_by_quantile")), plots.plot_top_bottom_quantile_turnover(full.table("turnover.quantile_series")), plots.plot_events_distribution(clean, 4), plots.plot_mean_quantile_returns_spread_time_series(full.table("returns.daily_spread"))]
+    for c in made:
+        ElementTree.fromstring(c.svg())
+    assert sum(y for _, y in made[6].series[""]) == 96 and len(made[7].series) == 6 and set(made[5].series) == {"1", "3"}
+    plots.plot_quantile_statistics_table(clean)
+    assert capsys.readouterr().out.splitlines()[0] == "Quantiles Statistics"
+    with pytest.raises(FactorError):
+        plots.plot_ic_ts(full.table("returns.mean_by_quantile"))
