@@ -62,8 +62,9 @@ def validate_prices(df: DataFrame, check: bool = True) -> DataFrame:
 
 
 def same_dates(a: DataFrame, b: DataFrame) -> None:
-    """Raise unless both date columns are of one kind (zoned or not)."""
-    if a.schema["date"].dataType != b.schema["date"].dataType:
+    """Raise unless both date columns are of one kind (zoned or not), and name one zone where their metadata has a "timezone"."""
+    zones = {d.schema["date"].metadata.get("timezone") for d in (a, b)} - {None}
+    if a.schema["date"].dataType != b.schema["date"].dataType or len(zones) > 1:
         raise NonMatchingTimezoneError("factor and price dates must be of the same kind")
 
 

@@ -1,15 +1,21 @@
 """Tear sheets: tables, their contract, JSON and drawing, on a small panel."""
 
 import datetime as dt
+import importlib.util
 import json
 import re
+import struct
+import zlib
 from xml.etree import ElementTree
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quantloom.errors import FactorError
+from quantloom.errors import FactorError, NonMatchingTimezoneError
+from quantloom.functions.frames import same_dates
 from quantloom.operators import performance as perf
-from quantloom.plans import plots, render, reports, tables
+from quantloom.plans import plots, raster, render, reports, tables
 
 SCHEMA = "date timestamp_ntz, asset string, group string, factor double, factor_quantile int, forward_return_1D double, forward_return_5D double"
 DAYS = [dt.datetime(2024, 1, d) for d in range(1, 13)]
@@ -116,7 +122,7 @@ def test_drawn_reports_are_well_formed_and_saved(full, tmp_path):
         ElementTree.fromstring(part)
     assert page.content == render.render_html(reports.TearSheetData.from_json(full.to_json())).content
     page.save(tmp_path / "a.html")
-    for call in (lambda: page.save(tmp_path / "a.svg"), lambda: render.render(full, "png"), lambda: render.render(full, width=100), lambda: render.render(full, scale=9), lambda: render.render(full, theme="red")):
+    for call in (lambda: page.save(tmp_path / "a.svg"), lambda: render.render(full, "gif"), lambda: render.render(full, width=100), lambda: render.render(full, scale=9), lambda: render.render(full, theme="red")):
         with pytest.raises(FactorError):
             call()
     with pytest.raises(AttributeError):
@@ -132,3 +138,69 @@ def test_plots_of_operator_outputs(clean, full, capsys):
     assert capsys.readouterr().out.splitlines()[0] == "Quantiles Statistics"
     with pytest.raises(FactorError):
         plots.plot_ic_ts(full.table("returns.mean_by_quantile"))
+
+
+def pixels(image):
+    """Height, width and the rows of an unfiltered PNG of three bytes a pixel."""
+    assert image[:8] == b"\x89PNG\r\n\x1a\n"
+    at, body, size = 8, b"", None
+    while at < len(image):
+        n, name = struct.unpack_from(">I4s", image, at)
+        data = image[at + 8 : at + 8 + n]
+        assert struct.unpack_from(">I", image, at + 8 + n)[0] == zlib.crc32(name + data)
+        size = struct.unpack(">II", data[:8]) if name == b"IHDR" else size
+        body += data if name == b"IDAT" else b""
+        at += 12 + n
+    rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(size[1], 1 + 3 * size[0])
+    assert not rows[:, 0].any()
+    return rows[:, 1:].reshape(size[1], size[0], 3)
+
+
+def test_shapes_become_pixels():
+    svg = '<svg width="40" height="20" viewBox="0 0 20 10"><rect width="100%" height="100%" fill="#ffffff"/><g transform="translate(2,1)"><rect x="1" y="1" width="2" height="3" fill="#ff0000" fill-opacity="0.5"/></g><path d="M10 5 L14 5" stroke="#0000ff" stroke-width="1"/><text x="20" y="10" text-anchor="end" fill="#008000" font-size="6">I</text></svg>'
+    got = pixels(raster.png(svg))
+    assert got.shape == (20, 40, 3)
+    red = np.argwhere((got == (255, 128, 128)).all(axis=2))
+    assert red.min(axis=0).tolist() == [4, 6] and red.max(axis=0).tolist() == [9, 9] and len(red) == 24
+    blue = np.argwhere((got == (0, 0, 255)).all(axis=2))
+    assert set(blue[:, 0]) == {10, 11} and {blue[:, 1].min(), blue[:, 1].max()} == {20, 28}
+    assert (got == (0, 128, 0)).all(axis=2).sum() == 4 * (3 + 1 + 1 + 1 + 3)
+
+
+def test_png_reports(full, tmp_path):
+    image = render.render_png(full, width=720, scale=0.5, theme="dark")
+    got = pixels(image.content)
+    assert got.shape == (image.height, image.width, 3) and image.width == 360
+    assert got[0, 0].tolist() == [0x11, 0x18, 0x27] and len(np.unique(got.reshape(-1, 3), axis=0)) > 8
+    render.write_png(full, tmp_path / "a.png", width=720, scale=0.5, theme="dark")
+    assert (tmp_path / "a.png").read_bytes() == image.content
+    with pytest.raises(FactorError):
+        render.render_png(full, width=4096, scale=4.0)
+
+
+def test_grid_of_charts(full):
+    grid = render.GridFigure(2, 2)
+    chart = plots.plot_ic_ts(full.table("information.ic_by_date"))
+    grid.next_cell(chart)
+    grid.next_row(chart)
+    drawn = ElementTree.fromstring(grid.svg(800))
+    assert [g.attrib["transform"] for g in drawn if g.tag.endswith("}g")] == ["translate(0,0)", "translate(0,320)"]
+    with pytest.raises(FactorError):
+        grid.next_cell(chart)
+    grid.close()
+    grid.next_cell(chart)
+
+
+def test_matplotlib_is_optional(full):
+    if importlib.util.find_spec("matplotlib"):
+        assert render.render_matplotlib(full).axes
+    else:
+        with pytest.raises(FactorError):
+            render.render_matplotlib(full)
+
+
+def test_dates_of_two_zones_do_not_match(spark):
+    made = [spark.createDataFrame([(DAYS[0],)], "date timestamp").select(F.col("date").alias("date", metadata={"timezone": z} if z else {})) for z in ("UTC", "Asia/Tokyo", None)]
+    same_dates(made[0], made[2])
+    with pytest.raises(NonMatchingTimezoneError):
+        same_dates(made[0], made[1])
