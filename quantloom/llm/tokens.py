@@ -9,7 +9,7 @@ The ids are those of the tokenizer on the whole text.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,7 +52,9 @@ class Encoder:
         self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.sizes[i] = added.get(token, len(token))
+        # The ids of a piece, and how many they are: counting needs no more than the second.
         self.known: dict[str, bytes] = {}
+        self.counts: dict[str, int] = {}
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -60,28 +62,38 @@ class Encoder:
             _ENCODERS[path] = Encoder(path)
         return _ENCODERS[path]
 
-    def _encoded(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of pieces by key. Regular pieces are encoded as one text and cut by their bytes."""
+    def _runs(self, new: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+        """(keys, ids, starts, ends): where the ids of each key's piece stand. Regular pieces are encoded as one text and cut by their bytes."""
         regular = [k for k in new if k[0] != " " or _WORD.match(k)]
         odd = [k for k in new if k[0] == " " and not _WORD.match(k)]
         # A key without white space stands for the word after a space; a raw word follows a line break that is taken off again.
         texts = [k if k[0] == "\n" else "\n" + k[1:] if k[0] == " " else " " + k for k in regular]
         groups = range(0, len(regular), _GROUP)
         encoded = self.tokenizer.encode_batch_fast(["".join(texts[i : i + _GROUP]) for i in groups] + [k[1:] for k in odd], add_special_tokens=False)
-        out = {k: np.array(e.ids, "<u4").tobytes() for k, e in zip(odd, encoded[len(groups) :], strict=True)}
+        for k, e in zip(odd, encoded[len(groups) :], strict=True):
+            yield [k], np.array(e.ids, "<u4"), np.array([0]), np.array([len(e.ids)])
         for i, e in zip(groups, encoded, strict=False):
-            ids = np.array(e.ids, "<u4")
-            ends = np.cumsum([len(t) if t.isascii() else len(t.encode()) for t in texts[i : i + _GROUP]])
-            cuts = (4 * np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 4).tolist()
+            keys, ids = regular[i : i + _GROUP], np.array(e.ids, "<u4")
+            last = np.cumsum([len(t) if t.isascii() else len(t.encode()) for t in texts[i : i + _GROUP]])
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), last) + 1
+            starts = np.concatenate(([0], ends[:-1])) + np.array([k[0] == " " for k in keys])
+            yield keys, ids, starts, ends
+
+    def _encoded(self, new: list[str]) -> dict[str, bytes]:
+        out = {}
+        for keys, ids, starts, ends in self._runs(new):
             raw = ids.tobytes()
-            out.update(zip(regular[i : i + _GROUP], [raw[x:y] for x, y in zip([0, *cuts], cuts, strict=False)], strict=True))
-        for k in regular:
-            if k[0] == " ":
-                out[k] = out[k][4:]
+            out.update(zip(keys, [raw[x:y] for x, y in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)], strict=True))
+        return out
+
+    def _counted(self, new: list[str]) -> dict[str, int]:
+        out = {}
+        for keys, _, starts, ends in self._runs(new):
+            out.update(zip(keys, (ends - starts).tolist(), strict=True))
         return out
 
-    def learn(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
-        """The ids of all pieces of the texts in order, as little-endian unsigned 32-bit integers, and how many pieces each text has."""
+    def _learn(self, texts: list[str | None], known: dict[str, object], find: Callable[[list[str]], dict[str, object]]) -> tuple[list, np.ndarray]:
+        """What `find` makes of all pieces of the texts, in order, and how many pieces each text has. `known` remembers it."""
         keys: list[str] = []
         sizes = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
@@ -89,34 +101,37 @@ class Encoder:
                 own = _keys(t)
                 sizes[i] = len(own)
                 keys += own
-        known = self.known
-        new = set(keys).difference(known)
-        if len(known) + len(new) > CACHE_PIECES:
-            known.clear()
-            new = set(keys)
-        fresh = self._encoded(list(new)) if new else {}
-        known.update(fresh)
-        out = list(map(known.__getitem__, keys))
-        for k in fresh:
-            if len(k) > CACHE_CHARS:
-                del known[k]
+        out = list(map(known.get, keys))
+        missing = [i for i, found in enumerate(out) if found is None]
+        if missing:
+            fresh = find(list({keys[i] for i in missing}))
+            for i in missing:
+                out[i] = fresh[keys[i]]
+            if len(known) + len(fresh) > CACHE_PIECES:
+                known.clear()
+            known.update((k, found) for k, found in fresh.items() if len(k) <= CACHE_CHARS)
         return out, sizes
 
-    def _lengths(self, pieces: list[bytes], sizes: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4)))
+    @staticmethod
+    def _totals(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(counts)))
         ends = np.cumsum(sizes)
         return total[ends] - total[ends - sizes]
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         for own in _some(texts):
-            pieces, sizes = self.learn(own)
-            ends = np.cumsum(self._lengths(pieces, sizes))
+            pieces, sizes = self._learn(own, self.known, self._encoded)
+            ends = np.cumsum(self._totals(np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4, sizes))
             out += np.split(np.frombuffer(b"".join(pieces), "<u4"), ends[:-1])
         return out
 
     def count_all(self, texts: list[str | None]) -> list[int]:
-        return [n for own in _some(texts) for n in self._lengths(*self.learn(own)).tolist()]
+        out: list[int] = []
+        for own in _some(texts):
+            counts, sizes = self._learn(own, self.counts, self._counted)
+            out += self._totals(np.fromiter(counts, np.int64, len(counts)), sizes).tolist()
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
