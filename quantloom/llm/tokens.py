@@ -23,6 +23,8 @@ CACHE_PIECES, CACHE_CHARS = 800_000, 40
 #: Characters that are looked up at a time, about.
 BATCH_CHARS = 1_000_000
 _PIECES = re.compile(r"(?<=\S)(?=\s\S)")
+#: White space that isn't a space or a line break.
+_OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _SPACED, _BROKEN, _WORD = (re.compile(x) for x in (r" \S+\Z", r"\n\S+\Z", r" \S+\Z"))
 #: Pieces that are encoded as one text.
 _GROUP = 1000
@@ -139,8 +141,8 @@ class Encoder:
 
 def _keys(text: str) -> list[str]:
     """The pieces of a text: a word after a space as it is, one after a line break with it, others after a mark (a space)."""
-    # Other white space than lone spaces and line breaks between words leaves fewer words than these would.
-    if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+    # Spaces and line breaks that don't stand alone between words leave fewer words than these would; other white space would make up for them.
+    if len(text.split()) != text.count(" ") + text.count("\n") + 1 or any([c in text for c in _OTHER]):
         return [p[1:] if _SPACED.match(p) else p if _BROKEN.match(p) else " " + p for p in _PIECES.split(text)]
     own = text.replace("\n", " \n").split(" ")
     own[0] = " " + own[0]

@@ -269,3 +269,13 @@ def test_boilerplate_phrases_start_at_a_word(spark):
     docs = spark.createDataFrame([(x,) for x in lines], "line string")
     got = {r["line"]: r["f"] for r in docs.select("line", quality.line_fault(docs["line"]).alias("f")).collect()}
     assert [got[x] for x in lines] == [None, None, "boilerplate", "boilerplate"]
+
+
+def test_encoder_with_other_white_space_that_makes_up_for_surplus():
+    from tokenizers import Tokenizer
+
+    path = tokens.default_tokenizer()
+    t, e = Tokenizer.from_file(path), tokens.Encoder(path)
+    cases = ["a\tb  c", "a\tb\tc\n\n\nd", "un : deux  trois", "　a b", "a b c\n", "a \tb", "a\r\nb  c"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in cases]
+    assert [x.tolist() for x in e.encode_all(cases)] == want and e.count_all(cases) == [len(x) for x in want]
