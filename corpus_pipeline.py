@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the smallest doc_id."""
+    """One document of each SimHash component stays: the smallest doc_id, nulls last."""
     return simhash.stage(docs)
 
 

@@ -197,6 +197,12 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _rooted(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, low, root) of distinct fingerprints (fp, low): root is the smallest fingerprint of the component."""
+    roots = components(links(fps, radius))
+    return fps.join(roots, fps.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs.
 
@@ -207,8 +213,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     own = with_fingerprint(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_t")), "_t").select("doc_id", "fp")
     own = materialize(own, "fingerprints")
     fps = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    roots = components(links(fps, radius))
-    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(fps, radius)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     labels = rooted.join(lowest, "root").select("fp", "component_id")
     return own.join(labels, "fp").select("doc_id", "fp", "component_id")
@@ -219,6 +224,15 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """One row of each component: that of the smallest doc_id, once."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each component: that of the smallest doc_id, nulls last, once.
+
+    Ids may be null or repeated, so rows are told apart by 96 bits of hashes of id and
+    text; of one component's rows with the same smallest id, that of the smallest hash stays.
+    Copies go inside each task before rows are dealt by these hashes.
+    """
+    key = ["_key64", "_key32"]
+    marked = docs.withColumns({"_key64": F.xxhash64("doc_id", "text"), "_key32": F.hash("doc_id", "text")})
+    own = with_fingerprint(marked.select("doc_id", "text", *key)).drop("text")
+    fps = materialize(own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *key)).alias("low")), "distinct")
+    kept = _rooted(fps).groupBy("root").agg(F.min("low").alias("low")).select("low._key64", "low._key32").distinct()
+    return marked.dropDuplicates(key).join(kept, key).select(*docs.columns)

@@ -2,6 +2,8 @@
 
 import random
 import re
+from collections import Counter
+from itertools import combinations
 
 import corpus_pipeline
 import xxhash
@@ -63,3 +65,19 @@ def test_run_against_plain_python(spark, tmp_path):
     count = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
     assert {i: n for i, n in got.items() if i != secret} == {i: count(t) for i, t in left.items() if i != secret}
     assert got[secret] != count(texts[secret])
+
+
+def test_one_row_of_each_component_with_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    prose = lambda: " ".join("".join(rng.choices("abcdefghilmnoprstu", k=6)) for _ in range(60))
+    a, b, c, d, e = (prose() for _ in range(5))
+    rows = [(None, a), (None, a), (None, b), (7, c), (7, d), (None, c), (3, d), (9, e), (9, e), (None, ""), (None, "")]
+    prints = [fingerprint(t) for t in (a, b, c, d, e)]
+    assert all((x ^ y).bit_count() > 3 for x, y in combinations([0, *prints], 2))
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert got == Counter([(None, a), (None, b), (7, c), (3, d), (9, e), (None, "")]) and out.columns == docs.columns
+    # Two documents with one id that nothing else is like both stay.
+    two = docs.where("doc_id = 7")
+    assert Counter(r["text"] for r in corpus_pipeline.near_duplicates(spark, two, "").collect()) == Counter([c, d])
