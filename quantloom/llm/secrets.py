@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for what they miss.
 
 Tokens of 20 characters or more outside the base spans are candidates. The encoding is
-inferred (decimal, hex, base32, base64), each character gets its place in that alphabet,
+inferred (decimal, hex, base32, base36, base64), each character gets its place in that alphabet,
 and three tests are run: chi-squared against a uniform alphabet, the number of runs above
 and below the middle of the alphabet, and the lag-1 serial correlation. A token must look
 uniform to all three. False discoveries are controlled over the corpus by the
@@ -32,10 +32,11 @@ ALPHABETS = {
     "decimal": "0123456789",
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 #: Chi-squared non-centrality by character of ordinary text written in each alphabet.
-TEXT_DIVERGENCE = {"decimal": 1.5, "hex": 2.0, "base32": 2.5, "base64": 3.5}
+TEXT_DIVERGENCE = {"decimal": 1.5, "hex": 2.0, "base32": 2.5, "base36": 2.0, "base64": 3.5}
 UNIFORM_Z = 3.3
 FDR = 0.01
 BINS = 400
@@ -57,18 +58,22 @@ def normal_tail(z: Column) -> Column:
 
 def battery(token: Column) -> Column:
     """struct<enc, n, chi_z, runs_z, serial_z, p> of a token: the tests' z-values and p under ordinary text."""
-    core = F.regexp_replace(token, "=+$", "")
-    enc = (
-        F.when(core.rlike("^[0-9]+$"), "decimal")
-        .when(core.rlike("^[0-9a-f]+$") | core.rlike("^[0-9A-F]+$"), "hex")
-        .when(core.rlike("^[A-Z2-7]+$"), "base32")
-        .otherwise("base64")
-    )
-    start = F.struct(enc.alias("enc"), F.when(enc == "hex", F.lower(core)).otherwise(F.translate(core, "-_", "+/")).alias("t"))
+    # An '=' is padding, or stands between a name and a value: the longest part is tested.
+    core = F.aggregate(F.split(token, "="), F.lit(""), lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))
+
+    def start(core: Column) -> Column:
+        enc = (
+            F.when(core.rlike("^[0-9]+$"), "decimal")
+            .when(core.rlike("^[0-9a-f]+$") | core.rlike("^[0-9A-F]+$"), "hex")
+            .when(core.rlike("^[A-Z2-7]+$"), "base32")
+            .when(core.rlike("[0-9]") & (core.rlike("^[0-9a-z]+$") | core.rlike("^[0-9A-Z]+$")), "base36")
+            .otherwise("base64")
+        )
+        return F.struct(enc.alias("enc"), F.when(enc.isin("hex", "base36"), F.lower(core)).otherwise(F.translate(core, "-_", "+/")).alias("t"))
 
     def pick(x: Column, table: dict[str, object]) -> Column:
         out = F.when(x["enc"] == "decimal", F.lit(table["decimal"]))
-        for k in ("hex", "base32", "base64"):
+        for k in ("hex", "base32", "base36", "base64"):
             out = out.when(x["enc"] == k, F.lit(table[k]))
         return out
 
@@ -90,7 +95,7 @@ def battery(token: Column) -> Column:
         values = F.transform(F.split(x["t"], ""), lambda c: (F.position(c, pick(x, ALPHABETS)) - 1).cast("double"))
         return let(values, lambda v: let(measured(v), lambda m: _verdict(x, m, pick)))
 
-    return let(start, tests)
+    return let(core, lambda c: let(start(c), tests))
 
 
 def _verdict(x: Column, m: Column, pick) -> Column:

@@ -279,3 +279,15 @@ def test_encoder_with_other_white_space_that_makes_up_for_surplus():
     cases = ["a\tb  c", "a\tb\tc\n\n\nd", "un : deux  trois", "　a b", "a b c\n", "a \tb", "a\r\nb  c"]
     want = [t.encode(x, add_special_tokens=False).ids for x in cases]
     assert [x.tolist() for x in e.encode_all(cases)] == want and e.count_all(cases) == [len(x) for x in want]
+
+
+def test_randomness_battery_knows_one_letter_case_and_names(spark):
+    rng = np.random.default_rng(11)
+    draw = lambda symbols, n: "".join(rng.choice(list(symbols), n))
+    lower, mixed = "0123456789abcdefghijklmnopqrstuvwxyz", secrets.ALPHABETS["base64"]
+    keys = [draw(lower, 64) for _ in range(30)] + [draw(lower.upper(), 64) for _ in range(30)] + ["key=" + draw(mixed, 40) for _ in range(30)]
+    plain = ["antidisestablishmentarianism2" + "s" * i for i in range(20)] + ["name=" + "antidisestablishmentarianism" + "s" * i for i in range(20)] + ["=" * 24]
+    df = spark.createDataFrame([(i, f"x {k} y") for i, k in enumerate(keys + plain)], "doc_id long, text string")
+    got = by_id(secrets.digest(df))
+    found = ["random" in got[i]["spans"] for i in range(len(keys + plain))]
+    assert all(sum(found[at : at + 30]) >= 27 for at in (0, 30, 60)) and not any(found[90:])
