@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,22 +36,48 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/quantloom/{uuid.uuid4().hex}/{label}"
 
 
+#: Paths made in this process and not removed yet.
+_MADE: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = new_path(df.sparkSession, label)
+    _MADE.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quantloom_path = path
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of this subpackage from the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table made by materialize()."""
     path = getattr(df, "_quantloom_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        remove(df.sparkSession, path)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write to the shared folder inside are removed at the end.
+
+    Operators return lazy frames over such tables: write the result inside, to a place of
+    your own. Tables made before stay.
+    """
+    before = set(_MADE)
+    try:
+        yield
+    finally:
+        for path in [p for p in _MADE if p not in before]:
+            remove(spark, path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -68,10 +95,12 @@ def global_rank(df: DataFrame, order: list[Column], label: str, rank: str = "_ra
 
     The rows are dealt by range and sorted, numbered inside their partition by
     monotonically_increasing_id() and written to the shared folder; what reaches the
-    driver is one count for each partition. Equal rows may take each other's place.
+    driver is one count for each partition. Rows equal in `order` stand in that of their
+    input, which is part of the range key: many equal ones spread over partitions.
     """
     spark = df.sparkSession
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    order = [*order, F.col("_tie")]
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie")
     kept = materialize(dealt.withColumn("_mid", F.monotonically_increasing_id()), label)
     part, index = F.shiftright("_mid", 33), F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted(kept.groupBy(part.alias("part")).agg((F.max(index) + 1).alias("n")).collect())
@@ -93,33 +122,84 @@ def lcp(a: Column, b: Column) -> Column:
     return F.when(stop == 0, F.size(same).cast("long")).otherwise(stop - 1).cast("int")
 
 
-def spans_of(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as array<struct<s int, e int, m string>>, in code points.
+def quoted(value: str) -> str:
+    """value as a SQL string."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def bound(value: str, name: str, body: str) -> str:
+    """SQL of body with `name` standing for value, which is evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def running(values: str, zero: str, op: str, block: int = 64) -> str:
+    """SQL: for each element of the array `values`, op (as '(a, y) -> ...') over the elements before it, from zero.
+
+    The array is cut into blocks and the blocks' totals are run first, so the work is far
+    from quadratic and no growing array is copied.
+    """
+    numbers = f"sequence(0, cast(ceil(size(v) / {block}) as int) - 1)"
+    own = f"slice(v, b * {block} + 1, {block})"
+    firsts = bound(f"transform({numbers}, b -> aggregate({own}, {zero}, {op}))", "t", f"transform({numbers}, b -> aggregate(slice(t, 1, b), {zero}, {op}))")
+    inside = bound(own, "w", f"transform(w, (z, i) -> aggregate(slice(w, 1, i), first, {op}))")
+    return bound(values, "v", f"case when size(v) = 0 then v else flatten(transform({firsts}, (first, b) -> {inside})) end")
+
+
+def spans_of(text: str, pattern: str, context: int = 0) -> Column:
+    """Leftmost non-overlapping matches as array<struct<s int, e int, m string>>, in code points. text: SQL.
 
     The pieces between the matches give the positions, so that the work stays in two
-    passes of the regex engine.
+    passes of the regex engine. With `context`, l and r are that many characters before
+    and after the match, up to the neighbouring matches.
     """
-    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
-    empty = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
+    starts = running("transform(f.m, (x, i) -> length(x) + length(get(f.g, i)))", "0", "(a, y) -> a + y")
+    sides = f", 'l', right(get(f.g, i), {context}), 'r', left(get(f.g, i + 1), {context})" if context else ""
+    span = bound("get(p, i) + length(get(f.g, i))", "s", f"named_struct('s', s, 'e', s + length(x), 'm', x{sides})")
+    walk = f"case when size(f.m) = 0 then {no_spans(context)} else {bound(starts, 'p', f'transform(f.m, (x, i) -> {span})')} end"
+    return F.expr(bound(f"named_struct('m', regexp_extract_all({text}, {quoted(pattern)}, 0), 'g', split({text}, {quoted(pattern)}, -1))", "f", walk))
+
 
-    def walk(f: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            return let(
-                F.struct((acc["at"] + F.length(F.get(f["g"], i))).alias("s"), F.get(f["m"], i).alias("m")),
-                lambda x: F.struct(
-                    (x["s"] + F.length(x["m"])).alias("at"),
-                    F.concat(acc["out"], F.array(F.struct(x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"), x["m"].alias("m")))).alias("out"),
-                ),
-            )
+def apart(spans: str, others: str) -> Column:
+    """The spans, sorted and without overlaps among themselves, that overlap none of `others`, which may overlap. Both SQL."""
+    last = str((1 << 31) - 1)
+    marked = "array_sort(concat(transform(f.o, y -> named_struct('s', y.s, 'e', y.e, 'i', -1)), transform(f.x, (y, i) -> named_struct('s', y.s, 'e', y.e, 'i', i))))"
+    ended = running("transform(c, y -> if(y.i < 0, y.e, 0))", "0", "(a, y) -> greatest(a, y)")
+    begun = running(f"reverse(transform(c, y -> if(y.i < 0, y.s, {last})))", last, "(a, y) -> least(a, y)")
+    kept = "filter(c, (y, k) -> y.i >= 0 and get(n.a, k) <= y.s and get(n.b, k) >= y.e)"
+    free = bound(f"named_struct('a', {ended}, 'b', reverse({begun}))", "n", f"transform({kept}, y -> get(f.x, y.i))")
+    return F.expr(bound(f"named_struct('x', {spans}, 'o', {others})", "f", f"case when size(f.x) = 0 or size(f.o) = 0 then f.x else {bound(marked, 'c', free)} end"))
 
-        start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-        return F.when(F.size(f["m"]) == 0, empty).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(f["m"]) - 1), start, step, lambda acc: acc["out"]))
 
-    return let(found, walk)
+#: Characters of a text that one piece holds where it is cut at many places.
+CHUNK_CHARS = 1024
 
 
-def no_spans() -> Column:
-    return F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
+def replaced(text: str, spans: str, mark: str) -> Column:
+    """text with the (maybe overlapping) spans replaced by mark, overlapping ones by one. Both SQL.
+
+    The text is cut into chunks first, so that a span costs no walk over all before it.
+    """
+    n = CHUNK_CHARS
+
+    def cut(s: str, e: str) -> str:
+        piece = lambda i, lo, k: f"coalesce(substring(get(f.c, {i}), {lo}, {k}), '')"
+        whole = f"array_join(slice(f.c, q.s div {n} + 2, greatest(q.e div {n} - q.s div {n} - 1, 0)), '')"
+        apart = f"concat({piece(f'q.s div {n}', f'q.s % {n} + 1', n)}, {whole}, {piece(f'q.e div {n}', 1, f'q.e % {n}')})"
+        # div gives bigint, which array positions don't take.
+        apart, near = (x.replace(f"q.s div {n}", f"int(q.s div {n})").replace(f"q.e div {n}", f"int(q.e div {n})") for x in (apart, piece(f"q.s div {n}", f"q.s % {n} + 1", "q.e - q.s")))
+        return bound(f"named_struct('s', {s}, 'e', {e})", "q", f"case when q.s div {n} = q.e div {n} then {near} else {apart} end")
+
+    at = f"array_sort(transform({spans}, y -> named_struct('s', y.s, 'e', y.e)))"
+    ended = running("transform(f.x, y -> y.e)", "0", "(a, y) -> greatest(a, y)")
+    gaps = bound(ended, "p", f"transform(f.x, (y, i) -> case when y.s < get(p, i) then '' else concat({cut('get(p, i)', 'y.s')}, {quoted(mark)}) end)")
+    walk = f"concat(array_join({gaps}, ''), {cut('array_max(transform(f.x, y -> y.e))', 'length(f.t)')})"
+    pieces = f"regexp_extract_all({text}, {quoted('(?s).{1,%d}' % n)}, 0)"
+    return F.expr(f"case when size({spans}) = 0 then {text} else {bound(f"named_struct('x', {at}, 'c', {pieces}, 't', {text})", 'f', walk)} end")
+
+
+def no_spans(context: int = 0) -> str:
+    """SQL of an empty array of spans."""
+    return "cast(array() as array<struct<s:int,e:int,m:string" + (",l:string,r:string" if context else "") + ">>)"
 
 
 def written(spans: Column, kind: str) -> Column:

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm._common import let, materialize, no_spans, spans_of
+from quantloom.llm._common import apart, let, materialize, no_spans, replaced, spans_of
 
 # Fixed values of the base patterns; quantifiers are possessive or anchored where that changes no match.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]++"""
@@ -128,25 +128,26 @@ def bh_threshold(counts: dict[int, int], total: int, q: float) -> float:
     return best
 
 
-def scan(docs: DataFrame, text: str = "text", q: float = FDR, z: float = UNIFORM_Z) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", q: float = FDR, z: float = UNIFORM_Z, keep_text: bool = True) -> DataFrame:
     """docs with assign, access, hex and random: arrays of spans (s, e in code points, m).
 
-    Spans of one kind don't overlap; random spans overlap none of the others. Null texts
-    are empty. The table is written to the shared folder once, since the threshold needs
-    all candidates first. Repeated rows are scanned alike; input columns of these names
-    are replaced.
+    Spans of one kind don't overlap; random spans overlap none of the others. Null and
+    empty texts have none; the work on a long text is far from quadratic in its spans.
+    The table is written to the shared folder once, since the threshold needs all
+    candidates first, and without the text unless keep_text. Repeated rows are scanned
+    alike; input columns of these names (and _t, _tok, _cand) are replaced. Empty in,
+    empty out.
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    staged = docs.drop(*KINDS, "_t", "_cand").withColumn("_t", t)
+    staged = docs.withColumn("_t", t).drop(*KINDS, "_tok", "_cand")
     t = F.col("_t")
-    assign = F.when(t.contains("=") | t.contains(":"), F.filter(spans_of(t, ASSIGN), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN_VALUE, 1)) >= 6)).otherwise(no_spans())
-    access = F.when(t.contains("AKIA"), F.filter(spans_of(t, ACCESS), lambda x: F.length(x["m"]) >= 20)).otherwise(no_spans())
-    hexes = F.when(t.rlike(HEX), spans_of(t, HEX)).otherwise(no_spans())
-    staged = staged.withColumns({"assign": assign, "access": access, "hex": hexes, "_tok": F.when(t.rlike(TOKEN), spans_of(t, TOKEN)).otherwise(no_spans())})
-    base = F.concat("assign", "access", "hex")
-    free = F.filter("_tok", lambda x: ~F.exists(base, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
+    assign = F.when(t.contains("=") | t.contains(":"), F.filter(spans_of("_t", ASSIGN), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN_VALUE, 1)) >= 6)).otherwise(F.expr(no_spans()))
+    access = F.when(t.contains("AKIA"), F.filter(spans_of("_t", ACCESS), lambda x: F.length(x["m"]) >= 20)).otherwise(F.expr(no_spans()))
+    hexes = F.when(t.rlike(HEX), spans_of("_t", HEX)).otherwise(F.expr(no_spans()))
+    staged = staged.withColumns({"assign": assign, "access": access, "hex": hexes, "_tok": F.when(t.rlike(TOKEN), spans_of("_t", TOKEN)).otherwise(F.expr(no_spans()))})
+    free = apart("_tok", "concat(assign, access, hex)")
     staged = staged.withColumn("_cand", F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), battery(x["m"]).alias("b"))))
-    staged = materialize(staged.drop("_t", "_tok"), "scan")
+    staged = materialize(staged.drop("_t", "_tok", *([] if keep_text else [text])), "scan")
 
     p = F.col("x.b.p")
     bins = (
@@ -173,30 +174,25 @@ def _listed(kinds: tuple[str, ...]) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    out = scan(docs.select("doc_id", "text"))
+    out = scan(docs.select("doc_id", "text"), keep_text=False)
     n = lambda k: F.size(k).cast("long").alias(f"n_{k}")
     return out.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(_listed(KINDS[:3]), 256).alias("base_sha256"), _listed(KINDS).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with every found span, overlapping ones together, replaced by `mark`; all rows stay, null texts too."""
-    columns = docs.columns
-    out = scan(docs.withColumn("_own", F.struct(*[F.col(f"`{c}`") for c in columns])), text)
-    spans = F.array_sort(F.transform(F.concat(*KINDS), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
-    t = F.col("_own")[text]
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.when(x["s"] < acc["at"], F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark)).alias("out"))
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))),
-    )
-    new = F.when(F.size(spans) == 0, t).otherwise(done)
-    return out.select(*[(new if c == text else F.col("_own")[c]).alias(c) for c in columns])
+    """docs with every found span, overlapping ones together, replaced by `mark`.
+
+    All rows and columns stay, whatever their names; null texts stay null.
+    """
+    # Numbered names can't clash with those of the scan.
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    out = scan(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names[text])
+    new = replaced(names[text], f"concat({', '.join(KINDS)})", mark)
+    return out.select(*[(new if c == text else F.col(n)).alias(c) for c, n in names.items()])
 
 
 def stage(docs: DataFrame) -> DataFrame:
+    """redact(), with n_chars counted anew (null texts: null)."""
     return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
