@@ -5,7 +5,12 @@ A window is 13 consecutive words of a benchmark item. Each run of 13 words holds
 gram hash of every such run, so a shared window always leaves a shared fingerprint.
 Joined fingerprints are then extended word by word to both sides, and count only where
 the common span reaches 13 words: hashes propose, words decide. Items shorter than a
-window are joined on the hash of their first words and compared whole.
+window are found by hashes that grow word by word: a place goes on while some item begins
+with its words, and is joined where a whole item ends, then compared word by word.
+
+Both tests run inside the scan of the documents against a table of FILTER_BITS bits, the
+same at every size of the benchmark: it holds every fingerprint, and what it lets through
+by chance goes in the joins.
 """
 
 from __future__ import annotations
@@ -19,8 +24,10 @@ SPAN = 13
 GRAM = 6
 WINNOW = SPAN - GRAM + 1
 SIDE = SPAN - GRAM
-#: Up to so many distinct benchmark fingerprints are tested inside the scan as a literal set; beyond, they are joined.
-LITERAL_FINGERPRINTS = 20_000
+#: Bits of the table of benchmark fingerprints that the scan carries (1 MB); a fuller table only lets more through to the join.
+FILTER_BITS = 1 << 23
+#: What the growing hashes start from, and what ends one.
+SEED, END = 0, 1
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_HITS = "cast(array() as array<struct<p:int,h:bigint,l:array<string>,r:array<string>>>)"
@@ -45,18 +52,6 @@ def _gram_hashes(words: Column, k: int) -> Column:
     )
 
 
-def winnow(hashes: Column) -> Column:
-    """The distinct minima of all runs of WINNOW hashes; empty if there are fewer."""
-    return let(hashes, _winnow)
-
-
-def _winnow(hashes: Column) -> Column:
-    n = F.size(hashes)
-    return F.when(n < WINNOW, F.expr("cast(array() as array<bigint>)")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), n - WINNOW + 1), lambda i: F.array_min(F.slice(hashes, i, WINNOW))))
-    )
-
-
 def _around(words: Column, p: Column, left: int, gram: int, right: int) -> list[Column]:
     """Up to `left` words before position p, nearest first, and up to `right` words after the gram there."""
     return [
@@ -76,100 +71,122 @@ def winnow_places(hashes: Column) -> Column:
     return let(hashes, places)
 
 
-def _equal_to(hashes: Column, wanted: Column) -> Column:
-    """Positions whose hash is in the array `wanted`, which is short: matches of a benchmark."""
-    return F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: F.array_contains(wanted, F.get(hashes, i)))
-
-
 def _at(words: Column, hashes: Column, places: Column, gram: int, left: int, right: int) -> Column:
     """The positions with their hash and the words on both sides."""
     return F.transform(places, lambda p: F.struct(p.alias("p"), F.get(hashes, p).alias("h"), *_around(words, p, left, gram, right)))
 
 
-def _member(x: Column, values: list[int]) -> Column:
-    return x.isin(values) if values else F.lit(False)
+def bit_table(hashes: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """One row with `bits` bits as array<bigint>, in which the bit of every hash (column h) is set. bits: a power of two from 64."""
+    at = F.col("h").bitwiseAND(F.lit(bits - 1))
+    words = hashes.select(F.shiftright(at, 6).alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("w")).groupBy("i").agg(F.bit_or("w").alias("w"))
+    every = hashes.sparkSession.range(bits >> 6).withColumnRenamed("id", "i").join(words, "i", "left").select("i", F.coalesce("w", F.lit(0).cast("long")).alias("w"))
+    return every.agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("x")).select(F.transform("x", lambda x: x["w"]).alias("bits"))
+
+
+def _holds(table: Column, h: Column, bits: int) -> Column:
+    """Whether the bit of h is set."""
+    at = h.bitwiseAND(F.lit(bits - 1))
+    return F.call_function("getbit", F.get(table, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def _grown(words: Column, p: Column, n: int) -> Column:
+    """Hashes of the 1 to n words from p on, each made from the one before; nulls past the end."""
+    none = F.lit(None).cast("bigint")
+    step = lambda acc, j: let(F.get(words, p + j), lambda w: F.concat(acc, F.array(F.when(w.isNotNull(), F.xxhash64(F.coalesce(F.get(acc, j - 1), F.lit(SEED)), w)).otherwise(none))))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.expr("cast(array() as array<bigint>)"), step)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", literal_limit: int = LITERAL_FINGERPRINTS, keep_text: bool = True) -> tuple[DataFrame, DataFrame]:
+def _ended(h: Column) -> Column:
+    """The hash of a whole short item, told apart from that of a beginning."""
+    return F.xxhash64(h, F.lit(END))
+
+
+def _short_places(words: Column, table: Column, longest: int, bits: int) -> Column:
+    """Places (p, h, l: no words, r: the words there) where the table may hold a whole item of up to `longest` words."""
+    first = lambda w: F.xxhash64(F.lit(SEED).cast("bigint"), w)
+    begun = F.filter(F.transform(words, lambda w, p: F.when(_holds(table, first(w), bits), p)), lambda p: p.isNotNull())
+    none = F.expr("cast(array() as array<string>)")
+
+    def at(p: Column) -> Column:
+        whole = lambda h, j: F.when(h.isNotNull() & _holds(table, _ended(h), bits), F.struct(p.alias("p"), _ended(h).alias("h"), none.alias("l"), F.slice(words, p + 1, j + 1).alias("r")))
+        return F.filter(F.transform(_grown(words, p, longest), whole), lambda x: x.isNotNull())
+
+    return F.flatten(F.transform(begun, at))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", filter_bits: int = FILTER_BITS, keep_text: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, found): every row of docs with a row number _rid and n_words, and the extended hits.
 
     found has _rid, item (string), s and e: words s to e (exclusive) of the row are a
     common span of that item, of 13 words at least or the whole of a shorter item.
-    rows was written to the shared folder (discard() it after use), without the text unless keep_text. Null texts have no
-    words; empty tables give empty results; repeated rows each have their own _rid.
+    rows was written to the shared folder (discard() it after use), without the text unless
+    keep_text. Null texts have no words; empty tables give empty results; repeated rows each
+    have their own _rid; columns called _rid, _w, _h, _b and _hit are replaced.
     """
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), bench_words(F.col(item_text)).alias("w"))
+    items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item"), bench_words(F.col(f"`{item_text}`")).alias("w"))
     items = materialize(items.where(F.size("w") > 0), "items")
-    long_items, short_items = items.where(F.size("w") >= SPAN), items.where(F.size("w") < SPAN)
-    with_h = long_items.withColumn("h", gram_hashes(F.col("w"), GRAM))
     fingerprints = (
-        with_h.withColumn("keep", winnow_places(F.col("h")))
+        items.where(F.size("w") >= SPAN)
+        .withColumn("h", gram_hashes(F.col("w"), GRAM))
+        .withColumn("keep", winnow_places(F.col("h")))
         .select("item", F.explode(_at(F.col("w"), F.col("h"), F.col("keep"), GRAM, SIDE, SIDE)).alias("x"))
         .select("item", F.col("x.h").alias("h"), F.col("x.l").alias("il"), F.col("x.r").alias("ir"))
         .distinct()
     )
-    # The lengths of short items: twelve at most.
-    gram_short = short_items.agg(F.min(F.size("w"))).first()[0]
-    known = _literals(fingerprints.select("h"), literal_limit)
+    fingerprints = materialize(fingerprints, "fingerprints")
+    short = items.where(F.size("w") < SPAN).withColumn("hs", _grown(F.col("w"), F.lit(0), SPAN - 1)).select("item", "w", F.filter("hs", lambda x: x.isNotNull()).alias("hs"))
+    whole = short.select("item", _ended(F.element_at("hs", -1)).alias("h"), "w")
+    longest = items.where(F.size("w") < SPAN).agg(F.max(F.size("w"))).first()[0]
+    kept = [fingerprints.select("h"), *([short.select(F.explode("hs").alias("h")), whole.select("h")] if longest else [])]
+    for more in kept[1:]:
+        kept[0] = kept[0].unionByName(more)
+    table = bit_table(kept[0], filter_bits)
 
     rows = docs.withColumns({"_rid": F.monotonically_increasing_id(), "_w": bench_words(F.col(f"`{text}`"))})
-    rows = rows.withColumn("n_words", F.size("_w").cast("long"))
-    w = F.col("_w")
-    rows = rows.withColumn("_h", gram_hashes(w, GRAM))
-    if known is None:
-        places = winnow_places(F.col("_h"))
-    else:
-        rows = rows.withColumn("_m", F.filter(winnow(F.col("_h")), lambda x: _member(x, known)))
-        places = F.when(F.size("_m") > 0, _equal_to(F.col("_h"), F.col("_m"))).otherwise(F.expr("cast(array() as array<int>)"))
-    rows = rows.withColumn("_p", places)
-    rows = rows.withColumn("_hit", F.when(F.size("_p") > 0, _at(w, F.col("_h"), F.col("_p"), GRAM, SIDE, SIDE)).otherwise(F.expr(NO_HITS)))
-    short_hit = F.expr(NO_HITS)
-    first = None
-    if gram_short:
-        first = short_items.select("item", F.xxhash64(*[F.get("w", F.lit(j)) for j in range(gram_short)]).alias("h"), F.slice("w", gram_short + 1, SPAN).alias("ir"))
-        some = _literals(first.select("h"), literal_limit)
-        rows = rows.withColumn("_g", gram_hashes(w, gram_short))
-        every = F.sequence(F.lit(0), F.size("_g") - 1)
-        chosen = every if some is None else F.filter(every, lambda i: _member(F.get("_g", i), some))
-        short_hit = F.when(F.size("_g") > 0, _at(w, F.col("_g"), chosen, gram_short, 0, SPAN)).otherwise(F.expr(NO_HITS))
-    rows = rows.withColumn("_short", short_hit).drop("_w", "_h", "_m", "_p", "_g", *[] if keep_text else [text])
-    rows = materialize(rows, "rows")
+    rows = rows.withColumn("n_words", F.size("_w").cast("long")).withColumn("_h", gram_hashes(F.col("_w"), GRAM))
+    # The table reaches the lambdas as an argument; as a column of its own it would be copied with every row.
+    rows = rows.withColumn("_b", F.array(table.scalar()))
+
+    def marked(b: Column) -> Column:
+        places = F.filter(winnow_places(F.col("_h")), lambda p: _holds(b, F.get("_h", p), filter_bits))
+        none = F.expr(NO_HITS)
+        found = F.when(F.size("_h") > 0, _at(F.col("_w"), F.col("_h"), places, GRAM, SIDE, SIDE)).otherwise(none)
+        return F.struct(found.alias("hit"), (_short_places(F.col("_w"), b, longest, filter_bits) if longest else none).alias("short"))
 
+    rows = rows.withColumn("_hit", F.get(F.transform("_b", marked), F.lit(0))).drop("_w", "_h", "_b", *[] if keep_text else [text])
+    rows = materialize(rows, "rows")
     found = (
-        rows.where(F.size("_hit") > 0)
-        .select("_rid", F.explode("_hit").alias("x"))
+        rows.where(F.size("_hit.hit") > 0)
+        .select("_rid", F.explode("_hit.hit").alias("x"))
         .select("_rid", "x.*")
         .join(fingerprints, "h")
         .withColumns({"a": lcp(F.col("l"), F.col("il")), "b": lcp(F.col("r"), F.col("ir"))})
         .where(F.col("a") + F.col("b") + GRAM >= SPAN)
         .select("_rid", "item", (F.col("p") - F.col("a")).alias("s"), (F.col("p") + GRAM + F.col("b")).alias("e"))
     )
-    if first is not None:
+    if longest:
         found = found.unionByName(
-            rows.where(F.size("_short") > 0)
-            .select("_rid", F.explode("_short").alias("x"))
+            rows.where(F.size("_hit.short") > 0)
+            .select("_rid", F.explode("_hit.short").alias("x"))
             .select("_rid", "x.p", "x.h", "x.r")
-            .join(first, "h")
-            .where(lcp(F.col("r"), F.col("ir")) == F.size("ir"))
-            .select("_rid", "item", F.col("p").alias("s"), (F.col("p") + gram_short + F.size("ir")).alias("e"))
+            .join(whole, "h")
+            .where(F.col("r") == F.col("w"))
+            .select("_rid", "item", F.col("p").alias("s"), (F.col("p") + F.size("w")).alias("e"))
         )
     return rows, found
 
 
-def _literals(hashes: DataFrame, limit: int) -> list[int] | None:
-    """The distinct hashes if there are `limit` at most, else None; limit + 1 values leave the executors at most."""
-    got = [r[0] for r in hashes.distinct().limit(limit + 1).collect()]
-    return got if len(got) <= limit else None
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", literal_limit: int = LITERAL_FINGERPRINTS, keep_text: bool = True) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", filter_bits: int = FILTER_BITS, keep_text: bool = True) -> DataFrame:
     """docs with n_words, n_hit, n_items, items (sorted array of strings) and contaminated.
 
     A word is hit inside any occurrence of a window; a row is contaminated if
-    20 * n_hit >= n_words and n_hit > 0. Input columns of these names are replaced.
+    20 * n_hit >= n_words and n_hit > 0. Input columns of these names are replaced. Null
+    and empty texts have no words and no hit, very long ones are searched whole, repeated
+    rows are judged alike; an empty benchmark hits nothing.
     """
     docs = docs.drop("n_words", "n_hit", "n_items", "items", "contaminated")
-    rows, found = hits(docs, benchmark, text, item_text, item_id, literal_limit, keep_text)
+    rows, found = hits(docs, benchmark, text, item_text, item_id, filter_bits, keep_text)
     by = found.groupBy("_rid", "s").agg(F.max("e").alias("e"))
     # The union of intervals: what each adds beyond the furthest end before it.
     spans = by.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("x"))
@@ -182,7 +199,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     items = found.groupBy("_rid").agg(F.sort_array(F.collect_set("item")).alias("items"))
     marked = spans.select("_rid", union.alias("n_hit")).join(items, "_rid")
     none = F.expr("cast(array() as array<string>)")
-    out = rows.drop("_hit", "_short").join(marked, "_rid", "left").drop("_rid")
+    out = rows.drop("_hit").join(marked, "_rid", "left").drop("_rid")
     return out.withColumns(
         {
             "n_hit": F.coalesce("n_hit", F.lit(0).cast("long")),
@@ -197,11 +214,11 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated."""
+    """The rows of docs that are not contaminated; null and empty texts have no words and stay, repeated rows are judged alike."""
     return contamination(docs, benchmark).where(~F.col("contaminated")).select(*docs.columns)
 
 
-__all__ = ["bench_words", "contamination", "digest", "discard", "gram_hashes", "hits", "let", "stage", "winnow"]
+__all__ = ["bench_words", "bit_table", "contamination", "digest", "discard", "gram_hashes", "hits", "stage", "winnow_places"]
 
 #: The same as digest() for DuckDB: every window of both sides, joined as text.
 SQL = r"""
