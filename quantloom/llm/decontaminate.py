@@ -52,6 +52,16 @@ def _gram_hashes(words: Column, k: int) -> Column:
     )
 
 
+def winnow(hashes: Column) -> Column:
+    """The distinct minima of all runs of WINNOW hashes; empty if there are fewer."""
+
+    def minima(h: Column) -> Column:
+        n = F.size(h)
+        return F.when(n < WINNOW, F.expr("cast(array() as array<bigint>)")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n - WINNOW + 1), lambda i: F.array_min(F.slice(h, i, WINNOW)))))
+
+    return let(hashes, minima)
+
+
 def _around(words: Column, p: Column, left: int, gram: int, right: int) -> list[Column]:
     """Up to `left` words before position p, nearest first, and up to `right` words after the gram there."""
     return [
@@ -87,7 +97,7 @@ def bit_table(hashes: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
 def _holds(table: Column, h: Column, bits: int) -> Column:
     """Whether the bit of h is set."""
     at = h.bitwiseAND(F.lit(bits - 1))
-    return F.call_function("getbit", F.get(table, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return F.get(table, F.shiftright(at, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))) != 0
 
 
 def _grown(words: Column, p: Column, n: int) -> Column:
@@ -149,9 +159,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: s
     rows = rows.withColumn("_b", F.array(table.scalar()))
 
     def marked(b: Column) -> Column:
+        # Places are looked for only where a minimum passes.
         places = F.filter(winnow_places(F.col("_h")), lambda p: _holds(b, F.get("_h", p), filter_bits))
         none = F.expr(NO_HITS)
-        found = F.when(F.size("_h") > 0, _at(F.col("_w"), F.col("_h"), places, GRAM, SIDE, SIDE)).otherwise(none)
+        found = F.when(F.exists(winnow(F.col("_h")), lambda h: _holds(b, h, filter_bits)), _at(F.col("_w"), F.col("_h"), places, GRAM, SIDE, SIDE)).otherwise(none)
         return F.struct(found.alias("hit"), (_short_places(F.col("_w"), b, longest, filter_bits) if longest else none).alias("short"))
 
     rows = rows.withColumn("_hit", F.get(F.transform("_b", marked), F.lit(0))).drop("_w", "_h", "_b", *[] if keep_text else [text])
