@@ -1,29 +1,40 @@
 """SimHash near-duplicates with pivot distance tables.
 
 Fingerprints of 64 bits come from word 3-shingles. Only distinct fingerprints are
-compared, so exact copies cost nothing. Every fingerprint has a row of Hamming distances
-to ``PIVOTS`` reference fingerprints; by the triangle inequality two fingerprints within
-``RADIUS`` bits differ by RADIUS at most in every coordinate, so a larger coordinate
-difference discards a pair before its bits are compared.
-
-Pairs to look at come from cells: the bits are cut into six blocks, of which three at
-least agree when three bits differ, so each fingerprint enters the 20 cells of three
-blocks. Inside a cell links are found as a search tree: from each fingerprint to those not
-reached yet, so a cell emits fewer links than it has members and a dense group isn't
-compared pair by pair. Cells over ``CHUNK`` members are cut into chunks, each pair of
-chunks a unit of work of its own: nothing is capped and no task holds a whole hot cell.
-Links become components by alternating large-star and small-star steps on tables in the
-shared folder.
+compared, so exact copies cost nothing. Every distinct fingerprint gets its row of the
+pivot table once: the Hamming distances to REFERENCES reference fingerprints, a column of
+bytes. By the triangle inequality two fingerprints within RADIUS bits differ by RADIUS at
+most in every coordinate, so a larger coordinate difference discards a pair before its
+bits are compared.
+
+Independent references alone leave too many pairs to look at: one within-3 test keeps
+about half of all pairs, and a grid over k coordinates needs about 2.5^k copies of a row
+for 2k bits of key. So references come in 16 families of five: a random one and four that
+differ from it in one position each. The difference of two coordinates of a family depends
+on that position alone, so the table tells where two fingerprints can agree. Positions are
+cut into six blocks, of which three at least agree when three bits differ; candidates are
+those whose relative coordinates are equal in three of the six blocks (a cell, 20 for each
+fingerprint). Survivors of the coordinate test are verified bit by bit.
+
+Inside a cell links are found as a search tree: from each fingerprint to those not reached
+yet, so a cell emits fewer links than it has members. A cell over ``CHUNK`` members is
+dealt again on the positions that it leaves open, 20 finer cells for each member; after
+three such steps nine positions at most are open, so a cell has 512 members at most.
+Nothing is capped, no task holds a hot cell and a hot group costs a fixed number of copies
+of each member. Links become components by alternating large-star and small-star steps on
+tables in the shared folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm._common import discard, materialize
@@ -31,9 +42,12 @@ from quantloom.llm._common import discard, materialize
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-PIVOTS = 16
+FAMILIES, POSITIONS = 16, 64
+REFERENCES = FAMILIES + POSITIONS
+#: Members that are searched as one group; a larger cell is dealt again.
 CHUNK = 4096
-BLOCKS = (11, 11, 11, 11, 10, 10)
+#: Blocks that positions are cut into, how many of them a cell fixes, and how often cells can be dealt again.
+BLOCKS, FIXED, LEVELS = 6, 3, 3
 
 
 def fingerprint(text: str | None) -> int:
@@ -64,14 +78,33 @@ def with_fingerprint(docs: DataFrame, text: str = "text", column: str = "fp") ->
     return docs.withColumn(column, simhash(F.col(f"`{text}`")))
 
 
-def pivots(n: int = PIVOTS) -> np.ndarray:
-    """Reference fingerprints: n fixed random ones."""
-    return np.random.default_rng(SEED).integers(0, 1 << 64, n, dtype=np.uint64)
+def references() -> np.ndarray:
+    """The reference fingerprints: FAMILIES random ones, then for each position its family's one with that bit changed."""
+    bases = np.random.default_rng(SEED).integers(0, 1 << 64, FAMILIES, dtype=np.uint64)
+    bits = np.arange(POSITIONS, dtype=np.uint64)
+    return np.concatenate((bases, bases[_family()] ^ (np.uint64(1) << bits)))
+
+
+def _family() -> np.ndarray:
+    return np.arange(POSITIONS) // (POSITIONS // FAMILIES)
 
 
 def pivot_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
     """Hamming distances of each fingerprint to each reference, one row for a fingerprint."""
-    return np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int16)
+    return np.bitwise_count(fps[:, None] ^ refs[None, :])
+
+
+def with_pivots(fps: DataFrame) -> DataFrame:
+    """fps with its row of the pivot table as binary `pivots`, a byte for each reference."""
+
+    @F.pandas_udf("binary")
+    def distances(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        refs = references()
+        for fp in batches:
+            table = np.ascontiguousarray(pivot_table(fp.to_numpy().view(np.uint64), refs))
+            yield pd.Series([row.tobytes() for row in table], dtype=object)
+
+    return fps.withColumn("pivots", distances("fp"))
 
 
 def linked(fps: np.ndarray, table: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -105,70 +138,102 @@ def linked(fps: np.ndarray, table: np.ndarray, radius: int = RADIUS) -> tuple[np
     return (np.concatenate(a) if a else none), (np.concatenate(b) if b else none)
 
 
-def _cells(fp: Column) -> Column:
-    """The 20 (block choice, kept bits) of a fingerprint."""
-    masks, at = [], 0
-    for n in BLOCKS:
-        masks.append(((1 << n) - 1) << at)
-        at += n
-    out = []
-    for i, chosen in enumerate(combinations(masks, 3)):
-        mask = sum(chosen)
-        out.append(F.struct(F.lit(i).cast("tinyint").alias("t"), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("key")))
-    return F.explode(F.array(*out))
+@cache
+def _ways(way: int, level: int) -> list[tuple[int, ...]]:
+    """The positions that the cells of a level fix, one tuple for each way of choosing blocks; `way` chose those of the level before."""
+    fixed: tuple[int, ...] = ()
+    choices = list(combinations(range(BLOCKS), FIXED))
+    path = []
+    for _ in range(level - 1):
+        way, choice = divmod(way, len(choices))
+        path.append(choice)
 
+    def chosen(fixed: tuple[int, ...], choice: int) -> tuple[int, ...]:
+        blocks = np.array_split([x for x in range(POSITIONS) if x not in fixed], BLOCKS)
+        return tuple(sorted({*fixed, *(int(x) for k in choices[choice] for x in blocks[k])}))
 
-def links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """(u, v) with u > v: links that join exactly the distinct fingerprints (column fp) within `radius` bits."""
-    if radius > 3:
-        raise ValueError("three of six blocks agree up to a radius of 3")
-    cells = fps.select("fp", _cells(F.col("fp")).alias("x")).select("fp", "x.*")
-    sizes = cells.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    n_chunks = F.ceil(F.col("n") / chunk).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.greatest(F.col("k") - 1, F.lit(0))))
-    units = (
-        cells.join(sizes, ["t", "key"])
-        .withColumn("k", n_chunks)
-        .select("t", "key", "fp", "k", mine.alias("c"), other.alias("o"))
-        # Two chunks meet in the unit (smaller, larger), which holds the links inside each of them too.
-        .where((F.col("c") != F.col("o")) | (F.col("k") == 1))
-        .select("t", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp")
-    )
-    unit = ["t", "key", "i", "j"]
+    for choice in reversed(path):
+        fixed = chosen(fixed, choice)
+    return [chosen(fixed, choice) for choice in range(len(choices))]
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        refs, rest = pivots(), None
-
-        def emit(frame: pd.DataFrame) -> pd.DataFrame:
-            # Most units have two members: those are compared at once, the others one by one.
-            fp = frame["fp"].to_numpy().view(np.uint64)
-            table = pivot_table(fp, refs)
-            cut = np.flatnonzero(np.concatenate(([True], (frame[unit].to_numpy()[1:] != frame[unit].to_numpy()[:-1]).any(axis=1))))
-            ends = np.append(cut[1:], len(fp))
-            two = cut[ends - cut == 2]
-            two = two[(np.abs(table[two] - table[two + 1]) <= radius).all(axis=1)]
-            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
-            us, vs = [two], [two + 1]
-            for s, e in zip(cut[ends - cut > 2], ends[ends - cut > 2], strict=True):
-                a, b = linked(fp[s:e], table[s:e], radius)
-                us.append(a + s)
-                vs.append(b + s)
-            signed = frame["fp"].to_numpy()
-            u, v = signed[np.concatenate(us)], signed[np.concatenate(vs)]
-            return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
 
+def cells(rows: DataFrame, level: int) -> DataFrame:
+    """(way, cell, fp): the cells of rows (way, fp, pivots) of the level before, by equal relative coordinates."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Fixed odd multipliers: the cell is a hash of the relative coordinates, and of the way they were chosen.
+        odd = np.random.default_rng(SEED + 1).integers(0, 1 << 63, POSITIONS + 1, dtype=np.int64) * 2 + 1
+        for batch in batches:
+            n = batch.num_rows
+            table = np.frombuffer(b"".join(batch.column("pivots").to_pylist()), np.uint8).reshape(n, REFERENCES).astype(np.int64)
+            relative = (table[:, FAMILIES:] - table[:, _family()]) * odd[:POSITIONS]
+            fp, before = batch.column("fp").to_numpy(), batch.column("way").to_numpy()
+            for way in np.unique(before).tolist():
+                own = before == way
+                chosen = _ways(way, level)
+                keys = [relative[own][:, list(x)].sum(axis=1) + (way * len(chosen) + i) * odd[-1] for i, x in enumerate(chosen)]
+                m = int(own.sum())
+                names = np.repeat(np.arange(len(chosen), dtype=np.int32) + way * len(chosen), m)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate(keys)), pa.array(np.tile(fp[own], len(chosen)))], ["way", "cell", "fp"])
+
+    return rows.select("way", "fp", "pivots").mapInArrow(deal, "way int, cell long, fp long")
+
+
+def _search(radius: int):
+    """Links of whole cells in rows (cell, fp, far), sorted by cell; far: the coordinates of the independent references."""
+
+    def emit(frame: pd.DataFrame) -> pd.DataFrame:
+        # Most cells have two members: those are compared at once, the others one by one.
+        cell, signed = frame["cell"].to_numpy(), frame["fp"].to_numpy()
+        fp = signed.view(np.uint64)
+        table = np.frombuffer(b"".join(frame["far"]), np.uint8).reshape(len(fp), FAMILIES).astype(np.int16)
+        cut = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        ends = np.append(cut[1:], len(fp))
+        two = cut[ends - cut == 2]
+        two = two[np.abs(table[two] - table[two + 1]).max(axis=1) <= radius]
+        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
+        us, vs = [two], [two + 1]
+        for s, e in zip(cut[ends - cut > 2], ends[ends - cut > 2], strict=True):
+            a, b = linked(fp[s:e], table[s:e], radius)
+            us.append(a + s)
+            vs.append(b + s)
+        u, v = signed[np.concatenate(us)], signed[np.concatenate(vs)]
+        return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
         for batch in batches:
             frame = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            last = (frame[unit] != frame[unit].iloc[-1]).any(axis=1).to_numpy()
-            whole = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+            last = np.flatnonzero((frame["cell"] != frame["cell"].iloc[-1]).to_numpy()) if len(frame) else []
+            whole = int(last[-1]) + 1 if len(last) else 0
             rest = frame.iloc[whole:].reset_index(drop=True)
             if whole:
-                yield emit(frame.iloc[:whole].reset_index(drop=True))
+                yield emit(frame.iloc[:whole])
         if rest is not None and len(rest):
             yield emit(rest)
 
-    return units.repartition(*unit).sortWithinPartitions(*unit, "fp").mapInPandas(search, "u long, v long").distinct()
+    return search
+
+
+def links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """(u, v) with u > v: links that join exactly the distinct fingerprints (fp, pivots) within `radius` bits."""
+    if radius > BLOCKS - FIXED:
+        raise ValueError("three of six blocks agree up to a radius of 3")
+    rows = fps.select(F.lit(0).alias("way"), "fp", "pivots")
+    found = None
+    for level in range(1, LEVELS + 1):
+        dealt = materialize(cells(rows, level), "cells")
+        sizes = dealt.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+        shared = materialize(dealt.join(sizes, "cell"), "shared")
+        discard(dealt)
+        small = shared if level == LEVELS else shared.where(F.col("n") <= chunk)
+        far = fps.select("fp", F.substring("pivots", 1, FAMILIES).alias("far"))
+        one = small.select("cell", "fp").join(far, "fp").select("cell", "fp", "far").repartition("cell").sortWithinPartitions("cell", "fp").mapInPandas(_search(radius), "u long, v long")
+        found = one if found is None else found.unionByName(one)
+        hot = shared.where(F.col("n") > chunk)
+        if level == LEVELS or hot.isEmpty():
+            return found.distinct()
+        rows = hot.select("way", "fp").join(fps.select("fp", "pivots"), "fp")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -198,7 +263,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _rooted(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, low, root) of distinct fingerprints (fp, low): root is the smallest fingerprint of the component."""
+    """(fp, low, root) of distinct fingerprints (fp, low, pivots): root is the smallest fingerprint of the component."""
     roots = components(links(fps, radius))
     return fps.join(roots, fps.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
 
@@ -212,7 +277,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     own = with_fingerprint(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_t")), "_t").select("doc_id", "fp")
     own = materialize(own, "fingerprints")
-    fps = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+    fps = materialize(with_pivots(own.groupBy("fp").agg(F.min("doc_id").alias("low"))), "distinct")
     rooted = _rooted(fps, radius)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     labels = rooted.join(lowest, "root").select("fp", "component_id")
@@ -233,6 +298,6 @@ def stage(docs: DataFrame) -> DataFrame:
     key = ["_key64", "_key32"]
     marked = docs.withColumns({"_key64": F.xxhash64("doc_id", "text"), "_key32": F.hash("doc_id", "text")})
     own = with_fingerprint(marked.select("doc_id", "text", *key)).drop("text")
-    fps = materialize(own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *key)).alias("low")), "distinct")
+    fps = materialize(own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *key)).alias("low")).transform(with_pivots), "distinct")
     kept = _rooted(fps).groupBy("root").agg(F.min("low").alias("low")).select("low._key64", "low._key32").distinct()
     return marked.dropDuplicates(key).join(kept, key).select(*docs.columns)
