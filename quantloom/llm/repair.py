@@ -1,82 +1,196 @@
-"""Token ids in binary shards, compressed with Re-Pair grammars.
+"""Token ids in binary files, compressed with Re-Pair grammars.
 
-Documents are dealt by doc_id into shards, encoded, and each shard becomes one blob:
+Documents are dealt by doc_id into shards, encoded, and each shard becomes one blob; a file
+holds up to SHARDS_A_FILE of them, each followed by a line feed:
 
-    magic "RPG1" | version u16 | width u16 | documents u32 | rules u32 | symbols u64
+    magic "RPG2" | part u32 | shard u32 | first u64 | ids u64 | documents u32 | rules u32
+    symbols u64 | base u32 | names u32 | width u8
+    names             the documents' ids as a JSON list of strings and nulls, `names` bytes
     documents x u64   end of each document in ids, its end id included
     rules x 2 x u32   the pair that a nonterminal stands for
     rules x u32       how many ids the nonterminal expands to
-    symbols x width   the sequence: below `base` an id, else nonterminal number - base
-
-All integers are little-endian; `base` (u32) follows the header. In every round the most
-frequent pairs of the sequence are replaced by nonterminals, without overlap and from the
-left; rounds go on while they pay. The expansion lengths find any position without
-decoding what lies before it. Blobs are rows of a Parquet table in the shared folder, so
-that any store that Spark writes will do; read_ids() and decode_range() read them back.
+    samples x u64     how many ids every SAMPLE-th symbol has before it
+    symbols x u16     the low halves of the sequence: below `base` an id, else base + rule
+    (width - 16) x packed bits of the sequence, the lowest first
+
+All integers are little-endian. `first` counts the ids of the part before the shard. The
+most frequent pairs of the sequence are replaced by nonterminals, without overlap, round
+after round until no pair is left that LEAST places could take: a rule costs 12 bytes, so
+fewer places of 16 bits and more don't pay. Each round counts pairs exactly, and only where
+the last one changed something. Expansion lengths and samples find any position without
+decoding what lies before it.
+
+Spark writes the files, so that any store will do that it can write, and reads them whole.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm._common import materialize
+from quantloom.llm._common import _MADE, new_path
 from quantloom.llm.tokens import Encoder, default_tokenizer
 
-MAGIC = b"RPG1"
-HEADER = struct.Struct("<4sHHIIQI")
+MAGIC = b"RPG2"
+HEADER = struct.Struct("<4sIIQQIIQIIB")
 END_ID = 2
 #: Characters that a shard holds, about; a longer document is a shard of its own.
 SHARD_CHARS = 4_000_000
-ROUNDS, RULES, LEAST = 3, 4000, 8
-_HASH_BITS = 17
+SHARDS_A_FILE = 8
+#: Places that a pair must have for a rule to pay.
+LEAST = 8
+SAMPLE = 1024
+_SLOT_BITS = 18
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> bytes:
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, names: list[str | None] | None = None, part: int = 0, shard: int = 0, first: int = 0) -> bytes:
     """The blob of a shard. ids: all ids under `base`; ends: where each document ends in them."""
-    # Symbols of 16 bits make pairs of 32; a larger vocabulary takes twice that.
-    wide = base + ROUNDS * RULES > 1 << 16
-    half, pair = (32, np.uint64) if wide else (16, np.uint32)
-    odd = pair(0x9E3779B97F4A7C15 if wide else 0x9E3779B1)
-    seq, pairs = ids.astype(pair), []
-    for _ in range(ROUNDS):
-        if len(seq) < 2 * LEAST:
-            break
-        codes = (seq[:-1] << pair(half)) | seq[1:]
-        slot = ((codes * odd) >> pair(2 * half - _HASH_BITS)).astype(np.intp)
-        # One pair for each slot: the last that fell into it. Others wait for a later round.
-        owner = np.zeros(1 << _HASH_BITS, pair)
-        owner[slot] = codes
-        same = owner[slot] == codes
-        count = np.bincount(slot[same], minlength=1 << _HASH_BITS)
-        top = np.argsort(-count, kind="stable")[:RULES]
-        top = top[count[top] >= LEAST]
-        if not len(top):
+    seq, pairs = grammar(ids, base, least)
+    lengths = _expansions(pairs, base)
+    width = max(16, int(base + len(pairs) - 1).bit_length())
+    sizes = np.where(seq >= base, lengths[np.maximum(seq.astype(np.int64) - base, 0)] if len(pairs) else 1, 1)
+    samples = np.concatenate(([0], np.cumsum(sizes)))[:-1][::SAMPLE] if len(seq) else np.zeros(0)
+    named = json.dumps(names if names is not None else [None] * len(ends), ensure_ascii=False).encode("utf-8", "surrogatepass")
+    head = HEADER.pack(MAGIC, part, shard, first, len(ids), len(ends), len(pairs), len(seq), base, len(named), width)
+    planes = [np.packbits(((seq >> b) & 1).astype(np.uint8), bitorder="little").tobytes() for b in range(16, width)]
+    return b"".join([head, named, ends.astype("<u8").tobytes(), pairs.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), samples.astype("<u8").tobytes(), (seq & 0xFFFF).astype("<u2").tobytes(), *planes])
+
+
+def grammar(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, pairs): ids with pairs replaced until none has `least` places that don't overlap."""
+    seq = ids.astype(np.uint32)
+    pairs = [np.zeros((0, 2), np.uint32)]
+    n_rules = 0
+    # Places whose pair the last round may have brought about; at first all.
+    look = np.arange(max(len(seq) - 1, 0))
+    while len(look) >= least:
+        codes = (seq[look].astype(np.uint64) << np.uint64(32)) | seq[look + 1]
+        frequent, counts = _frequent(codes, least)
+        if not len(frequent):
             break
-        name = np.zeros(1 << _HASH_BITS, pair)  # no pair stands for symbol 0
-        name[top] = base + len(pairs) + np.arange(len(top))
-        new = name[slot]
-        new[~same] = 0
-        at = np.flatnonzero(new)
-        # Of runs of adjacent matches every other one is taken.
-        first = np.concatenate(([True], np.diff(at) != 1))
-        run_start = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run_start) % 2 == 0]
-        pairs += [(int(c) >> half, int(c) & ((1 << half) - 1)) for c in owner[top]]
-        seq[at] = new[at]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = seq[keep]
-    lengths = _expansions(np.array(pairs, np.int64).reshape(-1, 2), base)
-    width = 2 if base + len(pairs) <= 1 << 16 else 4
-    head = HEADER.pack(MAGIC, 1, width, len(ends), len(pairs), len(seq), base)
-    return b"".join([head, ends.astype("<u8").tobytes(), np.array(pairs, "<u4").tobytes(), lengths.astype("<u4").tobytes(), seq.astype(f"<u{width}").tobytes()])
+        rank = np.empty(len(frequent), np.int64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(frequent))
+        which = _lookup(codes, frequent)
+        at, order = look[which >= 0], rank[which[which >= 0]]
+        chosen = _without_overlap(at, order)
+        at, order = at[chosen], order[chosen]
+        # Pairs whose places others took go without a rule; they may come again.
+        used = np.bincount(order, minlength=len(frequent))
+        real = used >= least
+        if not real.any():
+            # Each pair alone still has places enough: the most frequent one goes first.
+            best = int(np.flatnonzero(rank == 0)[0])
+            at = look[which == best]
+            at = at[_without_overlap(at, np.zeros(len(at), np.int64))]
+            if len(at) < least:
+                # Runs of one symbol count twice what can be replaced; without this pair go on.
+                look = look[which != best]
+                continue
+            order, real = np.zeros(len(at), np.int64), np.zeros(len(frequent), bool)
+            real[0] = True
+        keep = real[order]
+        at, order = at[keep], order[keep]
+        by_rank = np.empty(len(frequent), np.uint64)
+        by_rank[rank] = frequent
+        new = by_rank[real]
+        pairs.append(np.stack((new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)), axis=1).astype(np.uint32))
+        number = np.cumsum(real) - 1 + base + n_rules
+        n_rules += len(new)
+        seq[at] = number[order]
+        gone = at + 1
+        # The new symbols' places and those before them; pairs that are frequent still come again.
+        before = at - 1
+        before = np.where(_among(before, gone), before - 1, before)
+        look = np.sort(np.concatenate((look[which >= 0], at, before[before >= 0])))
+        look = look[np.concatenate(([True], look[1:] != look[:-1]))]
+        passed = np.searchsorted(gone, look)
+        look = (look - passed)[gone[np.minimum(passed, len(gone) - 1)] != look]
+        seq = _without(seq, gone)
+        look = look[look < len(seq) - 1]
+    return seq, np.concatenate(pairs)
+
+
+def _among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each value is in the ascending table, which isn't empty."""
+    return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
+
+
+def _without(seq: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """seq without the ascending places; few are cut out by slices."""
+    if len(gone) > 2000:
+        left = np.ones(len(seq), bool)
+        left[gone] = False
+        return seq[left]
+    return np.concatenate([seq[a:b] for a, b in zip([0, *(gone + 1).tolist()], [*gone.tolist(), len(seq)], strict=True)])
+
+
+def _frequent(codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes that occur `least` times or more, ascending, and how often. Rare slots of a hash leave the sort."""
+    slot = _slots(codes, 0)
+    often = np.bincount(slot, minlength=1 << _SLOT_BITS) >= least
+    some = np.sort(codes[often[slot]])
+    if not len(some):
+        return some, some
+    starts = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
+    counts = np.diff(np.append(starts, len(some)))
+    return some[starts][counts >= least], counts[counts >= least]
+
+
+def _slots(codes: np.ndarray, k: int) -> np.ndarray:
+    odd = np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)[k])
+    return ((codes * odd) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
+def _lookup(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The position of each code in the ascending table, -1 where it isn't there."""
+    slot = _slots(codes, 1)
+    owner = np.full(1 << _SLOT_BITS, -1, np.int64)
+    own = _slots(table, 1)
+    owner[own] = np.arange(len(table))
+    out = owner[slot]
+    hit = out >= 0
+    hit[hit] = table[out[hit]] == codes[hit]
+    out[~hit] = -1
+    # Codes of the table that share a slot with a later one are searched for.
+    lost = np.zeros(1 << _SLOT_BITS, bool)
+    lost[own[owner[own] != np.arange(len(table))]] = True
+    rest = np.flatnonzero(~hit & lost[slot])
+    place = np.minimum(np.searchsorted(table, codes[rest]), len(table) - 1)
+    out[rest] = np.where(table[place] == codes[rest], place, -1)
+    return out
+
+
+def _without_overlap(at: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Which of the ascending places to take: of neighbours the one of lower order, of equal ones every other."""
+    open_ = np.ones(len(at), bool)
+    taken = np.zeros(len(at), bool)
+    while len(i := np.flatnonzero(open_)):
+        p, o = at[i], order[i]
+        touch = np.diff(p) == 1
+        # A chain is cut where the order falls or rises; inside a run of one order every other place is taken.
+        lower = np.concatenate(([False], touch & (o[:-1] < o[1:])))
+        higher = np.concatenate((touch & (o[1:] < o[:-1]), [False]))
+        same = np.concatenate(([False], touch & (o[:-1] == o[1:])))
+        start = np.maximum.accumulate(np.where(~same, np.arange(len(i)), 0))
+        # A run gives way if a neighbour of lower order touches either of its ends.
+        ends = np.append(np.flatnonzero(~same)[1:], len(i)) - 1
+        beaten = lower[np.flatnonzero(~same)] | higher[ends]
+        run = np.cumsum(~same) - 1
+        win = ~beaten[run] & ((np.arange(len(i)) - start) % 2 == 0)
+        taken[i[win]] = True
+        gone = np.zeros(len(i), bool)
+        gone[win] = True
+        gone[1:] |= win[:-1] & touch
+        gone[:-1] |= win[1:] & touch
+        open_[i[gone]] = False
+    return taken
 
 
 def _expansions(pairs: np.ndarray, base: int) -> np.ndarray:
@@ -87,22 +201,45 @@ def _expansions(pairs: np.ndarray, base: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _parse(blob: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    magic, version, width, docs, rules, symbols, base = HEADER.unpack_from(blob)
-    if magic != MAGIC or version != 1:
-        raise ValueError("not a shard of this format")
-    at = HEADER.size
-    ends = np.frombuffer(blob, "<u8", docs, at)
-    at += 8 * docs
-    pairs = np.frombuffer(blob, "<u4", 2 * rules, at).reshape(-1, 2).astype(np.int64)
-    at += 8 * rules
-    lengths = np.frombuffer(blob, "<u4", rules, at).astype(np.int64)
-    return base, ends, pairs, lengths, np.frombuffer(blob, f"<u{width}", symbols, at + 4 * rules)
+class Shard:
+    """A parsed blob."""
+
+    def __init__(self, blob: bytes, at: int = 0) -> None:
+        magic, self.part, self.shard, self.first, self.ids, docs, rules, self.symbols, self.base, named, self.width = HEADER.unpack_from(blob, at)
+        if magic != MAGIC:
+            raise ValueError("not a shard of this format")
+        self.blob = blob
+        at += HEADER.size
+        self.named = (at, at + named)
+        at += named
+        self.ends = np.frombuffer(blob, "<u8", docs, at).astype(np.int64)
+        at += 8 * docs
+        self.pairs = np.frombuffer(blob, "<u4", 2 * rules, at).reshape(-1, 2)
+        at += 8 * rules
+        self.lengths = np.frombuffer(blob, "<u4", rules, at).astype(np.int64)
+        at += 4 * rules
+        n = -(-self.symbols // SAMPLE)
+        self.samples = np.frombuffer(blob, "<u8", n, at).astype(np.int64)
+        self.at = at + 8 * n
+        #: Where the next blob of the file begins: after the planes of high bits and a line feed.
+        self.end = self.at + 2 * self.symbols + (self.width - 16) * -(-self.symbols // 8) + 1
+
+    def names(self) -> list[str | None]:
+        return json.loads(self.blob[slice(*self.named)].decode("utf-8", "surrogatepass"))
+
+    def sequence(self, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """Symbols lo to hi; lo is a multiple of 8."""
+        hi = self.symbols if hi is None else min(hi, self.symbols)
+        out = np.frombuffer(self.blob, "<u2", hi - lo, self.at + 2 * lo).astype(np.uint32)
+        plane = -(-self.symbols // 8)
+        for k in range(self.width - 16):
+            bits = np.frombuffer(self.blob, np.uint8, -(-hi // 8) - lo // 8, self.at + 2 * self.symbols + k * plane + lo // 8)
+            out |= np.unpackbits(bits, bitorder="little")[: hi - lo].astype(np.uint32) << np.uint32(16 + k)
+        return out
 
 
 def _expand(seq: np.ndarray, pairs: np.ndarray, base: int) -> np.ndarray:
     """All nonterminals of seq written out; one pass for each level of nesting."""
-    seq = seq.astype(np.uint32)
     # The first and second half of every symbol; one that isn't a rule is its own first half.
     left = np.concatenate((np.arange(base), pairs[:, 0])).astype(np.uint32)
     right = pairs[:, 1].astype(np.uint32)
@@ -119,90 +256,121 @@ def _expand(seq: np.ndarray, pairs: np.ndarray, base: int) -> np.ndarray:
         seq = out
 
 
-def decode(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, ends) of a shard."""
-    base, ends, pairs, _, seq = _parse(blob)
-    return _expand(seq, pairs, base).astype("<u4", copy=False), ends.astype(np.int64)
+def decode(blob: bytes, at: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ends) of the shard at an offset."""
+    s = Shard(blob, at)
+    return _expand(s.sequence(), s.pairs, s.base).astype("<u4", copy=False), s.ends
 
 
-def decode_range(blob: bytes, start: int, stop: int) -> np.ndarray:
-    """Ids start to stop of a shard; only symbols that reach into the range are expanded."""
-    base, _, pairs, lengths, seq = _parse(blob)
-    seq = seq.astype(np.int64)
+def decode_range(blob: bytes, start: int, stop: int, at: int = 0) -> np.ndarray:
+    """Ids start to stop of a shard; only the samples' blocks that reach into the range are read and expanded."""
+    s = Shard(blob, at)
+    start, stop = max(start, 0), min(stop, s.ids)
+    if start >= stop:
+        return np.zeros(0, "<u4")
+    first = int(np.searchsorted(s.samples, start, "right")) - 1
+    last = int(np.searchsorted(s.samples, stop, "left"))
+    seq = s.sequence(first * SAMPLE, last * SAMPLE)
+    rule = seq >= s.base
     size = np.ones(len(seq), np.int64)
-    rule = seq >= base
-    size[rule] = lengths[seq[rule] - base]
-    ends = np.cumsum(size)
-    lo, hi = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
-    skipped = int(ends[lo - 1]) if lo else 0
-    return _expand(seq[lo:hi], pairs, base)[start - skipped : stop - skipped].astype("<u4")
+    size[rule] = s.lengths[seq[rule] - s.base]
+    ends = np.cumsum(size) + int(s.samples[first])
+    lo, hi = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
+    skipped = int(ends[lo - 1]) if lo else int(s.samples[first])
+    return _expand(seq[lo:hi], s.pairs, s.base)[start - skipped : stop - skipped].astype("<u4")
+
 
+def shards_of(content: bytes) -> Iterator[Shard]:
+    """The shards of a file."""
+    at = 0
+    while at < len(content):
+        shard = Shard(content, at)
+        at = shard.end
+        yield shard
 
-def write_shards(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """A table (part, shard, doc_ids, n_tokens, payload) in the shared folder, a row for each shard.
 
-    Shards follow ascending doc_id over (part, shard), null first; repeated ids stand in
-    the order of their texts. Null texts are empty: the end id alone. Empty in, empty out.
+def write_files(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, shard_chars: int = SHARD_CHARS) -> None:
+    """Write the ids of every whole text and END_ID into files of the format in the new folder `path`.
+
+    Shards follow ascending doc_id over (part, shard), null first; repeated ids stand in the
+    order of a hash of their texts, then as they come: many equal ones spread over parts.
+    doc_id may be of any type with an order and a string form. Null and empty texts give the
+    end id alone. A very long text is a shard of its own. Without rows there is no shard.
     """
-    path = tokenizer or default_tokenizer()
-    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    order = ["doc_id", "text"]
-    dealt = own.repartitionByRange("doc_id").sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    tokens = tokenizer or default_tokenizer()
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    own = own.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    order = ["doc_id", "hash", "row"]
+    dealt = own.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.spark_partition_id().alias("part"))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder.of(path)
+        encoder = Encoder.of(tokens)
         base = encoder.tokenizer.get_vocab_size()
         end = np.array([END_ID], "<u4")
         ids: list[np.ndarray] = []
-        names: list[int | None] = []
+        names: list[str | None] = []
         ends: list[int] = []
-        chars = total = shard = part = 0
+        chars = total = shard = part = first = 0
 
         def flush() -> pd.DataFrame:
-            flat = np.concatenate(ids)
-            return pd.DataFrame({"part": [part], "shard": [shard], "doc_ids": [list(names)], "n_tokens": [total], "payload": [compress(flat, np.array(ends), base)]})
+            return pd.DataFrame({"blob": [compress(np.concatenate(ids), np.array(ends), base, LEAST, names, part, shard, first)]})
 
         for batch in batches:
             coded = encoder.encode_all(list(batch["text"]))
             for d, t, p, own_ids in zip(batch["doc_id"], batch["text"], batch["part"], coded, strict=True):
                 if names and chars + len(t) > shard_chars:
                     yield flush()
+                    first += total
                     ids, names, ends, chars, total, shard = [], [], [], 0, 0, shard + 1
                 ids += [own_ids, end]
                 total += len(own_ids) + 1
                 chars += len(t)
-                names.append(None if pd.isna(d) else int(d))
+                names.append(None if pd.isna(d) else d)
                 ends.append(total)
                 part = int(p)
         if names:
             yield flush()
 
-    return materialize(dealt.mapInPandas(encode, "part int, shard int, doc_ids array<bigint>, n_tokens bigint, payload binary"), "shards")
+    blobs = dealt.mapInPandas(encode, "blob binary")
+    # A string of any bytes is written as it is, and a line feed after it.
+    blobs.select(F.col("blob").cast("string").alias("value")).write.option("maxRecordsPerFile", SHARDS_A_FILE).text(path)
 
 
-def read_ids(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the shards alone.
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id string, start, n_tokens, ids_crc32) of every document, from the files in `path` alone.
 
-    Only the number of ids of each shard reaches the driver, to find where it starts.
+    One number for each part reaches the driver: how many ids it has.
     """
-    sizes = sorted((r["part"], r["shard"], r["n_tokens"]) for r in shards.select("part", "shard", "n_tokens").collect())
-    starts, at = [], 0
-    for part, shard, n in sizes:
-        starts.append((part, shard, at))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+
+    def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                rows = [(s.part, s.first + s.ids) for s in shards_of(content)]
+                yield pd.DataFrame(rows, columns=["part", "n"])
+
+    sizes = sorted(files.mapInPandas(totals, "part long, n long").groupBy("part").agg(F.max("n")).collect())
+    starts, at = {}, 0
+    for part, n in sizes:
+        starts[part] = at
         at += n
-    table = shards.sparkSession.createDataFrame(starts, "part int, shard int, first long")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for first, names, payload in zip(batch["first"], batch["doc_ids"], batch["payload"], strict=True):
-                ids, ends = decode(payload)
-                begins = np.concatenate(([0], ends[:-1]))
-                view = memoryview(np.ascontiguousarray(ids)).cast("B")
-                crc = [zlib.crc32(view[4 * s : 4 * e]) for s, e in zip(begins.tolist(), ends.tolist(), strict=True)]
-                yield pd.DataFrame({"doc_id": pd.array(list(names), dtype="Int64"), "start": begins + int(first), "n_tokens": ends - begins, "ids_crc32": crc})
+            for content in batch["content"]:
+                for shard in shards_of(content):
+                    ids = np.ascontiguousarray(_expand(shard.sequence(), shard.pairs, shard.base).astype("<u4", copy=False))
+                    begins = np.concatenate(([0], shard.ends[:-1]))
+                    view = memoryview(ids).cast("B")
+                    crc = [zlib.crc32(view[4 * s : 4 * e]) for s, e in zip(begins.tolist(), shard.ends.tolist(), strict=True)]
+                    yield pd.DataFrame({"doc_id": shard.names(), "start": begins + starts[shard.part] + shard.first, "n_tokens": shard.ends - begins, "ids_crc32": crc})
 
-    return shards.join(F.broadcast(table), ["part", "shard"]).select("first", "doc_ids", "payload").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInPandas(read, "doc_id string, start long, n_tokens long, ids_crc32 long")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return read_ids(write_shards(docs))
+    """doc_id (of the type it has in docs), start, n_tokens and ids_crc32 from files written to the shared folder."""
+    path = new_path(docs.sparkSession, "ids")
+    _MADE.append(path)
+    write_files(docs.select("doc_id", "text"), path)
+    return read_ids(docs.sparkSession, path).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
