@@ -66,17 +66,19 @@ def discard(df: DataFrame) -> None:
 
 
 @contextmanager
-def intermediates(spark: SparkSession) -> Iterator[None]:
+def intermediates(spark: SparkSession) -> Iterator[list[DataFrame]]:
     """Tables that operators write to the shared folder inside are removed at the end.
 
     Operators return lazy frames over such tables: write the result inside, to a place of
-    your own. Tables made before stay.
+    your own or with materialize(), and add it to the list that this gives. Tables made
+    before stay.
     """
-    before = set(_MADE)
+    before, keep = set(_MADE), []
     try:
-        yield
+        yield keep
     finally:
-        for path in [p for p in _MADE if p not in before]:
+        kept = {getattr(df, "_quantloom_path", None) for df in keep}
+        for path in [p for p in _MADE if p not in before and p not in kept]:
             remove(spark, path)
 
 

@@ -6,12 +6,20 @@ content), its link density, its length and its share of stop words. Short blocks
 clear case stay open; the second pass gives them the label of the nearest decided
 neighbours in the same part of the page, or, with none there, that of the part: an article
 is content, the rest isn't.
+
+Places are known by tags and by whole tokens of class, id and role: a token names a place
+by its last word ("site-footer") or by its first before a word for a container
+("comments-area"); tokens that tell what a page has or is ("has-sidebar", "tag-menu") name
+none, and neither article nor main is ever a named place. Stop words decide where they can;
+in languages without any on the list, length and link density do.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from html import unescape
 
 import pandas as pd
@@ -28,12 +36,19 @@ SKIPPED_TAGS = frozenset("script style noscript template svg math iframe object
 RAW_TAGS = ("script", "style", "textarea", "title", "noscript", "iframe", "template")
 OUTSIDE_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose class names no place.
+NEVER_NAMED = MAIN_TAGS | {"body", "html"}
 #: Words in class, id and role that name parts which aren't content.
 OUTSIDE_WORDS = frozenset(
     "ad ads advert advertisement adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup "
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside widget related recommended share sharing social footer header masthead "
     "comment comments respond reply disqus login search searchbox toolbar tags legal copyright complementary contentinfo".split()
 )
+#: Words for containers, after which the first word of a token names the place.
+CONTAINERS = frozenset("area bar block blocks body box button buttons container content form group holder icons inner item items link links list panel posts section slot stories unit wrap wrapper".split())
+#: First words of tokens that tell what a page has or is, not what a part is.
+TELLING = frozenset("has no not with without is are tag tags category cat type format status theme layout page template single post hentry js lang".split())
 #: Frequent words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "the of and to in a is it that for on as with by be at this are was from or an not have has but they his her which one you we all there their so if no "
@@ -50,44 +65,79 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""\shidden(?=[\s=>]|\Z)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.IGNORECASE) for t in RAW_TAGS}
-_NAME = re.compile(r"[A-Za-z]+")
+#: Words of a token: cut at capitals and at what isn't a letter.
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_ENDS = re.compile(r"[.!?…。！？।؟]")
 _WORD = re.compile(r"[^\W\d_]+")
 _SPACE = re.compile(r"\s+")
 
 
+def _names_outside(attrs: str, header_too: bool) -> bool:
+    """Whether a token of class, id or role names a part that isn't content. A header inside an article holds its title."""
+    for m in _ATTR.finditer(attrs):
+        for token in next((g for g in m.groups() if g), "").split():
+            words = [w.lower() for w in _NAME.findall(token)]
+            if not words or (len(words) > 1 and words[0] in TELLING):
+                continue
+            name = words[-1] if words[-1] in OUTSIDE_WORDS else words[0] if len(words) > 1 and all(w in CONTAINERS for w in words[1:]) else ""
+            if name in OUTSIDE_WORDS and (header_too or name != "header"):
+                return True
+    return False
+
+
 class _Part:
     """An open element: what it makes of the text in it."""
 
-    __slots__ = ("link", "main", "outside", "skipped", "tag")
+    __slots__ = ("heading", "link", "main", "named", "outside", "skipped", "tag", "up")
 
     def __init__(self, tag: str, above: _Part | None, attrs: str) -> None:
         self.tag = tag
-        names = {w.lower() for m in _ATTR.finditer(attrs) for w in _NAME.findall(next((g for g in m.groups() if g), ""))} if "=" in attrs else set()
         inside = above is not None and above.main
-        # A header inside an article holds its title.
-        named = (names & OUTSIDE_WORDS) - ({"header"} if inside else set())
-        outside = (tag in OUTSIDE_TAGS and not (inside and tag == "header")) or bool(named and tag not in ("body", "html"))
         self.main = inside or tag in MAIN_TAGS
-        self.outside = outside or (above is not None and above.outside)
+        # Outside by its tag; `up` is the nearest part around it, or it, that is outside by name.
+        self.outside = (tag in OUTSIDE_TAGS and not (inside and tag == "header")) or (above is not None and above.outside)
+        self.named = tag not in NEVER_NAMED and "=" in attrs and _names_outside(attrs, not inside)
+        self.up = self if self.named else above.up if above is not None else None
         self.skipped = tag in SKIPPED_TAGS or (above is not None and above.skipped) or bool(attrs and _HIDDEN.search(attrs))
+        self.heading = tag in HEADINGS or (above is not None and above.heading)
         self.link = tag == "a" or (above is not None and above.link)
 
 
-def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, inside an article, outside the content) of the blocks in page order."""
-    out: list[tuple[str, int, bool, bool]] = []
+@dataclass
+class Block:
+    text: str
+    #: Characters in links.
+    linked: int
+    #: Inside an article or main element.
+    main: bool
+    #: Inside a part that is never content, by its tag or by its name.
+    outside: bool
+    named: _Part | None = None
+    heading: bool = False
+
+
+def blocks(html: str) -> list[Block]:
+    """The blocks of a page in order. The work is linear in the page: no end tag is looked for that isn't open."""
+    out: list[Block] = []
     open_parts: list[_Part] = []
+    counts: Counter[str] = Counter()
     text: list[str] = []
-    linked = 0
-    state = (False, False)
+    linked: list[str] = []
+    state: tuple[bool, bool, _Part | None, bool] = (False, False, None, False)
+    plain = lambda parts: _SPACE.sub(" ", unescape("".join(parts))).strip()
 
     def close_block() -> None:
-        nonlocal linked
-        joined = _SPACE.sub(" ", unescape("".join(text))).strip()
-        if joined:
-            out.append((joined, min(linked, len(joined)), *state))
-        text.clear()
-        linked = 0
+        if text:
+            joined = plain(text)
+            if joined:
+                out.append(Block(joined, min(len(plain(linked)), len(joined)) if linked else 0, *state))
+            text.clear()
+            linked.clear()
+
+    def close(n: int) -> None:
+        for part in open_parts[n:]:
+            counts[part.tag] -= 1
+        del open_parts[n:]
 
     at = 0
     while m := _TOKEN.match(html, at):
@@ -98,60 +148,63 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
             if raw[0] != "<" or raw == "<":
                 top = open_parts[-1] if open_parts else None
                 if top is None or not top.skipped:
-                    now = (top is not None and top.main, top is not None and top.outside)
+                    now = (False, False, None, False) if top is None else (top.main, top.outside, top.up, top.heading)
                     if now != state:
                         close_block()
                         state = now
                     text.append(raw)
                     if top is not None and top.link:
-                        linked += len(raw)
+                        linked.append(raw)
             continue
         tag = tag.lower()
         if tag in BLOCK_TAGS:
             close_block()
         if m[1]:
             # An end tag closes what is open above its element; one without a start tag closes nothing.
-            for i in range(len(open_parts) - 1, -1, -1):
-                if open_parts[i].tag == tag:
-                    del open_parts[i:]
-                    break
-                # Formatting that was left open doesn't hold its paragraph's parent, nor a menu's end the article.
+            if counts[tag] > 0:
+                i = len(open_parts) - 1
+                while open_parts[i].tag != tag:
+                    i -= 1
+                close(i)
             continue
         if tag in VOID_TAGS or m[3].endswith("/"):
             continue
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and any(p.tag == tag for p in open_parts[-2:]):
+        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
             for i in range(len(open_parts) - 1, max(len(open_parts) - 3, -1), -1):
                 if open_parts[i].tag == tag:
-                    del open_parts[i:]
+                    close(i)
                     break
         if tag in _RAW_END:
             end = _RAW_END[tag].search(html, at)
             at = end.end() if end else len(html)
             continue
         open_parts.append(_Part(tag, open_parts[-1] if open_parts else None, m[3]))
+        counts[tag] += 1
     close_block()
     return out
 
 
-def first_pass(block: tuple[str, int, bool, bool]) -> int:
+def first_pass(block: Block) -> int:
     """GOOD, BAD or NEUTRAL from one block alone."""
-    text, linked, _, outside = block
-    if outside:
+    if block.outside or block.named is not None:
         return BAD
-    n = len(text)
-    if linked > LINK_HIGH * n:
+    n = len(block.text)
+    if block.linked > LINK_HIGH * n:
         return BAD
     if n < SHORT:
         return NEUTRAL
-    words = _WORD.findall(text.lower())
+    words = _WORD.findall(block.text.lower())
     share = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
     if share >= STOP_HIGH or (n >= LONG and share >= STOP_LOW):
         return GOOD
+    # Long prose without a single stop word is of a language that has none on the list.
+    if n >= LONG and words and not share and _ENDS.search(block.text):
+        return GOOD
     return NEUTRAL
 
 
-def second_pass(page: list[tuple[str, int, bool, bool]], labels: list[int]) -> list[bool]:
-    """Whether each block is content: open ones follow the nearest decided neighbours of their part of the page."""
+def second_pass(page: list[Block], labels: list[int]) -> list[bool]:
+    """Whether each block is content: open ones follow the nearest decided neighbours of their part of the page, headings the next one."""
     n = len(page)
     out = []
     before: list[int | None] = [None] * n
@@ -159,18 +212,19 @@ def second_pass(page: list[tuple[str, int, bool, bool]], labels: list[int]) -> l
     for order, near in ((range(n), before), (range(n - 1, -1, -1), after)):
         last: dict[bool, int] = {}
         for i in order:
-            part = page[i][2]
+            part = page[i].main
             near[i] = last.get(part)
-            if labels[i] != NEUTRAL:
+            # Parts that are never content say nothing about an article's own short blocks.
+            if labels[i] != NEUTRAL and not (part and (page[i].outside or page[i].named)):
                 last[part] = i
     for i, label in enumerate(labels):
         if label == NEUTRAL:
-            main = page[i][2]
             near = [j for j in (before[i], after[i]) if j is not None]
-            # Parts that are never content say nothing about an article's own short blocks.
-            near = [j for j in near if not page[j][3]] if main else near
             if not near:
-                label = GOOD if main else BAD
+                label = GOOD if page[i].main else BAD
+            elif page[i].heading:
+                # A heading belongs to what follows.
+                label = labels[near[-1]]
             else:
                 signs = {labels[j] for j in near}
                 label = signs.pop() if len(signs) == 1 else labels[min(near, key=lambda j: abs(j - i))]
@@ -178,21 +232,45 @@ def second_pass(page: list[tuple[str, int, bool, bool]], labels: list[int]) -> l
     return out
 
 
+def _lifted(page: list[Block]) -> list[Block]:
+    """page without the names of parts that hold most of its text: a wrapper that only sounds like a menu."""
+    size: dict[int, int] = {}
+    for b in page:
+        if b.named is not None and not b.outside:
+            size[id(b.named)] = size.get(id(b.named), 0) + len(b.text)
+    half = sum(len(b.text) for b in page if not b.outside) / 2
+    return [replace(b, named=None) if b.named is not None and size.get(id(b.named), 0) > half else b for b in page]
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page; empty for null, empty and contentless pages.
 
-    Pages with an article or main element hold their content in it; in others any block
-    may be content.
+    Pages whose article or main element holds decided content hold all of it there; in
+    others any block may be content.
     """
     page = blocks(html or "")
-    if any(b[2] for b in page):
-        page = [b for b in page if b[2]]
-    kept = second_pass(page, [first_pass(b) for b in page])
-    return " ".join(b[0] for b, k in zip(page, kept, strict=True) if k)
+    labels = [first_pass(b) for b in page]
+    if GOOD not in labels and NEUTRAL not in labels:
+        page = _lifted(page)
+        labels = [first_pass(b) for b in page]
+    if GOOD not in labels:
+        # Nothing is decided by words: length and link density alone.
+        labels = [GOOD if label == NEUTRAL and len(b.text) >= SHORT else label for b, label in zip(page, labels, strict=True)]
+    content = [b.main for b, label in zip(page, labels, strict=True) if label == GOOD]
+    inside = [b.main and label != BAD for b, label in zip(page, labels, strict=True)]
+    if any(content) or (not content and any(inside)):
+        labels = [label for b, label in zip(page, labels, strict=True) if b.main]
+        page = [b for b in page if b.main]
+    kept = second_pass(page, labels)
+    return " ".join(b.text for b, k in zip(page, kept, strict=True) if k)
 
 
 def extract(pages: DataFrame, html: str = "html", column: str = "text") -> DataFrame:
-    """pages with the main text of every row; other columns and repeated rows stay as they are."""
+    """pages with the main text of every row; other columns and repeated rows stay as they are.
+
+    Null and empty pages have an empty text; very long and deeply nested ones are read
+    whole, in linear time. A column of the name `column` is replaced. Empty in, empty out.
+    """
 
     @F.pandas_udf("string")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

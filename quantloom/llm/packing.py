@@ -4,7 +4,8 @@ The histogram of encoded lengths over all documents is small; dynamic programmin
 finds the bucket boundaries with the least padding. The cost of a bucket is the padding of
 its documents to its longest one, so the recurrence is a lower envelope of lines and each
 layer takes linear time. Inside a bucket documents are ordered by length and cut into
-batches whose padded size stays within the token budget.
+batches whose padded size stays within the token budget. pack() gives every document its
+place, batches() the padded batches themselves.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm._common import global_rank, materialize
-from quantloom.llm.tokens import with_lengths
+from quantloom.llm.tokens import with_ids, with_lengths
 
 BUCKETS = 16
 TOKEN_BUDGET = 65_536
@@ -73,16 +74,8 @@ def _useless(a: tuple[int, int, int], b: tuple[int, int, int], c: tuple[int, int
     return (c[1] - a[1]) * (a[0] - b[0]) <= (b[1] - a[1]) * (a[0] - c[0])
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, bucket, bucket_len, batch, position, padding) for every row of docs.
-
-    A batch holds token_budget // bucket_len documents of one bucket, one at least: a
-    document over the budget is a batch of its own. Batches are numbered from 0 in each
-    bucket, in the order of length, then doc_id; ties and repeated rows stand in any
-    order. Null and empty texts have length 0. Empty in, empty out.
-    """
-    sized = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_t"))
-    sized = materialize(with_lengths(sized, "_t", "n_tokens", tokenizer).select("doc_id", "n_tokens"), "lengths")
+def _placed(sized: DataFrame, buckets: int, token_budget: int) -> DataFrame:
+    """sized (doc_id, n_tokens and more), a table in the shared folder, with bucket, bucket_len, batch, position and padding."""
     # One row for each distinct length: bounded by the longest document, not by how many there are.
     counts = [(r["n_tokens"], r["count"]) for r in sized.groupBy("n_tokens").count().collect()]
     tops = boundaries(counts, buckets)
@@ -98,14 +91,45 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDG
         bucket = F.when(F.col("n_tokens") <= top, one).otherwise(bucket)
     room = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.col("b.top"), F.lit(1)))).cast("long")
     place = F.col("_rank") - F.col("b.start")
-    return ranked.withColumn("b", bucket).select(
-        "doc_id",
-        "n_tokens",
-        F.col("b.bucket").alias("bucket"),
-        F.col("b.top").alias("bucket_len"),
-        F.floor(place / room).cast("long").alias("batch"),
-        (place % room).alias("position"),
-        (F.col("b.top") - F.col("n_tokens")).alias("padding"),
+    out = ranked.withColumn("b", bucket).withColumns({"batch": F.floor(place / room).cast("long"), "position": place % room, "padding": F.col("b.top") - F.col("n_tokens")})
+    return out.withColumns({"bucket": F.col("b.bucket"), "bucket_len": F.col("b.top")}).drop("b", "_rank")
+
+
+def pack(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, bucket, bucket_len, batch, position, padding) for every row of docs.
+
+    A batch holds token_budget // bucket_len documents of one bucket, one at least: a
+    document over the budget is a batch of its own. Batches are numbered from 0 in each
+    bucket, in the order of length, then doc_id, then as rows come; repeated rows have a
+    place each. Null and empty texts have length 0. Very long texts are encoded whole.
+    Other columns play no part, whatever their names. Empty in, empty out.
+    """
+    sized = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_t"))
+    sized = materialize(with_lengths(sized, "_t", "n_tokens", tokenizer).select("doc_id", "n_tokens"), "lengths")
+    return _placed(sized, buckets, token_budget).select("doc_id", "n_tokens", "bucket", "bucket_len", "batch", "position", "padding")
+
+
+def batches(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, pad_id: int = 0) -> DataFrame:
+    """(bucket, batch, bucket_len, doc_ids, lengths, ids, mask): the batches of pack(), a row each.
+
+    ids and mask are arrays of rows, each padded to bucket_len with pad_id and 0; mask is 1
+    over a document's own ids. A row of the result holds token_budget ids at most, or one
+    longer document. Cases as in pack().
+    """
+    sized = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_t"))
+    sized = materialize(with_ids(sized, "_t", "ids", tokenizer).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids"), "ids")
+    rows = _placed(sized, buckets, token_budget).select("bucket", "batch", "bucket_len", F.struct("position", "doc_id", "ids").alias("x"))
+    whole = rows.groupBy("bucket", "batch").agg(F.max("bucket_len").alias("bucket_len"), F.array_sort(F.collect_list("x")).alias("xs"))
+    filled = lambda n, value: F.array_repeat(F.lit(value), n.cast("int"))
+    left = lambda x: F.col("bucket_len") - F.size(x["ids"])
+    return whole.select(
+        "bucket",
+        "batch",
+        "bucket_len",
+        F.transform("xs", lambda x: x["doc_id"]).alias("doc_ids"),
+        F.transform("xs", lambda x: F.size(x["ids"])).alias("lengths"),
+        F.transform("xs", lambda x: F.concat(x["ids"], filled(left(x), pad_id))).alias("ids"),
+        F.transform("xs", lambda x: F.concat(filled(F.size(x["ids"]), 1), filled(left(x), 0))).alias("mask"),
     )
 
 

@@ -163,7 +163,7 @@ def _some(texts: list[str | None]) -> Iterator[list[str | None]]:
 
 
 def with_lengths(docs: DataFrame, text: str = "text", column: str = "n_tokens", tokenizer: str | None = None) -> DataFrame:
-    """docs with the encoded length of every whole text (null: 0)."""
+    """docs with the encoded length of every whole text (null and empty: 0); a column of that name is replaced, rows stay as they are."""
     path = tokenizer or default_tokenizer()
 
     @F.pandas_udf("long")
@@ -175,8 +175,25 @@ def with_lengths(docs: DataFrame, text: str = "text", column: str = "n_tokens",
     return docs.withColumn(column, lengths(F.col(f"`{text}`")))
 
 
+def with_ids(docs: DataFrame, text: str = "text", column: str = "ids", tokenizer: str | None = None) -> DataFrame:
+    """docs with the ids of every whole text as array<int> (null and empty: none); a column of that name is replaced, rows stay as they are."""
+    path = tokenizer or default_tokenizer()
+
+    @F.pandas_udf("array<int>")
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = Encoder.of(path)
+        for texts in batches:
+            yield pd.Series(encoder.encode_all(list(texts)), dtype=object)
+
+    return docs.withColumn(column, ids(F.col(f"`{text}`")))
+
+
 def histogram(docs: DataFrame, text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """(n_tokens, n_docs): how many documents have each encoded length. Each partition counts its own first."""
+    """(n_tokens, n_docs): how many documents have each encoded length. Each partition counts its own first.
+
+    Null and empty texts have length 0; repeated rows count each; very long texts are
+    encoded whole; other columns play no part, whatever their names. Empty in, empty out.
+    """
     return with_lengths(docs.select(F.col(f"`{text}`").alias("text")), "text", "n_tokens", tokenizer).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
 
 

@@ -344,6 +344,35 @@ def test_packing_keeps_every_row_within_budget(docs, none):
     assert len({(r["bucket"], r["batch"], r["position"]) for r in out}) == len(out) and packing.pack(none).count() == 0
 
 
+def test_batches_hold_the_ids_of_every_row(docs, none):
+    e = tokens.Encoder.of(tokens.default_tokenizer())
+    placed = Counter((r["doc_id"], r["bucket"], r["batch"], r["position"]) for r in packing.pack(docs, buckets=3, token_budget=50).collect())
+    got = packing.batches(docs, buckets=3, token_budget=50, pad_id=7).collect()
+    for b in got:
+        assert len(b["doc_ids"]) * b["bucket_len"] <= 50 or len(b["doc_ids"]) == 1
+        for i, (d, n, ids, mask) in enumerate(zip(b["doc_ids"], b["lengths"], b["ids"], b["mask"], strict=True)):
+            assert placed[d, b["bucket"], b["batch"], i] == 1
+            assert len(ids) == len(mask) == b["bucket_len"] and mask == [1] * n + [0] * (len(ids) - n)
+            assert ids[:n] == e.encode(TEXTS[d]).tolist() and set(ids[n:]) <= {7}
+    assert sum(len(b["doc_ids"]) for b in got) == len(TEXTS) + 1 and packing.batches(none).count() == 0
+
+
+def test_encoder_on_random_strings():
+    """10^5 strings over letters, marks and every kind of white space, whole, against the library."""
+    from tokenizers import Tokenizer
+
+    path = tokens.default_tokenizer()
+    t, e = Tokenizer.from_file(path), tokens.Encoder(path)
+    rng = np.random.default_rng(17)
+    spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    symbols = np.array(list("abcZé'.!0世🙂") + ["'s", "<|endoftext|>"] + [" "] * 8 + ["\n"] * 4 + spaces + ["\u200b", "\ufeff"])
+    texts = ["".join(symbols[rng.integers(0, len(symbols), rng.integers(1, 16))]) for _ in range(100_000)]
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    got = [x.tolist() for x in e.encode_all(texts)]
+    assert [texts[i] for i in range(len(texts)) if got[i] != want[i]] == []
+    assert e.count_all(texts) == [len(x) for x in want]
+
+
 def pairs_left(seq):
     """How many places without overlap each pair has."""
     count, last = Counter(), {}
@@ -402,6 +431,65 @@ def test_main_text():
     assert html.main_text("<article><p>Hi</p></article>") == "Hi" and html.main_text("<article>a < b <p x='>c") != ""
 
 
+EN = "The cat and the dog are in the house of the king, and that is all there is to say of it. " * 3
+RU = "Старый дом стоял на берегу реки, и каждое утро рыбаки выходили к воде с сетями и долго ждали улова. " * 3
+JA = "古い家は川のほとりに立っていて、毎朝漁師たちが網を持って水辺に出て、長い間魚を待っていた。" * 4
+TEASER = "The story of the week is that it was all for the best in the end, or so they say in the town."
+NAV = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>Blog</a></li></ul></nav>"
+FOOT = "<footer>&copy; 2024 The Company of the Town and of the People in it</footer>"
+LAYOUTS = {
+    "has-sidebar": (f"<body>{NAV}<div class='layout has-sidebar'><p>{EN}</p></div>{FOOT}</body>", EN),
+    "no-comments": (f"{NAV}<main class='content no-comments'><p>{EN}</p></main>{FOOT}", EN),
+    "tags-python": (f"{NAV}<article class='post tags-python'><h1>Title</h1><p>{EN}</p></article>{FOOT}", "Title " + EN),
+    "with-header": (f"<div class='with-header'><p>{EN}</p></div>{FOOT}", EN),
+    "russian": (f"{NAV}<div id='text'><h1>Дом</h1><p>{RU}</p><p>Конец.</p></div>{FOOT}", "Дом " + RU + "Конец."),
+    "japanese": (f"{NAV}<div><p>{JA}</p></div>{FOOT}", JA),
+    "russian article": (f"{NAV}<article><p>{RU}</p></article>{FOOT}", RU),
+    "comments-area": (f"<article><p>{EN}</p></article><div class='comments-area'><p>{TEASER * 9}</p></div>", EN),
+    "comments in the article": (f"<article><p>{EN}</p><section id='comments'><p>{TEASER * 9}</p></section></article>", EN),
+    "ad slot": (f"<div class='ad-slot'><p>{TEASER}</p></div><div class='story'><p>{EN}</p><p>Done.</p></div>", EN + "Done."),
+    "cookie notice": (f"<div id='cookieNotice'><p>{TEASER}</p></div><article><p>{EN}</p></article>", EN),
+    "site footer": (f"<article><p>{EN}</p></article><div class='site-footer'><p>{TEASER}</p></div>", EN),
+    "teasers in an aside": (f"<div><p>{EN}</p></div><aside><article><p>{TEASER}</p></article></aside>", EN),
+    "related articles": (f"<main><p>{EN}</p></main><div class='related-posts'><article><p>{TEASER}</p></article></div>", EN),
+    "menu-like wrapper": (f"<div class='menu'><p>{EN}</p></div>{FOOT}", EN),
+    "empty article": (f"<article></article><div><p>{EN}</p></div>{FOOT}", EN),
+    "header of the article": (f"<header><p>{TEASER}</p></header><article><header class='entry-header'><h1>Title</h1></header><p>{EN}</p></article>", "Title " + EN),
+    "form": (f"<article><p>{EN}</p><form><p>{TEASER}</p><input></form></article>", EN),
+    "indented links": (f"<div><p>{EN} <a href='x'>\n{' ' * 400}more\n{' ' * 400}</a></p></div>", EN + "more"),
+    "list of links": (f"<article><p>{EN}</p><ul><li><a href='1'>One of the links</a></li><li><a href='2'>Two of the links</a></li></ul></article>", EN),
+    "stray end tags": (f"</div></p></article>{NAV}</nav><article></div><p>{EN}</i></p></section><p>End.</article></main>", EN + "End."),
+    "hidden": (f"<article><p hidden>{TEASER}</p><div style='display:none'>{TEASER}</div><p>{EN}</p></article>", EN),
+    "references and white space": (f"<article><p>Caf&eacute;&nbsp;&#8212;\t\n and &lt;b&gt;: {EN}</p></article>", "Café — and <b>: " + EN),
+    "comments, scripts and styles": (f"<!-- <p>{EN}</p> --><script>var a = '<p>{TEASER}</p>';</script><style>p {{}}</style><article><p>{EN}</p></article>", EN),
+    "breaks": (f"<article><p>{EN}<br>Short.<br/>Lines.</p></article>", EN + "Short. Lines."),
+    "search and share": (f"<div role='search'><p>{TEASER}</p></div><article><p>{EN}</p><div class='share-buttons'>Share this</div><p>End.</p></article>", EN + "End."),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_main_text_of_layouts(name):
+    page, want = LAYOUTS[name]
+    assert html.main_text(f"<html><head><title>T</title></head>{page}</html>") == re.sub(r"\s+", " ", want).strip()
+
+
+def test_pages_through_spark(spark):
+    """Null, empty, repeated, nested and long pages, and a column of the result's name."""
+    import time
+
+    deep = "<div>" * 60_000 + f"<p>{EN}</p>" + "</div></b></span>" * 60_000
+    long = "<article>" + f"<p>{EN}</p>" * 20_000 + "</article>"
+    rows = [(1, "u", None), (2, "u", ""), (3, "u", LAYOUTS["russian"][0]), (3, "u", LAYOUTS["russian"][0]), (None, None, "<article>Hi"), (4, "u", deep), (5, "u", long), (6, "u", "plain text")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
+    began = time.perf_counter()
+    got = Counter((r["page_id"], r["text"]) for r in html.digest(df).collect())
+    assert time.perf_counter() - began < 60
+    ru = re.sub(r"\s+", " ", LAYOUTS["russian"][1]).strip()
+    assert got == Counter({(1, ""): 1, (2, ""): 1, (3, ru): 2, (None, "Hi"): 1, (4, EN.strip()): 1, (5, " ".join([EN.strip()] * 20_000)): 1, (6, ""): 1})
+    assert all(r["n_chars"] == len(r["text"]) for r in html.digest(df).collect()) and html.digest(df.limit(0)).count() == 0
+    assert html.extract(df).columns == df.columns
+
+
 def test_chat_masks_cover_the_assistant_only(spark):
     turns = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 3, "ann", "Bye"), (1, 3, "ann", "Bye"), (2, 0, "system", "x"), (3, None, None, "who"), (3, 1, "cy", "me")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
