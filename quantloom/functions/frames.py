@@ -13,6 +13,8 @@ from quantloom.errors import FactorError, NonMatchingTimezoneError
 from quantloom.functions.stats import finite
 
 RETURN_PREFIX = "forward_return_"
+#: The largest count of sessions: 32 bits without a sign.
+MAX_COUNT = (1 << 32) - 1
 _DAYS = re.compile(r"forward_return_([1-9][0-9]*)D")
 _DATES = (T.TimestampNTZType, T.TimestampType)
 
@@ -82,8 +84,23 @@ def forward_periods(columns: Iterable[str]) -> list[int]:
     return sorted(out)
 
 
-def validate_factor_data(df: DataFrame, quantile: bool = False, group: bool = False, returns: bool = True, check: bool = False) -> list[int]:
-    """The periods of clean factor data; raises on a wrong schema, and with check on wrong values."""
+def trusted(df: DataFrame, *facts: str) -> DataFrame:
+    """df, known to hold what validate_factor_data() would check: "keys", "quantile", "group" (all of them if none is named)."""
+    df._quantloom_facts = getattr(df, "_quantloom_facts", frozenset()) | frozenset(facts or ("keys", "quantile", "group"))
+    return df
+
+
+def same_facts(df: DataFrame, out: DataFrame) -> DataFrame:
+    """out, whose rows are some of those of df, known to hold what df does."""
+    return trusted(out, *facts) if (facts := getattr(df, "_quantloom_facts", ())) else out
+
+
+def validate_factor_data(df: DataFrame, quantile: bool = False, group: bool = False, returns: bool = True, check: bool = True) -> list[int]:
+    """The periods of clean factor data; raises on a wrong schema, and with check on wrong values.
+
+    The check of values is one aggregation. What it found holds for this very frame and
+    isn't looked for again; nor is what get_clean_factor() made sure of.
+    """
     require(df, date=_DATES, asset=T.StringType, factor=T.DoubleType)
     if quantile:
         require(df, factor_quantile=T.IntegerType)
@@ -92,13 +109,15 @@ def validate_factor_data(df: DataFrame, quantile: bool = False, group: bool = Fa
     periods = forward_periods(df.columns) if returns else []
     for p in periods:
         require(df, **{f"{RETURN_PREFIX}{p}D": T.DoubleType})
-    if check:
+    asked = {"keys", *(["quantile"] if quantile else []), *(["group"] if group else [])}
+    if check and not asked <= getattr(df, "_quantloom_facts", frozenset()):
         bad = F.lit(False)
         if quantile:
             bad |= F.col("factor_quantile").isNull() | (F.col("factor_quantile") <= 0)
         if group:
             bad |= F.col("group").isNull()
         check_keys(df, ["date", "asset"], bad, "group and quantile must be there for every row")
+        trusted(df, *asked)
     return periods
 
 
@@ -131,6 +150,13 @@ def time_bucket(by: str, date: str = "date", zone: str | None = None) -> Column:
 def as_period(value: int | str) -> int:
     """A session count from 5 or '5D'."""
     m = re.fullmatch(r"([1-9][0-9]*)D?", str(value))
-    if isinstance(value, bool) or not m:
+    if isinstance(value, bool) or not m or int(m[1]) > MAX_COUNT:
         raise FactorError(f"not a period: {value}")
     return int(m[1])
+
+
+def as_count(value: int, name: str) -> int:
+    """A count of sessions from 0 to MAX_COUNT."""
+    if isinstance(value, bool) or not isinstance(value, int) or not 0 <= value <= MAX_COUNT:
+        raise FactorError(f"{name} must be a whole number from 0 to {MAX_COUNT}")
+    return value

@@ -6,6 +6,7 @@ import datetime as dt
 import re
 from bisect import bisect_left
 from collections.abc import Iterable, Sequence
+from collections.abc import Set as AbstractSet
 
 from quantloom.errors import FactorError
 
@@ -63,11 +64,17 @@ def session_label(times: Sequence[int], period: int) -> str:
     return f"{span // UNITS['ms']}ms"
 
 
-def _is_session(day: dt.date, weekmask: Sequence[bool], holidays: frozenset[dt.date]) -> bool:
-    return weekmask[day.weekday()] and day not in holidays
+#: Days of the week that are sessions: seven flags from Monday, or the numbers of those days.
+Weekmask = Sequence[bool] | AbstractSet[int]
+_WORKDAYS = (True,) * 5 + (False,) * 2
 
 
-def add_custom_calendar_timedelta(start: dt.datetime, delta: dt.timedelta, weekmask: Sequence[bool] = (True,) * 5 + (False,) * 2, holidays: Iterable[dt.date] = ()) -> dt.datetime:
+def _is_session(day: dt.date, weekmask: Weekmask, holidays: frozenset[dt.date]) -> bool:
+    open_ = day.weekday() in weekmask if isinstance(weekmask, AbstractSet) else weekmask[day.weekday()]
+    return bool(open_) and day not in holidays
+
+
+def add_custom_calendar_timedelta(start: dt.datetime, delta: dt.timedelta, weekmask: Weekmask = _WORKDAYS, holidays: Iterable[dt.date] = ()) -> dt.datetime:
     """start plus the delta's days counted in sessions, plus the rest of it."""
     closed, step = frozenset(holidays), 1 if delta.days >= 0 else -1
     left, out = abs(delta.days), start
@@ -77,12 +84,13 @@ def add_custom_calendar_timedelta(start: dt.datetime, delta: dt.timedelta, weekm
     return out + (delta - dt.timedelta(days=delta.days))
 
 
-def diff_custom_calendar_timedeltas(start: dt.datetime, end: dt.datetime, weekmask: Sequence[bool] = (True,) * 5 + (False,) * 2, holidays: Iterable[dt.date] = ()) -> dt.timedelta:
-    """end - start with days that aren't sessions left out."""
-    closed = frozenset(holidays)
-    days = (end.date() - start.date()).days
-    missing = sum(not _is_session(start.date() + dt.timedelta(days=i + 1), weekmask, closed) for i in range(max(days, 0)))
-    return end - start - dt.timedelta(days=missing)
+def diff_custom_calendar_timedeltas(start: dt.datetime, end: dt.datetime, weekmask: Weekmask = _WORKDAYS, holidays: Iterable[dt.date] = ()) -> dt.timedelta:
+    """Sessions reached from start at its time of day, as days, and what is left from the last of them to end; negated for reversed ends."""
+    if end < start:
+        return -diff_custom_calendar_timedeltas(end, start, weekmask, holidays)
+    closed, day = frozenset(holidays), dt.timedelta(days=1)
+    reached = [start + i * day for i in range(1, (end - start) // day + 1) if _is_session((start + i * day).date(), weekmask, closed)]
+    return len(reached) * day + (end - (reached[-1] if reached else start))
 
 
 def infer_trading_calendar(factor_dates: Iterable[dt.datetime], price_dates: Iterable[dt.datetime]) -> tuple[tuple[bool, ...], list[dt.date]]:

@@ -15,7 +15,9 @@ SESSIONS_A_YEAR = 252
 
 
 def _demeaned(long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return long.withColumn("ret", F.col("ret") - F.avg("ret").over(Window.partitionBy(*keys)))
+    """long with ret less its mean by keys, without which there is none: the means are joined, so the panel isn't dealt by keys."""
+    means = long.groupBy(*keys).agg(F.avg("ret").alias("_m"))
+    return long.join(means, keys).withColumn("ret", F.col("ret") - F.col("_m")).drop("_m")
 
 
 def demean_forward_returns(factor_data: DataFrame, grouper: Sequence[str] | None = None) -> DataFrame:
@@ -25,9 +27,9 @@ def demean_forward_returns(factor_data: DataFrame, grouper: Sequence[str] | None
     return factor_data.withColumns({c: finite(F.col(c)) - F.avg(finite(F.col(c))).over(own) for c in names})
 
 
-def factor_information_coefficient(factor_data: DataFrame, group_adjust: bool = False, by_group: bool = False) -> DataFrame:
+def factor_information_coefficient(factor_data: DataFrame, group_adjust: bool = False, by_group: bool = False, check: bool = True) -> DataFrame:
     """date, [group], period, ic: Spearman of factor and forward return."""
-    periods = validate_factor_data(factor_data, group=group_adjust or by_group)
+    periods = validate_factor_data(factor_data, group=group_adjust or by_group, check=check)
     grouped = ["group"] if group_adjust or by_group else []
     long = melted(factor_data, periods, ["date", *grouped, "factor"])
     if group_adjust:
@@ -35,18 +37,22 @@ def factor_information_coefficient(factor_data: DataFrame, group_adjust: bool =
     return spearman(long, ["date", *(["group"] if by_group else []), "period"], "factor", "ret", "ic")
 
 
-def mean_information_coefficient(factor_data: DataFrame, group_adjust: bool = False, by_group: bool = False, by_time: str | None = None, zone: str | None = None) -> DataFrame:
+def mean_information_coefficient(factor_data: DataFrame, group_adjust: bool = False, by_group: bool = False, by_time: str | None = None, zone: str | None = None, check: bool = True) -> DataFrame:
     """[date bucket], [group], period, mean_ic, count over ICs that aren't null."""
-    ic = factor_information_coefficient(factor_data, group_adjust, by_group).where("ic is not null")
+    ic = factor_information_coefficient(factor_data, group_adjust, by_group, check).where("ic is not null")
     if by_time:
         ic = ic.withColumn("date", time_bucket(by_time, zone=zone))
     keys = [*(["date"] if by_time else []), *(["group"] if by_group else []), "period"]
     return ic.groupBy(*keys).agg(F.avg("ic").alias("mean_ic"), F.count("ic").cast("int").alias("count"))
 
 
-def factor_weights(factor_data: DataFrame, demeaned: bool = True, group_adjust: bool = False, equal_weight: bool = False) -> DataFrame:
+def factor_weights(factor_data: DataFrame, demeaned: bool = True, group_adjust: bool = False, equal_weight: bool = False, check: bool = True) -> DataFrame:
     """date, asset, [group], weight: signals over their gross by date; null where that is 0. Rows without a factor go."""
-    require(factor_data, date=object, asset=object, factor=object, **({"group": object} if group_adjust else {}))
+    validate_factor_data(factor_data, group=group_adjust, returns=False, check=check)
+    return _weights(factor_data, demeaned, group_adjust, equal_weight)
+
+
+def _weights(factor_data: DataFrame, demeaned: bool, group_adjust: bool, equal_weight: bool) -> DataFrame:
     group = ["group"] if "group" in factor_data.columns else []
     df = factor_data.select("date", "asset", *group, finite(F.col("factor")).alias("x")).where("x is not null")
     keys = ["date", "group"] if group_adjust else ["date"]
@@ -69,9 +75,9 @@ def factor_weights(factor_data: DataFrame, demeaned: bool = True, group_adjust:
     return df.select("date", "asset", *group, "weight")
 
 
-def factor_returns(factor_data: DataFrame, demeaned: bool = True, group_adjust: bool = False, equal_weight: bool = False, by_asset: bool = False) -> DataFrame:
+def factor_returns(factor_data: DataFrame, demeaned: bool = True, group_adjust: bool = False, equal_weight: bool = False, by_asset: bool = False, check: bool = True) -> DataFrame:
     """date, period, factor_return; or date, asset, period, weighted_return."""
-    periods = validate_factor_data(factor_data, group=group_adjust)
+    periods = validate_factor_data(factor_data, group=group_adjust, check=check)
     names = [f"forward_return_{p}D" for p in periods]
     # Weights keep the rows they came from: returns ride along in the same window, no join.
     weights = _with_weights(factor_data, names, demeaned, group_adjust, equal_weight)
@@ -84,15 +90,15 @@ def factor_returns(factor_data: DataFrame, demeaned: bool = True, group_adjust:
 
 def _with_weights(factor_data: DataFrame, carry: Sequence[str], demeaned: bool, group_adjust: bool, equal_weight: bool) -> DataFrame:
     packed = factor_data.select("date", F.col("asset").alias("_asset"), *(["group"] if group_adjust else []), "factor", F.struct("asset", *carry).alias("asset"))
-    out = factor_weights(packed, demeaned, group_adjust, equal_weight)
+    out = _weights(packed, demeaned, group_adjust, equal_weight)
     return out.select("date", "asset.*", "weight")
 
 
-def factor_alpha_beta(factor_data: DataFrame, returns: DataFrame | None = None, demeaned: bool = True, group_adjust: bool = False, equal_weight: bool = False) -> DataFrame:
+def factor_alpha_beta(factor_data: DataFrame, returns: DataFrame | None = None, demeaned: bool = True, group_adjust: bool = False, equal_weight: bool = False, check: bool = True) -> DataFrame:
     """period, alpha, annualized_alpha, beta, count: factor returns (or `returns`) regressed on the mean return of the universe."""
-    periods = validate_factor_data(factor_data)
+    periods = validate_factor_data(factor_data, check=check)
     if returns is None:
-        returns = factor_returns(factor_data, demeaned, group_adjust, equal_weight)
+        returns = factor_returns(factor_data, demeaned, group_adjust, equal_weight, check=check)
     else:
         require(returns, date=object, period=object, factor_return=object)
     universe = melted(factor_data, periods, ["date"]).groupBy("date", "period").agg(F.avg("ret").alias("x"))
@@ -103,17 +109,20 @@ def factor_alpha_beta(factor_data: DataFrame, returns: DataFrame | None = None,
     return fitted.select("period", "alpha", yearly.alias("annualized_alpha"), "beta", "count")
 
 
-def mean_return_by_quantile(factor_data: DataFrame, by_date: bool = False, by_group: bool = False, demeaned: bool = True, group_adjust: bool = False) -> DataFrame:
+def mean_return_by_quantile(factor_data: DataFrame, by_date: bool = False, by_group: bool = False, demeaned: bool = True, group_adjust: bool = False, check: bool = True) -> DataFrame:
     """factor_quantile, [date], [group], period, mean_return, std_error, count. Without by_date every date weighs the same."""
-    periods = validate_factor_data(factor_data, quantile=True, group=by_group or group_adjust)
+    periods = validate_factor_data(factor_data, quantile=True, group=by_group or group_adjust, check=check)
     grouped = ["group"] if by_group or group_adjust else []
     long = melted(factor_data, periods, ["date", *grouped, "factor_quantile"])
+    keys = [*(["group"] if by_group else []), "factor_quantile", "period"]
     if group_adjust:
         long = _demeaned(long, ["date", "group", "period"])
-    elif demeaned:
-        long = _demeaned(long, ["date", "period"])
-    keys = [*(["group"] if by_group else []), "factor_quantile", "period"]
     daily = _summary(long, ["date", *keys], "ret")
+    if demeaned and not group_adjust:
+        # A shift by date moves the means and nothing else: the panel itself is aggregated once.
+        own = Window.partitionBy("date", "period")
+        mean = F.sum(F.col("mean_return") * F.col("count")).over(own) / F.nullif(F.sum("count").over(own), F.lit(0))
+        daily = daily.withColumn("mean_return", F.col("mean_return") - mean)
     return daily if by_date else _summary(daily, keys, "mean_return")
 
 
@@ -155,16 +164,30 @@ def quantile_turnover(quantile_factor: DataFrame, quantile: int, period: int = 1
 
 def factor_rank_autocorrelation(factor_data: DataFrame, period: int = 1) -> DataFrame:
     """date, period, autocorrelation of the ranks of each whole cross-section with those `period` dates ago, over common assets."""
-    lag = as_period(period)
+    return rank_autocorrelations(factor_data, [period])
+
+
+def rank_autocorrelations(factor_data: DataFrame, periods: Sequence[int]) -> DataFrame:
+    """factor_rank_autocorrelation() for several periods: one sort by date for the ranks and one by asset serve all."""
+    lags = [as_period(p) for p in periods]
     dates = sessions_of(factor_data)
     ranked = factor_data.select("date", "asset", finite(F.col("factor")).alias("x")).where("x is not null").withColumn("r", average_rank(["date"], "x"))
-    placed = ranked.join(dates, "date").withColumn("before", F.max("r").over(Window.partitionBy("asset").orderBy("idx").rangeBetween(-lag, -lag)))
-    by = placed.groupBy("idx").agg(pearson(F.col("r"), F.col("before")).alias("c"))
-    return dates.join(by, "idx", "left").select("date", F.lit(f"{lag}D").alias("period"), F.when(F.col("idx") >= lag, F.col("c")).alias("autocorrelation"))
+    own = Window.partitionBy("asset").orderBy("idx")
+    placed = ranked.join(dates, "date").withColumns({f"b{k}": F.max("r").over(own.rangeBetween(-k, -k)) for k in lags})
+    by = placed.groupBy("idx").agg(*[pearson(F.col("r"), F.col(f"b{k}")).alias(f"c{k}") for k in lags])
+    each = F.array(*[F.struct(F.lit(f"{k}D").alias("period"), F.when(F.col("idx") >= k, F.col(f"c{k}")).alias("autocorrelation")) for k in lags])
+    return dates.join(by, "idx", "left").select("date", F.explode(each).alias("x")).select("date", "x.period", "x.autocorrelation")
 
 
 def backshift_returns_series(series: DataFrame, periods: int, value_column: str = "return") -> DataFrame:
-    """date, asset, value with the value of session i + periods at session i of the dates that the series has."""
+    """date, asset, value with the value of session i + periods at session i of the dates that the series has.
+
+    A frame has no order of rows, so its dates stand in ascending order. No asset column is
+    needed; without one the result has none.
+    """
+    if isinstance(periods, bool) or periods <= 0:
+        raise FactorError("periods must be positive")
+    require(series, **{"date": object, value_column: object})
     dates = sessions_of(series)
     later = dates.select(F.col("date").alias("_d"), (F.col("idx") - periods).alias("idx"))
     moved = dates.join(later, "idx").select(F.col("date").alias("_to"), "_d")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.errors import FactorError, MaxLossExceededError
-from quantloom.functions.frames import RETURN_PREFIX, as_period, require, same_dates, sessions_of, validate_factor_frame, validate_prices
+from quantloom.functions.frames import RETURN_PREFIX, as_period, require, same_dates, sessions_of, trusted, validate_factor_frame, validate_prices
 from quantloom.functions.stats import finite
 from quantloom.functions.timeutil import duration_micros, session_label
 
@@ -27,19 +27,28 @@ def check_periods(periods: Sequence[int | str]) -> list[int]:
 
 
 def period_labels(prices: DataFrame, periods: Sequence[int]) -> list[str]:
-    """'<n>D', or the time span of the first valid session pair where sessions lie less than a day apart."""
+    """'<n>D', or the time span of the first valid session pair where sessions lie less than a day apart.
+
+    Of an intraday calendar only the sessions up to the longest period reach the driver.
+    """
     at = F.unix_micros(F.col("date").cast("timestamp"))
-    ordered = prices.select(at.alias("t")).distinct()
-    gap = ordered.select((F.lead("t").over(Window.orderBy("t")) - F.col("t")).alias("g")).agg(F.min("g")).first()[0]
-    if gap is None or gap >= duration_micros("1D"):
+    ordered = prices.select(at.alias("t")).where("t is not null").distinct()
+    day = F.lit(duration_micros("1D"))
+    # Two sessions less than a day apart lie on one day or on two that follow each other: ends of days tell, without a sort of all.
+    days = ordered.groupBy(F.floor(F.col("t") / day).alias("d")).agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    gap = F.lead("first").over(Window.orderBy("d")) - F.col("last")
+    close = days.select(((F.col("last") > F.col("first")) | (gap < day)).alias("close")).agg(F.max("close")).first()[0]
+    if not close:
         return [f"{p}D" for p in periods]
-    # Only intraday calendars get here; their session axis comes to the driver.
-    times = sorted(r[0] for r in ordered.collect())
+    times = [r[0] for r in ordered.orderBy("t").limit(max(periods) + 1).collect()]
     return [session_label(times, p) for p in periods]
 
 
 def compute_forward_returns(factor: DataFrame, prices: DataFrame, periods: Sequence[int] = (1, 5, 10), filter_zscore: float | None = None, cumulative_returns: bool = True, check: bool = True, labels: Sequence[str] | None = None) -> DataFrame:
-    """date, asset and a forward_return_<label> for each period: price k sessions on over the price now, minus 1."""
+    """date, asset and a forward_return_<label> for each period: price k sessions on over the price now, minus 1.
+
+    Labels come from the sessions of the prices unless they are given.
+    """
     periods = check_periods(periods)
     require(factor, date=object, asset=object)
     same_dates(factor, prices)
@@ -48,7 +57,7 @@ def compute_forward_returns(factor: DataFrame, prices: DataFrame, periods: Seque
     if check:
         validate_factor_frame(factor)
         validate_prices(prices)
-    names = [RETURN_PREFIX + x for x in (labels or (period_labels(prices, periods) if check else [f"{p}D" for p in periods]))]
+    names = [RETURN_PREFIX + x for x in (labels or period_labels(prices, periods))]
     rows = prices.select("date", "asset", "price", F.lit(False).alias("asked")).unionByName(factor.select("date", "asset", F.lit(None).cast("double").alias("price"), F.lit(True).alias("asked")))
     placed = rows.join(sessions_of(prices), "date", "left")
     axis = Window.partitionBy("asset").orderBy("idx")
@@ -181,6 +190,7 @@ def get_clean_factor(factor: DataFrame, forward_returns: DataFrame, quantiles: i
         loss = LossReport(*got)
         if loss.total_loss > max_loss:
             raise MaxLossExceededError(f"max_loss ({max_loss:.1%}) exceeded: {loss.total_loss:.1%}")
+        trusted(out, "keys", "quantile")
     return CleanFactorResult(out, loss)
 
 

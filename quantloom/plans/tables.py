@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,7 +108,7 @@ def turnover_series(factor_data: DataFrame, lags: Sequence[int]) -> DataFrame:
 
 def autocorrelation_series(factor_data: DataFrame, lags: Sequence[int]) -> DataFrame:
     """date, period, autocorrelation for all lags."""
-    return reduce(DataFrame.unionByName, [perf.factor_rank_autocorrelation(factor_data, k) for k in lags])
+    return perf.rank_autocorrelations(factor_data, lags)
 
 
 def mean_turnover(series: DataFrame) -> DataFrame:
