@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.errors import FactorError
-from quantloom.functions.frames import check_keys, require, same_dates, sessions_of
+from quantloom.functions.frames import as_count, check_keys, require, same_dates, sessions_of
 from quantloom.functions.stats import finite
 
 
@@ -36,6 +36,7 @@ def _checked(factor_data: DataFrame, returns: DataFrame, grouped: bool, quantile
 
 def event_window(factor_data: DataFrame, returns: DataFrame, periods_before: int = 10, periods_after: int = 15, demeaned: bool = True, group_adjust: bool = False, by_group: bool = False, check: bool = True) -> EventWindow:
     """Wealth rebased to each event's session, averaged by date and quantile, then over dates."""
+    as_count(periods_before, "periods_before"), as_count(periods_after, "periods_after")
     grouped = group_adjust or by_group
     _checked(factor_data, returns, grouped, True, check)
     axis = sessions_of(returns)
@@ -60,15 +61,20 @@ def event_window(factor_data: DataFrame, returns: DataFrame, periods_before: int
     path = dense.withColumn("around", around).where("mark is not null")
     each = path.select("mark.*", F.col("w").alias("base"), F.col("idx").alias("at"), F.explode("around").alias("x"))
     each = each.select("date", *group, "factor_quantile", "event", (F.col("x.idx") - F.col("at")).alias("offset"), (F.col("x.w") / F.col("base") - 1).alias("v"), "x.missing")
-    events = each.where("event").withColumn("extra", F.lit(0).cast("long"))
+    # One aggregation of all paths; the universe's means and the events' are sums of its few rows.
+    parts = each.groupBy("date", *group, "factor_quantile", "event", "offset").agg(F.sum("v").alias("v"), F.count("*").alias("n"), F.sum("missing").alias("missing"))
+    zero = F.lit(0).cast("long")
+    parts = parts.withColumns({"m": F.lit(0.0), "extra": zero, "all_extra": zero})
     if group_adjust:
-        mean = each.groupBy("date", "group", "offset").agg(F.avg("v").alias("m"), F.sum("missing").alias("extra"))
-        events = events.drop("extra").join(mean, ["date", "group", "offset"]).withColumn("v", F.col("v") - F.col("m"))
+        everyone = Window.partitionBy("date", "group", "offset")
+        # What a group's universe lacks counts once for each event that is measured against it.
+        parts = parts.withColumns({"m": F.sum("v").over(everyone) / F.sum("n").over(everyone), "extra": F.sum("missing").over(everyone)})
+    elif demeaned:
+        everyone = Window.partitionBy("date", "offset")
+        parts = parts.withColumns({"m": F.sum("v").over(everyone) / F.sum("n").over(everyone), "all_extra": F.sum("missing").over(everyone)})
     keys = ["factor_quantile", *(["group"] if by_group else [])]
-    paths = events.groupBy("date", *keys, "offset").agg(F.avg("v").alias("v"), F.count("*").alias("used"), F.sum(F.col("missing") + F.col("extra")).alias("missing"))
-    if demeaned and not group_adjust:
-        mean = each.groupBy("date", "offset").agg(F.avg("v").alias("m"), F.sum("missing").alias("extra"))
-        paths = paths.join(mean, ["date", "offset"]).withColumns({"v": F.col("v") - F.col("m"), "missing": F.col("missing") + F.col("extra")})
+    moved = F.sum(F.col("v") - F.col("n") * F.col("m")) / F.sum("n")
+    paths = parts.where("event").groupBy("date", *keys, "offset").agg(moved.alias("v"), F.sum("n").alias("used"), (F.sum(F.col("missing") + F.col("n") * F.col("extra")) + F.max("all_extra")).alias("missing"))
     frame = paths.groupBy(*keys, "offset").agg(F.avg("v").alias("mean_cumulative_return"), F.stddev_samp("v").alias("std_cumulative_return"), F.count("*").alias("count"))
     return EventWindow(frame.select(*keys, "offset", "mean_cumulative_return", "std_cumulative_return", "count"), _coverage(rows, dense, paths, periods_before, periods_after))
 
@@ -117,6 +123,7 @@ def _summed(values: DataFrame, keys: Sequence[str], by_date: bool, demeaned: boo
 
 def common_start_returns(factor_data: DataFrame, returns: DataFrame, periods_before: int, periods_after: int, cumulative: bool = False, mean_by_date: bool = False, demeaned: bool = False, check: bool = True) -> DataFrame:
     """offset, mean, std, count of values aligned on the sessions of factor rows; returns are compounded by asset unless cumulative."""
+    as_count(periods_before, "periods_before"), as_count(periods_after, "periods_after")
     _checked(factor_data, returns, False, False, check)
     rows = factor_data.where(finite(F.col("factor")).isNotNull()).select("date", "asset")
     return _summed(_aligned(rows, returns, periods_before, periods_after, cumulative), [], mean_by_date, demeaned)
@@ -126,6 +133,7 @@ def average_cumulative_return_by_quantile_from_prices(factor_data: DataFrame, re
     """As average_cumulative_return_by_quantile(), with values taken as they are and demeaned by the whole universe."""
     if group_adjust or by_group:
         raise FactorError("groups aren't supported here")
+    as_count(periods_before, "periods_before"), as_count(periods_after, "periods_after")
     _checked(factor_data, returns, False, True, check)
     rows = factor_data.where(finite(F.col("factor")).isNotNull() & (F.col("factor_quantile") > 0)).select("date", "asset", "factor_quantile")
     out = _summed(_aligned(rows, returns, periods_before, periods_after, True), ["factor_quantile"], True, demeaned)

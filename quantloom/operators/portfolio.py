@@ -6,26 +6,43 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.errors import FactorError
-from quantloom.functions.frames import as_period, check_keys, require, sessions_of
+from quantloom.functions.frames import MAX_COUNT, as_period, check_keys, require, same_facts, sessions_of
 from quantloom.functions.stats import finite, ratio
 from quantloom.operators.performance import factor_returns, factor_weights
 
 CASH = "cash"
 
 
+def _or_error(value: Column, ok: Column, message: str) -> Column:
+    """value where ok holds, else an error when the row is computed."""
+    return F.when(ok, value).otherwise(F.raise_error(F.lit(message)).cast("double"))
+
+
 def cumulative_returns(returns: DataFrame) -> DataFrame:
-    """date, [period], cumulative_return: running product of 1 + return, missing as 0. A window over dates, not assets."""
+    """date, [period], cumulative_return: running product of 1 + return, missing as 0. A window over dates, not assets.
+
+    Rows with a null date, a null or wrong period, a repeated key or wealth that isn't finite
+    are errors when they are computed.
+    """
     value = next((c for c in ("return", "factor_return") if c in returns.columns), None)
     if value is None:
         raise FactorError("a return column is needed")
     keys = ["period"] if "period" in returns.columns else []
-    own = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*keys).orderBy("date")
+    own = order.rowsBetween(Window.unboundedPreceding, 0)
     grown = F.product(1 + F.coalesce(finite(F.col(value)), F.lit(0.0))).over(own)
-    return returns.select("date", *keys, grown.alias("cumulative_return"))
+    known = F.col("date").isNotNull()
+    if keys:
+        number = F.regexp_extract("period", "^([1-9][0-9]{0,9})D$", 1).try_cast("bigint")
+        known &= F.coalesce(number.between(1, MAX_COUNT), F.lit(False))
+    out = returns.select("date", *keys, grown.alias("w"), known.alias("known"), F.coalesce(F.lag("date").over(order) == F.col("date"), F.lit(False)).alias("again"))
+    w = _or_error(F.col("w"), F.col("known"), "dates must be there, and periods be '<n>D'")
+    w = _or_error(w, ~F.col("again"), "keys of returns must be unique")
+    return out.select("date", *keys, _or_error(w, finite(F.col("w")).isNotNull(), "wealth must remain finite").alias("cumulative_return"))
 
 
 def filter_portfolio(factor_data: DataFrame, quantiles: Sequence[int] | None = None, groups: Sequence[str] | None = None, check: bool = True) -> DataFrame:
@@ -41,7 +58,7 @@ def filter_portfolio(factor_data: DataFrame, quantiles: Sequence[int] | None = N
         out = out.where(F.col(name).isin(values))
     if check and out is not factor_data and out.isEmpty():
         raise FactorError("no rows are left by the filter")
-    return out
+    return same_facts(factor_data, out)
 
 
 def _one_period(returns: DataFrame, period: int) -> DataFrame:
@@ -58,48 +75,73 @@ def factor_cumulative_returns(factor_data: DataFrame, period: int | str, long_sh
     p = as_period(period)
     _needs_period(factor_data, p)
     kept = filter_portfolio(factor_data, quantiles, groups, check)
-    return cumulative_returns(_one_period(factor_returns(kept, long_short, group_neutral, equal_weight), p))
+    return cumulative_returns(_one_period(factor_returns(kept, long_short, group_neutral, equal_weight, check=check), p))
+
+
+def _axis(sessions: DataFrame, check: bool) -> DataFrame:
+    """(date, idx) of a frame of sessions: one column, date, without nulls or repeats."""
+    if sessions.columns != ["date"]:
+        raise FactorError("sessions must have the column date alone")
+    if check:
+        check_keys(sessions, ["date"])
+    return sessions_of(sessions)
 
 
 def positions(weights: DataFrame, period: int | str, sessions: DataFrame | None = None, check: bool = True) -> DataFrame:
     """date, asset, position on every session: sleeves live for `period` sessions, summed, over their gross, and cash.
 
     The grid of assets and sessions is the result itself; it comes from the assets and
-    the number of sessions, not from a cross join.
+    the number of sessions, not from a cross join. Sums that aren't finite are errors when
+    they are computed.
     """
     p = as_period(period)
     require(weights, date=object, asset=object, weight=object)
-    axis = sessions_of(weights if sessions is None else sessions)
+    axis = sessions_of(weights) if sessions is None else _axis(sessions, check)
     if check:
-        if sessions is not None and sessions.count() != sessions.distinct().count():
-            raise FactorError("sessions must be unique")
         bad = F.col("weight").isNull() | finite(F.col("weight")).isNull() | (F.col("asset") == CASH)
         check_keys(weights, ["date", "asset"], bad, "weights must be finite and no asset may be named cash")
         if not weights.join(axis, "date", "left_anti").isEmpty():
             raise FactorError("every trade date must be in the sessions")
+    return _positions(weights, weights.select("asset"), axis, p)
+
+
+def _positions(weights: DataFrame, assets: DataFrame, axis: DataFrame, p: int) -> DataFrame:
+    """positions() of sleeves; the grid's empty cells are summed with the weights, so that both are dealt once."""
     n = axis.count()
-    live = weights.join(axis, "date").select("asset", "weight", F.explode(F.sequence("idx", F.least(F.col("idx") + p - 1, F.lit(n - 1)))).alias("idx"))
-    held = live.groupBy("idx", "asset").agg(F.sum("weight").alias("w"))
-    held = held.withColumn("position", F.coalesce(ratio(F.col("w"), F.sum(F.abs("w")).over(Window.partitionBy("idx"))), F.lit(0.0))).select("idx", "asset", "position")
-    grid = weights.select("asset").distinct().select("asset", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("idx")) if n else weights.select("asset", F.lit(0).alias("idx")).limit(0)
-    filled = grid.join(held, ["idx", "asset"], "left").select("idx", "asset", F.coalesce("position", F.lit(0.0)).alias("position"))
-    net = held.groupBy("idx").agg(F.sum("position").alias("net"))
-    cash = axis.join(net, "idx", "left").select("idx", F.lit(CASH).alias("asset"), (1 - F.coalesce("net", F.lit(0.0))).alias("position"))
-    return filled.unionByName(cash).join(axis, "idx").select("date", "asset", "position")
+    live = weights.join(axis, "date").select(F.explode(F.sequence("idx", F.least(F.col("idx") + p - 1, F.lit(n - 1)))).alias("idx"), "asset", "weight")
+    grid = assets.distinct().select(F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("idx"), "asset", F.lit(0.0).alias("weight"))
+    total = F.sum("weight")
+    held = grid.unionByName(live).groupBy("idx", "asset").agg(_or_error(total, finite(total).isNotNull(), "active weights must sum to finite values").alias("w"))
+    by = held.groupBy("idx").agg(F.sum(F.abs("w")).alias("gross"), F.sum("w").alias("sum"))
+    gross = _or_error(F.col("gross"), finite(F.col("gross")).isNotNull(), "gross exposure must remain finite")
+    by = axis.join(by, "idx", "left").select("idx", "date", gross.alias("gross"), "sum")
+    filled = held.join(by, "idx").select("date", "asset", F.coalesce(ratio(F.col("w"), F.col("gross")), F.lit(0.0)).alias("position"))
+    cash = by.select("date", F.lit(CASH).alias("asset"), (1 - F.coalesce(ratio(F.col("sum"), F.col("gross")), F.lit(0.0))).alias("position"))
+    return filled.unionByName(cash)
 
 
 def factor_positions(factor_data: DataFrame, period: int | str, long_short: bool = True, group_neutral: bool = False, equal_weight: bool = False, quantiles: Sequence[int] | None = None, groups: Sequence[str] | None = None, sessions: DataFrame | None = None, check: bool = True) -> DataFrame:
-    """Positions of the factor weights; a date without gross exposure is an error."""
+    """Positions of the factor weights; a date without gross exposure is an error.
+
+    Dates and assets are those of the rows with a factor, so the weights stand in the plan
+    once; what is wrong with a weight shows when it is computed.
+    """
     p = as_period(period)
     _needs_period(factor_data, p)
-    weights = factor_weights(filter_portfolio(factor_data, quantiles, groups, check), long_short, group_neutral, equal_weight)
-    return positions(weights.select("date", "asset", "weight"), p, sessions, check)
+    kept = filter_portfolio(factor_data, quantiles, groups, check)
+    rows = kept.where(finite(F.col("factor")).isNotNull())
+    weights = factor_weights(kept, long_short, group_neutral, equal_weight, check).select("date", "asset", "weight")
+    weight = _or_error(F.col("weight"), finite(F.col("weight")).isNotNull() & (F.col("asset") != CASH), "weights must be finite and no asset may be named cash")
+    axis = sessions_of(rows) if sessions is None else _axis(sessions, check)
+    if sessions is not None and check and not rows.select("date").distinct().join(axis, "date", "left_anti").isEmpty():
+        raise FactorError("every trade date must be in the sessions")
+    return _positions(weights.withColumn("weight", weight), rows.select("asset"), axis, p)
 
 
 def overlapping_daily_wealth(returns: DataFrame, period: int | str, sessions: DataFrame | None = None) -> DataFrame:
     """date, cumulative_return before each session: sleeves earn (1 + r) ** (1 / p) - 1 a session, for p sessions, and are averaged."""
     p = as_period(period)
-    axis = sessions_of(returns if sessions is None else sessions)
+    axis = sessions_of(returns) if sessions is None else _axis(sessions, True)
     daily = F.when(F.col("r") >= -1, F.power(1 + F.col("r"), F.lit(1.0 / p)) - 1).otherwise(F.raise_error(F.lit("a return under -1 has no daily equivalent")).cast("double"))
     sleeves = returns.select("date", finite(F.col("factor_return")).alias("r")).where("r is not null").join(axis, "date").select("idx", daily.alias("d"))
     live = sleeves.select(F.explode(F.sequence("idx", F.col("idx") + p - 1)).alias("idx"), "d").groupBy("idx").agg(F.avg("d").alias("d"))
@@ -139,7 +181,7 @@ def create_pyfolio_input(factor_data: DataFrame, period: int | str, capital: flo
         wealth = factor_cumulative_returns(factor_data, p, **options).select("date", "cumulative_return")
     else:
         _needs_period(factor_data, p)
-        own = factor_returns(filter_portfolio(factor_data, quantiles, groups, check), long_short, group_neutral, equal_weight)
+        own = factor_returns(filter_portfolio(factor_data, quantiles, groups, check), long_short, group_neutral, equal_weight, check=check)
         wealth = overlapping_daily_wealth(_one_period(own, p), p, sessions)
     held = factor_positions(factor_data, p, sessions=sessions, **options)
     if capital is not None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.functions.frames import trusted
 from quantloom.operators.prep import compute_forward_returns, get_clean_factor
 
 PERIODS = (1, 5, 10)
@@ -35,9 +36,10 @@ def price_frame(panel: DataFrame) -> DataFrame:
 
 def clean_panel(spark: SparkSession, sf_dir: str, filter_zscore: float | None = None, **options) -> DataFrame:
     """Clean factor data of the supplier panel with returns over 1, 5 and 10 sessions."""
-    panel = supplier_panel(spark, sf_dir)
-    returns = compute_forward_returns(factor_frame(panel), price_frame(panel), PERIODS, filter_zscore, check=False)
-    return get_clean_factor(factor_frame(panel), returns, check=False, **options).frame
+    # Factors and prices come from one panel, which is aggregated once; months are days apart, and its keys and groups are there by how it is made.
+    panel = supplier_panel(spark, sf_dir).persist()
+    returns = compute_forward_returns(factor_frame(panel), price_frame(panel), PERIODS, filter_zscore, check=False, labels=[f"{p}D" for p in PERIODS])
+    return trusted(get_clean_factor(factor_frame(panel), returns, check=False, **options).frame)
 
 
 def user_day_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
