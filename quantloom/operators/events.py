@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.errors import FactorError
-from quantloom.functions.frames import as_count, check_keys, require, same_dates, sessions_of
+from quantloom.functions.frames import as_count, check_keys, require, same_dates, sessions_of, validate_factor_data
 from quantloom.functions.stats import finite
 
 
@@ -31,6 +31,7 @@ def _checked(factor_data: DataFrame, returns: DataFrame, grouped: bool, quantile
     require(returns, date=object, asset=object, **{"return": object})
     same_dates(factor_data, returns)
     if check:
+        validate_factor_data(factor_data, group=grouped, returns=False)
         check_keys(returns, ["date", "asset"])
 
 

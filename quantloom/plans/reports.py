@@ -397,7 +397,7 @@ def create_event_study_tear_sheet_data(factor_data: DataFrame, returns: DataFram
     """Long-only means by bucket, dates of the events and, with `returns`, cumulative returns around them."""
     if isinstance(n_bars, bool) or n_bars < 1:
         raise FactorError("the number of bars must be positive")
-    validate_factor_data(factor_data, quantile=True)
+    validate_factor_data(factor_data, quantile=True, check=check)
     mean: Callable[..., DataFrame] = tables.mean_by_quantile if rate_of_ret else tables.raw_mean_by_quantile
     made = {
         "quantile.statistics": tables.quantile_statistics(factor_data),

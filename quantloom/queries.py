@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.functions.frames import melted
+from quantloom.functions.frames import melted, trusted
 from quantloom.functions.stats import t_test, with_p_value
 from quantloom.operators import events as ev
 from quantloom.operators import performance as perf
@@ -243,12 +243,24 @@ on_clean(
     lambda d: pf.factor_cumulative_returns(d, 5, quantiles=[1, 5], check=False),
 )
 #: Returns of the small panel can be under -1, which has no daily equivalent; a tenth of them can't.
-_TENTH = lambda d: d.withColumns({c: F.col(c) * 0.1 for c in ("forward_return_1D", "forward_return_5D")})
+_TENTH = lambda d: trusted(d.withColumns({c: F.col(c) * 0.1 for c in ("forward_return_1D", "forward_return_5D")}))
 _SLEEVES = RETURNS + AXIS + """, sl AS (SELECT idx, pow(1 + 0.1 * factor_return, 1 / 5.0) - 1 AS d FROM freturns JOIN axis USING (date) WHERE period = '5D' AND factor_return IS NOT NULL),
 lv AS (SELECT idx, avg(d) AS d FROM (SELECT unnest(range(idx, idx + 5)) AS idx, d FROM sl) GROUP BY 1),
 wealth AS (SELECT date, idx, coalesce(product(1 + coalesce(d, 0)) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS cumulative_return FROM axis LEFT JOIN lv USING (idx))"""
 on_clean("p18_pyfolio_returns", _SLEEVES + ' SELECT date, coalesce(cumulative_return / lag(cumulative_return) OVER (ORDER BY date) - 1, 0) AS "return" FROM wealth', lambda d: pf.create_pyfolio_input(_TENTH(d), 5, check=False).returns)
 on_clean("p18_pyfolio_positions", _SLEEVES + HELD + " SELECT date, asset, position * cumulative_return * 1000000 AS position FROM allpos JOIN wealth USING (date)", lambda d: pf.create_pyfolio_input(_TENTH(d), 5, 1_000_000.0, check=False).positions)
+on_clean(
+    "p18_pyfolio_benchmark",
+    """, w AS (SELECT date, sign(factor) / nullif(sum(abs(sign(factor))) OVER (PARTITION BY date), 0) * r1 AS x FROM clean), f AS (SELECT date, sum(x) AS r FROM w GROUP BY 1),
+    g AS (SELECT date, product(1 + coalesce(r, 0)) OVER (ORDER BY date) AS c FROM f) SELECT date, coalesce(c / lag(c) OVER (ORDER BY date) - 1, 0) AS benchmark FROM g""",
+    lambda d: pf.create_pyfolio_input(d, 1, check=False).benchmark,
+)
+on_clean(
+    "v7_group_filter",
+    """, k AS (SELECT * FROM clean WHERE "group" IN ('NATION_1', 'NATION_2', 'NATION_3')), s AS (SELECT *, factor - avg(factor) OVER (PARTITION BY date) AS s FROM k), w AS (SELECT date, s / nullif(sum(abs(s)) OVER (PARTITION BY date), 0) * r1 AS x FROM s),
+    f AS (SELECT date, sum(x) AS r FROM w GROUP BY 1) SELECT date, '1D' AS period, product(1 + coalesce(r, 0)) OVER (ORDER BY date) AS cumulative_return FROM f""",
+    lambda d: pf.factor_cumulative_returns(d, 1, groups=["NATION_1", "NATION_2", "NATION_3"], check=False),
+)
 on_clean("p19_overlapping_wealth", _SLEEVES + " SELECT date, cumulative_return FROM wealth", lambda d: pf.overlapping_daily_wealth(perf.factor_returns(_TENTH(d)).where("period = '5D'"), 5))
 
 _PATHS = MOVES + """, dense AS (
@@ -352,7 +364,18 @@ on_clean(
     lambda d: t_test(perf.factor_information_coefficient(d), ["period"], "ic"),
 )
 on_clean("a7_ic_p_values", None, lambda d: with_p_value(t_test(perf.factor_information_coefficient(d), ["period"], "ic")))
-on_clean("r1_returns_summary", None, lambda d: tables.returns_summary(d))
+_FIT = """, u AS (SELECT date, period, avg(ret) AS x FROM long GROUP BY 1, 2), ab AS (SELECT period, regr_intercept(factor_return, x) AS alpha, regr_slope(factor_return, x) AS beta, CAST(regr_count(factor_return, x) AS BIGINT) AS count FROM freturns JOIN u USING (date, period) GROUP BY 1)"""
+on_clean(
+    "r1_returns_summary",
+    RETURNS + DEMEANED + _FIT + """, mq AS (SELECT factor_quantile, period, avg(mean_return) AS m, count(mean_return) AS c FROM dayq GROUP BY 1, 2),
+    rq AS (SELECT factor_quantile, period, c, CASE WHEN period = '1D' THEN m WHEN 1 + m >= 0 THEN pow(1 + m, 1.0 / CAST(rtrim(period, 'D') AS INTEGER)) - 1 END AS m FROM mq),
+    o AS (SELECT t.period, t.m AS top, t.c AS nt, b.m AS bottom, b.c AS nb FROM rq t JOIN rq b ON t.period = b.period AND t.factor_quantile = 5 AND b.factor_quantile = 1)
+    SELECT 'alpha_raw' AS metric, period, alpha AS value, count FROM ab
+    UNION ALL SELECT 'alpha_annualized', period, CASE WHEN alpha > -1 THEN pow(1 + alpha, 252.0 / CAST(rtrim(period, 'D') AS INTEGER)) - 1 END, count FROM ab
+    UNION ALL SELECT 'beta', period, beta, count FROM ab UNION ALL SELECT 'top_quantile_mean', period, top, nt FROM o
+    UNION ALL SELECT 'bottom_quantile_mean', period, bottom, nb FROM o UNION ALL SELECT 'mean_spread', period, top - bottom, least(nt, nb) FROM o""",
+    lambda d: reports.create_returns_tear_sheet_data(d).table("returns.summary"),
+)
 on_clean(
     "a15_ic_histogram",
     ", " + _ranked("date, period") + f""", i AS (SELECT date, period, {_CORR.format(x='rx', y='ry')} AS ic FROM rk GROUP BY 1, 2)
@@ -376,6 +399,18 @@ on_clean(
     lambda d: reports.create_returns_tear_sheet_data(d).table("returns.daily_spread"),
 )
 on_clean("r2_ic_monthly", IC + " SELECT date_trunc('month', date)::TIMESTAMP AS date, period, avg(ic) AS mean_ic, CAST(count(ic) AS INTEGER) AS count FROM i WHERE ic IS NOT NULL GROUP BY 1, 2", lambda d: reports.create_information_tear_sheet_data(d).table("information.ic_monthly"))
+on_clean(
+    "r2_ic_summary",
+    IC + """, m AS (SELECT *, avg(ic) OVER (PARTITION BY period) AS mu FROM i)
+    SELECT period, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(ic) / stddev_samp(ic) AS risk_adjusted_ic, avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) AS t_stat, avg(pow(ic - mu, 3)) / pow(var_pop(ic), 1.5) AS skew,
+    avg(pow(ic - mu, 4)) / pow(var_pop(ic), 2) - 3 AS excess_kurtosis, count(ic) AS count FROM m GROUP BY 1""",
+    lambda d: reports.create_information_tear_sheet_data(d).table("information.summary").drop("p_value"),
+)
+on_clean(
+    "r2_qq_observed",
+    IC + """ SELECT period, CAST(row_number() OVER (PARTITION BY period ORDER BY ic) - 1 AS INTEGER) AS position, (ic - avg(ic) OVER (PARTITION BY period)) / stddev_samp(ic) OVER (PARTITION BY period) AS observed FROM i WHERE ic IS NOT NULL""",
+    lambda d: reports.create_information_tear_sheet_data(d).table("information.qq_normal").drop("theoretical"),
+)
 on_clean("r2_qq_normal", None, lambda d: reports.create_information_tear_sheet_data(d).table("information.qq_normal"))
 on_clean(
     "r3_mean_turnover",
@@ -384,6 +419,17 @@ on_clean(
     SELECT factor_quantile, k || 'D' AS period, avg(s) AS turnover, count(s) AS count FROM t GROUP BY 1, 2""",
     lambda d: reports.create_turnover_tear_sheet_data(d, [1, 3]).table("turnover.mean_by_quantile"),
 )
+
+
+@query(
+    "r6_event_returns_table",
+    CLEAN + _PATHS + """, p AS (SELECT date, factor_quantile, off, avg(v) AS v FROM e GROUP BY 1, 2, 3), u AS (SELECT date, off, avg(v) AS m FROM e GROUP BY 1, 2)
+    SELECT factor_quantile, off AS "offset", avg(v - m) AS mean_cumulative_return, stddev_samp(v - m) AS std_cumulative_return, count(*) AS count FROM p JOIN u USING (date, off) GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    return reports.create_event_returns_tear_sheet_data(bridge.clean_panel(spark, sf), bridge.price_frame(bridge.supplier_panel(spark, sf)), (3, 5)).table("events.average_cumulative_returns")
+
+
 on_clean(
     "r7_event_distribution",
     """, b AS (SELECT min(epoch_us(date)) AS lo, max(epoch_us(date)) AS hi FROM clean), e AS (SELECT i AS bin, lo + (hi - lo) * i // 50 AS start, lo + (hi - lo) * (i + 1) // 50 AS stop FROM b, range(50) r(i))
