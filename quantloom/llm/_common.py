@@ -82,6 +82,17 @@ def intermediates(spark: SparkSession) -> Iterator[list[DataFrame]]:
             remove(spark, path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns c0, c1 and so on, which clash with no working column, and the new name of each."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def restored(df: DataFrame, names: dict[str, str], **changed: Column) -> DataFrame:
+    """The columns that numbered() renamed under their own names, those in `changed` with new values."""
+    return df.select(*[changed.get(c, F.col(n)).alias(c) for c, n in names.items()])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once, also inside lambdas of body."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

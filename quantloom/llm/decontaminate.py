@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm._common import discard, lcp, let, materialize
+from quantloom.llm._common import discard, lcp, let, materialize, numbered, restored
 
 SPAN = 13
 GRAM = 6
@@ -225,8 +225,12 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated; null and empty texts have no words and stay, repeated rows are judged alike."""
-    return contamination(docs, benchmark).where(~F.col("contaminated")).select(*docs.columns)
+    """The rows of docs that are not contaminated, in its columns, whatever their names.
+
+    Null and empty texts have no words and stay; repeated rows are judged alike.
+    """
+    renamed, names = numbered(docs)
+    return restored(contamination(renamed, benchmark, names["text"]).where(~F.col("contaminated")), names)
 
 
 __all__ = ["bench_words", "bit_table", "contamination", "digest", "discard", "gram_hashes", "hits", "stage", "winnow_places"]

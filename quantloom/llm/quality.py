@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm._common import ASCII_SPACE, let, words_of
+from quantloom.llm._common import ASCII_SPACE, let, numbered, restored, words_of
 
 SYMBOLS = "#*$%&|<>"
-#: Phrases of page furniture and licence lines.
+#: Phrases of page furniture and licence lines in English, German, French and Spanish, of ASCII letters.
 BOILERPLATE = (
     "all rights reserved",
     "licensed under",
@@ -22,8 +22,11 @@ BOILERPLATE = (
     "terms of use",
     "terms of service",
     "privacy policy",
-    "cookie",
-    "javascript",
+    "uses? cookies",
+    "accept (?:all )?cookies",
+    "cookie (?:policy|notice|settings|consent)",
+    "enable javascript",
+    "javascript is (?:disabled|required)",
     "click here",
     "sign in",
     "log in",
@@ -31,6 +34,21 @@ BOILERPLATE = (
     "share this",
     "powered by",
     "copyright",
+    "alle rechte vorbehalten",
+    "datenschutzerkl",
+    "impressum",
+    "nutzungsbedingungen",
+    "hier klicken",
+    "verwendet cookies",
+    "tous droits r",
+    "politique de confidentialit",
+    "conditions d'utilisation",
+    "cliquez ici",
+    "utilise des cookies",
+    "todos los derechos reservados",
+    "aviso legal",
+    "haga clic",
+    "utiliza cookies",
 )
 #: A line that ends in punctuation.
 ENDS = r"""[.!?…:;,"'”’»)\]][\x20\x09-\x0D]*\z"""
@@ -45,8 +63,8 @@ def repeat_words(words: Column) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    """Windows are compared by a 64-bit hash. Equal hashes are found by array_distinct; only
-    arrays that have some are sorted to find where, so the work is n log n at most.
+    """Equal hashes are found by array_distinct; only arrays that have some are sorted by hash
+    and words to find where, so the work is n log n at most and words decide.
     """
     n = F.size(words)
     at = lambda i, k: F.get(words, i + k)
@@ -55,24 +73,18 @@ def _repeat_words(words: Column) -> Column:
     )
 
     def places(h: Column) -> Column:
-        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+        windows = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), F.slice(words, i + 1, WINDOW).alias("w"), i.alias("p"))))
 
         def twice(s: Column) -> Column:
-            own = lambda j: F.get(s, j)["h"]
-            dup = F.filter(
-                F.sequence(F.lit(0), F.size(s) - 1),
-                lambda j: F.coalesce(own(j) == own(j - 1), F.lit(False)) | F.coalesce(own(j) == own(j + 1), F.lit(False)),
-            )
+            same = lambda a, b: F.coalesce((F.get(s, a)["h"] == F.get(s, b)["h"]) & (F.get(s, a)["w"] == F.get(s, b)["w"]), F.lit(False))
+            dup = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: same(j, j - 1) | same(j, j + 1))
             return F.sort_array(F.transform(dup, lambda j: F.get(s, j)["p"]))
 
-        return let(pairs, twice)
+        return let(windows, twice)
 
     def covered(p: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(0), F.size(p) - 1),
-            F.lit(0),
-            lambda acc, i: acc + F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - F.get(p, i), F.lit(WINDOW))),
-        )
+        step = lambda acc, i: acc + F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - F.get(p, i), F.lit(WINDOW)))
+        return F.when(F.size(p) == 0, 0).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(p) - 1), F.lit(0), step))
 
     return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(places(h), covered)))
 
@@ -136,9 +148,10 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """Kept documents with their failing lines removed, in the columns of docs."""
-    out = clean_lines(docs).where("kept").withColumns({"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")})
-    return out.select(*docs.columns)
+    """Kept documents with their failing lines removed and n_chars counted anew, in the columns of docs, whatever their names."""
+    renamed, names = numbered(docs)
+    out = clean_lines(renamed, names["text"]).where("kept")
+    return restored(out, names, text=F.col("clean_text"), n_chars=F.length("clean_text").cast("long"))
 
 
 #: The same as digest() for DuckDB.
@@ -176,6 +189,6 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.5 AS kept, CAST(lost AS DOUBLE) AS lost
 FROM v
-""".replace("@PHRASES", PHRASES).replace("@ENDS", ENDS.replace("'", "''"))
+""".replace("@PHRASES", PHRASES.replace("'", "''")).replace("@ENDS", ENDS.replace("'", "''"))
 
 __all__ = ["ASCII_SPACE", "clean_lines", "digest", "line_fault", "repeat_words", "stage"]

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm._common import apart, let, materialize, no_spans, replaced, spans_of
+from quantloom.llm._common import apart, let, materialize, no_spans, numbered, replaced, restored, spans_of
 
 # Fixed values of the base patterns; quantifiers are possessive or anchored where that changes no match.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]++"""
@@ -184,11 +184,9 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataF
 
     All rows and columns stay, whatever their names; null texts stay null.
     """
-    # Numbered names can't clash with those of the scan.
-    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    out = scan(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names[text])
-    new = replaced(names[text], f"concat({', '.join(KINDS)})", mark)
-    return out.select(*[(new if c == text else F.col(n)).alias(c) for c, n in names.items()])
+    renamed, names = numbered(docs)
+    out = scan(renamed, names[text])
+    return restored(out, names, **{text: replaced(names[text], f"concat({', '.join(KINDS)})", mark)})
 
 
 def stage(docs: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm._common import discard, materialize
+from quantloom.llm._common import discard, materialize, numbered, restored
 
 RADIUS = 3
 SHINGLE = 3
@@ -293,11 +293,13 @@ def stage(docs: DataFrame) -> DataFrame:
 
     Ids may be null or repeated, so rows are told apart by 96 bits of hashes of id and
     text; of one component's rows with the same smallest id, that of the smallest hash stays.
-    Copies go inside each task before rows are dealt by these hashes.
+    Copies go inside each task before rows are dealt by these hashes. Null and empty texts
+    are near-duplicates of each other. Columns keep their names and values, whatever they are.
     """
-    key = ["_key64", "_key32"]
-    marked = docs.withColumns({"_key64": F.xxhash64("doc_id", "text"), "_key32": F.hash("doc_id", "text")})
-    own = with_fingerprint(marked.select("doc_id", "text", *key)).drop("text")
-    fps = materialize(own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *key)).alias("low")).transform(with_pivots), "distinct")
-    kept = _rooted(fps).groupBy("root").agg(F.min("low").alias("low")).select("low._key64", "low._key32").distinct()
-    return marked.dropDuplicates(key).join(kept, key).select(*docs.columns)
+    renamed, names = numbered(docs)
+    doc_id, text, key = names["doc_id"], names["text"], ["key64", "key32"]
+    marked = renamed.withColumns({"key64": F.xxhash64(doc_id, text), "key32": F.hash(doc_id, text)})
+    own = with_fingerprint(marked.select(doc_id, text, *key), text).drop(text)
+    fps = materialize(own.groupBy("fp").agg(F.min(F.struct(F.col(doc_id).isNull().alias("last"), doc_id, *key)).alias("low")).transform(with_pivots), "distinct")
+    kept = _rooted(fps).groupBy("root").agg(F.min("low").alias("low")).select("low.key64", "low.key32").distinct()
+    return restored(marked.dropDuplicates(key).join(kept, key), names)

@@ -552,6 +552,31 @@ def test_boilerplate_phrases_start_at_a_word(spark):
     assert [got[x] for x in lines] == [None, None, "boilerplate", "boilerplate"]
 
 
+CLASHES = ["_t", "_w", "_h", "_b", "_hit", "_rid", "_q_text", "_q_words", "_tok", "_cand", "_own", "_xid", "random", "assign", "email", "xname", "fp", "n_tokens", "ids", "bucket", "batch", "_rank", "_tie", "c0", "pivots", "items", "n_words", "kept", "lost", "key64", "low", "a b"]
+
+
+def test_extra_columns_of_any_name(spark, docs):
+    """Working columns of the operators as columns of the input: digests stay as they are, stages pass them through."""
+    plain = docs.drop("kept")
+    odd = plain.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in CLASHES})
+    bench = spark.createDataFrame([(1, TEXTS[9])], "item_id long, text string")
+    rows = lambda df: Counter(tuple(map(str, r)) for r in df.select(*sorted(df.columns)).collect())
+    for digest in (quality.digest, pii.digest, secrets.digest, simhash.digest, packing.digest, tokens.digest, repair.digest, lambda d: decontaminate.digest(d, bench)):
+        assert rows(digest(odd)) == rows(digest(plain))
+    for stage in (quality.stage, secrets.stage, simhash.stage, lambda d: decontaminate.stage(d, bench)):
+        out = stage(odd)
+        assert out.columns == odd.columns and rows(out.drop(*CLASHES)) == rows(stage(plain))
+        assert all(r[c] == f"{c} of {r['doc_id']}" for r in out.collect() for c in CLASHES)
+
+
+def test_repeated_windows_are_compared_by_words(spark, monkeypatch):
+    """Where all hashes are equal, words alone decide."""
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: F.lit(1).cast("long") + F.length(c[0]) * 0)
+    texts = ["a b c d e x a b c d e", "a b c d e f g h i j k l", "p q r s t p q r s t p q r s t", "one two"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", quality.repeat_words(F.split("t", " ")).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in got} == {0: 10, 1: 0, 2: 15, 3: 0}
+
+
 def test_encoder_with_other_white_space_that_makes_up_for_surplus():
     from tokenizers import Tokenizer
 
