@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.functions.frames import melted, trusted
+from quantloom.functions.frames import melted
 from quantloom.functions.stats import t_test, with_p_value
 from quantloom.operators import events as ev
 from quantloom.operators import performance as perf
@@ -242,13 +242,18 @@ on_clean(
     f AS (SELECT date, sum(x) AS r FROM w GROUP BY 1) SELECT date, '5D' AS period, product(1 + coalesce(r, 0)) OVER (ORDER BY date) AS cumulative_return FROM f""",
     lambda d: pf.factor_cumulative_returns(d, 5, quantiles=[1, 5], check=False),
 )
-#: Returns of the small panel can be under -1, which has no daily equivalent; a tenth of them can't.
-_TENTH = lambda d: trusted(d.withColumns({c: F.col(c) * 0.1 for c in ("forward_return_1D", "forward_return_5D")}))
-_SLEEVES = RETURNS + AXIS + """, sl AS (SELECT idx, pow(1 + 0.1 * factor_return, 1 / 5.0) - 1 AS d FROM freturns JOIN axis USING (date) WHERE period = '5D' AND factor_return IS NOT NULL),
+#: Weights without short sides: sleeves can't lose more than they hold, which the small panel's long-short ones can.
+_LONG = """, weights AS (SELECT date, asset, factor / nullif(sum(abs(factor)) OVER (PARTITION BY date), 0) AS weight FROM clean),
+freturns AS (SELECT date, sum(weight * r5) AS factor_return FROM clean JOIN weights USING (date, asset) GROUP BY 1)"""
+_SLEEVES = _LONG + AXIS + """, sl AS (SELECT idx, pow(1 + factor_return, 1 / 5.0) - 1 AS d FROM freturns JOIN axis USING (date) WHERE factor_return IS NOT NULL),
 lv AS (SELECT idx, avg(d) AS d FROM (SELECT unnest(range(idx, idx + 5)) AS idx, d FROM sl) GROUP BY 1),
 wealth AS (SELECT date, idx, coalesce(product(1 + coalesce(d, 0)) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS cumulative_return FROM axis LEFT JOIN lv USING (idx))"""
-on_clean("p18_pyfolio_returns", _SLEEVES + ' SELECT date, coalesce(cumulative_return / lag(cumulative_return) OVER (ORDER BY date) - 1, 0) AS "return" FROM wealth', lambda d: pf.create_pyfolio_input(_TENTH(d), 5, check=False).returns)
-on_clean("p18_pyfolio_positions", _SLEEVES + HELD + " SELECT date, asset, position * cumulative_return * 1000000 AS position FROM allpos JOIN wealth USING (date)", lambda d: pf.create_pyfolio_input(_TENTH(d), 5, 1_000_000.0, check=False).positions)
+on_clean("p18_pyfolio_returns", _SLEEVES + ' SELECT date, coalesce(cumulative_return / lag(cumulative_return) OVER (ORDER BY date) - 1, 0) AS "return" FROM wealth', lambda d: pf.create_pyfolio_input(d, 5, long_short=False, check=False).returns)
+on_clean(
+    "p18_pyfolio_positions",
+    _SLEEVES + HELD + " SELECT date, asset, position * cumulative_return * 1000000 AS position FROM allpos JOIN wealth USING (date)",
+    lambda d: pf.create_pyfolio_input(d, 5, 1_000_000.0, long_short=False, check=False).positions,
+)
 on_clean(
     "p18_pyfolio_benchmark",
     """, w AS (SELECT date, sign(factor) / nullif(sum(abs(sign(factor))) OVER (PARTITION BY date), 0) * r1 AS x FROM clean), f AS (SELECT date, sum(x) AS r FROM w GROUP BY 1),
@@ -261,7 +266,7 @@ on_clean(
     f AS (SELECT date, sum(x) AS r FROM w GROUP BY 1) SELECT date, '1D' AS period, product(1 + coalesce(r, 0)) OVER (ORDER BY date) AS cumulative_return FROM f""",
     lambda d: pf.factor_cumulative_returns(d, 1, groups=["NATION_1", "NATION_2", "NATION_3"], check=False),
 )
-on_clean("p19_overlapping_wealth", _SLEEVES + " SELECT date, cumulative_return FROM wealth", lambda d: pf.overlapping_daily_wealth(perf.factor_returns(_TENTH(d)).where("period = '5D'"), 5))
+on_clean("p19_overlapping_wealth", _SLEEVES + " SELECT date, cumulative_return FROM wealth", lambda d: pf.overlapping_daily_wealth(perf.factor_returns(d, demeaned=False).where("period = '5D'"), 5))
 
 _PATHS = MOVES + """, dense AS (
   SELECT asset, idx, product(1 + coalesce(r, 0)) OVER (PARTITION BY asset ORDER BY idx) AS w FROM (SELECT DISTINCT asset FROM clean) CROSS JOIN axis LEFT JOIN (SELECT asset, idx, r FROM rets) USING (asset, idx)
