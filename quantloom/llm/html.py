@@ -47,8 +47,9 @@ OUTSIDE_WORDS = frozenset(
 )
 #: Words for containers, after which the first word of a token names the place.
 CONTAINERS = frozenset("area bar block blocks body box button buttons container content form group holder icons inner item items link links list panel posts section slot stories unit wrap wrapper".split())
-#: First words of tokens that tell what a page has or is, not what a part is.
-TELLING = frozenset("has no not with without is are tag tags category cat type format status theme layout page template single post hentry js lang".split())
+#: Words that tell what a page has, anywhere in a token, and first words of tokens for kinds of content.
+TELLING = frozenset("has no not with without".split())
+KINDS = frozenset("is are tag tags category cat type format status theme template js lang".split())
 #: Frequent words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "the of and to in a is it that for on as with by be at this are was from or an not have has but they his her which one you we all there their so if no "
@@ -77,7 +78,7 @@ def _names_outside(attrs: str, header_too: bool) -> bool:
     for m in _ATTR.finditer(attrs):
         for token in next((g for g in m.groups() if g), "").split():
             words = [w.lower() for w in _NAME.findall(token)]
-            if not words or (len(words) > 1 and words[0] in TELLING):
+            if not words or not TELLING.isdisjoint(words) or (len(words) > 1 and words[0] in KINDS):
                 continue
             name = words[-1] if words[-1] in OUTSIDE_WORDS else words[0] if len(words) > 1 and all(w in CONTAINERS for w in words[1:]) else ""
             if name in OUTSIDE_WORDS and (header_too or name != "header"):

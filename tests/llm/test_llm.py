@@ -448,6 +448,8 @@ LAYOUTS = {
     "comments-area": (f"<article><p>{EN}</p></article><div class='comments-area'><p>{TEASER * 9}</p></div>", EN),
     "comments in the article": (f"<article><p>{EN}</p><section id='comments'><p>{TEASER * 9}</p></section></article>", EN),
     "ad slot": (f"<div class='ad-slot'><p>{TEASER}</p></div><div class='story'><p>{EN}</p><p>Done.</p></div>", EN + "Done."),
+    "page-footer": (f"<div class='post-body'><p>{EN}</p></div><div class='page-footer'><p>{TEASER}</p></div>", EN),
+    "page-with-sidebar": (f"<div class='page-with-sidebar'><p>{EN}</p><div class='layout__sidebar'><p>{TEASER}</p></div></div>", EN),
     "cookie notice": (f"<div id='cookieNotice'><p>{TEASER}</p></div><article><p>{EN}</p></article>", EN),
     "site footer": (f"<article><p>{EN}</p></article><div class='site-footer'><p>{TEASER}</p></div>", EN),
     "teasers in an aside": (f"<div><p>{EN}</p></div><aside><article><p>{TEASER}</p></article></aside>", EN),
