@@ -69,16 +69,18 @@ def grammar(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray,
     pairs = [np.zeros((0, 2), np.uint32)]
     n_rules = 0
     # Places whose pair the last round may have brought about; at first all.
-    look = np.arange(max(len(seq) - 1, 0))
+    look = np.arange(max(len(seq) - 1, 0), dtype=np.int32 if len(seq) < 1 << 31 else np.int64)
     while len(look) >= least:
-        codes = (seq[look].astype(np.uint64) << np.uint64(32)) | seq[look + 1]
+        first, second = (seq[:-1], seq[1:]) if len(look) == len(seq) - 1 else (seq[look], seq[look + 1])
+        codes = (first.astype(np.uint64) << np.uint64(32)) | second
         frequent, counts = _frequent(codes, least)
         if not len(frequent):
             break
-        rank = np.empty(len(frequent), np.int64)
-        rank[np.argsort(-counts, kind="stable")] = np.arange(len(frequent))
+        rank = np.empty(len(frequent), np.int32)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(frequent), dtype=np.int32)
         which = _lookup(codes, frequent)
-        at, order = look[which >= 0], rank[which[which >= 0]]
+        found = which >= 0
+        at, order = look[found], rank[which[found]]
         chosen = _without_overlap(at, order)
         at, order = at[chosen], order[chosen]
         # Pairs whose places others took go without a rule; they may come again.
@@ -104,22 +106,30 @@ def grammar(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray,
         number = np.cumsum(real) - 1 + base + n_rules
         n_rules += len(new)
         seq[at] = number[order]
-        gone = at + 1
-        # The new symbols' places and those before them; pairs that are frequent still come again.
-        before = at - 1
-        before = np.where(_among(before, gone), before - 1, before)
-        look = np.sort(np.concatenate((look[which >= 0], at, before[before >= 0])))
-        look = look[np.concatenate(([True], look[1:] != look[:-1]))]
-        passed = np.searchsorted(gone, look)
-        look = (look - passed)[gone[np.minimum(passed, len(gone) - 1)] != look]
-        seq = _without(seq, gone)
-        look = look[look < len(seq) - 1]
+        seq, look = _next(seq, at, look[found])
     return seq, np.concatenate(pairs)
 
 
-def _among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Whether each value is in the ascending table, which isn't empty."""
-    return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
+def _next(seq: np.ndarray, at: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """seq without the second symbols of the places `at`, and where to look now: at new symbols, before them, and `again`."""
+    gone, before = at + 1, at - 1
+    if 16 * len(at) > len(seq):
+        left = np.ones(len(seq), bool)
+        left[gone] = False
+        marks = np.zeros(len(seq), bool)
+        marks[again] = marks[at] = True
+        before = before[before >= 0]
+        marks[np.where(left[before], before, before - 1)] = True
+        look = np.flatnonzero(marks[left]).astype(at.dtype)
+        seq = seq[left]
+    else:
+        before = np.where(gone[np.minimum(np.searchsorted(gone, before), len(gone) - 1)] == before, before - 1, before)
+        look = np.sort(np.concatenate((again, at, before[before >= 0])))
+        look = look[np.concatenate(([True], look[1:] != look[:-1]))]
+        passed = np.searchsorted(gone, look).astype(at.dtype)
+        look = (look - passed)[gone[np.minimum(passed, len(gone) - 1)] != look]
+        seq = _without(seq, gone)
+    return seq, look[look < len(seq) - 1]
 
 
 def _without(seq: np.ndarray, gone: np.ndarray) -> np.ndarray:
@@ -169,27 +179,26 @@ def _lookup(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def _without_overlap(at: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Which of the ascending places to take: of neighbours the one of lower order, of equal ones every other."""
-    open_ = np.ones(len(at), bool)
     taken = np.zeros(len(at), bool)
-    while len(i := np.flatnonzero(open_)):
+    i = np.arange(len(at), dtype=at.dtype)
+    while len(i):
         p, o = at[i], order[i]
-        touch = np.diff(p) == 1
-        # A chain is cut where the order falls or rises; inside a run of one order every other place is taken.
-        lower = np.concatenate(([False], touch & (o[:-1] < o[1:])))
-        higher = np.concatenate((touch & (o[1:] < o[:-1]), [False]))
-        same = np.concatenate(([False], touch & (o[:-1] == o[1:])))
-        start = np.maximum.accumulate(np.where(~same, np.arange(len(i)), 0))
-        # A run gives way if a neighbour of lower order touches either of its ends.
-        ends = np.append(np.flatnonzero(~same)[1:], len(i)) - 1
-        beaten = lower[np.flatnonzero(~same)] | higher[ends]
-        run = np.cumsum(~same) - 1
-        win = ~beaten[run] & ((np.arange(len(i)) - start) % 2 == 0)
+        touch = p[1:] - p[:-1] == 1
+        step = o[1:] - o[:-1]
+        # Runs of one order among neighbours; one gives way if a neighbour of lower order touches either of its ends.
+        start = np.flatnonzero(np.concatenate(([True], ~(touch & (step == 0)))))
+        length = np.diff(np.append(start, len(i)))
+        beaten = np.concatenate(([False], touch & (step > 0)))[start] | np.concatenate((touch & (step < 0), [False]))[start + length - 1]
+        single = length == 1
+        win = np.zeros(len(i), bool)
+        win[start[single & ~beaten]] = True
+        for s, n in zip(start[~single & ~beaten].tolist(), length[~single & ~beaten].tolist(), strict=True):
+            win[s : s + n : 2] = True
         taken[i[win]] = True
-        gone = np.zeros(len(i), bool)
-        gone[win] = True
-        gone[1:] |= win[:-1] & touch
-        gone[:-1] |= win[1:] & touch
-        open_[i[gone]] = False
+        stays = ~win
+        stays[1:] &= ~(win[:-1] & touch)
+        stays[:-1] &= ~(win[1:] & touch)
+        i = i[stays]
     return taken
 
 
