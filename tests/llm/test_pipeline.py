@@ -41,11 +41,24 @@ def test_run_against_plain_python(spark, tmp_path):
     texts += [texts[3], texts[3], texts[5], prose(5), "", None]
     texts += [prose(30) + " " + items[0] + " " + prose(30), prose(20) + " " + items[1]]
     texts += [prose(40) + " password = Zx81kQ0vTr77 " + prose(20)]
+    secret = len(texts) - 1
+    # A line of furniture goes and its document stays; one that loses most goes; so does one of lines without an end.
+    texts += [prose(40) + "\nClick here to subscribe now.\n" + prose(30), prose(8) + "\n" + "Click here to subscribe now.\n" * 3, "\n".join(prose(2).rstrip(".") for _ in range(9))]
     rows = [(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)]
+    # A null id and a repeated row.
+    alone = prose(50)
+    rows += [(None, alone, None, None, None), rows[1], rows[1]]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
 
-    left = [(i, t) for i, t in enumerate(texts) if len((t or "").split()) >= 10]
+    def cleaned(text):
+        lines = [x for x in (text or "").split("\n") if x.split()]
+        good = [x for x in lines if "click here" not in x.lower() and (len(x.split()) > 3 or x[-1] in ".!?")]
+        return "\n".join(good) if len((text or "").split()) >= 10 and 2 * sum(map(len, good)) >= sum(map(len, lines)) else None
+
+    kept = [(i, cleaned(t)) for i, t, *_ in rows[:-2] if cleaned(t) is not None]
+    assert [i for i, _ in kept[-2:]] == [secret + 1, None]
+    left = [(i if i is not None else len(texts), t) for i, t in kept]
     prints = {i: fingerprint(t) for i, t in left}
     links = {i: [j for j in prints if (prints[i] ^ prints[j]).bit_count() <= 3] for i in prints}
 
@@ -58,10 +71,10 @@ def test_run_against_plain_python(spark, tmp_path):
         return min(seen)
 
     left = {i: t for i, t in left if component(i) == i and not contaminated(t, items)}
-    got = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert set(got) == set(left)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = {len(texts) if r["doc_id"] is None else r["doc_id"]: r["n_tokens"] for r in out}
+    assert set(got) == set(left) and len(out) == len(left)
     tokenizer = Tokenizer.from_file(default_tokenizer())
-    secret = len(texts) - 1
     count = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
     assert {i: n for i, n in got.items() if i != secret} == {i: count(t) for i, t in left.items() if i != secret}
     assert got[secret] != count(texts[secret])
