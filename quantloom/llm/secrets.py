@@ -7,8 +7,9 @@ and below the middle of the alphabet, and the lag-1 serial correlation. A token
 uniform to all three. False discoveries are controlled over the corpus by the
 Benjamini-Hochberg rule on the p-value under "ordinary text of this length": there the
 chi-squared statistic has a non-centrality that grows with the length, so short tokens
-need a clearer case than long ones. The p-values are counted in bins over all documents;
-only the bin counts reach the driver.
+need a clearer case than long ones. How fast it grows is learned for each encoding from
+the corpus's own tokens that don't look uniform. The p-values are counted in bins over all
+documents; only one number for each encoding and the bin counts reach the driver.
 """
 
 from __future__ import annotations
@@ -35,7 +36,10 @@ ALPHABETS = {
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
-#: Chi-squared non-centrality by character of ordinary text written in each alphabet.
+SYMBOLS = {k: float(len(s)) for k, s in ALPHABETS.items()}
+#: Chi-squared non-centrality by character of ordinary text written in each alphabet: what is taken before the corpus
+#: is seen, with the weight of PRIOR_TOKENS of its tokens.
+PRIOR_TOKENS = 100
 TEXT_DIVERGENCE = {"decimal": 1.5, "hex": 2.0, "base32": 2.5, "base36": 2.0, "base64": 3.5}
 UNIFORM_Z = 3.3
 FDR = 0.01
@@ -57,7 +61,7 @@ def normal_tail(z: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """struct<enc, n, chi_z, runs_z, serial_z, p> of a token: the tests' z-values and p under ordinary text."""
+    """struct<enc, n, chi, chi_z, runs_z, serial_z> of a token: the chi-squared statistic and the tests' z-values."""
     # An '=' is padding, or stands between a name and a value: the longest part is tested.
     core = F.aggregate(F.split(token, "="), F.lit(""), lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))
 
@@ -71,16 +75,10 @@ def battery(token: Column) -> Column:
         )
         return F.struct(enc.alias("enc"), F.when(enc.isin("hex", "base36"), F.lower(core)).otherwise(F.translate(core, "-_", "+/")).alias("t"))
 
-    def pick(x: Column, table: dict[str, object]) -> Column:
-        out = F.when(x["enc"] == "decimal", F.lit(table["decimal"]))
-        for k in ("hex", "base32", "base36", "base64"):
-            out = out.when(x["enc"] == k, F.lit(table[k]))
-        return out
-
     def tests(x: Column) -> Column:
         def measured(v: Column) -> Column:
             n = F.size(v).cast("double")
-            a = pick(x, {k: float(len(s)) for k, s in ALPHABETS.items()})
+            a = _pick(x, SYMBOLS)
             squares = F.aggregate(F.array_distinct(v), F.lit(0.0), lambda acc, s: acc + F.pow(F.size(F.filter(v, lambda y: y == s)).cast("double"), F.lit(2.0)))
             chi = squares * a / n - n
             mid = a / 2
@@ -92,13 +90,21 @@ def battery(token: Column) -> Column:
             cov = F.aggregate(pairs, F.lit(0.0), lambda acc, i: acc + (F.get(v, i) - mean) * (F.get(v, i - 1) - mean))
             return F.struct(n.alias("n"), a.alias("a"), chi.alias("chi"), high.alias("high"), runs.alias("runs"), F.try_divide(cov, var).alias("r"))
 
-        values = F.transform(F.split(x["t"], ""), lambda c: (F.position(c, pick(x, ALPHABETS)) - 1).cast("double"))
-        return let(values, lambda v: let(measured(v), lambda m: _verdict(x, m, pick)))
+        values = F.transform(F.split(x["t"], ""), lambda c: (F.position(c, _pick(x, ALPHABETS)) - 1).cast("double"))
+        return let(values, lambda v: let(measured(v), lambda m: _verdict(x, m)))
 
     return let(core, lambda c: let(start(c), tests))
 
 
-def _verdict(x: Column, m: Column, pick) -> Column:
+def _pick(x: Column, table: dict[str, object]) -> Column:
+    """The value that the table has for the encoding of x."""
+    out = F.when(x["enc"] == "decimal", F.lit(table["decimal"]))
+    for k in ("hex", "base32", "base36", "base64"):
+        out = out.when(x["enc"] == k, F.lit(table[k]))
+    return out
+
+
+def _verdict(x: Column, m: Column) -> Column:
     n, a = m["n"], m["a"]
     df = a - 1
     chi_z = (m["chi"] - df) / F.sqrt(2 * df)
@@ -107,9 +113,23 @@ def _verdict(x: Column, m: Column, pick) -> Column:
     spread = F.try_divide((expect - 1) * (expect - 2), n - 1)
     runs_z = F.coalesce(F.try_divide(m["runs"] - expect, F.sqrt(F.greatest(spread, F.lit(0.0)))), F.lit(99.0))
     serial_z = F.coalesce(m["r"], F.lit(1.0)) * F.sqrt(n)
-    shift = n * pick(x, TEXT_DIVERGENCE)
-    p = 1 - normal_tail((m["chi"] - df - shift) / F.sqrt(2 * (df + 2 * shift)))
-    return F.struct(x["enc"].alias("enc"), n.alias("n"), chi_z.alias("chi_z"), runs_z.alias("runs_z"), serial_z.alias("serial_z"), F.greatest(p, F.lit(1e-30)).alias("p"))
+    return F.struct(x["enc"].alias("enc"), n.alias("n"), m["chi"].alias("chi"), chi_z.alias("chi_z"), runs_z.alias("runs_z"), serial_z.alias("serial_z"))
+
+
+def text_p(b: Column, divergence: dict[str, float]) -> Column:
+    """The chance that ordinary text of this length looks as uniform as token b or more."""
+    df = _pick(b, SYMBOLS) - 1
+    shift = b["n"] * _pick(b, divergence)
+    return F.greatest(1 - normal_tail((b["chi"] - df - shift) / F.sqrt(2 * (df + 2 * shift))), F.lit(1e-30))
+
+
+def learned_divergence(candidates: DataFrame, z: float) -> dict[str, float]:
+    """Non-centrality by character and encoding: the median of candidates (column b) that don't look uniform, and the prior."""
+    b = F.col("b")
+    own = F.greatest((b["chi"] - (_pick(b, SYMBOLS) - 1)) / b["n"], F.lit(0.0))
+    rows = candidates.where(~uniform(b, z)).groupBy("b.enc").agg(F.count("*").alias("n"), F.percentile_approx(own, 0.5).alias("median")).collect()
+    seen = {r["enc"]: (r["n"], r["median"]) for r in rows}
+    return {k: (prior * PRIOR_TOKENS + seen.get(k, (0, 0.0))[0] * seen.get(k, (0, 0.0))[1]) / (PRIOR_TOKENS + seen.get(k, (0, 0.0))[0]) for k, prior in TEXT_DIVERGENCE.items()}
 
 
 def uniform(b: Column, z: float = UNIFORM_Z) -> Column:
@@ -149,17 +169,14 @@ def scan(docs: DataFrame, text: str = "text", q: float = FDR, z: float = UNIFORM
     staged = staged.withColumn("_cand", F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), battery(x["m"]).alias("b"))))
     staged = materialize(staged.drop("_t", "_tok", *([] if keep_text else [text])), "scan")
 
-    p = F.col("x.b.p")
-    bins = (
-        staged.where(F.size("_cand") > 0)
-        .select(F.explode("_cand").alias("x"))
-        .groupBy(uniform(F.col("x.b"), z).alias("ok"), F.least(F.floor(-F.log10(p) / BIN_WIDTH), F.lit(BINS)).cast("int").alias("bin"))
-        .count()
-        .collect()
-    )
+    candidates = staged.where(F.size("_cand") > 0).select(F.explode("_cand").alias("x")).select("x.b")
+    divergence = learned_divergence(candidates, z)
+    # The bin of a token, by -log10 p.
+    place = lambda b: F.least(F.floor(-F.log10(text_p(b, divergence)) / BIN_WIDTH), F.lit(BINS)).cast("int")
+    bins = candidates.groupBy(uniform(F.col("b"), z).alias("ok"), place(F.col("b")).alias("bin")).count().collect()
     total = sum(r["count"] for r in bins)
     cut = bh_threshold({r["bin"]: r["count"] for r in bins if r["ok"]}, total, q)
-    passed = F.filter("_cand", lambda x: uniform(x["b"], z) & (F.floor(-F.log10(x["b"]["p"]) / BIN_WIDTH) * BIN_WIDTH >= F.lit(cut)))
+    passed = F.filter("_cand", lambda x: uniform(x["b"], z) & (place(x["b"]) * BIN_WIDTH >= F.lit(cut)))
     return staged.withColumn("random", F.transform(passed, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))).drop("_cand")
 
 
@@ -194,4 +211,4 @@ def stage(docs: DataFrame) -> DataFrame:
     return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
-__all__ = ["battery", "bh_threshold", "digest", "normal_tail", "redact", "scan", "stage", "uniform"]
+__all__ = ["battery", "bh_threshold", "digest", "learned_divergence", "normal_tail", "redact", "scan", "stage", "text_p", "uniform"]

@@ -589,6 +589,20 @@ def test_encoder_with_other_white_space_that_makes_up_for_surplus():
     assert [x.tolist() for x in e.encode_all(cases)] == want and e.count_all(cases) == [len(x) for x in want]
 
 
+def test_null_model_is_learned_from_the_corpus(spark):
+    """Without tokens the prior stands; many tokens far from uniform raise it, and what is found stays random."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("eeeeeaaatttoin"), 40))
+    key = "".join(rng.choice(list(secrets.ALPHABETS["base64"]), 44))
+    tokens_ = [word() for _ in range(2_000)] + [key]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(tokens_)], "doc_id long, t string")
+    got = secrets.learned_divergence(df.select(secrets.battery(F.col("t")).alias("b")), secrets.UNIFORM_Z)
+    assert got["hex"] == secrets.TEXT_DIVERGENCE["hex"] and got["base64"] > 2 * secrets.TEXT_DIVERGENCE["base64"]
+    assert secrets.learned_divergence(df.limit(0).select(secrets.battery(F.col("t")).alias("b")), secrets.UNIFORM_Z) == secrets.TEXT_DIVERGENCE
+    found = by_id(secrets.digest(df.select("doc_id", F.concat(F.lit("x "), "t").alias("text"))))
+    assert [i for i, r in found.items() if r["spans"]] == [2_000]
+
+
 def test_randomness_battery_knows_one_letter_case_and_names(spark):
     rng = np.random.default_rng(11)
     draw = lambda symbols, n: "".join(rng.choice(list(symbols), n))
