@@ -132,7 +132,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: s
     common span of that item, of 13 words at least or the whole of a shorter item.
     rows was written to the shared folder (discard() it after use), without the text unless
     keep_text. Null texts have no words; empty tables give empty results; repeated rows each
-    have their own _rid; columns called _rid, _w, _h, _b and _hit are replaced.
+    have their own _rid; columns called _rid, _w, _h, _b, _n and _hit are replaced.
     """
     items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item"), bench_words(F.col(f"`{item_text}`")).alias("w"))
     items = materialize(items.where(F.size("w") > 0), "items")
@@ -155,17 +155,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: s
 
     rows = docs.withColumns({"_rid": F.monotonically_increasing_id(), "_w": bench_words(F.col(f"`{text}`"))})
     rows = rows.withColumn("n_words", F.size("_w").cast("long")).withColumn("_h", gram_hashes(F.col("_w"), GRAM))
-    # The table reaches the lambdas as an argument; as a column of its own it would be copied with every row.
-    rows = rows.withColumn("_b", F.array(table.scalar()))
+    # The table must reach the lambdas inside their own projection: as a column of the one below it would be copied with
+    # every row. That one is kept apart by _h, which is used twice here and so isn't computed again.
+    rows = rows.withColumns({"_b": F.array(table.scalar()), "_n": F.size("_h")})
 
     def marked(b: Column) -> Column:
         # Places are looked for only where a minimum passes.
         places = F.filter(winnow_places(F.col("_h")), lambda p: _holds(b, F.get("_h", p), filter_bits))
         none = F.expr(NO_HITS)
-        found = F.when(F.exists(winnow(F.col("_h")), lambda h: _holds(b, h, filter_bits)), _at(F.col("_w"), F.col("_h"), places, GRAM, SIDE, SIDE)).otherwise(none)
+        found = F.when((F.col("_n") > 0) & F.exists(winnow(F.col("_h")), lambda h: _holds(b, h, filter_bits)), _at(F.col("_w"), F.col("_h"), places, GRAM, SIDE, SIDE)).otherwise(none)
         return F.struct(found.alias("hit"), (_short_places(F.col("_w"), b, longest, filter_bits) if longest else none).alias("short"))
 
-    rows = rows.withColumn("_hit", F.get(F.transform("_b", marked), F.lit(0))).drop("_w", "_h", "_b", *[] if keep_text else [text])
+    rows = rows.withColumn("_hit", F.get(F.transform("_b", marked), F.lit(0))).drop("_w", "_h", "_b", "_n", *[] if keep_text else [text])
     rows = materialize(rows, "rows")
     found = (
         rows.where(F.size("_hit.hit") > 0)

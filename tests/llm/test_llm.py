@@ -266,6 +266,18 @@ def test_decontamination_against_all_windows(spark, bits):
     assert decontaminate.contamination(df, b.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_the_bit_table_is_no_column(spark, monkeypatch):
+    """Of the optimized plan of the scan no projection holds the table as a column: it would be copied with every row."""
+    plans = []
+    write = decontaminate.materialize
+    monkeypatch.setattr(decontaminate, "materialize", lambda df, label: plans.append((label, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, label))
+    df = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o", "x")], "doc_id long, text string, lang string")
+    b = spark.createDataFrame([(1, "a b c d e f g h i j k l m n"), (2, "the end")], "item_id long, text string")
+    assert decontaminate.stage(df, b).count() == 0 and decontaminate.digest(df, b).count() == 1
+    scans = [p for label, p in plans if label == "rows"]
+    assert len(scans) == 2 and not any("AS _b#" in p for p in scans) and all("transform(array(scalar-subquery" in p for p in scans)
+
+
 def windows_hit(t, bench):
     w, hit, items = bench_words(t), set(), set()
     for item, s in bench:
@@ -554,7 +566,7 @@ def test_boilerplate_phrases_start_at_a_word(spark):
     assert [got[x] for x in lines] == [None, None, "boilerplate", "boilerplate"]
 
 
-CLASHES = ["_t", "_w", "_h", "_b", "_hit", "_rid", "_q_text", "_q_words", "_tok", "_cand", "_own", "_xid", "random", "assign", "email", "xname", "fp", "n_tokens", "ids", "bucket", "batch", "_rank", "_tie", "c0", "pivots", "items", "n_words", "kept", "lost", "key64", "low", "a b"]
+CLASHES = ["_t", "_w", "_h", "_b", "_hit", "_n", "_rid", "_q_text", "_q_words", "_tok", "_cand", "_own", "_xid", "random", "assign", "email", "xname", "fp", "n_tokens", "ids", "bucket", "batch", "_rank", "_tie", "c0", "pivots", "items", "n_words", "kept", "lost", "key64", "low", "a b"]
 
 
 def test_extra_columns_of_any_name(spark, docs):
