@@ -128,6 +128,15 @@ def global_rank(df: DataFrame, order: list[Column], label: str, rank: str = "_ra
     return out
 
 
+#: Rows of a side that small_side() lets be broadcast.
+SMALL_ROWS = 100_000
+
+
+def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df, a table that was counted to be small, to be broadcast; unchanged with more rows, where joins deal both sides."""
+    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows else df
+
+
 def lcp(a: Column, b: Column) -> Column:
     """Length of the longest common prefix of two arrays without nulls."""
     same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
