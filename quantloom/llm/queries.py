@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import chat, decontaminate, html, merkle, packing, pii, quality, repair, secrets, simhash, tokens
+from quantloom.llm import chat, decontaminate, html, merkle, mixing, packing, pii, quality, repair, search, secrets, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,14 +53,22 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_length_buckets, op2_pii_votes, op3_token_histogram, op4_simhash_pivots, op5_line_quality, op6_repair_shards, op7_main_text, op8_secret_battery, op9_chat_perspectives, op10_winnowing, op13_merkle_manifest)
+    own = (op1_length_buckets, op2_pii_votes, op3_token_histogram, op4_simhash_pivots, op5_line_quality, op6_repair_shards, op7_main_text, op8_secret_battery, op9_chat_perspectives, op10_winnowing, op11_splitting_tree, op12_ball_tree, op13_merkle_manifest)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_quality": quality.SQL, "op9_chat_perspectives": chat.SQL, "op10_winnowing": decontaminate.SQL, "op13_merkle_manifest": merkle.SQL}
+    return {"op5_line_quality": quality.SQL, "op9_chat_perspectives": chat.SQL, "op10_winnowing": decontaminate.SQL, "op11_splitting_tree": mixing.SQL, "op12_ball_tree": search.SQL, "op13_merkle_manifest": merkle.SQL}
