@@ -10,8 +10,11 @@ is content, the rest isn't.
 Places are known by tags and by whole tokens of class, id and role: a token names a place
 by its last word ("site-footer") or by its first before a word for a container
 ("comments-area"); tokens that tell what a page has or is ("has-sidebar", "tag-menu") name
-none, and neither article nor main is ever a named place. Stop words decide where they can;
-in languages without any on the list, length and link density do.
+none. An article is a named place only where a token makes it a comment, an advert or a
+pointer to other pages; main, body and html are none. A form around most of a page's text, and
+a part that only sounds like a menu, are wrappers and no places. Articles hold a page's text
+where they hold more decided text than the rest; else they are teasers beside it. Stop words
+decide where they can; in languages without any on the list, length and link density do.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from html import unescape
 
 import pandas as pd
@@ -37,16 +40,21 @@ RAW_TAGS = ("script", "style", "textarea", "title", "noscript", "iframe", "templ
 OUTSIDE_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements whose class names no place.
-NEVER_NAMED = MAIN_TAGS | {"body", "html"}
+#: Tags outside that can be wrappers of a whole page.
+WRAPPERS = frozenset("form fieldset dialog".split())
+#: Elements whose class names no place, and the names that an article can have.
+NEVER_NAMED = frozenset("main body html".split())
 #: Words in class, id and role that name parts which aren't content.
 OUTSIDE_WORDS = frozenset(
     "ad ads advert advertisement adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup "
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside widget related recommended share sharing social footer header masthead "
-    "comment comments respond reply disqus login search searchbox toolbar tags legal copyright complementary contentinfo".split()
+    "comment comments respond reply disqus login search searchbox toolbar tags legal copyright complementary contentinfo toc sphinxsidebar catlinks".split()
 )
+ARTICLE_WORDS = frozenset("ad ads advert advertisement comment comments disqus promo recommended related reply respond sponsored".split())
 #: Words for containers, after which the first word of a token names the place.
-CONTAINERS = frozenset("area bar block blocks body box button buttons container content form group holder icons inner item items link links list panel posts section slot stories unit wrap wrapper".split())
+CONTAINERS = frozenset("area bar block blocks body box button buttons container content form group holder icons inner item items link links list panel posts section slot stories thread threads unit wrap wrapper".split())
+#: Words for where on the page a part is, after its name.
+POSITIONS = frozenset("bottom first left primary right second secondary top".split())
 #: Words that tell what a page has, anywhere in a token, and first words of tokens for kinds of content.
 TELLING = frozenset("has no not with without".split())
 KINDS = frozenset("is are tag tags category cat type format status theme template js lang".split())
@@ -73,15 +81,17 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _names_outside(attrs: str, header_too: bool) -> bool:
-    """Whether a token of class, id or role names a part that isn't content. A header inside an article holds its title."""
+def _names_outside(attrs: str, header_too: bool, known: frozenset[str] = OUTSIDE_WORDS) -> bool:
+    """Whether a token of class, id or role names a part that isn't content, by the words known. A header inside an article holds its title."""
     for m in _ATTR.finditer(attrs):
         for token in next((g for g in m.groups() if g), "").split():
             words = [w.lower() for w in _NAME.findall(token)]
             if not words or not TELLING.isdisjoint(words) or (len(words) > 1 and words[0] in KINDS):
                 continue
-            name = words[-1] if words[-1] in OUTSIDE_WORDS else words[0] if len(words) > 1 and all(w in CONTAINERS for w in words[1:]) else ""
-            if name in OUTSIDE_WORDS and (header_too or name != "header"):
+            if len(words) > 1 and words[-1] in POSITIONS and words[-2] in known and (len(words) == 2 or words[0] == "region"):
+                words.pop()
+            name = words[-1] if words[-1] in known else words[0] if len(words) > 1 and all(w in CONTAINERS for w in words[1:]) else ""
+            if name in known and (header_too or name != "header"):
                 return True
     return False
 
@@ -89,16 +99,20 @@ def _names_outside(attrs: str, header_too: bool) -> bool:
 class _Part:
     """An open element: what it makes of the text in it."""
 
-    __slots__ = ("heading", "link", "main", "named", "outside", "skipped", "tag", "up")
+    __slots__ = ("article", "heading", "link", "lifted", "main", "over", "place", "skipped", "tag")
 
     def __init__(self, tag: str, above: _Part | None, attrs: str) -> None:
         self.tag = tag
-        inside = above is not None and above.main
-        self.main = inside or tag in MAIN_TAGS
-        # Outside by its tag; `up` is the nearest part around it, or it, that is outside by name.
-        self.outside = (tag in OUTSIDE_TAGS and not (inside and tag == "header")) or (above is not None and above.outside)
-        self.named = tag not in NEVER_NAMED and "=" in attrs and _names_outside(attrs, not inside)
-        self.up = self if self.named else above.up if above is not None else None
+        self.main = tag == "main" or (above is not None and above.main)
+        self.article = tag == "article" or (above is not None and above.article)
+        inside = above is not None and (above.main or above.article)
+        by_tag = tag in OUTSIDE_TAGS and not (inside and tag == "header")
+        by_name = "=" in attrs and tag not in NEVER_NAMED and _names_outside(attrs, not inside, ARTICLE_WORDS if tag == "article" else OUTSIDE_WORDS)
+        #: The nearest part, itself included, that is never content, and the next one around it.
+        self.over = above.place if above is not None else None
+        self.place = self if by_tag or by_name else self.over
+        #: Whether it can turn out to be a wrapper of the page, and whether it did.
+        self.lifted = False
         self.skipped = tag in SKIPPED_TAGS or (above is not None and above.skipped) or bool(attrs and _HIDDEN.search(attrs))
         self.heading = tag in HEADINGS or (above is not None and above.heading)
         self.link = tag == "a" or (above is not None and above.link)
@@ -109,13 +123,20 @@ class Block:
     text: str
     #: Characters in links.
     linked: int
-    #: Inside an article or main element.
+    #: Inside a main element, and inside an article.
     main: bool
-    #: Inside a part that is never content, by its tag or by its name.
-    outside: bool
-    named: _Part | None = None
+    article: bool
+    #: The nearest part around it that is never content.
+    place: _Part | None = None
     heading: bool = False
 
+    def outside(self) -> _Part | None:
+        """The nearest part that is never content and no wrapper."""
+        part = self.place
+        while part is not None and part.lifted:
+            part = part.over
+        return part
+
 
 def blocks(html: str) -> list[Block]:
     """The blocks of a page in order. The work is linear in the page: no end tag is looked for that isn't open."""
@@ -149,7 +170,7 @@ def blocks(html: str) -> list[Block]:
             if raw[0] != "<" or raw == "<":
                 top = open_parts[-1] if open_parts else None
                 if top is None or not top.skipped:
-                    now = (False, False, None, False) if top is None else (top.main, top.outside, top.up, top.heading)
+                    now = (False, False, None, False) if top is None else (top.main, top.article, top.place, top.heading)
                     if now != state:
                         close_block()
                         state = now
@@ -187,8 +208,13 @@ def blocks(html: str) -> list[Block]:
 
 def first_pass(block: Block) -> int:
     """GOOD, BAD or NEUTRAL from one block alone."""
-    if block.outside or block.named is not None:
+    if block.outside() is not None:
         return BAD
+    return by_words(block)
+
+
+def by_words(block: Block) -> int:
+    """The label of a block wherever it stands."""
     n = len(block.text)
     if block.linked > LINK_HIGH * n:
         return BAD
@@ -213,16 +239,16 @@ def second_pass(page: list[Block], labels: list[int]) -> list[bool]:
     for order, near in ((range(n), before), (range(n - 1, -1, -1), after)):
         last: dict[bool, int] = {}
         for i in order:
-            part = page[i].main
+            part = page[i].main or page[i].article or page[i].place is not page[i].outside()
             near[i] = last.get(part)
             # Parts that are never content say nothing about an article's own short blocks.
-            if labels[i] != NEUTRAL and not (part and (page[i].outside or page[i].named)):
+            if labels[i] != NEUTRAL and not (part and page[i].outside()):
                 last[part] = i
     for i, label in enumerate(labels):
         if label == NEUTRAL:
             near = [j for j in (before[i], after[i]) if j is not None]
             if not near:
-                label = GOOD if page[i].main else BAD
+                label = GOOD if page[i].main or page[i].article else BAD
             elif page[i].heading:
                 # A heading belongs to what follows.
                 label = labels[near[-1]]
@@ -233,37 +259,79 @@ def second_pass(page: list[Block], labels: list[int]) -> list[bool]:
     return out
 
 
-def _lifted(page: list[Block]) -> list[Block]:
-    """page without the names of parts that hold most of its text: a wrapper that only sounds like a menu."""
-    size: dict[int, int] = {}
+def _lift(page: list[Block]) -> None:
+    """Mark the parts that are wrappers of the page.
+
+    Forms (and the like) with decided text of their own, more than stands in no place at all,
+    are: their menus and comments are places inside them. So are, on a page without any other
+    text, parts that hold most of what stands in no other place by its tag.
+    """
+    own: dict[_Part, int] = {}
+    free = decided = 0
     for b in page:
-        if b.named is not None and not b.outside:
-            size[id(b.named)] = size.get(id(b.named), 0) + len(b.text)
-    half = sum(len(b.text) for b in page if not b.outside) / 2
-    return [replace(b, named=None) if b.named is not None and size.get(id(b.named), 0) > half else b for b in page]
+        part = b.outside()
+        while part is not None and part.tag in WRAPPERS:
+            if by_words(b) == GOOD:
+                own[part] = own.get(part, 0) + len(b.text)
+                decided += 1
+            part = part.over
+        if b.place is None:
+            free += len(b.text)
+    for part, n in own.items():
+        part.lifted = n > free
+    if decided and any(part.lifted for part in own):
+        return
+    if any(first_pass(b) != BAD for b in page):
+        return
+    size: dict[_Part, int] = {}
+    total = 0
+    for b in page:
+        part = b.outside()
+        if part is None or part.tag not in OUTSIDE_TAGS or part.tag in WRAPPERS:
+            total += len(b.text)
+            if part is not None:
+                size[part] = size.get(part, 0) + len(b.text)
+    for part, n in size.items():
+        while part is not None and 2 * n > total and (part.tag not in OUTSIDE_TAGS or part.tag in WRAPPERS):
+            part.lifted, part = True, part.over
+
+
+def _within(page: list[Block], labels: list[int]) -> list[bool]:
+    """Which blocks can be content, by main elements first and articles then.
+
+    Where main elements hold half as much decided text as the rest, they hold all content. Of
+    what is left articles do, if they hold as much as what lies outside of them; if they
+    hold less, they point elsewhere and are none.
+    """
+    kept = [True] * len(page)
+    for inside, share in (([b.main for b in page], 2), ([b.article for b in page], 1)):
+        size = {True: 0, False: 0}
+        some = {True: False, False: False}
+        for b, label, has, k in zip(page, labels, inside, kept, strict=True):
+            if k and label != BAD:
+                size[has] += len(b.text) * (label == GOOD)
+                some[has] = True
+        if not some[True]:
+            continue
+        if size[True] * share >= size[False]:
+            kept = [k and has for k, has in zip(kept, inside, strict=True)]
+        elif size[True] and share == 1:
+            kept = [k and not has for k, has in zip(kept, inside, strict=True)]
+    return kept
 
 
 def main_text(html: str | None) -> str:
-    """The main text of a page; empty for null, empty and contentless pages.
-
-    Pages whose article or main element holds decided content hold all of it there; in
-    others any block may be content.
-    """
+    """The main text of a page; empty for null, empty and contentless pages."""
     page = blocks(html or "")
+    _lift(page)
     labels = [first_pass(b) for b in page]
-    if GOOD not in labels and NEUTRAL not in labels:
-        page = _lifted(page)
-        labels = [first_pass(b) for b in page]
     if GOOD not in labels:
         # Nothing is decided by words: length and link density alone.
         labels = [GOOD if label == NEUTRAL and len(b.text) >= SHORT else label for b, label in zip(page, labels, strict=True)]
-    content = [b.main for b, label in zip(page, labels, strict=True) if label == GOOD]
-    inside = [b.main and label != BAD for b, label in zip(page, labels, strict=True)]
-    if any(content) or (not content and any(inside)):
-        labels = [label for b, label in zip(page, labels, strict=True) if b.main]
-        page = [b for b in page if b.main]
-    kept = second_pass(page, labels)
-    return " ".join(b.text for b, k in zip(page, kept, strict=True) if k)
+    kept = _within(page, labels)
+    labels = [label for label, k in zip(labels, kept, strict=True) if k]
+    page = [b for b, k in zip(page, kept, strict=True) if k]
+    return " ".join(b.text for b, k in zip(page, second_pass(page, labels), strict=True) if k)
 
 
 def extract(pages: DataFrame, html: str = "html", column: str = "text") -> DataFrame:

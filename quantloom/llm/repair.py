@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm._common import _MADE, new_path
@@ -45,7 +45,7 @@ END_ID = 2
 SHARD_CHARS = 4_000_000
 SHARDS_A_FILE = 8
 #: Places that a pair must have for a rule to pay.
-LEAST = 8
+LEAST = 7
 SAMPLE = 1024
 _SLOT_BITS = 18
 
@@ -298,13 +298,14 @@ def shards_of(content: bytes) -> Iterator[Shard]:
         yield shard
 
 
-def write_files(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, shard_chars: int = SHARD_CHARS) -> None:
+def write_files(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, shard_chars: int = SHARD_CHARS) -> int:
     """Write the ids of every whole text and END_ID into files of the format in the new folder `path`.
 
     Shards follow ascending doc_id over (part, shard), null first; repeated ids stand in the
     order of a hash of their texts, then as they come: many equal ones spread over parts.
     doc_id may be of any type with an order and a string form. Null and empty texts give the
     end id alone. A very long text is a shard of its own. Without rows there is no shard.
+    Files are never compressed by an output codec of the cluster. Gives the number of documents written.
     """
     tokens = tokenizer or default_tokenizer()
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
@@ -322,7 +323,7 @@ def write_files(docs: DataFrame, path: str, text: str = "text", doc_id: str = "d
         chars = total = shard = part = first = 0
 
         def flush() -> pd.DataFrame:
-            return pd.DataFrame({"blob": [compress(np.concatenate(ids), np.array(ends), base, LEAST, names, part, shard, first)]})
+            return pd.DataFrame({"blob": [compress(np.concatenate(ids), np.array(ends), base, LEAST, names, part, shard, first)], "documents": [len(names)]})
 
         for batch in batches:
             coded = encoder.encode_all(list(batch["text"]))
@@ -340,27 +341,33 @@ def write_files(docs: DataFrame, path: str, text: str = "text", doc_id: str = "d
         if names:
             yield flush()
 
-    blobs = dealt.mapInPandas(encode, "blob binary")
+    seen = Observation()
+    blobs = dealt.mapInPandas(encode, "blob binary, documents long").observe(seen, F.sum("documents").alias("documents"))
     # A string of any bytes is written as it is, and a line feed after it.
-    blobs.select(F.col("blob").cast("string").alias("value")).write.option("maxRecordsPerFile", SHARDS_A_FILE).text(path)
+    blobs.select(F.col("blob").cast("string").alias("value")).write.option("maxRecordsPerFile", SHARDS_A_FILE).option("compression", "none").text(path)
+    return seen.get["documents"] or 0
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
+def read_ids(spark: SparkSession, path: str, documents: int | None = None) -> DataFrame:
     """(doc_id string, start, n_tokens, ids_crc32) of every document, from the files in `path` alone.
 
-    One number for each part reaches the driver: how many ids it has.
+    Two numbers for each part reach the driver: how many ids and documents it has. Other than
+    `documents` in all, where that is given, are an error.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
 
     def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                rows = [(s.part, s.first + s.ids) for s in shards_of(content)]
-                yield pd.DataFrame(rows, columns=["part", "n"])
+                rows = [(s.part, s.first + s.ids, len(s.ends)) for s in shards_of(content)]
+                yield pd.DataFrame(rows, columns=["part", "n", "documents"])
 
-    sizes = sorted(files.mapInPandas(totals, "part long, n long").groupBy("part").agg(F.max("n")).collect())
+    sizes = sorted(files.mapInPandas(totals, "part long, n long, documents long").groupBy("part").agg(F.max("n"), F.sum("documents")).collect())
+    found = sum(r[2] for r in sizes)
+    if documents is not None and found != documents:
+        raise RuntimeError(f"{documents} documents were written to {path}, its files hold {found}")
     starts, at = {}, 0
-    for part, n in sizes:
+    for part, n, _ in sizes:
         starts[part] = at
         at += n
 
@@ -381,5 +388,5 @@ def digest(docs: DataFrame) -> DataFrame:
     """doc_id (of the type it has in docs), start, n_tokens and ids_crc32 from files written to the shared folder."""
     path = new_path(docs.sparkSession, "ids")
     _MADE.append(path)
-    write_files(docs.select("doc_id", "text"), path)
-    return read_ids(docs.sparkSession, path).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    written = write_files(docs.select("doc_id", "text"), path)
+    return read_ids(docs.sparkSession, path, written).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

@@ -2,24 +2,21 @@
 
 Fingerprints of 64 bits come from word 3-shingles. Only distinct fingerprints are
 compared, so exact copies cost nothing. Every distinct fingerprint gets its row of the
-pivot table once: the Hamming distances to REFERENCES reference fingerprints, a column of
+pivot table once: the Hamming distances to REFERENCES random reference fingerprints, 16
 bytes. By the triangle inequality two fingerprints within RADIUS bits differ by RADIUS at
 most in every coordinate, so a larger coordinate difference discards a pair before its
-bits are compared.
+bits are compared; survivors are verified bit by bit.
 
-Independent references alone leave too many pairs to look at: one within-3 test keeps
-about half of all pairs, and a grid over k coordinates needs about 2.5^k copies of a row
-for 2k bits of key. So references come in 16 families of five: a random one and four that
-differ from it in one position each. The difference of two coordinates of a family depends
-on that position alone, so the table tells where two fingerprints can agree. Positions are
-cut into six blocks, of which three at least agree when three bits differ; candidates are
-those whose relative coordinates are equal in three of the six blocks (a cell, 20 for each
-fingerprint). Survivors of the coordinate test are verified bit by bit.
+The pivot table discards pairs, but it can't propose them at this scale: one coordinate
+test keeps about half of all pairs, and a grid over k coordinates needs about 2.5^k copies
+of a row for 2k bits of key. So which pairs meet at all is decided by bit blocks, a method of its own: the 64 bits
+are cut into six blocks, of which three at least agree when three bits differ, and a cell
+holds the fingerprints that are equal in three given blocks (20 cells for each).
 
 Inside a cell links are found as a search tree: from each fingerprint to those not reached
 yet, so a cell emits fewer links than it has members. A cell over ``CHUNK`` members is
-dealt again on the positions that it leaves open, 20 finer cells for each member; after
-three such steps nine positions at most are open, so a cell has 512 members at most.
+dealt again on the bits that it leaves open, 20 finer cells for each member; after
+three such steps nine bits at most are open, so a cell has 512 members at most.
 Nothing is capped, no task holds a hot cell and a hot group costs a fixed number of copies
 of each member. Links become components by alternating large-star and small-star steps on
 tables in the shared folder.
@@ -42,11 +39,10 @@ from quantloom.llm._common import discard, materialize, numbered, restored
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-FAMILIES, POSITIONS = 16, 64
-REFERENCES = FAMILIES + POSITIONS
+REFERENCES, POSITIONS = 16, 64
 #: Members that are searched as one group; a larger cell is dealt again.
 CHUNK = 4096
-#: Blocks that positions are cut into, how many of them a cell fixes, and how often cells can be dealt again.
+#: Blocks that bits are cut into, how many of them a cell fixes, and how often cells can be dealt again.
 BLOCKS, FIXED, LEVELS = 6, 3, 3
 
 
@@ -79,14 +75,8 @@ def with_fingerprint(docs: DataFrame, text: str = "text", column: str = "fp") ->
 
 
 def references() -> np.ndarray:
-    """The reference fingerprints: FAMILIES random ones, then for each position its family's one with that bit changed."""
-    bases = np.random.default_rng(SEED).integers(0, 1 << 64, FAMILIES, dtype=np.uint64)
-    bits = np.arange(POSITIONS, dtype=np.uint64)
-    return np.concatenate((bases, bases[_family()] ^ (np.uint64(1) << bits)))
-
-
-def _family() -> np.ndarray:
-    return np.arange(POSITIONS) // (POSITIONS // FAMILIES)
+    """The reference fingerprints: random ones, of which each coordinate is independent of the others."""
+    return np.random.default_rng(SEED).integers(0, 1 << 64, REFERENCES, dtype=np.uint64)
 
 
 def pivot_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
@@ -140,7 +130,7 @@ def linked(fps: np.ndarray, table: np.ndarray, radius: int = RADIUS) -> tuple[np
 
 @cache
 def _ways(way: int, level: int) -> list[tuple[int, ...]]:
-    """The positions that the cells of a level fix, one tuple for each way of choosing blocks; `way` chose those of the level before."""
+    """The bits that the cells of a level fix, one tuple for each way of choosing blocks; `way` chose those of the level before."""
     fixed: tuple[int, ...] = ()
     choices = list(combinations(range(BLOCKS), FIXED))
     path = []
@@ -158,35 +148,34 @@ def _ways(way: int, level: int) -> list[tuple[int, ...]]:
 
 
 def cells(rows: DataFrame, level: int) -> DataFrame:
-    """(way, cell, fp): the cells of rows (way, fp, pivots) of the level before, by equal relative coordinates."""
+    """(way, cell, fp, pivots): the cells of rows (way, fp, pivots) of the level before, by the bits that each way fixes."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Fixed odd multipliers: the cell is a hash of the relative coordinates, and of the way they were chosen.
-        odd = np.random.default_rng(SEED + 1).integers(0, 1 << 63, POSITIONS + 1, dtype=np.int64) * 2 + 1
+        # Fixed odd multipliers: the cell is a hash of the fixed bits, and of the way they were chosen.
+        odd = np.random.default_rng(SEED + 1).integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            n = batch.num_rows
-            table = np.frombuffer(b"".join(batch.column("pivots").to_pylist()), np.uint8).reshape(n, REFERENCES).astype(np.int64)
-            relative = (table[:, FAMILIES:] - table[:, _family()]) * odd[:POSITIONS]
             fp, before = batch.column("fp").to_numpy(), batch.column("way").to_numpy()
             for way in np.unique(before).tolist():
-                own = before == way
+                own = np.flatnonzero(before == way)
                 chosen = _ways(way, level)
-                keys = [relative[own][:, list(x)].sum(axis=1) + (way * len(chosen) + i) * odd[-1] for i, x in enumerate(chosen)]
-                m = int(own.sum())
-                names = np.repeat(np.arange(len(chosen), dtype=np.int32) + way * len(chosen), m)
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate(keys)), pa.array(np.tile(fp[own], len(chosen)))], ["way", "cell", "fp"])
+                names = np.arange(len(chosen)) + way * len(chosen)
+                masks = np.array([sum(1 << x for x in fixed) for fixed in chosen], np.uint64)
+                keys = (fp[own].view(np.uint64)[None, :] & masks[:, None]) * odd[0] + names.astype(np.uint64)[:, None] * odd[1]
+                at = pa.array(np.tile(own, len(chosen)))
+                columns = [pa.array(np.repeat(names.astype(np.int32), len(own))), pa.array(keys.ravel().view(np.int64)), batch.column("fp").take(at), batch.column("pivots").take(at)]
+                yield pa.RecordBatch.from_arrays(columns, ["way", "cell", "fp", "pivots"])
 
-    return rows.select("way", "fp", "pivots").mapInArrow(deal, "way int, cell long, fp long")
+    return rows.select("way", "fp", "pivots").mapInArrow(deal, "way int, cell long, fp long, pivots binary")
 
 
 def _search(radius: int):
-    """Links of whole cells in rows (cell, fp, far), sorted by cell; far: the coordinates of the independent references."""
+    """Links of whole cells in rows (cell, fp, pivots), sorted by cell."""
 
     def emit(frame: pd.DataFrame) -> pd.DataFrame:
         # Most cells have two members: those are compared at once, the others one by one.
         cell, signed = frame["cell"].to_numpy(), frame["fp"].to_numpy()
         fp = signed.view(np.uint64)
-        table = np.frombuffer(b"".join(frame["far"]), np.uint8).reshape(len(fp), FAMILIES).astype(np.int16)
+        table = np.frombuffer(b"".join(frame["pivots"]), np.uint8).reshape(len(fp), REFERENCES).astype(np.int16)
         cut = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
         ends = np.append(cut[1:], len(fp))
         two = cut[ends - cut == 2]
@@ -227,13 +216,12 @@ def links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame
         shared = materialize(dealt.join(sizes, "cell"), "shared")
         discard(dealt)
         small = shared if level == LEVELS else shared.where(F.col("n") <= chunk)
-        far = fps.select("fp", F.substring("pivots", 1, FAMILIES).alias("far"))
-        one = small.select("cell", "fp").join(far, "fp").select("cell", "fp", "far").repartition("cell").sortWithinPartitions("cell", "fp").mapInPandas(_search(radius), "u long, v long")
+        one = small.select("cell", "fp", "pivots").repartition("cell").sortWithinPartitions("cell", "fp").mapInPandas(_search(radius), "u long, v long")
         found = one if found is None else found.unionByName(one)
         hot = shared.where(F.col("n") > chunk)
         if level == LEVELS or hot.isEmpty():
             return found.distinct()
-        rows = hot.select("way", "fp").join(fps.select("fp", "pivots"), "fp")
+        rows = hot.select("way", "fp", "pivots")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -431,6 +431,22 @@ def test_repair_files(spark, docs, none, tmp_path, kind):
     assert repair.digest(none).count() == 0 and repair.digest(docs).schema["doc_id"].dataType == docs.schema["doc_id"].dataType
 
 
+def test_repair_files_under_an_output_codec(spark, docs, tmp_path):
+    """A cluster that compresses its outputs loses no row, and files that lack some are an error."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    want = Counter(repair.digest(docs).collect())
+    conf.set("mapreduce.output.fileoutputformat.compress", "true")
+    try:
+        assert Counter(repair.digest(docs).collect()) == want and sum(want.values()) == docs.count()
+        path = f"file://{tmp_path}/ids"
+        assert repair.write_files(docs, path) == docs.count()
+    finally:
+        conf.unset("mapreduce.output.fileoutputformat.compress")
+    assert repair.read_ids(spark, path, docs.count()).count() == docs.count()
+    with pytest.raises(RuntimeError, match="documents were written"):
+        repair.read_ids(spark, path, docs.count() + 1)
+
+
 def test_main_text():
     page = """<html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><nav><ul><li><a href="/">Home</a></li></ul></nav>
     <div class="cookie-notice">We use cookies.</div><article><header><h1>A title &amp; more</h1></header><p><b>The start of it is here, and that is all that there is to say on this.
@@ -479,6 +495,28 @@ LAYOUTS = {
     "breaks": (f"<article><p>{EN}<br>Short.<br/>Lines.</p></article>", EN + "Short. Lines."),
     "search and share": (f"<div role='search'><p>{TEASER}</p></div><article><p>{EN}</p><div class='share-buttons'>Share this</div><p>End.</p></article>", EN + "End."),
 }
+LAYOUTS |= {
+    "page-wide form": (f"<body><form id='aspnetForm' method='post'><div class='header'>{NAV}</div><div id='content'><h1>Title</h1><p>{EN}</p><p>Done.</p></div><div class='footer'><p>{TEASER}</p></div></form></body>", "Title " + EN + "Done."),
+    "page-wide form and a footer": (f"<form runat='server'>{NAV}<div><p>{EN}</p><div class='comments'><p>{TEASER * 9}</p></div></div></form>{FOOT}", EN),
+    "page-wide form around an article": (f"<form>{NAV}<article><p>{EN}</p><p>End.</p></article><aside><p>{TEASER}</p></aside></form>", EN + "End."),
+    "page-wide form, short notes outside": (f"<div><p>Loading</p></div><form><div id='main'><p>{EN}</p></div></form><div>Version 2</div>", EN),
+    "teasers below the story": (f"{NAV}<div id='story'><h1>Title</h1><p>{EN}</p></div><article><p>{TEASER}</p></article><article><p>{TEASER}</p></article>{FOOT}", "Title " + EN),
+    "teasers in main": (f"<main><div id='story'><p>{EN}</p></div><article><h3>More</h3><p>{TEASER}</p></article></main>{FOOT}", EN),
+    "articles that are comments": (f"<div class='post'><p>{EN}</p></div><article class='comment'><p>{TEASER}</p></article><article class='comment even'><p>{TEASER * 5}</p></article>", EN),
+    "articles inside that are comments": (f"<article class='post'><p>{EN}</p><article id='comment-7' class='comment byuser'><p>{TEASER}</p></article></article>", EN),
+    "disqus thread": (f"<article><p>{EN}</p><div id='disqus_thread'><p>{TEASER}</p></div></article>", EN),
+    "article of a kind": (f"<article class='post has-comments category-related type-ad'><p>{EN}</p></article>{FOOT}", EN),
+    "wordpress": (f"<header class='site-header'>{NAV}</header><div id='primary' class='content-area'><main id='main' class='site-main'><article class='post type-post hentry'><header class='entry-header'><h1 class='entry-title'>Title</h1></header><div class='entry-content'><p>{EN}</p></div><footer class='entry-footer'><a href='c'>News</a></footer></article><nav class='post-navigation'><a href='p'>Before</a></nav><div id='comments' class='comments-area'><ol class='comment-list'><li><article class='comment-body'><p>{TEASER}</p></article></li></ol></div></main></div><aside class='widget-area'><p>{TEASER}</p></aside>{FOOT}", "Title " + EN),
+    "jekyll": (f"<header class='site-header'>{NAV}</header><main class='page-content'><div class='wrapper'><article class='post h-entry'><header class='post-header'><h1>Title</h1></header><div class='post-content e-content'><p>{EN}</p><p>End.</p></div></article></div></main><footer class='site-footer'><p>{TEASER}</p></footer>", "Title " + EN + "End."),
+    "docusaurus": (f"<nav class='navbar'><a href='/'>Docs</a></nav><div class='main-wrapper'><main><article><div class='theme-doc-markdown markdown'><h1>Title</h1><p>{EN}</p></div></article><nav class='pagination-nav'><a href='n'>Next</a></nav></main><div class='table-of-contents'><ul><li><a href='#a'>A</a></li></ul></div></div>{FOOT}", "Title " + EN),
+    "sphinx": (f"<div class='related'><ul><li><a href='i'>index</a></li></ul></div><div class='document'><div class='documentwrapper'><div class='bodywrapper'><div class='body' role='main'><section><h1>Title</h1><p>{EN}</p></section></div></div></div><div class='sphinxsidebar'><p>{TEASER}</p></div></div><div class='footer'>&copy; 2024</div>", "Title " + EN),
+    "mkdocs": (f"<header class='md-header'><a href='/'>Home</a></header><div class='md-container'><main class='md-main'><div class='md-sidebar md-sidebar--primary'><p>{TEASER}</p></div><div class='md-content'><article class='md-content__inner md-typeset'><h1>Title</h1><p>{EN}</p></article></div></main><footer class='md-footer'><p>{TEASER}</p></footer></div>", "Title " + EN),
+    "ghost": (f"<div class='viewport'><header class='gh-head'><nav><a href='/'>Home</a></nav></header><main class='gh-main'><article class='gh-article post'><h1 class='gh-article-title'>Title</h1><section class='gh-content gh-canvas'><p>{EN}</p></section></article><section class='gh-subscribe'><p>{TEASER}</p></section></main></div>", "Title " + EN),
+    "mediawiki": (f"<div id='content' class='mw-body' role='main'><h1 id='firstHeading'>Title</h1><div id='mw-content-text'><p>{EN}</p><div id='toc' class='toc'><p>{TEASER}</p></div></div><div id='catlinks' class='catlinks'><p>{TEASER}</p></div></div><div id='mw-navigation'><a href='m'>Main page</a></div><div id='footer' role='contentinfo'><p>{TEASER}</p></div>", "Title " + EN),
+    "drupal": (f"<header role='banner'>{NAV}</header><div class='layout-container'><main role='main'><div class='layout-content'><article class='node node--type-page'><h1>Title</h1><div class='node__content'><p>{EN}</p></div></article></div><aside class='layout-sidebar-first'><div class='region region-sidebar-first'><p>{TEASER}</p></div></aside></main></div>", "Title " + EN),
+    "joomla": (f"<div class='body'><div class='sidebar-right'><p>{TEASER}</p></div><div class='item-page'><h2>Title</h2><div class='articleBody'><p>{EN}</p></div><ul class='pager pagenav'><li><a href='p'>Prev</a></li></ul></div></div><footer class='footer'><p>{TEASER}</p></footer>", "Title " + EN),
+    "blogger": (f"<div class='main-outer'><div class='post hentry'><h3 class='post-title'>Title</h3><div class='post-body entry-content'><p>{EN}</p>Loose end.</div><div class='post-footer'><p>{TEASER}</p></div></div><div class='blog-pager'><a href='o'>Older</a></div><section class='comments'><p>{TEASER}</p></section></div>", "Title " + EN + "Loose end."),
+}
 
 
 @pytest.mark.parametrize("name", LAYOUTS)
