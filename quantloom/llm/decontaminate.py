@@ -3,8 +3,10 @@
 A window is 13 consecutive words of a benchmark item. Each run of 13 words holds
 ``WINNOW`` = 8 grams of ``GRAM`` = 6 words; documents and items both keep the smallest
 gram hash of every such run, so a shared window always leaves a shared fingerprint.
-Joined fingerprints are then extended word by word to both sides, and count only where
-the common span reaches 13 words: hashes propose, words decide. Items shorter than a
+A place of a fingerprint is extended to the windows around it, 8 at most, and these are
+joined and compared word by word: hashes propose, words decide, and what follows a preamble
+that many items share makes no candidates. Items that share a window, or a whole short text,
+are one row, with a name for their set. Items shorter than a
 window are found by hashes that grow word by word: a place goes on while some item begins
 with its words, and is joined where a whole item ends, then compared word by word.
 
@@ -15,10 +17,10 @@ by chance goes in the joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from quantloom.llm._common import discard, lcp, let, materialize, numbered, restored
+from quantloom.llm._common import discard, let, materialize, numbered, restored
 
 SPAN = 13
 GRAM = 6
@@ -31,6 +33,7 @@ SEED, END = 0, 1
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_HITS = "cast(array() as array<struct<p:int,h:bigint,l:array<string>,r:array<string>>>)"
+NO_SHORT = "cast(array() as array<struct<h:bigint,r:array<string>,ps:array<int>>>)"
 
 
 def bench_words(text: Column) -> Column:
@@ -86,6 +89,23 @@ def _at(words: Column, hashes: Column, places: Column, gram: int, left: int, rig
     return F.transform(places, lambda p: F.struct(p.alias("p"), F.get(hashes, p).alias("h"), *_around(words, p, left, gram, right)))
 
 
+def _windows(h: Column, left: Column, right: Column) -> Column:
+    """The windows of SPAN words around a gram, as array of (key, a: words before the gram, h, wl and wr: the words on both sides)."""
+
+    def window(a: int) -> Column:
+        wl, wr = F.slice(left, 1, a) if a else F.expr("cast(array() as array<string>)"), F.slice(right, 1, SIDE - a) if a < SIDE else F.expr("cast(array() as array<string>)")
+        there = (F.size(left) >= a) & (F.size(right) >= SIDE - a)
+        return F.when(there, F.struct(F.xxhash64(h, F.lit(a), wl, wr).alias("key"), F.lit(a).alias("a"), h.alias("h"), wl.alias("wl"), wr.alias("wr")))
+
+    return F.filter(F.array(*[window(a) for a in range(SIDE + 1)]), lambda x: x.isNotNull())
+
+
+def _named(grouped: GroupedData) -> DataFrame:
+    """The groups with their items (sorted strings) and a name of that set."""
+    out = grouped.agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return out.withColumn("group", F.sha2(F.array_join(F.transform("items", lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)), "").cast("binary"), 256))
+
+
 def bit_table(hashes: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """One row with `bits` bits as array<bigint>, in which the bit of every hash (column h) is set. bits: a power of two from 64."""
     at = F.col("h").bitwiseAND(F.lit(bits - 1))
@@ -113,23 +133,28 @@ def _ended(h: Column) -> Column:
 
 
 def _short_places(words: Column, table: Column, longest: int, bits: int) -> Column:
-    """Places (p, h, l: no words, r: the words there) where the table may hold a whole item of up to `longest` words."""
+    """(h, r: the words, ps: where they stand) wherever the table may hold a whole item of up to `longest` words, once for all places of the same words."""
     first = lambda w: F.xxhash64(F.lit(SEED).cast("bigint"), w)
     begun = F.filter(F.transform(words, lambda w, p: F.when(_holds(table, first(w), bits), p)), lambda p: p.isNotNull())
-    none = F.expr("cast(array() as array<string>)")
 
     def at(p: Column) -> Column:
-        whole = lambda h, j: F.when(h.isNotNull() & _holds(table, _ended(h), bits), F.struct(p.alias("p"), _ended(h).alias("h"), none.alias("l"), F.slice(words, p + 1, j + 1).alias("r")))
+        whole = lambda h, j: F.when(h.isNotNull() & _holds(table, _ended(h), bits), F.struct(_ended(h).alias("h"), F.slice(words, p + 1, j + 1).alias("r"), p.alias("p")))
         return F.filter(F.transform(_grown(words, p, longest), whole), lambda x: x.isNotNull())
 
-    return F.flatten(F.transform(begun, at))
+    def once(places: Column) -> Column:
+        kinds = F.array_distinct(F.transform(places, lambda x: F.struct(x["h"].alias("h"), x["r"].alias("r"))))
+        own = lambda k: F.transform(F.filter(places, lambda x: (x["h"] == k["h"]) & (x["r"] == k["r"])), lambda x: x["p"])
+        return F.transform(kinds, lambda k: F.struct(k["h"].alias("h"), k["r"].alias("r"), own(k).alias("ps")))
+
+    return let(F.flatten(F.transform(begun, at)), once)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", filter_bits: int = FILTER_BITS, keep_text: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows, found): every row of docs with a row number _rid and n_words, and the extended hits.
+def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", filter_bits: int = FILTER_BITS, keep_text: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, found, groups): every row of docs with a row number _rid and n_words, the hits, and the items of each.
 
-    found has _rid, item (string), s and e: words s to e (exclusive) of the row are a
-    common span of that item, of 13 words at least or the whole of a shorter item.
+    found has _rid, group and spans: words s to e (exclusive) of the row are a window of the
+    items of that group, or the whole of shorter ones; a document's places of one short item
+    are one row. groups has group and items (array of strings), a row for each set of items.
     rows was written to the shared folder (discard() it after use), without the text unless
     keep_text. Null texts have no words; empty tables give empty results; repeated rows each
     have their own _rid; columns called _rid, _w, _h, _b, _n and _hit are replaced.
@@ -145,8 +170,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: s
         .distinct()
     )
     fingerprints = materialize(fingerprints, "fingerprints")
+    windows = fingerprints.select("item", F.explode(_windows(F.col("h"), F.col("il"), F.col("ir"))).alias("x")).select("item", "x.*")
+    windows = materialize(_named(windows.groupBy("key", "a", "h", "wl", "wr")), "windows")
     short = items.where(F.size("w") < SPAN).withColumn("hs", _grown(F.col("w"), F.lit(0), SPAN - 1)).select("item", "w", F.filter("hs", lambda x: x.isNotNull()).alias("hs"))
-    whole = short.select("item", _ended(F.element_at("hs", -1)).alias("h"), "w")
+    whole = materialize(_named(short.groupBy(_ended(F.element_at("hs", -1)).alias("h"), "w")), "short")
     longest = items.where(F.size("w") < SPAN).agg(F.max(F.size("w"))).first()[0]
     kept = [fingerprints.select("h"), *([short.select(F.explode("hs").alias("h")), whole.select("h")] if longest else [])]
     for more in kept[1:]:
@@ -164,29 +191,29 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: s
         places = F.filter(winnow_places(F.col("_h")), lambda p: _holds(b, F.get("_h", p), filter_bits))
         none = F.expr(NO_HITS)
         found = F.when((F.col("_n") > 0) & F.exists(winnow(F.col("_h")), lambda h: _holds(b, h, filter_bits)), _at(F.col("_w"), F.col("_h"), places, GRAM, SIDE, SIDE)).otherwise(none)
-        return F.struct(found.alias("hit"), (_short_places(F.col("_w"), b, longest, filter_bits) if longest else none).alias("short"))
+        return F.struct(found.alias("hit"), (_short_places(F.col("_w"), b, longest, filter_bits) if longest else F.expr(NO_SHORT)).alias("short"))
 
     rows = rows.withColumn("_hit", F.get(F.transform("_b", marked), F.lit(0))).drop("_w", "_h", "_b", "_n", *[] if keep_text else [text])
     rows = materialize(rows, "rows")
     found = (
         rows.where(F.size("_hit.hit") > 0)
         .select("_rid", F.explode("_hit.hit").alias("x"))
-        .select("_rid", "x.*")
-        .join(fingerprints, "h")
-        .withColumns({"a": lcp(F.col("l"), F.col("il")), "b": lcp(F.col("r"), F.col("ir"))})
-        .where(F.col("a") + F.col("b") + GRAM >= SPAN)
-        .select("_rid", "item", (F.col("p") - F.col("a")).alias("s"), (F.col("p") + GRAM + F.col("b")).alias("e"))
+        .select("_rid", "x.p", F.explode(_windows(F.col("x.h"), F.col("x.l"), F.col("x.r"))).alias("x"))
+        .select("_rid", "p", "x.*")
+        .join(windows, ["key", "a", "h", "wl", "wr"])
+        .select("_rid", "group", F.array(F.struct((F.col("p") - F.col("a")).alias("s"), (F.col("p") - F.col("a") + SPAN).alias("e"))).alias("spans"))
     )
     if longest:
         found = found.unionByName(
             rows.where(F.size("_hit.short") > 0)
             .select("_rid", F.explode("_hit.short").alias("x"))
-            .select("_rid", "x.p", "x.h", "x.r")
+            .select("_rid", "x.ps", "x.h", "x.r")
             .join(whole, "h")
             .where(F.col("r") == F.col("w"))
-            .select("_rid", "item", F.col("p").alias("s"), (F.col("p") + F.size("w")).alias("e"))
+            .select("_rid", "group", F.transform("ps", lambda p: F.struct(p.alias("s"), (p + F.size("w")).alias("e"))).alias("spans"))
         )
-    return rows, found
+    groups = windows.select("group", "items").unionByName(whole.select("group", "items")).dropDuplicates(["group"])
+    return rows, found, groups
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", filter_bits: int = FILTER_BITS, keep_text: bool = True) -> DataFrame:
@@ -198,17 +225,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     rows are judged alike; an empty benchmark hits nothing.
     """
     docs = docs.drop("n_words", "n_hit", "n_items", "items", "contaminated")
-    rows, found = hits(docs, benchmark, text, item_text, item_id, filter_bits, keep_text)
-    by = found.groupBy("_rid", "s").agg(F.max("e").alias("e"))
+    rows, found, groups = hits(docs, benchmark, text, item_text, item_id, filter_bits, keep_text)
     # The union of intervals: what each adds beyond the furthest end before it.
-    spans = by.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("x"))
+    spans = found.groupBy("_rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("x"))
+    items = found.select("_rid", "group").distinct().join(groups, "group").groupBy("_rid").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     union = F.aggregate(
         F.col("x"),
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
         lambda acc, x: F.struct(F.greatest(acc["end"], x["e"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(acc["end"], x["s"]))).alias("n")),
         lambda acc: acc["n"].cast("long"),
     )
-    items = found.groupBy("_rid").agg(F.sort_array(F.collect_set("item")).alias("items"))
     marked = spans.select("_rid", union.alias("n_hit")).join(items, "_rid")
     none = F.expr("cast(array() as array<string>)")
     out = rows.drop("_hit").join(marked, "_rid", "left").drop("_rid")

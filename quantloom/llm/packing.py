@@ -5,7 +5,9 @@ finds the bucket boundaries with the least padding. The cost of a bucket is the
 its documents to its longest one, so the recurrence is a lower envelope of lines and each
 layer takes linear time. Inside a bucket documents are ordered by length and cut into
 batches whose padded size stays within the token budget. pack() gives every document its
-place, batches() the padded batches themselves.
+place as numbers, batches() forms the padded batches; the query reads its rows off those.
+Ids and masks are bytes, so that a batch is one block of memory for who trains on it and
+Spark moves no single numbers.
 """
 
 from __future__ import annotations
@@ -14,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm._common import global_rank, materialize
-from quantloom.llm.tokens import with_ids, with_lengths
+from quantloom.llm.tokens import with_id_bytes, with_lengths
 
 BUCKETS = 16
 TOKEN_BUDGET = 65_536
+#: What a mask has over padding, as a character.
+_ZERO = "\x00"
 
 
 def boundaries(histogram: list[tuple[int, int]], buckets: int = BUCKETS) -> list[int]:
@@ -112,26 +116,39 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDG
 def batches(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, pad_id: int = 0) -> DataFrame:
     """(bucket, batch, bucket_len, doc_ids, lengths, ids, mask): the batches of pack(), a row each.
 
-    ids and mask are arrays of rows, each padded to bucket_len with pad_id and 0; mask is 1
-    over a document's own ids. A row of the result holds token_budget ids at most, or one
-    longer document. Cases as in pack().
+    ids and mask are arrays of binary, one for each document: bucket_len ids as little-endian
+    32-bit numbers, padded with pad_id, and as many bytes, 1 over the document's own ids and 0
+    over padding. A row of the result holds token_budget ids at most, or one longer document.
+    Cases as in pack().
     """
     sized = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_t"))
-    sized = materialize(with_ids(sized, "_t", "ids", tokenizer).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids"), "ids")
+    sized = materialize(with_id_bytes(sized, "_t", "ids", tokenizer).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids"), "ids")
     rows = _placed(sized, buckets, token_budget).select("bucket", "batch", "bucket_len", F.struct("position", "doc_id", "ids").alias("x"))
     whole = rows.groupBy("bucket", "batch").agg(F.max("bucket_len").alias("bucket_len"), F.array_sort(F.collect_list("x")).alias("xs"))
-    filled = lambda n, value: F.array_repeat(F.lit(value), n.cast("int"))
-    left = lambda x: F.col("bucket_len") - F.size(x["ids"])
+    pad, own, none = (F.lit(b) for b in (pad_id.to_bytes(4, "little"), b"\x01", b"\x00"))
+    room = F.col("bucket_len").cast("int")
+    size = lambda x: (F.octet_length(x["ids"]) / 4).cast("int")
     return whole.select(
         "bucket",
         "batch",
         "bucket_len",
         F.transform("xs", lambda x: x["doc_id"]).alias("doc_ids"),
-        F.transform("xs", lambda x: F.size(x["ids"])).alias("lengths"),
-        F.transform("xs", lambda x: F.concat(x["ids"], filled(left(x), pad_id))).alias("ids"),
-        F.transform("xs", lambda x: F.concat(filled(F.size(x["ids"]), 1), filled(left(x), 0))).alias("mask"),
+        F.transform("xs", size).alias("lengths"),
+        F.transform("xs", lambda x: F.rpad(x["ids"], 4 * room, pad)).alias("ids"),
+        F.transform("xs", lambda x: F.rpad(F.rpad(F.lit(b""), size(x), own), room, none)).alias("mask"),
     )
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return pack(docs)
+    """A row for each document of the batches: what pack() says of it, read off its row of ids and mask.
+
+    n_tokens counts the mask's ones, padding its zeros, ids_crc32 is that of the padded row
+    of ids cut where the mask ends.
+    """
+    each = batches(docs).select("bucket", "batch", "bucket_len", F.posexplode(F.arrays_zip("doc_ids", "ids", "mask")).alias("position", "x"))
+    n = F.coalesce(F.locate(_ZERO, F.decode("x.mask", "ISO-8859-1")), F.lit(0))
+    used = F.when(n == 0, F.octet_length("x.mask")).otherwise(n - 1)
+    rows = each.select(F.col("x.doc_ids").alias("doc_id"), used.cast("long").alias("n_tokens"), "bucket", "bucket_len", "batch", F.col("position").cast("long").alias("position"), F.col("x.ids").alias("ids"))
+    crc = F.crc32(F.substring("ids", F.lit(1), (4 * F.col("n_tokens")).cast("int")))
+    return rows.select("doc_id", "n_tokens", "bucket", "bucket_len", "batch", "position", (F.col("bucket_len") - F.col("n_tokens")).alias("padding"), crc.alias("ids_crc32"))
+

@@ -175,15 +175,15 @@ def with_lengths(docs: DataFrame, text: str = "text", column: str = "n_tokens",
     return docs.withColumn(column, lengths(F.col(f"`{text}`")))
 
 
-def with_ids(docs: DataFrame, text: str = "text", column: str = "ids", tokenizer: str | None = None) -> DataFrame:
-    """docs with the ids of every whole text as array<int> (null and empty: none); a column of that name is replaced, rows stay as they are."""
+def with_id_bytes(docs: DataFrame, text: str = "text", column: str = "ids", tokenizer: str | None = None) -> DataFrame:
+    """docs with the ids of every whole text as little-endian 32-bit numbers in binary (null and empty: none); a column of that name is replaced, rows stay as they are."""
     path = tokenizer or default_tokenizer()
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder.of(path)
         for texts in batches:
-            yield pd.Series(encoder.encode_all(list(texts)), dtype=object)
+            yield pd.Series([x.astype("<u4", copy=False).tobytes() for x in encoder.encode_all(list(texts))], dtype=object)
 
     return docs.withColumn(column, ids(F.col(f"`{text}`")))
 

@@ -297,8 +297,11 @@ def test_a_one_word_item_beside_many_short_ones_makes_no_pairs(spark):
     bench = [(0, "the")] + [(i, " ".join(["the", *(word() for _ in range(rng.integers(1, 11)))])) for i in range(1, 10_001)]
     texts = [" ".join("the" if rng.random() < 0.3 else word() for _ in range(300)) for _ in range(40)] + [bench[7][1] + " tail", "head " + bench[8][1]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    _, found = decontaminate.hits(df, spark.createDataFrame(bench, "item_id long, text string"))
-    got = {(r["_rid"], r["item"], r["s"], r["e"]) for r in found.collect()}
+    _, found, groups = decontaminate.hits(df, spark.createDataFrame(bench, "item_id long, text string"))
+    rows = found.join(groups, "group").collect()
+    got = {(r["_rid"], i, x["s"], x["e"]) for r in rows for i in r["items"] for x in r["spans"]}
+    # A row for a document and item, however often the item's words stand in it.
+    assert len(rows) == len({(r["_rid"], *r["items"]) for r in rows})
     of = {r["doc_id"]: r["_rid"] for r in df.select("doc_id", F.monotonically_increasing_id().alias("_rid")).collect()}
     by_words, want = {}, set()
     for i, t in bench:
@@ -311,6 +314,21 @@ def test_a_one_word_item_beside_many_short_ones_makes_no_pairs(spark):
     assert got == want and len(got) > 3_000
 
 
+def test_items_with_one_preamble_are_one_row_until_the_words_agree(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 50_000, n))
+    preamble = words(40)
+    bench = [(i, f"{preamble} {words(20)}") for i in range(10_000)]
+    other = lambda n: words(n).replace("v", "d")
+    texts = [f"{other(30)} {preamble} {other(30)}" for _ in range(20)] + [f"{other(9)} {bench[4][1]} x", other(50)]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, found, _ = decontaminate.hits(df, items)
+    assert found.count() < 22 * 300  # not documents times items
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.digest(df, items).collect()}
+    assert got == {**{d: (40, 10_000) for d in range(20)}, 20: (60, 10_000), 21: (0, 0)}
+
+
 def test_encoder_is_the_tokenizer():
     from tokenizers import Tokenizer
 
@@ -364,8 +382,13 @@ def test_batches_hold_the_ids_of_every_row(docs, none):
         assert len(b["doc_ids"]) * b["bucket_len"] <= 50 or len(b["doc_ids"]) == 1
         for i, (d, n, ids, mask) in enumerate(zip(b["doc_ids"], b["lengths"], b["ids"], b["mask"], strict=True)):
             assert placed[d, b["bucket"], b["batch"], i] == 1
-            assert len(ids) == len(mask) == b["bucket_len"] and mask == [1] * n + [0] * (len(ids) - n)
+            ids = np.frombuffer(ids, "<u4").tolist()
+            assert len(ids) == len(mask) == b["bucket_len"] and mask == bytes([1] * n + [0] * (len(ids) - n))
             assert ids[:n] == e.encode(TEXTS[d]).tolist() and set(ids[n:]) <= {7}
+    crc = lambda t: zlib.crc32(np.array(e.encode(t or ""), "<u4").tobytes())
+    read = packing.digest(docs).collect()
+    want = Counter(tuple(r) for r in packing.pack(docs).collect())
+    assert Counter(tuple(r)[:-1] for r in read) == want and all(r["ids_crc32"] == crc(TEXTS[r["doc_id"]]) for r in read)
     assert sum(len(b["doc_ids"]) for b in got) == len(TEXTS) + 1 and packing.batches(none).count() == 0
 
 
