@@ -1,8 +1,9 @@
 """Returns around factor events, on the session axis of the returns.
 
-Every asset's path is laid out once, sorted by session; the window around each event is
-one frame of that sort. What leaves the shuffle by asset is one row for each event and
-offset, which two aggregations reduce.
+Wealth is kept at the sessions that have a return, and nowhere else. Returns and events are
+dealt by asset once; there, events are multiplied by their offsets and each takes the latest
+wealth at or before its session. No grid of assets and sessions is made and no path is
+gathered: what is shuffled is returns and events, what is sorted is returns and offsets.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.errors import FactorError
@@ -41,27 +42,19 @@ def event_window(factor_data: DataFrame, returns: DataFrame, periods_before: int
     grouped = group_adjust or by_group
     _checked(factor_data, returns, grouped, True, check)
     axis = sessions_of(returns)
-    n = axis.count()
     group = ["group"] if grouped else []
     is_event = F.coalesce(F.col("factor_quantile") > 0, F.lit(False))
     rows = factor_data.select("date", "asset", *group, "factor_quantile", is_event.alias("event")).join(axis, "date", "left")
     inside = rows.where("idx is not null")
     dates = inside.where("event").select("date").distinct()
-    members = inside.join(dates, "date", "left_semi")
-    if not (demeaned or group_adjust):
-        members = members.where("event")
-    if n == 0 or (check and members.isEmpty()):
+    members = inside.join(dates, "date", "left_semi") if demeaned or group_adjust else inside.where("event")
+    if check and members.isEmpty():
         raise FactorError("no event has a session")
-    grid = members.select("asset").distinct().select("asset", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("idx"))
-    known = returns.join(axis, "date").select("asset", "idx", finite(F.col("return")).alias("r"))
-    marks = members.select("asset", "idx", F.struct("date", *group, "factor_quantile", "event").alias("mark"))
-    dense = grid.join(known, ["asset", "idx"], "left").join(marks, ["asset", "idx"], "left")
-    own = Window.partitionBy("asset").orderBy("idx")
-    dense = dense.withColumn("w", F.product(1 + F.coalesce("r", F.lit(0.0))).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    around = F.collect_list(F.struct("idx", "w", F.col("r").isNull().cast("long").alias("missing"))).over(own.rowsBetween(-periods_before, periods_after))
-    path = dense.withColumn("around", around).where("mark is not null")
-    each = path.select("mark.*", F.col("w").alias("base"), F.col("idx").alias("at"), F.explode("around").alias("x"))
-    each = each.select("date", *group, "factor_quantile", "event", (F.col("x.idx") - F.col("at")).alias("offset"), (F.col("x.w") / F.col("base") - 1).alias("v"), "x.missing")
+    known = _finite_returns(returns).join(axis, "date").select("asset", "idx", (1 + F.col("r")).alias("x"))
+    asked = members.select("asset", "idx", F.struct("date", *group, "factor_quantile", "event").alias("mark"))
+    each = _paths(known, asked, axis, periods_before, periods_after)
+    value = F.coalesce(F.col("found.w"), F.lit(1.0)) / F.col("w") - 1
+    each = each.select("mark.*", "offset", value.alias("v"), F.coalesce(F.col("found.t") != F.col("t"), F.lit(True)).cast("long").alias("missing"))
     # One aggregation of all paths; the universe's means and the events' are sums of its few rows.
     parts = each.groupBy("date", *group, "factor_quantile", "event", "offset").agg(F.sum("v").alias("v"), F.count("*").alias("n"), F.sum("missing").alias("missing"))
     zero = F.lit(0).cast("long")
@@ -77,13 +70,43 @@ def event_window(factor_data: DataFrame, returns: DataFrame, periods_before: int
     moved = F.sum(F.col("v") - F.col("n") * F.col("m")) / F.sum("n")
     paths = parts.where("event").groupBy("date", *keys, "offset").agg(moved.alias("v"), F.sum("n").alias("used"), (F.sum(F.col("missing") + F.col("n") * F.col("extra")) + F.max("all_extra")).alias("missing"))
     frame = paths.groupBy(*keys, "offset").agg(F.avg("v").alias("mean_cumulative_return"), F.stddev_samp("v").alias("std_cumulative_return"), F.count("*").alias("count"))
-    return EventWindow(frame.select(*keys, "offset", "mean_cumulative_return", "std_cumulative_return", "count"), _coverage(rows, dense, paths, periods_before, periods_after))
+    return EventWindow(frame.select(*keys, "offset", "mean_cumulative_return", "std_cumulative_return", "count"), _coverage(rows, members, known, axis, paths, periods_before, periods_after))
 
 
-def _coverage(rows: DataFrame, dense: DataFrame, paths: DataFrame, before: int, after: int) -> DataFrame:
+def _finite_returns(returns: DataFrame) -> DataFrame:
+    return returns.select("date", "asset", finite(F.col("return")).alias("r")).where("r is not null")
+
+
+def _offsets(last: Column, before: int, after: int) -> Column:
+    """The offsets of a row's window that lie on the axis of sessions 0 to last."""
+    lo, hi = F.greatest(F.lit(-before).cast("long"), -F.col("idx").cast("long")), F.least(F.lit(after).cast("long"), (last - F.col("idx")).cast("long"))
+    return F.sequence(lo.cast("int"), hi.cast("int"))
+
+
+def _paths(known: DataFrame, asked: DataFrame, axis: DataFrame, before: int, after: int) -> DataFrame:
+    """asset, mark, w, offset, t, found: for each row of asked (asset, idx, mark) and each session t = idx + offset of the axis.
+
+    w is the product of the asset's known values (asset, idx, x) up to idx; found is (t, w) at
+    the latest known session up to t. Both windows lie on one deal by asset.
+    """
+    last = axis.select(F.max("idx")).scalar()
+    kind = asked.schema["mark"].dataType
+    both = known.select("asset", "idx", "x", F.lit(None).cast(kind).alias("mark")).unionByName(asked.select("asset", "idx", F.lit(None).cast("double").alias("x"), "mark"))
+    own = Window.partitionBy("asset")
+    w = F.coalesce(F.product("x").over(own.orderBy("idx").rangeBetween(Window.unboundedPreceding, 0)), F.lit(1.0))
+    offsets = _offsets(last, before, after)
+    spread = both.withColumn("w", w).withColumn("offset", F.explode(F.when(F.col("mark").isNull(), F.array(F.lit(0))).otherwise(offsets))).withColumn("t", F.col("idx") + F.col("offset"))
+    found = F.last(F.when(F.col("mark").isNull(), F.struct("t", "w")), ignorenulls=True).over(own.orderBy("t").rangeBetween(Window.unboundedPreceding, 0))
+    return spread.withColumn("found", found).where("mark is not null").select("asset", "mark", "w", "offset", "t", "found")
+
+
+def _coverage(rows: DataFrame, members: DataFrame, known: DataFrame, axis: DataFrame, paths: DataFrame, before: int, after: int) -> DataFrame:
     zero = F.lit(0).cast("long")
     total = rows.agg(F.count_if("event").alias("input_events"), F.count_if(F.col("event") & F.col("idx").isNull()).alias("skipped_missing_date"))
-    filled = dense.agg(F.count_if(F.col("r").isNull()).alias("imputed_return_cells"))
+    # Cells of the members' assets without a return: all of them less those with one.
+    assets = members.select("asset").distinct()
+    cells = assets.agg(F.count("*").alias("assets")).join(axis.agg(F.count("*").alias("sessions"))).join(known.join(assets, "asset", "left_semi").agg(F.count("*").alias("known")))
+    filled = cells.select((F.col("assets") * F.col("sessions") - F.col("known")).alias("imputed_return_cells"))
     overall = total.join(filled).select(
         F.lit("overall").alias("scope"), F.lit(None).cast("int").alias("offset"), "input_events", (F.col("input_events") - F.col("skipped_missing_date")).alias("used_events"), "skipped_missing_date", "imputed_return_cells", zero.alias("path_count")
     )
@@ -103,15 +126,17 @@ def average_cumulative_return_by_quantile(factor_data: DataFrame, returns: DataF
 def _aligned(rows: DataFrame, returns: DataFrame, before: int, after: int, cumulative: bool) -> DataFrame:
     """date, [factor_quantile], offset, v: values of each event's asset around its session; missing ones are left out."""
     axis = sessions_of(returns)
-    value = finite(F.col("return"))
-    if not cumulative:
-        value = F.product(1 + F.coalesce(value, F.lit(0.0))).over(Window.partitionBy("asset").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
-    known = returns.withColumn("v", value).join(axis, "date").select("asset", "idx", "v", F.lit(None).cast(rows.select(F.struct(*rows.drop("asset").columns).alias("m")).schema["m"].dataType).alias("m"))
-    asked = rows.join(axis, "date").select("asset", "idx", F.lit(None).cast("double").alias("v"), F.struct(*rows.drop("asset").columns).alias("m"))
-    frame = Window.partitionBy("asset").orderBy("idx").rangeBetween(-before, after)
-    near = F.collect_list(F.when(F.col("v").isNotNull(), F.struct("idx", "v"))).over(frame)
-    both = known.unionByName(asked).withColumn("near", near).where("m is not null")
-    return both.select("m.*", F.col("idx").alias("at"), F.explode("near").alias("x")).select(*rows.drop("asset").columns, (F.col("x.idx") - F.col("at")).alias("offset"), "x.v")
+    if cumulative:
+        known = _finite_returns(returns).select("date", "asset", F.col("r").alias("v"))
+    else:
+        # Compounded returns stand at every row of the returns, at those without a number, too.
+        grown = F.product(1 + F.coalesce(finite(F.col("return")), F.lit(0.0))).over(Window.partitionBy("asset").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+        known = returns.select("date", "asset", grown.alias("v"))
+    known = known.join(axis, "date").select("asset", "idx", "v")
+    last = axis.select(F.max("idx")).scalar()
+    offsets = _offsets(last, before, after)
+    asked = rows.join(axis, "date").withColumn("offset", F.explode(offsets)).withColumn("idx", F.col("idx") + F.col("offset"))
+    return asked.join(known, ["asset", "idx"]).select(*rows.drop("asset").columns, "offset", "v")
 
 
 def _summed(values: DataFrame, keys: Sequence[str], by_date: bool, demeaned: bool) -> DataFrame:
