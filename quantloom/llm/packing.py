@@ -5,7 +5,7 @@ finds the bucket boundaries with the least padding. The cost of a bucket is the
 its documents to its longest one, so the recurrence is a lower envelope of lines and each
 layer takes linear time. Inside a bucket documents are ordered by length and cut into
 batches whose padded size stays within the token budget. pack() gives every document its
-place as numbers, batches() forms the padded batches; the query reads its rows off those.
+place as numbers, which is what the query returns; batches() forms the padded batches.
 Ids and masks are bytes, so that a batch is one block of memory for who trains on it and
 Spark moves no single numbers.
 """
@@ -20,8 +20,6 @@ from quantloom.llm.tokens import with_id_bytes, with_lengths
 
 BUCKETS = 16
 TOKEN_BUDGET = 65_536
-#: What a mask has over padding, as a character.
-_ZERO = "\x00"
 
 
 def boundaries(histogram: list[tuple[int, int]], buckets: int = BUCKETS) -> list[int]:
@@ -140,15 +138,4 @@ def batches(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_B
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """A row for each document of the batches: what pack() says of it, read off its row of ids and mask.
-
-    n_tokens counts the mask's ones, padding its zeros, ids_crc32 is that of the padded row
-    of ids cut where the mask ends.
-    """
-    each = batches(docs).select("bucket", "batch", "bucket_len", F.posexplode(F.arrays_zip("doc_ids", "ids", "mask")).alias("position", "x"))
-    n = F.coalesce(F.locate(_ZERO, F.decode("x.mask", "ISO-8859-1")), F.lit(0))
-    used = F.when(n == 0, F.octet_length("x.mask")).otherwise(n - 1)
-    rows = each.select(F.col("x.doc_ids").alias("doc_id"), used.cast("long").alias("n_tokens"), "bucket", "bucket_len", "batch", F.col("position").cast("long").alias("position"), F.col("x.ids").alias("ids"))
-    crc = F.crc32(F.substring("ids", F.lit(1), (4 * F.col("n_tokens")).cast("int")))
-    return rows.select("doc_id", "n_tokens", "bucket", "bucket_len", "batch", "position", (F.col("bucket_len") - F.col("n_tokens")).alias("padding"), crc.alias("ids_crc32"))
-
+    return pack(docs)
