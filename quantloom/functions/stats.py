@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.ranks import with_average_rank
+
 
 def finite(x: Column) -> Column:
     """x, or null where it is NaN or infinite."""
@@ -38,9 +40,15 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when(F.count(a) < 2, None).when(c > 1, 1.0).when(c < -1, -1.0).otherwise(c)
 
 
-def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str) -> DataFrame:
-    """Rank correlation by keys; pairs with a missing side are dropped before ranking, keys with none left stay."""
+def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str, most: int = 0) -> DataFrame:
+    """Rank correlation by keys; pairs with a missing side are dropped before ranking, keys with none left stay.
+
+    most: rows of the largest cross-section where that is too large for one task (ranks.crowd()).
+    """
     whole = df.withColumns({"_x": F.when(F.col(y).isNotNull(), F.col(x)), "_y": F.when(F.col(x).isNotNull(), F.col(y))})
+    if most:
+        ranked = with_average_rank(with_average_rank(whole, keys, "_x", "_rx", most), keys, "_y", "_ry", most)
+        return ranked.groupBy(*keys).agg(pearson(F.col("_rx"), F.col("_ry")).alias(name))
     paired = F.col("_x").isNotNull()
     ranked = whole.withColumn("_p", paired)
     by = [*keys, "_p"]

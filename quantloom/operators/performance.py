@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quantloom.errors import FactorError
 from quantloom.functions.frames import as_period, melted, period_number, require, sessions_of, time_bucket, validate_factor_data
+from quantloom.functions.ranks import crowd, joined_by, percentiles, with_average_rank
 from quantloom.functions.stats import average_rank, finite, ols, pearson, ratio, spearman, std_error
 
 SESSIONS_A_YEAR = 252
@@ -34,7 +35,8 @@ def factor_information_coefficient(factor_data: DataFrame, group_adjust: bool =
     long = melted(factor_data, periods, ["date", *grouped, "factor"])
     if group_adjust:
         long = _demeaned(long, ["date", "group", "period"])
-    return spearman(long, ["date", *(["group"] if by_group else []), "period"], "factor", "ret", "ic")
+    most = crowd(factor_data, ["date", *(["group"] if by_group else [])], check)
+    return spearman(long, ["date", *(["group"] if by_group else []), "period"], "factor", "ret", "ic", most)
 
 
 def mean_information_coefficient(factor_data: DataFrame, group_adjust: bool = False, by_group: bool = False, by_time: str | None = None, zone: str | None = None, check: bool = True) -> DataFrame:
@@ -49,13 +51,15 @@ def mean_information_coefficient(factor_data: DataFrame, group_adjust: bool = Fa
 def factor_weights(factor_data: DataFrame, demeaned: bool = True, group_adjust: bool = False, equal_weight: bool = False, check: bool = True) -> DataFrame:
     """date, asset, [group], weight: signals over their gross by date; null where that is 0. Rows without a factor go."""
     validate_factor_data(factor_data, group=group_adjust, returns=False, check=check)
-    return _weights(factor_data, demeaned, group_adjust, equal_weight)
+    return _weights(factor_data, demeaned, group_adjust, equal_weight, crowd(factor_data, ["date"], check))
 
 
-def _weights(factor_data: DataFrame, demeaned: bool, group_adjust: bool, equal_weight: bool) -> DataFrame:
+def _weights(factor_data: DataFrame, demeaned: bool, group_adjust: bool, equal_weight: bool, most: int = 0) -> DataFrame:
     group = ["group"] if "group" in factor_data.columns else []
     df = factor_data.select("date", "asset", *group, finite(F.col("factor")).alias("x")).where("x is not null")
     keys = ["date", "group"] if group_adjust else ["date"]
+    if most:
+        return _crowded_weights(df, keys, group, demeaned, group_adjust, equal_weight, most)
     own = Window.partitionBy(*keys)
     x = F.col("x")
     if equal_weight and not demeaned:
@@ -75,12 +79,34 @@ def _weights(factor_data: DataFrame, demeaned: bool, group_adjust: bool, equal_w
     return df.select("date", "asset", *group, "weight")
 
 
+def _crowded_weights(df: DataFrame, keys: Sequence[str], group: Sequence[str], demeaned: bool, group_adjust: bool, equal_weight: bool, most: int) -> DataFrame:
+    """_weights() of cross-sections too large for one task: means, sides and gross are sums by keys that are joined back."""
+    x = F.col("x")
+    if equal_weight and not demeaned:
+        df = df.withColumn("_s", F.signum(x))
+    elif equal_weight:
+        middle = percentiles(df, keys, "x", [0.5], most).select(*keys, F.get("_cuts", F.lit(0)).alias("_mid"))
+        df = joined_by(df, middle, keys)
+        up, down = x > F.col("_mid"), x < F.col("_mid")
+        df = joined_by(df, df.groupBy(*keys).agg(F.count_if(up).alias("_up"), F.count_if(down).alias("_down")), keys)
+        df = df.withColumn("_s", F.when(up, F.lit(0.5) / F.nullif("_up", F.lit(0))).when(down, F.lit(-0.5) / F.nullif("_down", F.lit(0))).otherwise(0.0))
+    elif demeaned:
+        df = joined_by(df, df.groupBy(*keys).agg(F.avg("x").alias("_m")), keys).withColumn("_s", x - F.col("_m"))
+    else:
+        df = df.withColumn("_s", x)
+    df = joined_by(df, df.groupBy(*keys).agg(F.sum(F.abs("_s")).alias("_gross")), keys).withColumn("weight", ratio(F.col("_s"), F.col("_gross")))
+    if group_adjust:
+        valid = df.where("weight is not null").groupBy("date").agg(F.count_distinct("group").alias("_valid"))
+        df = joined_by(df, valid, ["date"]).withColumn("weight", F.col("weight") / F.nullif("_valid", F.lit(0)))
+    return df.select("date", "asset", *group, "weight")
+
+
 def factor_returns(factor_data: DataFrame, demeaned: bool = True, group_adjust: bool = False, equal_weight: bool = False, by_asset: bool = False, check: bool = True) -> DataFrame:
     """date, period, factor_return; or date, asset, period, weighted_return."""
     periods = validate_factor_data(factor_data, group=group_adjust, check=check)
     names = [f"forward_return_{p}D" for p in periods]
     # Weights keep the rows they came from: returns ride along in the same window, no join.
-    weights = _with_weights(factor_data, names, demeaned, group_adjust, equal_weight)
+    weights = _with_weights(factor_data, names, demeaned, group_adjust, equal_weight, crowd(factor_data, ["date"], check))
     long = melted(weights, periods, ["date", "asset", "weight"])
     paired = F.col("weight") * F.col("ret")
     if by_asset:
@@ -88,9 +114,9 @@ def factor_returns(factor_data: DataFrame, demeaned: bool = True, group_adjust:
     return long.groupBy("date", "period").agg(F.sum(paired).alias("factor_return"))
 
 
-def _with_weights(factor_data: DataFrame, carry: Sequence[str], demeaned: bool, group_adjust: bool, equal_weight: bool) -> DataFrame:
+def _with_weights(factor_data: DataFrame, carry: Sequence[str], demeaned: bool, group_adjust: bool, equal_weight: bool, most: int = 0) -> DataFrame:
     packed = factor_data.select("date", F.col("asset").alias("_asset"), *(["group"] if group_adjust else []), "factor", F.struct("asset", *carry).alias("asset"))
-    out = _weights(packed, demeaned, group_adjust, equal_weight)
+    out = _weights(packed, demeaned, group_adjust, equal_weight, most)
     return out.select("date", "asset.*", "weight")
 
 
@@ -162,16 +188,18 @@ def quantile_turnover(quantile_factor: DataFrame, quantile: int, period: int = 1
     return out.select("date", F.lit(quantile).cast("int").alias("factor_quantile"), F.lit(f"{lag}D").alias("period"), F.when(F.col("idx") >= lag, F.col("share")).alias("turnover"))
 
 
-def factor_rank_autocorrelation(factor_data: DataFrame, period: int = 1) -> DataFrame:
+def factor_rank_autocorrelation(factor_data: DataFrame, period: int = 1, check: bool = True) -> DataFrame:
     """date, period, autocorrelation of the ranks of each whole cross-section with those `period` dates ago, over common assets."""
-    return rank_autocorrelations(factor_data, [period])
+    return rank_autocorrelations(factor_data, [period], check)
 
 
-def rank_autocorrelations(factor_data: DataFrame, periods: Sequence[int]) -> DataFrame:
+def rank_autocorrelations(factor_data: DataFrame, periods: Sequence[int], check: bool = True) -> DataFrame:
     """factor_rank_autocorrelation() for several periods: one sort by date for the ranks and one by asset serve all."""
     lags = [as_period(p) for p in periods]
     dates = sessions_of(factor_data)
-    ranked = factor_data.select("date", "asset", finite(F.col("factor")).alias("x")).where("x is not null").withColumn("r", average_rank(["date"], "x"))
+    ranked = factor_data.select("date", "asset", finite(F.col("factor")).alias("x")).where("x is not null")
+    most = crowd(factor_data, ["date"], check)
+    ranked = with_average_rank(ranked, ["date"], "x", "r", most) if most else ranked.withColumn("r", average_rank(["date"], "x"))
     own = Window.partitionBy("asset").orderBy("idx")
     placed = ranked.join(dates, "date").withColumns({f"b{k}": F.max("r").over(own.rangeBetween(-k, -k)) for k in lags})
     by = placed.groupBy("idx").agg(*[pearson(F.col("r"), F.col(f"b{k}")).alias(f"c{k}") for k in lags])

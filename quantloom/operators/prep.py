@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quantloom.errors import FactorError, MaxLossExceededError
 from quantloom.functions.frames import RETURN_PREFIX, as_period, require, same_dates, sessions_of, trusted, validate_factor_frame, validate_prices
+from quantloom.functions.ranks import crowd, joined_by, percentiles, with_row_number
 from quantloom.functions.stats import finite
 from quantloom.functions.timeutil import duration_micros, session_label
 
@@ -114,17 +115,26 @@ def quantize_factor(factor: DataFrame, quantiles: int | Sequence[float] | None =
     df = factor.withColumns({"_x": x, "_ok": x.isNotNull(), "_pos": F.coalesce(x >= 0, F.lit(False))})
     own = Window.partitionBy(*keys)
     each = half if zero_aware else n_buckets
+    most = crowd(factor, ["date"], check)
+    ties = ["_x", *(["group"] if "group" in factor.columns else []), "asset"]
+    if most:
+        # Cross-sections too large for one task: ranks and percentiles by ranges, sums joined back.
+        sums = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        if bins is None and count:
+            df = with_row_number(df, keys, ties, "_rank", most)
+        elif bins is None:
+            sums = sums.join(percentiles(df, keys, "_x", mode, most), keys, "left")
+        df = joined_by(df, sums, keys)
     if bins is None and count:
-        ties = ["_x", *(["group"] if "group" in factor.columns else []), "asset"]
-        rank = F.row_number().over(own.orderBy(*ties)) - 1
-        n = F.count("*").over(own)
+        rank = F.col("_rank") if most else F.row_number().over(own.orderBy(*ties)) - 1
+        n = F.col("_n") if most else F.count("*").over(own)
         spread = F.floor(rank * (each - 1) / F.nullif(n - 1, F.lit(0)) + 0.5)
         bucket = F.when(n < 2, None).when(n >= each, F.least(F.floor(rank * each / n), F.lit(each - 1))).otherwise(spread) + 1
     elif bins is None:
-        df = df.withColumn("_cuts", F.percentile("_x", F.array(*[F.lit(e) for e in mode])).over(own))
+        df = df if most else df.withColumn("_cuts", F.percentile("_x", F.array(*[F.lit(e) for e in mode])).over(own))
         bucket = _cuts(F.col("_x"), [F.get("_cuts", F.lit(i)) for i in range(len(mode))], True)
     elif count:
-        lo, hi = F.min("_x").over(own), F.max("_x").over(own)
+        lo, hi = (F.col("_lo"), F.col("_hi")) if most else (F.min("_x").over(own), F.max("_x").over(own))
         width = (hi - lo) / each
         place = F.least(F.greatest(F.ceil((F.col("_x") - lo) / F.nullif(width, F.lit(0.0))), F.lit(1)), F.lit(each))
         bucket = F.when((lo == hi) | (F.col("_x") == lo) | F.lit(each == 1), 1).otherwise(place)
@@ -132,7 +142,7 @@ def quantize_factor(factor: DataFrame, quantiles: int | Sequence[float] | None =
         bucket = _cuts(F.col("_x"), mode, False)
     if zero_aware:
         bucket = bucket + F.when(F.col("_pos"), half).otherwise(0)
-    return df.withColumn("factor_quantile", F.when(F.col("_ok"), bucket).cast("int")).drop("_x", "_ok", "_pos", "_cuts")
+    return df.withColumn("factor_quantile", F.when(F.col("_ok"), bucket).cast("int")).drop("_x", "_ok", "_pos", "_cuts", "_n", "_lo", "_hi", "_rank")
 
 
 @dataclass(frozen=True)
