@@ -137,6 +137,19 @@ def sessions_of(df: DataFrame) -> DataFrame:
     return df.select("date").distinct().withColumn("idx", F.row_number().over(Window.orderBy("date")) - 1)
 
 
+def sessioned(df: DataFrame) -> DataFrame:
+    """df, whose column `session` is known to be the ordinal of its date among all of its dates."""
+    df._quantloom_sessions = True
+    return df
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """df with the ordinal of its date, idx: from the panel's layout where it has one, else by the list of its dates."""
+    if getattr(df, "_quantloom_sessions", False):
+        return df.withColumnRenamed("session", "idx")
+    return df.join(sessions_of(df), "date")
+
+
 def time_bucket(by: str, date: str = "date", zone: str | None = None) -> Column:
     """Day, week ending on Sunday or first of month, of the local date in `zone`."""
     at = F.col(date) if zone is None else F.from_utc_timestamp(F.col(date), zone)

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from statistics import NormalDist
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,31 +60,50 @@ def ols(y: Column, x: Column) -> tuple[Column, Column, Column]:
     return F.regr_intercept(y, x), F.regr_slope(y, x), F.regr_count(y, x)
 
 
-def student_t_two_sided(t: float, df: float) -> float:
-    """P(|T| > |t|) by the regularized incomplete beta function."""
-    return incomplete_beta(df / 2, 0.5, df / (df + t * t))
-
-
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularized incomplete beta by its continued fraction (Lentz)."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - incomplete_beta(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny = 1e-300
-    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
-    out = d
-    for m in range(1, 1000):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        for k in (even, odd):
-            d = 1 / (1 + k * d or tiny)
-            c = 1 + k / c or tiny
-            out *= c * d
-        if abs(c * d - 1) < 1e-16:
-            break
-    return min(1.0, front * out)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, also inside lambdas of body."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def student_t_two_sided(t: Column, df: Column) -> Column:
+    """P(|T| > |t|) with df degrees of freedom: the regularized incomplete beta function of df / (df + t^2) at (df / 2, 1/2)."""
+    half, square = df.cast("double") / 2, t * t
+    sides = F.struct(half.alias("a"), (df / (df + square)).alias("x"), (square / (df + square)).alias("y"))
+
+    def p(s: Column) -> Column:
+        a, x, y = s["a"], s["x"], s["y"]
+        front = F.exp(a * F.log(x) + F.log(y) / 2) * gamma_ratio(a) / math.sqrt(math.pi)
+        # The fraction converges fast on one side of the mean: the other is what is left of 1.
+        near = 1 - front / 0.5 * beta_fraction(F.lit(0.5), a, y, a)
+        return F.when(square == 0, 1.0).when(x > (a + 1) / (a + 2.5), near).otherwise(front / a * beta_fraction(a, F.lit(0.5), x, a))
+
+    return let(sides, p)
+
+
+#: Steps by which the argument of gamma_ratio() is raised, until the series below has the precision of a double.
+RAISED = 64
+
+
+def gamma_ratio(a: Column) -> Column:
+    """Gamma(a + 1/2) / Gamma(a), by its asymptotic series at a + RAISED."""
+    z = a + RAISED
+    series = 1 - 1 / (8 * z) + 1 / (128 * z**2) + 5 / (1024 * z**3) - 21 / (32768 * z**4) - 399 / (262144 * z**5)
+    return F.sqrt(z) * series * F.aggregate(F.sequence(F.lit(0), F.lit(RAISED - 1)), F.lit(1.0), lambda acc, i: acc * (a + i) / (a + i + 0.5))
+
+
+def beta_fraction(p: Column, q: Column, x: Column, size: Column) -> Column:
+    """The continued fraction of the incomplete beta function at (p, q), by Lentz; it takes steps like the root of `size`, the larger of them."""
+    start = 1 / (1 - (p + q) * x / (p + 1))
+
+    def step(s: Column, m: Column) -> Column:
+        even = m * (q - m) * x / ((p + 2 * m - 1) * (p + 2 * m))
+        odd = -(p + m) * (p + q + m) * x / ((p + 2 * m) * (p + 2 * m + 1))
+        first = F.struct((1 / (1 + even * s["d"])).alias("d"), (1 + even / s["c"]).alias("c"), odd.alias("k"))
+        both = lambda f: F.struct((1 + f["k"] / f["c"]).alias("c"), (1 / (1 + f["k"] * f["d"])).alias("d"), (s["o"] * f["c"] * f["d"]).alias("o"))
+        return let(first, lambda f: let(both(f), lambda g: F.struct(g["c"].alias("c"), g["d"].alias("d"), (g["o"] * g["c"] * g["d"]).alias("o"))))
+
+    steps = F.sequence(F.lit(1), (100 + F.ceil(5 * F.sqrt(size))).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(1.0).alias("c"), start.alias("d"), start.alias("o")), lambda s, m: step(s, m.cast("double")), lambda s: s["o"])
 
 
 def t_test(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
@@ -103,21 +121,41 @@ def t_test(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
 
 
 def with_p_value(df: DataFrame, t: str = "t_stat", n: str = "count", name: str = "p_value") -> DataFrame:
-    """Two-sided p of a t-statistic with n - 1 degrees of freedom; for aggregated rows, as it runs in Python."""
-    @F.pandas_udf("double")
-    def p(ts: pd.Series, ns: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(a) or b < 2 else student_t_two_sided(a, b - 1) for a, b in zip(ts, ns, strict=True)], dtype="float64")
+    """Two-sided p of a t-statistic with n - 1 degrees of freedom."""
+    return df.withColumn(name, F.when(F.col(t).isNotNull() & (F.col(n) > 1), student_t_two_sided(F.col(t), F.col(n) - 1)))
 
-    return df.withColumn(name, p(F.col(t), F.col(n)))
+
+#: Coefficients of algorithm AS241 (Wichura, 1988), numerator and denominator by region, highest power first.
+NORMAL_CENTRE = (
+    (2.5090809287301226727e3, 3.3430575583588128105e4, 6.7265770927008700853e4, 4.5921953931549871457e4, 1.3731693765509461125e4, 1.9715909503065514427e3, 1.3314166789178437745e2, 3.3871328727963666080e0),
+    (5.2264952788528545610e3, 2.8729085735721942674e4, 3.9307895800092710610e4, 2.1213794301586595867e4, 5.3941960214247511077e3, 6.8718700749205790830e2, 4.2313330701600911252e1, 1.0),
+)
+NORMAL_SIDE = (
+    (7.7454501427834140764e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258e0, 3.64784832476320460504e0, 5.76949722146069140550e0, 4.63033784615654529590e0, 1.42343711074968357734e0),
+    (1.05075007164441684324e-9, 5.4759380849953449460e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1, 6.89767334985100004550e-1, 1.67638483018380384940e0, 2.05319162663775882187e0, 1.0),
+)
+NORMAL_TAIL = (
+    (2.01033439929228813265e-7, 2.71155556874348757815e-5, 1.24266094738807843860e-3, 2.65321895265761230930e-2, 2.96560571828504891230e-1, 1.78482653991729133580e0, 5.46378491116411436990e0, 6.65790464350110377720e0),
+    (2.04426310338993978564e-15, 1.42151175831644588870e-7, 1.84631831751005468180e-5, 7.86869131145613259100e-4, 1.48753612908506148525e-2, 1.36929880922735805310e-1, 5.99832206555887937690e-1, 1.0),
+)
+
+
+def _fraction(parts: tuple[tuple[float, ...], tuple[float, ...]], r: Column) -> Column:
+    top, bottom = (reduce(lambda acc, c: acc * r + c, own[1:], F.lit(own[0])) for own in parts)
+    return top / bottom
 
 
 def normal_quantile(p: Column) -> Column:
-    """The standard normal quantile of p in (0, 1); for aggregated rows, as it runs in Python."""
-    @F.pandas_udf("double")
-    def inverse(ps: pd.Series) -> pd.Series:
-        return ps.map(NormalDist().inv_cdf)
+    """The standard normal quantile of p in (0, 1), by rational approximations with the precision of a double."""
+
+    def at(x: Column) -> Column:
+        q = x - 0.5
+        centre = q * _fraction(NORMAL_CENTRE, 0.180625 - q * q)
+        r = F.sqrt(-F.log(F.least(x, 1 - x)))
+        outer = F.when(r <= 5, _fraction(NORMAL_SIDE, r - 1.6)).otherwise(_fraction(NORMAL_TAIL, r - 5.0))
+        return F.when(F.abs(q) <= 0.425, centre).otherwise(F.signum(q) * outer)
 
-    return inverse(p)
+    return let(p, at)
 
 
 def forward_rate(r: Column, period: int, base: int) -> Column:

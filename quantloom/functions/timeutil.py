@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from bisect import bisect_left
 from collections.abc import Iterable, Sequence
 from collections.abc import Set as AbstractSet
 
@@ -69,39 +68,39 @@ Weekmask = Sequence[bool] | AbstractSet[int]
 _WORKDAYS = (True,) * 5 + (False,) * 2
 
 
-def _is_session(day: dt.date, weekmask: Weekmask, holidays: frozenset[dt.date]) -> bool:
-    open_ = day.weekday() in weekmask if isinstance(weekmask, AbstractSet) else weekmask[day.weekday()]
-    return bool(open_) and day not in holidays
+def _open_days(weekmask: Weekmask | None) -> frozenset[int]:
+    """The numbers of the days that are sessions, Monday 0; no or an empty mask is Monday to Friday, seven flags without a session or anything else are an error."""
+    weekmask = weekmask or _WORKDAYS
+    days = frozenset(weekmask) if isinstance(weekmask, AbstractSet) else frozenset(i for i, x in enumerate(weekmask) if x) if len(weekmask) == 7 else frozenset()
+    if not days or not all(isinstance(d, int) and 0 <= d <= 6 for d in days):
+        raise FactorError("a weekmask has seven flags, or numbers of days from 0 to 6, and one session at least")
+    return days
 
 
-def add_custom_calendar_timedelta(start: dt.datetime, delta: dt.timedelta, weekmask: Weekmask = _WORKDAYS, holidays: Iterable[dt.date] = ()) -> dt.datetime:
-    """start plus the delta's days counted in sessions, plus the rest of it."""
-    closed, step = frozenset(holidays), 1 if delta.days >= 0 else -1
-    left, out = abs(delta.days), start
+def add_custom_calendar_timedelta(value: dt.datetime, delta: dt.timedelta, holidays: Iterable[dt.date] | None = None, weekmask: Weekmask | None = None) -> dt.datetime:
+    """value plus the delta's days counted in sessions, plus the rest of it."""
+    closed, days, step = frozenset(holidays or ()), _open_days(weekmask), 1 if delta.days >= 0 else -1
+    left, out = abs(delta.days), value
     while left:
         out += dt.timedelta(days=step)
-        left -= _is_session(out.date(), weekmask, closed)
+        left -= out.weekday() in days and out.date() not in closed
     return out + (delta - dt.timedelta(days=delta.days))
 
 
-def diff_custom_calendar_timedeltas(start: dt.datetime, end: dt.datetime, weekmask: Weekmask = _WORKDAYS, holidays: Iterable[dt.date] = ()) -> dt.timedelta:
+def diff_custom_calendar_timedeltas(start: dt.datetime, end: dt.datetime, holidays: Iterable[dt.date] | None = None, weekmask: Weekmask | None = None) -> dt.timedelta:
     """Sessions reached from start at its time of day, as days, and what is left from the last of them to end; negated for reversed ends."""
+    closed, days, day = frozenset(holidays or ()), _open_days(weekmask), dt.timedelta(days=1)
     if end < start:
-        return -diff_custom_calendar_timedeltas(end, start, weekmask, holidays)
-    closed, day = frozenset(holidays), dt.timedelta(days=1)
-    reached = [start + i * day for i in range(1, (end - start) // day + 1) if _is_session((start + i * day).date(), weekmask, closed)]
+        return -diff_custom_calendar_timedeltas(end, start, closed, weekmask)
+    every = (start + i * day for i in range(1, (end - start) // day + 1))
+    reached = [d for d in every if d.weekday() in days and d.date() not in closed]
     return len(reached) * day + (end - (reached[-1] if reached else start))
 
 
-def infer_trading_calendar(factor_dates: Iterable[dt.datetime], price_dates: Iterable[dt.datetime]) -> tuple[tuple[bool, ...], list[dt.date]]:
-    """(weekmask, holidays): weekdays that occur at all, and missing days of those weekdays."""
-    days = sorted({d.date() for d in [*factor_dates, *price_dates]})
-    mask = tuple(any(d.weekday() == k for d in days) for k in range(7))
-    holidays = []
-    if days:
-        for i in range((days[-1] - days[0]).days):
-            d = days[0] + dt.timedelta(days=i)
-            at = bisect_left(days, d)
-            if mask[d.weekday()] and days[at] != d:
-                holidays.append(d)
-    return mask, holidays
+def infer_trading_calendar(factor_dates: Iterable[dt.datetime], price_dates: Iterable[dt.datetime]) -> dict[str, set]:
+    """weekmask: the numbers of the weekdays that occur at all; holidays: missing days of those weekdays."""
+    seen = {d.date() for d in [*factor_dates, *price_dates]}
+    mask = {d.weekday() for d in seen}
+    first, last = (min(seen), max(seen)) if seen else (dt.date.min, dt.date.min)
+    between = (first + dt.timedelta(days=i) for i in range((last - first).days))
+    return {"weekmask": mask, "holidays": {d for d in between if d.weekday() in mask and d not in seen}}

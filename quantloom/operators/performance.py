@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.errors import FactorError
-from quantloom.functions.frames import as_period, melted, period_number, require, sessions_of, time_bucket, validate_factor_data
+from quantloom.functions.frames import as_period, melted, period_number, placed, require, sessions_of, time_bucket, validate_factor_data
 from quantloom.functions.ranks import crowd, joined_by, percentiles, with_average_rank
 from quantloom.functions.stats import average_rank, finite, ols, pearson, ratio, spearman, std_error
 
@@ -180,12 +180,11 @@ def compute_mean_returns_spread(mean_returns: DataFrame, upper_quant: int, lower
 def quantile_turnover(quantile_factor: DataFrame, quantile: int, period: int = 1) -> DataFrame:
     """date, factor_quantile, period, turnover: share of today's members that weren't there `period` dates ago."""
     lag = as_period(period)
-    dates = sessions_of(quantile_factor)
-    members = quantile_factor.where(F.col("factor_quantile") == quantile).select("date", "asset").join(dates, "date")
-    before = Window.partitionBy("asset").orderBy("idx").rangeBetween(-lag, -lag)
-    new = members.withColumn("new", (F.count("*").over(before) == 0).cast("int")).groupBy("idx").agg(F.avg("new").alias("share"))
-    out = dates.join(new, "idx", "left")
-    return out.select("date", F.lit(quantile).cast("int").alias("factor_quantile"), F.lit(f"{lag}D").alias("period"), F.when(F.col("idx") >= lag, F.col("share")).alias("turnover"))
+    here = F.col("factor_quantile") == quantile
+    before = F.max(F.when(here, 1)).over(Window.partitionBy("asset").orderBy("idx").rangeBetween(-lag, -lag))
+    new = F.when(here, before.isNull().cast("int"))
+    by = placed(quantile_factor).select("date", "idx", "asset", "factor_quantile").withColumn("new", new).groupBy("date", "idx").agg(F.avg("new").alias("share"))
+    return by.select("date", F.lit(quantile).cast("int").alias("factor_quantile"), F.lit(f"{lag}D").alias("period"), F.when(F.col("idx") >= lag, F.col("share")).alias("turnover"))
 
 
 def factor_rank_autocorrelation(factor_data: DataFrame, period: int = 1, check: bool = True) -> DataFrame:
@@ -196,15 +195,15 @@ def factor_rank_autocorrelation(factor_data: DataFrame, period: int = 1, check:
 def rank_autocorrelations(factor_data: DataFrame, periods: Sequence[int], check: bool = True) -> DataFrame:
     """factor_rank_autocorrelation() for several periods: one sort by date for the ranks and one by asset serve all."""
     lags = [as_period(p) for p in periods]
-    dates = sessions_of(factor_data)
-    ranked = factor_data.select("date", "asset", finite(F.col("factor")).alias("x")).where("x is not null")
+    # Rows without a factor are ranked among themselves and never used: a date of such rows alone stays.
+    rows = placed(factor_data).select("date", "idx", "asset", finite(F.col("factor")).alias("x")).withColumn("ok", F.col("x").isNotNull())
     most = crowd(factor_data, ["date"], check)
-    ranked = with_average_rank(ranked, ["date"], "x", "r", most) if most else ranked.withColumn("r", average_rank(["date"], "x"))
+    ranked = with_average_rank(rows, ["date"], "x", "r", most) if most else rows.withColumn("r", F.when(F.col("ok"), average_rank(["date", "ok"], "x")))
     own = Window.partitionBy("asset").orderBy("idx")
-    placed = ranked.join(dates, "date").withColumns({f"b{k}": F.max("r").over(own.rangeBetween(-k, -k)) for k in lags})
-    by = placed.groupBy("idx").agg(*[pearson(F.col("r"), F.col(f"b{k}")).alias(f"c{k}") for k in lags])
+    lagged = ranked.withColumns({f"b{k}": F.max("r").over(own.rangeBetween(-k, -k)) for k in lags})
+    by = lagged.groupBy("date", "idx").agg(*[pearson(F.col("r"), F.col(f"b{k}")).alias(f"c{k}") for k in lags])
     each = F.array(*[F.struct(F.lit(f"{k}D").alias("period"), F.when(F.col("idx") >= k, F.col(f"c{k}")).alias("autocorrelation")) for k in lags])
-    return dates.join(by, "idx", "left").select("date", F.explode(each).alias("x")).select("date", "x.period", "x.autocorrelation")
+    return by.select("date", F.explode(each).alias("x")).select("date", "x.period", "x.autocorrelation")
 
 
 def backshift_returns_series(series: DataFrame, periods: int, value_column: str = "return") -> DataFrame:

@@ -90,9 +90,9 @@ def _axis(sessions: DataFrame, check: bool) -> DataFrame:
 def positions(weights: DataFrame, period: int | str, sessions: DataFrame | None = None, check: bool = True) -> DataFrame:
     """date, asset, position on every session: sleeves live for `period` sessions, summed, over their gross, and cash.
 
-    The grid of assets and sessions is the result itself; it comes from the assets and
-    the number of sessions, not from a cross join. Sums that aren't finite are errors when
-    they are computed.
+    The grid of assets and sessions is the result itself. Weights are dealt by asset once and
+    never copied: what an asset holds is a sum over the last `period` sessions. Sums that aren't
+    finite are errors when they are computed.
     """
     p = as_period(period)
     require(weights, date=object, asset=object, weight=object)
@@ -102,16 +102,19 @@ def positions(weights: DataFrame, period: int | str, sessions: DataFrame | None
         check_keys(weights, ["date", "asset"], bad, "weights must be finite and no asset may be named cash")
         if not weights.join(axis, "date", "left_anti").isEmpty():
             raise FactorError("every trade date must be in the sessions")
-    return _positions(weights, weights.select("asset"), axis, p)
-
-
-def _positions(weights: DataFrame, assets: DataFrame, axis: DataFrame, p: int) -> DataFrame:
-    """positions() of sleeves; the grid's empty cells are summed with the weights, so that both are dealt once."""
-    n = axis.count()
-    live = weights.join(axis, "date").select(F.explode(F.sequence("idx", F.least(F.col("idx") + p - 1, F.lit(n - 1)))).alias("idx"), "asset", "weight")
-    grid = assets.distinct().select(F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("idx"), "asset", F.lit(0.0).alias("weight"))
-    total = F.sum("weight")
-    held = grid.unionByName(live).groupBy("idx", "asset").agg(_or_error(total, finite(total).isNotNull(), "active weights must sum to finite values").alias("w"))
+    return _positions(weights, axis, p)
+
+
+def _positions(weights: DataFrame, axis: DataFrame, p: int) -> DataFrame:
+    """positions() of sleeves. An asset's first row brings a row for each session, after the deal by asset."""
+    last = axis.select(F.max("idx")).scalar()
+    own = Window.partitionBy("asset")
+    placed = weights.join(axis, "date", "left").select("asset", "idx", "weight")
+    first = F.row_number().over(own.orderBy("idx")) == 1
+    cells = placed.withColumn("first", first).withColumn("cell", F.explode(F.when(F.col("first"), F.sequence(F.lit(-1), last)).otherwise(F.array(F.lit(-1)))))
+    cells = cells.select("asset", "cell", F.when(F.col("cell") < 0, F.col("idx")).otherwise(F.col("cell")).alias("idx"), F.when((F.col("cell") < 0) & F.col("idx").isNotNull(), F.col("weight")).alias("weight"))
+    total = F.coalesce(F.sum("weight").over(own.orderBy("idx").rangeBetween(-(p - 1), 0)), F.lit(0.0))
+    held = cells.withColumn("w", total).where("cell >= 0").select("idx", "asset", _or_error(F.col("w"), finite(F.col("w")).isNotNull(), "active weights must sum to finite values").alias("w"))
     by = held.groupBy("idx").agg(F.sum(F.abs("w")).alias("gross"), F.sum("w").alias("sum"))
     gross = _or_error(F.col("gross"), finite(F.col("gross")).isNotNull(), "gross exposure must remain finite")
     by = axis.join(by, "idx", "left").select("idx", "date", gross.alias("gross"), "sum")
@@ -135,7 +138,7 @@ def factor_positions(factor_data: DataFrame, period: int | str, long_short: bool
     axis = sessions_of(rows) if sessions is None else _axis(sessions, check)
     if sessions is not None and check and not rows.select("date").distinct().join(axis, "date", "left_anti").isEmpty():
         raise FactorError("every trade date must be in the sessions")
-    return _positions(weights.withColumn("weight", weight), rows.select("asset"), axis, p)
+    return _positions(weights.withColumn("weight", weight), axis, p)
 
 
 def overlapping_daily_wealth(returns: DataFrame, period: int | str, sessions: DataFrame | None = None) -> DataFrame:
@@ -143,11 +146,11 @@ def overlapping_daily_wealth(returns: DataFrame, period: int | str, sessions: Da
     p = as_period(period)
     axis = sessions_of(returns) if sessions is None else _axis(sessions, True)
     daily = F.when(F.col("r") >= -1, F.power(1 + F.col("r"), F.lit(1.0 / p)) - 1).otherwise(F.raise_error(F.lit("a return under -1 has no daily equivalent")).cast("double"))
-    sleeves = returns.select("date", finite(F.col("factor_return")).alias("r")).where("r is not null").join(axis, "date").select("idx", daily.alias("d"))
-    live = sleeves.select(F.explode(F.sequence("idx", F.col("idx") + p - 1)).alias("idx"), "d").groupBy("idx").agg(F.avg("d").alias("d"))
-    before = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    wealth = F.coalesce(F.product(1 + F.coalesce("d", F.lit(0.0))).over(before), F.lit(1.0))
-    return axis.join(live, "idx", "left").withColumn("cumulative_return", wealth).select("date", "cumulative_return")
+    sleeves = returns.select("date", finite(F.col("factor_return")).alias("r")).where("r is not null").select("date", daily.alias("d"))
+    by_session = Window.orderBy("idx")
+    live = axis.join(sleeves, "date", "left").withColumn("d", F.avg("d").over(by_session.rangeBetween(-(p - 1), 0)))
+    wealth = F.coalesce(F.product(1 + F.coalesce("d", F.lit(0.0))).over(by_session.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))
+    return live.withColumn("cumulative_return", wealth).select("date", "cumulative_return")
 
 
 def changes(wealth: DataFrame, name: str) -> DataFrame:

@@ -13,8 +13,9 @@ import math
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,6 +120,24 @@ class ReportTable:
         at = {c.name: (F.timestamp_add("MICROSECOND", F.col(c.name), F.lit(_EPOCH).cast("timestamp_ntz")) if c.kind == "timestamp_ntz" else F.timestamp_micros(c.name)) for c in self.columns if c.kind.startswith("timestamp")}
         return out.withColumns(at) if at else out
 
+    def cells(self) -> DataFrame:
+        """table_id, row (from 0, in the order of the keys), column, value (numbers, and dates as microseconds), text: a row for each cell."""
+        frame = self.to_frame()
+        order = Window.orderBy(*[F.col(k).asc_nulls_first() for k in self.sort_by])
+        cell = lambda name, value, text: F.struct(F.lit(name).alias("column"), value.cast("double").alias("value"), text.cast("string").alias("text"))
+        none, made = F.lit(None), []
+        for c in self.columns:
+            x = F.col(c.name)
+            if c.kind == "timestamp_ntz":
+                x = F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast("timestamp_ntz"), x)
+            elif c.kind == "timestamp":
+                x = F.unix_micros(x)
+            elif c.kind == "double":
+                x = finite(x)
+            made.append(cell(c.name, none, x) if c.kind == "string" else cell(c.name, x, none))
+        rows = frame.select((F.row_number().over(order) - 1).cast("long").alias("row"), F.array(*made).alias("x")).select("row", F.explode("x").alias("x"))
+        return rows.select(F.lit(self.id).alias("table_id"), "row", "x.*")
+
     def metadata(self) -> dict:
         return {"id": self.id, "title": self.title, "row_count": len(self), "sort_by": list(self.sort_by), "columns": [self._described(c) for c in self.columns]}
 
@@ -181,6 +200,10 @@ class TearSheetData:
                 s.unpersist()
         return self
 
+    def cells(self) -> DataFrame:
+        """The cells of all tables as one frame, for comparisons and for stores that take rows: see ReportTable.cells()."""
+        return reduce(DataFrame.unionByName, [t.cells() for t in self.tables.values()])
+
     def to_json(self, pretty: bool = False) -> str:
         """Deterministic: the same tables give the same text."""
         self.collect()
@@ -226,6 +249,7 @@ ORDER = {
     "event_study": ["quantile.statistics", "events.distribution", *_E, "returns.mean_by_quantile", "returns.daily_by_quantile"],
 }
 OPTIONAL = {"returns": _R_MORE, "information": _I_MORE, "full": _R_MORE + _I_MORE, "event_study": _E}
+#: The public titles of the tables.
 _TITLES = {
     "quantile.statistics": "Quantile Statistics",
     "returns.summary": "Returns Analysis",

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.frames import melted
+from quantloom.functions import stats
 from quantloom.functions.stats import t_test, with_p_value
 from quantloom.operators import events as ev
 from quantloom.operators import performance as perf
@@ -368,7 +370,21 @@ on_clean(
     SELECT period, avg(ic) AS mean, stddev_samp(ic) AS std, avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) AS t_stat, avg(pow(ic - mu, 3)) / pow(var_pop(ic), 1.5) AS skew, avg(pow(ic - mu, 4)) / pow(var_pop(ic), 2) - 3 AS excess_kurtosis, count(ic) AS count FROM m GROUP BY 1""",
     lambda d: t_test(perf.factor_information_coefficient(d), ["period"], "ic"),
 )
-on_clean("a7_ic_p_values", None, lambda d: with_p_value(t_test(perf.factor_information_coefficient(d), ["period"], "ic")))
+#: The p-value of s (t_stat, count and more): the continued fraction of the incomplete beta function, and a series for the ratio of gamma functions.
+_EVEN, _ODD = "(r.m * (q - r.m) * v / ((p + 2 * r.m - 1) * (p + 2 * r.m)))", "(-(p + r.m) * (p + q + r.m) * v / ((p + 2 * r.m) * (p + 2 * r.m + 1)))"
+_C1, _D1 = f"(1 + {_EVEN} / s.c)", f"(1 / (1 + {_EVEN} * s.d))"
+_C2, _D2 = f"(1 + {_ODD} / {_C1})", f"(1 / (1 + {_ODD} * {_D1}))"
+_FIRST = "1 / (1 - (p + q) * v / (p + 1))"
+P_VALUES = f""", z AS (SELECT *, (count - 1) / 2.0::DOUBLE AS a, (count - 1) / (count - 1 + t_stat * t_stat) AS x, t_stat * t_stat / (count - 1 + t_stat * t_stat) AS y FROM s),
+sides AS (SELECT *, x > (a + 1) / (a + 2.5) AS near, CASE WHEN x > (a + 1) / (a + 2.5) THEN 0.5::DOUBLE ELSE a END AS p, CASE WHEN x > (a + 1) / (a + 2.5) THEN a ELSE 0.5::DOUBLE END AS q, CASE WHEN x > (a + 1) / (a + 2.5) THEN y ELSE x END AS v FROM z),
+tails AS (SELECT *, list_reduce(list_transform(range(0, 101 + CAST(ceil(5 * sqrt(a)) AS BIGINT)), lambda i: {{'m': i::DOUBLE, 'c': 1.0::DOUBLE, 'd': {_FIRST}, 'o': {_FIRST}}}),
+    lambda s, r: {{'m': r.m, 'c': {_C2}, 'd': {_D2}, 'o': s.o * {_C1} * {_D1} * {_C2} * {_D2}}}).o AS fraction,
+  sqrt(a + 64) * (1 - 1 / (8 * (a + 64)) + 1 / (128 * pow(a + 64, 2)) + 5 / (1024 * pow(a + 64, 3)) - 21 / (32768 * pow(a + 64, 4)) - 399 / (262144 * pow(a + 64, 5))) * list_product(list_transform(range(0, 64), lambda i: (a + i) / (a + i + 0.5))) AS gammas
+  FROM sides),
+pv AS (SELECT *, CASE WHEN t_stat = 0 THEN 1 WHEN near THEN 1 - exp(a * ln(x) + ln(y) / 2) * gammas / sqrt(pi()) / p * fraction ELSE exp(a * ln(x) + ln(y) / 2) * gammas / sqrt(pi()) / p * fraction END AS p_value FROM tails)"""
+_SUMMARY = _SQL["a7_ic_summary"].removeprefix("WITH ")
+_AT = _SUMMARY.index("    SELECT period, avg(ic) AS mean")
+on_clean("a7_ic_p_values", (_SUMMARY[:_AT] + f", s AS ({_SUMMARY[_AT:].strip()})" + P_VALUES + " SELECT period, mean, std, t_stat, skew, excess_kurtosis, count, p_value FROM pv").removeprefix(CLEAN.strip()), lambda d: with_p_value(t_test(perf.factor_information_coefficient(d), ["period"], "ic")))
 _FIT = """, u AS (SELECT date, period, avg(ret) AS x FROM long GROUP BY 1, 2), ab AS (SELECT period, regr_intercept(factor_return, x) AS alpha, regr_slope(factor_return, x) AS beta, CAST(regr_count(factor_return, x) AS BIGINT) AS count FROM freturns JOIN u USING (date, period) GROUP BY 1)"""
 on_clean(
     "r1_returns_summary",
@@ -416,7 +432,27 @@ on_clean(
     IC + """ SELECT period, CAST(row_number() OVER (PARTITION BY period ORDER BY ic) - 1 AS INTEGER) AS position, (ic - avg(ic) OVER (PARTITION BY period)) / stddev_samp(ic) OVER (PARTITION BY period) AS observed FROM i WHERE ic IS NOT NULL""",
     lambda d: reports.create_information_tear_sheet_data(d).table("information.qq_normal").drop("theoretical"),
 )
-on_clean("r2_qq_normal", None, lambda d: reports.create_information_tear_sheet_data(d).table("information.qq_normal"))
+
+
+def _polynomial(parts: tuple[float, ...], r: str) -> str:
+    return reduce(lambda acc, c: f"({acc} * {r} + {c!r}::DOUBLE)", parts[1:], f"{parts[0]!r}::DOUBLE")
+
+
+def _normal_sql(p: str) -> str:
+    """The normal quantile of p, by the coefficients of the operator."""
+    over = lambda parts, r: f"{_polynomial(parts[0], r)} / {_polynomial(parts[1], r)}"
+    q, tail = f"({p} - 0.5)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    outer = f"sign({q}) * CASE WHEN {tail} <= 5 THEN {over(stats.NORMAL_SIDE, f'({tail} - 1.6)')} ELSE {over(stats.NORMAL_TAIL, f'({tail} - 5.0)')} END"
+    return f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {over(stats.NORMAL_CENTRE, f'(0.180625 - {q} * {q})')} ELSE {outer} END"
+
+
+_QQ = _SQL["r2_qq_observed"].removeprefix("WITH ").removeprefix(CLEAN.strip())
+on_clean(
+    "r2_qq_normal",
+    _QQ[: _QQ.index(" SELECT period, CAST(row_number()")] + f""", qq AS ({_QQ[_QQ.index(" SELECT period, CAST(row_number()"):]}), pl AS (SELECT *, (position + 0.5) / count(*) OVER (PARTITION BY period) AS p FROM qq)
+    SELECT period, position, {_normal_sql("p")} AS theoretical, observed FROM pl""",
+    lambda d: reports.create_information_tear_sheet_data(d).table("information.qq_normal"),
+)
 on_clean(
     "r3_mean_turnover",
     AXIS + """, m AS (SELECT idx, asset, factor_quantile FROM clean JOIN axis USING (date)), lag AS (SELECT unnest([1, 3]) AS k),
@@ -446,7 +482,42 @@ on_clean(
     """ SELECT factor_quantile, min(factor) AS min, max(factor) AS max, avg(factor) AS mean, stddev_samp(factor) AS std, count(*) AS count, count(*) / CAST((SELECT count(*) FROM clean) AS DOUBLE) AS count_percent FROM clean GROUP BY 1""",
     lambda d: reports.TearSheetData.from_json(reports.create_summary_tear_sheet_data(d).to_json()).table("quantile.statistics"),
 )
-on_clean("r5_full_report_tables", None, lambda d: d.sparkSession.createDataFrame([(i, len(t)) for i, t in reports.create_full_tear_sheet_data(d).collect().tables.items()], "table_id string, row_count long"))
+
+_RATE = "CASE WHEN period = '1D' THEN mean_return WHEN 1 + mean_return >= 0 THEN pow(1 + mean_return, 1.0 / CAST(rtrim(period, 'D') AS INTEGER)) - 1 END"
+_TURNOVER = _SQL["r3_mean_turnover"].replace("unnest([1, 3])", "unnest([1, 5, 10])")
+_SERIES = _TURNOVER[: _TURNOVER.index("SELECT factor_quantile, k ||")] + """SELECT date, g.factor_quantile, g.k || 'D' AS period, s AS turnover FROM (SELECT * FROM axis, (SELECT DISTINCT factor_quantile FROM clean), lag) g LEFT JOIN t ON t.factor_quantile = g.factor_quantile AND t.k = g.k AND t.idx = g.idx"""
+_AUTO = "WITH " + CLEAN + AXIS + f""", r AS (SELECT idx, asset, rank() OVER (PARTITION BY date ORDER BY factor) + (count(*) OVER (PARTITION BY date, factor) - 1) / 2.0 AS r FROM clean JOIN axis USING (date)), lag AS (SELECT unnest([1, 5, 10]) AS k),
+j AS (SELECT a.idx, k, a.r AS rx, b.r AS ry FROM r a, lag, r b WHERE b.asset = a.asset AND b.idx = a.idx - k), c AS (SELECT idx, k, {_CORR.format(x='rx', y='ry')} AS c FROM j GROUP BY 1, 2)
+SELECT date, lag.k || 'D' AS period, c AS autocorrelation FROM (SELECT * FROM axis, lag) lag LEFT JOIN c ON c.idx = lag.idx AND c.k = lag.k"""
+#: Tables of the full report: their SQL and sort keys.
+_FULL = {
+    "quantile.statistics": (_SQL["r8_quantile_statistics"], "factor_quantile"),
+    "returns.summary": (_SQL["r1_returns_summary"], "metric, period"),
+    "returns.mean_by_quantile": (f"SELECT factor_quantile, period, {_RATE} AS mean_return, std_error / sqrt(CAST(rtrim(period, 'D') AS INTEGER)) AS std_error, count FROM ({_SQL['p9_mean_return_by_quantile']})", "factor_quantile, period"),
+    "returns.daily_by_quantile": ("WITH " + CLEAN + DEMEANED + RATES + " SELECT * FROM rate", "date, factor_quantile, period"),
+    "returns.daily_spread": (_SQL["r1_daily_spread"], "date, period"),
+    "returns.factor_returns": (_SQL["p7_factor_returns"], "date, period"),
+    "information.summary": ("SELECT period, mean AS ic_mean, std AS ic_std, mean / std AS risk_adjusted_ic, t_stat, p_value, skew, excess_kurtosis, count FROM (" + _SQL["a7_ic_p_values"] + ")", "period"),
+    "information.ic_by_date": (_SQL["p1_information_coefficient"], "date, period"),
+    "information.ic_rolling": (_SQL["r2_ic_rolling"], "date, period"),
+    "information.ic_monthly": (_SQL["r2_ic_monthly"], "date, period"),
+    "information.qq_normal": (_SQL["r2_qq_normal"], "period, position"),
+    "turnover.mean_by_quantile": (_TURNOVER, "factor_quantile, period"),
+    "turnover.mean_rank_autocorrelation": (f"SELECT period, avg(autocorrelation) AS autocorrelation, count(autocorrelation) AS count FROM ({_AUTO}) GROUP BY 1", "period"),
+    "turnover.quantile_series": (_SERIES, "date, factor_quantile, period"),
+    "turnover.rank_autocorrelation_series": (_AUTO, "date, period"),
+    "returns.factor_cumulative_1d": (f"SELECT date, cumulative_return FROM ({_SQL['p14_cumulative_returns']}) WHERE period = '1D'", "date"),
+    "returns.quantile_cumulative_1d": (_SQL["r1_quantile_cumulative"], "date, factor_quantile"),
+}
+
+
+def _cells(id: str, sql: str, keys: str) -> str:
+    """The cells of a table's SQL: every column becomes rows, by DuckDB's unpivot."""
+    return f"""SELECT '{id}' AS table_id, CAST(row AS BIGINT) AS row, "column", CASE WHEN "column" NOT IN ('metric', 'period') THEN CAST(nullif(x, '-') AS DOUBLE) END AS value, CASE WHEN "column" IN ('metric', 'period') THEN x END AS text
+    FROM (UNPIVOT (SELECT row, coalesce(CAST(COLUMNS(* EXCLUDE (row)) AS VARCHAR), '-') FROM (SELECT * REPLACE ({"epoch_us(date) AS date" if "date" in keys else "row AS row"}) FROM (SELECT *, row_number() OVER (ORDER BY {keys}) - 1 AS row FROM ({sql})))) ON * EXCLUDE (row) INTO NAME "column" VALUE x)"""
+
+
+query("r5_full_report_tables", "nothing AS (SELECT 1) " + " UNION ALL ".join(_cells(id, *x) for id, x in _FULL.items()))(lambda spark, sf: reports.create_full_tear_sheet_data(bridge.clean_panel(spark, sf)).cells())
 
 
 def queries() -> dict[str, Query]:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.frames import trusted
+from quantloom.functions.ranks import crowd
 from quantloom.operators.prep import compute_forward_returns, get_clean_factor
+from quantloom.sources.stored import stored
 
 PERIODS = (1, 5, 10)
 
@@ -36,10 +38,14 @@ def price_frame(panel: DataFrame) -> DataFrame:
 
 def clean_panel(spark: SparkSession, sf_dir: str, filter_zscore: float | None = None, **options) -> DataFrame:
     """Clean factor data of the supplier panel with returns over 1, 5 and 10 sessions."""
-    # Factors and prices come from one panel, which is aggregated once; months are days apart, and its keys and groups are there by how it is made.
-    panel = supplier_panel(spark, sf_dir).persist()
+    # Factors and prices come from one panel, which is aggregated and written once; months are days apart, and its keys and groups are there by how it is made.
+    panel = stored(supplier_panel(spark, sf_dir), "panel")
     returns = compute_forward_returns(factor_frame(panel), price_frame(panel), PERIODS, filter_zscore, check=False, labels=[f"{p}D" for p in PERIODS])
-    return trusted(get_clean_factor(factor_frame(panel), returns, check=False, **options).frame)
+    clean = trusted(get_clean_factor(factor_frame(panel), returns, check=False, **options).frame)
+    # No cross-section of the clean panel is larger than that of the panel it comes from.
+    if not crowd(panel, ["date"]):
+        clean._quantloom_crowds = {("date",): 0, ("date", "group"): 0}
+    return clean
 
 
 def user_day_panel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,5 +139,38 @@ def test_driver_side_helpers():
     assert timeutil.timedelta_to_string(dt.timedelta(days=1, hours=3)) == "1D3h"
     assert timeutil.get_forward_returns_columns(["forward_return_1D", "2h", "x"]) == ["forward_return_1D", "2h"]
     assert timeutil.add_custom_calendar_timedelta(dt.datetime(2024, 1, 5), dt.timedelta(days=1)) == dt.datetime(2024, 1, 8)
-    assert stats.student_t_two_sided(2.0, 10) == pytest.approx(0.07338803477074)
-    assert math.isclose(stats.incomplete_beta(2, 3, 0.4), 0.5248)
+
+
+def test_calendar_helpers_by_position():
+    """(…, holidays, weekmask), as those who call by position do; a calendar without sessions is an error."""
+    friday, holiday = dt.datetime(2024, 1, 5, 12), {dt.date(2024, 1, 8)}
+    assert timeutil.add_custom_calendar_timedelta(friday, dt.timedelta(days=1), holiday) == dt.datetime(2024, 1, 9, 12)
+    assert timeutil.add_custom_calendar_timedelta(friday, dt.timedelta(days=1), holiday, {0, 5}) == dt.datetime(2024, 1, 6, 12)
+    assert timeutil.diff_custom_calendar_timedeltas(friday, dt.datetime(2024, 1, 9, 12), holiday) == dt.timedelta(days=1)
+    assert timeutil.diff_custom_calendar_timedeltas(friday, dt.datetime(2024, 1, 9, 12), weekmask={1}) == dt.timedelta(days=1)
+    for mask in ([False] * 7, {dt.date(2024, 1, 8)}, {7}, [True] * 6):
+        with pytest.raises(FactorError):
+            timeutil.add_custom_calendar_timedelta(friday, dt.timedelta(days=1), (), mask)
+        with pytest.raises(FactorError):
+            timeutil.diff_custom_calendar_timedeltas(friday, friday, (), mask)
+    assert timeutil.add_custom_calendar_timedelta(value=friday, delta=dt.timedelta(days=1), holidays=None, weekmask=set()) == dt.datetime(2024, 1, 8, 12)
+    days = [dt.datetime(2024, 1, d) for d in (1, 2, 3, 4, 5, 8, 10, 11, 12)]
+    assert timeutil.infer_trading_calendar(days[:5], days[5:]) == {"weekmask": {0, 1, 2, 3, 4}, "holidays": {dt.date(2024, 1, 9)}}
+    assert timeutil.infer_trading_calendar([], []) == {"weekmask": set(), "holidays": set()}
+
+
+def test_p_values_and_normal_quantiles(spark):
+    """Published values, the closed forms of one and two degrees of freedom, and the standard library's inverse."""
+    from statistics import NormalDist
+
+    cases = [(2.0, 10, 0.07338803477074), (1.0, 1, 0.5), (-3.0, 2, 1 - 3 / math.sqrt(11)), (0.0, 5, 1.0), (1e-6, 7, None), (12.706204736, 1, 0.05), (1.959963985, 10**7, 0.0500000277), (40.0, 30, None), (0.3, 251, None)]
+    df = spark.createDataFrame([(t, n + 1) for t, n, _ in cases], "t_stat double, count long")
+    got = {(r["t_stat"], r["count"] - 1): r["p_value"] for r in stats.with_p_value(df).collect()}
+    for t, n, want in cases:
+        assert 0 < got[t, n] <= 1 and (want is None or got[t, n] == pytest.approx(want, rel=1e-7))
+    assert got[40.0, 30] < 1e-26 and got[0.3, 251] == pytest.approx(0.76443, abs=1e-5)
+    none = spark.createDataFrame([(None, 9), (1.0, 1)], "t_stat double, count long")
+    assert [r["p_value"] for r in stats.with_p_value(none).collect()] == [None, None]
+    ps = [1e-300, 1e-20, 1e-6, 0.01, 0.07, 0.3, 0.5, 0.77, 0.93, 0.999999]
+    for r in spark.createDataFrame([(p,) for p in ps], "p double").select("p", stats.normal_quantile(F.col("p")).alias("q")).collect():
+        assert r["q"] == pytest.approx(NormalDist().inv_cdf(r["p"]), rel=1e-13, abs=1e-15)

@@ -242,8 +242,8 @@ def test_differences_of_custom_calendars():
     assert diff(at(5, 10), at(7, 10)) == dt.timedelta(days=2)
     assert diff(at(5, 15), at(8, 10)) == dt.timedelta(days=2, hours=19)
     assert diff(at(5, 10), at(8, 12)) == dt.timedelta(days=1, hours=2) and diff(at(8, 12), at(5, 10)) == -dt.timedelta(days=1, hours=2)
-    assert diff(at(4, 0), at(9, 0), holidays=[dt.date(2024, 1, 5)]) == dt.timedelta(days=2) and diff(at(5, 0), at(6, 0), {5, 6}) == dt.timedelta(days=1)
-    assert timeutil.add_custom_calendar_timedelta(at(5, 10), dt.timedelta(days=1), {0, 1}) == at(8, 10)
+    assert diff(at(4, 0), at(9, 0), holidays=[dt.date(2024, 1, 5)]) == dt.timedelta(days=2) and diff(at(5, 0), at(6, 0), weekmask={5, 6}) == dt.timedelta(days=1)
+    assert timeutil.add_custom_calendar_timedelta(at(5, 10), dt.timedelta(days=1), weekmask={0, 1}) == at(8, 10)
 
 
 @pytest.mark.parametrize("check", [True, False])
