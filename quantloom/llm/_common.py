@@ -2,74 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager, suppress
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.sources.stored import _MADE, remove, stored
+
 #: Words are maximal runs of anything but the ASCII white space 0x20 and 0x09-0x0D.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the session: what the caller set with setCheckpointDir(), else spark.checkpoint.dir.
-
-    Where the cluster names none, a local session gets a temporary one of its own;
-    on a cluster that is an error, as a machine-local folder would be of no use there.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    at = spark.sparkContext._jsc.sc().getCheckpointDir()
-    # Spark itself names a folder inside the setting, unless the caller chose another one.
-    if at.isDefined() and not (named and at.get().startswith(named.rstrip("/"))):
-        named = at.get()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="quantloom-shared-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/quantloom/{uuid.uuid4().hex}/{label}"
-
-
-#: Paths made in this process and not removed yet; the session that can remove each.
-_MADE: dict[str, SparkSession] = {}
-
-
-@atexit.register
-def _sweep() -> None:
-    """Remove what is left when the process ends: results are lazy frames over these tables, so nobody else knows when they are done with."""
-    for path, spark in list(_MADE.items()):
-        with suppress(Exception):  # the JVM may be gone, and its folder with it
-            remove(spark, path)
-
-
-def registered(spark: SparkSession, path: str) -> str:
-    """path, to be removed at the end of the process if it isn't before."""
-    _MADE[path] = spark
-    return path
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = registered(df.sparkSession, new_path(df.sparkSession, label))
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._quantloom_path = path
-    return out
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Remove a folder of this subpackage from the shared folder."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _MADE.pop(path, None)
+    return stored(df, label)
 
 
 def discard(df: DataFrame) -> None:

@@ -35,8 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm._common import new_path, registered
 from quantloom.llm.tokens import Encoder, default_tokenizer
+from quantloom.sources.stored import new_path
 
 MAGIC = b"RPG2"
 HEADER = struct.Struct("<4sIIQQIIQIIB")
@@ -386,6 +386,6 @@ def read_ids(spark: SparkSession, path: str, documents: int | None = None) -> Da
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id (of the type it has in docs), start, n_tokens and ids_crc32 from files written to the shared folder."""
-    path = registered(docs.sparkSession, new_path(docs.sparkSession, "ids"))
+    path = new_path(docs.sparkSession, "ids")
     written = write_files(docs.select("doc_id", "text"), path)
     return read_ids(docs.sparkSession, path, written).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
