@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quantloom.errors import FactorError
 from quantloom.functions.frames import MAX_COUNT, as_period, check_keys, require, same_facts, sessions_of
+from quantloom.functions.scan import latest, running_product
 from quantloom.functions.stats import finite, ratio
 from quantloom.operators.performance import factor_returns, factor_weights
 
@@ -23,7 +24,7 @@ def _or_error(value: Column, ok: Column, message: str) -> Column:
 
 
 def cumulative_returns(returns: DataFrame) -> DataFrame:
-    """date, [period], cumulative_return: running product of 1 + return, missing as 0. A window over dates, not assets.
+    """date, [period], cumulative_return: running product of 1 + return, missing as 0, day by day and then over days.
 
     Rows with a null date, a null or wrong period, a repeated key or wealth that isn't finite
     are errors when they are computed.
@@ -32,14 +33,13 @@ def cumulative_returns(returns: DataFrame) -> DataFrame:
     if value is None:
         raise FactorError("a return column is needed")
     keys = ["period"] if "period" in returns.columns else []
-    order = Window.partitionBy(*keys).orderBy("date")
-    own = order.rowsBetween(Window.unboundedPreceding, 0)
-    grown = F.product(1 + F.coalesce(finite(F.col(value)), F.lit(0.0))).over(own)
+    grown = running_product(returns.select("date", *keys, value), keys, 1 + F.coalesce(finite(F.col(value)), F.lit(0.0)), "w")
     known = F.col("date").isNotNull()
     if keys:
         number = F.regexp_extract("period", "^([1-9][0-9]{0,9})D$", 1).try_cast("bigint")
         known &= F.coalesce(number.between(1, MAX_COUNT), F.lit(False))
-    out = returns.select("date", *keys, grown.alias("w"), known.alias("known"), F.coalesce(F.lag("date").over(order) == F.col("date"), F.lit(False)).alias("again"))
+    again = F.count("*").over(Window.partitionBy(*keys, "date")) > 1
+    out = grown.select("date", *keys, "w", known.alias("known"), again.alias("again"))
     w = _or_error(F.col("w"), F.col("known"), "dates must be there, and periods be '<n>D'")
     w = _or_error(w, ~F.col("again"), "keys of returns must be unique")
     return out.select("date", *keys, _or_error(w, finite(F.col("w")).isNotNull(), "wealth must remain finite").alias("cumulative_return"))
@@ -149,22 +149,20 @@ def overlapping_daily_wealth(returns: DataFrame, period: int | str, sessions: Da
     sleeves = returns.select("date", finite(F.col("factor_return")).alias("r")).where("r is not null").select("date", daily.alias("d"))
     by_session = Window.orderBy("idx")
     live = axis.join(sleeves, "date", "left").withColumn("d", F.avg("d").over(by_session.rangeBetween(-(p - 1), 0)))
-    wealth = F.coalesce(F.product(1 + F.coalesce("d", F.lit(0.0))).over(by_session.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))
-    return live.withColumn("cumulative_return", wealth).select("date", "cumulative_return")
+    return running_product(live, [], 1 + F.coalesce("d", F.lit(0.0)), "cumulative_return", own=False).select("date", "cumulative_return")
 
 
 def changes(wealth: DataFrame, name: str) -> DataFrame:
     """date and the change of wealth to the previous row; 0 first."""
-    last = F.lag("cumulative_return").over(Window.orderBy("date"))
+    last = F.col("_last")
     broken = F.raise_error(F.lit("no return after zero wealth")).cast("double")
-    return wealth.select("date", F.when(last.isNull(), 0.0).when(last == 0, broken).otherwise(F.col("cumulative_return") / last - 1).alias(name))
+    return latest(wealth, "cumulative_return", "_last", own=False).select("date", F.when(last.isNull(), 0.0).when(last == 0, broken).otherwise(F.col("cumulative_return") / last - 1).alias(name))
 
 
 def wealth_as_of(dates: DataFrame, wealth: DataFrame) -> DataFrame:
     """(date, wealth): the latest wealth at or before each distinct date, 1 before the first."""
     both = dates.select("date").distinct().join(wealth.select("date", "cumulative_return"), "date", "full")
-    latest = F.last("cumulative_return", ignorenulls=True).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
-    return both.select("date", F.coalesce(latest, F.lit(1.0)).alias("wealth"))
+    return latest(both, "cumulative_return", "_last").select("date", F.coalesce("_last", F.lit(1.0)).alias("wealth"))
 
 
 @dataclass(frozen=True)

@@ -9,6 +9,9 @@ from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quantloom.functions.frames import sessioned
+from quantloom.functions.scan import ordinals
+
 #: Paths made in this process and not removed yet; the session that can remove each.
 _MADE: dict[str, SparkSession] = {}
 
@@ -70,13 +73,11 @@ def laid_out(panel: DataFrame, buckets: int | None = None) -> DataFrame:
     asset's sessions no shuffle. It is a table of the session's warehouse, dropped with the
     process; what is known of the panel (trusted(), crowd()) stays known.
     """
-    from quantloom.functions.frames import placed, sessioned
-
     spark = panel.sparkSession
     name = f"quantloom_panel_{uuid.uuid4().hex}"
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Dealt as the buckets are, so that every task writes one file.
-    rows = placed(panel).withColumnRenamed("idx", "session").repartition(n, "asset")
+    rows = panel.join(ordinals(panel), "date").withColumnRenamed("idx", "session").repartition(n, "asset")
     rows.write.bucketBy(n, "asset").sortBy("asset", "session").saveAsTable(name)
     _TABLES[name] = spark
     out = sessioned(spark.table(name))
