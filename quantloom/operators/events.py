@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quantloom.errors import FactorError
 from quantloom.functions.frames import as_count, check_keys, require, same_dates, sessions_of, validate_factor_data
+from quantloom.functions.ordering import in_order
 from quantloom.functions.stats import finite
 
 
@@ -118,6 +119,7 @@ def _coverage(rows: DataFrame, members: DataFrame, known: DataFrame, axis: DataF
     return overall.unionByName(each)
 
 
+@in_order()
 def average_cumulative_return_by_quantile(factor_data: DataFrame, returns: DataFrame, periods_before: int = 10, periods_after: int = 15, demeaned: bool = True, group_adjust: bool = False, by_group: bool = False, check: bool = True) -> DataFrame:
     """factor_quantile, [group], offset, mean_cumulative_return, std_cumulative_return, count."""
     return event_window(factor_data, returns, periods_before, periods_after, demeaned, group_adjust, by_group, check).frame
@@ -147,6 +149,7 @@ def _summed(values: DataFrame, keys: Sequence[str], by_date: bool, demeaned: boo
     return values.groupBy(*keys, "offset").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.count("v").alias("count"))
 
 
+@in_order()
 def common_start_returns(factor_data: DataFrame, returns: DataFrame, periods_before: int, periods_after: int, cumulative: bool = False, mean_by_date: bool = False, demeaned: bool = False, check: bool = True) -> DataFrame:
     """offset, mean, std, count of values aligned on the sessions of factor rows; returns are compounded by asset unless cumulative."""
     as_count(periods_before, "periods_before"), as_count(periods_after, "periods_after")
@@ -155,6 +158,7 @@ def common_start_returns(factor_data: DataFrame, returns: DataFrame, periods_bef
     return _summed(_aligned(rows, returns, periods_before, periods_after, cumulative), [], mean_by_date, demeaned)
 
 
+@in_order()
 def average_cumulative_return_by_quantile_from_prices(factor_data: DataFrame, returns: DataFrame, periods_before: int = 10, periods_after: int = 15, demeaned: bool = True, group_adjust: bool = False, by_group: bool = False, check: bool = True) -> DataFrame:
     """As average_cumulative_return_by_quantile(), with values taken as they are and demeaned by the whole universe."""
     if group_adjust or by_group:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.errors import FactorError
 from quantloom.functions.frames import as_period, melted, period_number, placed, require, sessions_of, time_bucket, validate_factor_data
+from quantloom.functions.ordering import in_order, sorted_for_output
 from quantloom.functions.ranks import crowd, joined_by, percentiles, with_average_rank
 from quantloom.functions.stats import average_rank, finite, ols, pearson, ratio, spearman, std_error
 
@@ -28,6 +29,7 @@ def demean_forward_returns(factor_data: DataFrame, grouper: Sequence[str] | None
     return factor_data.withColumns({c: finite(F.col(c)) - F.avg(finite(F.col(c))).over(own) for c in names})
 
 
+@in_order()
 def factor_information_coefficient(factor_data: DataFrame, group_adjust: bool = False, by_group: bool = False, check: bool = True) -> DataFrame:
     """date, [group], period, ic: Spearman of factor and forward return."""
     periods = validate_factor_data(factor_data, group=group_adjust or by_group, check=check)
@@ -39,6 +41,7 @@ def factor_information_coefficient(factor_data: DataFrame, group_adjust: bool =
     return spearman(long, ["date", *(["group"] if by_group else []), "period"], "factor", "ret", "ic", most)
 
 
+@in_order()
 def mean_information_coefficient(factor_data: DataFrame, group_adjust: bool = False, by_group: bool = False, by_time: str | None = None, zone: str | None = None, check: bool = True) -> DataFrame:
     """[date bucket], [group], period, mean_ic, count over ICs that aren't null."""
     ic = factor_information_coefficient(factor_data, group_adjust, by_group, check).where("ic is not null")
@@ -48,6 +51,7 @@ def mean_information_coefficient(factor_data: DataFrame, group_adjust: bool = Fa
     return ic.groupBy(*keys).agg(F.avg("ic").alias("mean_ic"), F.count("ic").cast("int").alias("count"))
 
 
+@in_order()
 def factor_weights(factor_data: DataFrame, demeaned: bool = True, group_adjust: bool = False, equal_weight: bool = False, check: bool = True) -> DataFrame:
     """date, asset, [group], weight: signals over their gross by date; null where that is 0. Rows without a factor go."""
     validate_factor_data(factor_data, group=group_adjust, returns=False, check=check)
@@ -101,6 +105,7 @@ def _crowded_weights(df: DataFrame, keys: Sequence[str], group: Sequence[str], d
     return df.select("date", "asset", *group, "weight")
 
 
+@in_order()
 def factor_returns(factor_data: DataFrame, demeaned: bool = True, group_adjust: bool = False, equal_weight: bool = False, by_asset: bool = False, check: bool = True) -> DataFrame:
     """date, period, factor_return; or date, asset, period, weighted_return."""
     periods = validate_factor_data(factor_data, group=group_adjust, check=check)
@@ -120,6 +125,7 @@ def _with_weights(factor_data: DataFrame, carry: Sequence[str], demeaned: bool,
     return out.select("date", "asset.*", "weight")
 
 
+@in_order()
 def factor_alpha_beta(factor_data: DataFrame, returns: DataFrame | None = None, demeaned: bool = True, group_adjust: bool = False, equal_weight: bool = False, check: bool = True) -> DataFrame:
     """period, alpha, annualized_alpha, beta, count: factor returns (or `returns`) regressed on the mean return of the universe."""
     periods = validate_factor_data(factor_data, check=check)
@@ -135,6 +141,7 @@ def factor_alpha_beta(factor_data: DataFrame, returns: DataFrame | None = None,
     return fitted.select("period", "alpha", yearly.alias("annualized_alpha"), "beta", "count")
 
 
+@in_order()
 def mean_return_by_quantile(factor_data: DataFrame, by_date: bool = False, by_group: bool = False, demeaned: bool = True, group_adjust: bool = False, check: bool = True) -> DataFrame:
     """factor_quantile, [date], [group], period, mean_return, std_error, count. Without by_date every date weighs the same."""
     periods = validate_factor_data(factor_data, quantile=True, group=by_group or group_adjust, check=check)
@@ -159,6 +166,7 @@ def _summary(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     return out.select(*order, F.col("mean").alias("mean_return"), "std_error", "count")
 
 
+@in_order()
 def compute_mean_returns_spread(mean_returns: DataFrame, upper_quant: int, lower_quant: int, std_err: DataFrame | None = None) -> DataFrame:
     """[date], [group], period, mean_return_difference, joint_std_error of two quantiles; a key that lacks one is an error."""
     keys = [k for k in ("date", "group", "period") if k in mean_returns.columns]
@@ -177,6 +185,7 @@ def compute_mean_returns_spread(mean_returns: DataFrame, upper_quant: int, lower
     return out.join(joint, keys, "left")
 
 
+@in_order()
 def quantile_turnover(quantile_factor: DataFrame, quantile: int, period: int = 1) -> DataFrame:
     """date, factor_quantile, period, turnover: share of today's members that weren't there `period` dates ago."""
     lag = as_period(period)
@@ -187,11 +196,13 @@ def quantile_turnover(quantile_factor: DataFrame, quantile: int, period: int = 1
     return by.select("date", F.lit(quantile).cast("int").alias("factor_quantile"), F.lit(f"{lag}D").alias("period"), F.when(F.col("idx") >= lag, F.col("share")).alias("turnover"))
 
 
+@in_order()
 def factor_rank_autocorrelation(factor_data: DataFrame, period: int = 1, check: bool = True) -> DataFrame:
     """date, period, autocorrelation of the ranks of each whole cross-section with those `period` dates ago, over common assets."""
     return rank_autocorrelations(factor_data, [period], check)
 
 
+@in_order()
 def rank_autocorrelations(factor_data: DataFrame, periods: Sequence[int], check: bool = True) -> DataFrame:
     """factor_rank_autocorrelation() for several periods: one sort by date for the ranks and one by asset serve all."""
     lags = [as_period(p) for p in periods]
@@ -206,6 +217,7 @@ def rank_autocorrelations(factor_data: DataFrame, periods: Sequence[int], check:
     return by.select("date", F.explode(each).alias("x")).select("date", "x.period", "x.autocorrelation")
 
 
+@in_order()
 def backshift_returns_series(series: DataFrame, periods: int, value_column: str = "return") -> DataFrame:
     """date, asset, value with the value of session i + periods at session i of the dates that the series has.
 
@@ -222,18 +234,8 @@ def backshift_returns_series(series: DataFrame, periods: int, value_column: str
     return series.join(moved, F.col("date") == F.col("_d")).select(F.col("_to").alias("date"), *rest, value_column)
 
 
+@in_order()
 def prices_to_returns(prices: DataFrame) -> DataFrame:
     """date, asset, return from one price of an asset to its next."""
     last = F.lag("price").over(Window.partitionBy("asset").orderBy("date"))
     return prices.select("date", "asset", (F.col("price") / last - 1).alias("return"))
-
-
-def sorted_for_output(df: DataFrame) -> DataFrame:
-    """df in its public order: keys that it has, periods by number."""
-    order: list[Column] = []
-    for k in ("date", "factor_quantile", "group", "asset", "period", "offset"):
-        if k in df.columns:
-            order.append(period_number(k) if k == "period" else F.col(k))
-    if not order:
-        raise FactorError("no key to sort by")
-    return df.orderBy(*order)

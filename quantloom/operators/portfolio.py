@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quantloom.errors import FactorError
 from quantloom.functions.frames import MAX_COUNT, as_period, check_keys, require, same_facts, sessions_of
+from quantloom.functions.ordering import in_order
 from quantloom.functions.scan import latest, running_product
 from quantloom.functions.stats import finite, ratio
 from quantloom.operators.performance import factor_returns, factor_weights
@@ -23,6 +24,7 @@ def _or_error(value: Column, ok: Column, message: str) -> Column:
     return F.when(ok, value).otherwise(F.raise_error(F.lit(message)).cast("double"))
 
 
+@in_order("period", "date")
 def cumulative_returns(returns: DataFrame) -> DataFrame:
     """date, [period], cumulative_return: running product of 1 + return, missing as 0, day by day and then over days.
 
@@ -70,6 +72,7 @@ def _needs_period(factor_data: DataFrame, period: int) -> None:
         raise FactorError(f"forward_return_{period}D is missing")
 
 
+@in_order("period", "date")
 def factor_cumulative_returns(factor_data: DataFrame, period: int | str, long_short: bool = True, group_neutral: bool = False, equal_weight: bool = False, quantiles: Sequence[int] | None = None, groups: Sequence[str] | None = None, check: bool = True) -> DataFrame:
     """date, period, cumulative_return of the factor portfolio of one period."""
     p = as_period(period)
@@ -87,6 +90,7 @@ def _axis(sessions: DataFrame, check: bool) -> DataFrame:
     return sessions_of(sessions)
 
 
+@in_order()
 def positions(weights: DataFrame, period: int | str, sessions: DataFrame | None = None, check: bool = True) -> DataFrame:
     """date, asset, position on every session: sleeves live for `period` sessions, summed, over their gross, and cash.
 
@@ -123,6 +127,7 @@ def _positions(weights: DataFrame, axis: DataFrame, p: int) -> DataFrame:
     return filled.unionByName(cash)
 
 
+@in_order()
 def factor_positions(factor_data: DataFrame, period: int | str, long_short: bool = True, group_neutral: bool = False, equal_weight: bool = False, quantiles: Sequence[int] | None = None, groups: Sequence[str] | None = None, sessions: DataFrame | None = None, check: bool = True) -> DataFrame:
     """Positions of the factor weights; a date without gross exposure is an error.
 
@@ -141,6 +146,7 @@ def factor_positions(factor_data: DataFrame, period: int | str, long_short: bool
     return _positions(weights.withColumn("weight", weight), axis, p)
 
 
+@in_order()
 def overlapping_daily_wealth(returns: DataFrame, period: int | str, sessions: DataFrame | None = None) -> DataFrame:
     """date, cumulative_return before each session: sleeves earn (1 + r) ** (1 / p) - 1 a session, for p sessions, and are averaged."""
     p = as_period(period)

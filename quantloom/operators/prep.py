@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quantloom.errors import FactorError, MaxLossExceededError
 from quantloom.functions.frames import RETURN_PREFIX, as_period, require, same_dates, sessions_of, trusted, validate_factor_frame, validate_prices
+from quantloom.functions.ordering import in_order
 from quantloom.functions.ranks import crowd, joined_by, percentiles, with_row_number
 from quantloom.functions.stats import finite
 from quantloom.functions.timeutil import duration_micros, session_label
@@ -45,6 +46,7 @@ def period_labels(prices: DataFrame, periods: Sequence[int]) -> list[str]:
     return [session_label(times, p) for p in periods]
 
 
+@in_order()
 def compute_forward_returns(factor: DataFrame, prices: DataFrame, periods: Sequence[int] = (1, 5, 10), filter_zscore: float | None = None, cumulative_returns: bool = True, check: bool = True, labels: Sequence[str] | None = None) -> DataFrame:
     """date, asset and a forward_return_<label> for each period: price k sessions on over the price now, minus 1.
 
@@ -90,6 +92,7 @@ def _cuts(value: Column, edges: Sequence[Column | float], lowest: bool) -> Colum
     return out
 
 
+@in_order("date", "asset")
 def quantize_factor(factor: DataFrame, quantiles: int | Sequence[float] | None = 5, bins: int | Sequence[float] | None = None, by_group: bool = False, zero_aware: bool = False, check: bool = True) -> DataFrame:
     """factor with an integer factor_quantile per date (and group); null where the factor is missing or outside the bins."""
     if (quantiles is None) == (bins is None):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import scan
 from quantloom.functions.frames import sessions_of
+from quantloom.functions.ordering import order_of, write_in_order
 from quantloom.operators import performance as perf
 from quantloom.operators import portfolio as pf
 from quantloom.plans.reports import create_full_tear_sheet_data
@@ -106,3 +107,32 @@ def test_cells_are_the_tables(spark):
             for row, v in enumerate(values):
                 got = by[i][row, name]
                 assert got == v if isinstance(v, str) or v is None else got == pytest.approx(v, rel=1e-12)
+
+
+#: What the operators' results are sorted by, as their public contract has it.
+ORDERS = {
+    "factor_information_coefficient": (lambda d: perf.factor_information_coefficient(d, by_group=True), ["date", "group", "period"]),
+    "mean_information_coefficient": (perf.mean_information_coefficient, ["period"]),
+    "factor_weights": (perf.factor_weights, ["date", "asset"]),
+    "factor_returns": (perf.factor_returns, ["date", "period"]),
+    "factor_returns by asset": (lambda d: perf.factor_returns(d, by_asset=True), ["date", "asset", "period"]),
+    "factor_alpha_beta": (perf.factor_alpha_beta, ["period"]),
+    "mean_return_by_quantile": (lambda d: perf.mean_return_by_quantile(d, by_date=True), ["date", "factor_quantile", "period"]),
+    "quantile_turnover": (lambda d: perf.quantile_turnover(d, 1), ["date"]),
+    "factor_rank_autocorrelation": (perf.factor_rank_autocorrelation, ["date", "period"]),
+    "cumulative_returns": (lambda d: pf.cumulative_returns(perf.factor_returns(d)), ["period", "date"]),
+    "factor_positions": (lambda d: pf.factor_positions(d, 5, check=False), ["date", "asset"]),
+}
+
+
+@pytest.mark.parametrize("name", ORDERS)
+def test_files_keep_the_public_order(spark, tmp_path, name):
+    import pyarrow.parquet as pq
+
+    f, keys = ORDERS[name]
+    out = f(bridge.clean_panel(spark, SF))
+    write_in_order(out, f"file://{tmp_path}/out", 3)
+    rows = [r for p in sorted(tmp_path.glob("out/*.parquet")) for r in pq.read_table(p).to_pylist()]
+    key = lambda r: tuple(int(r[k][:-1]) if k == "period" else r[k] for k in keys)
+    assert len(rows) > 0 and rows == sorted(rows, key=key) and set(order_of(out)) >= set(keys)
+    assert len({key(r) for r in rows}) == len(rows)
