@@ -156,7 +156,12 @@ def mean_return_by_quantile(factor_data: DataFrame, by_date: bool = False, by_gr
         own = Window.partitionBy("date", "period")
         mean = F.sum(F.col("mean_return") * F.col("count")).over(own) / F.nullif(F.sum("count").over(own), F.lit(0))
         daily = daily.withColumn("mean_return", F.col("mean_return") - mean)
-    return daily if by_date else _summary(daily, keys, "mean_return")
+    return daily if by_date else over_dates(daily)
+
+
+def over_dates(daily: DataFrame) -> DataFrame:
+    """mean_return_by_quantile() of its means by date: every date weighs the same."""
+    return _summary(daily, [k for k in ("group", "factor_quantile", "period") if k in daily.columns], "mean_return")
 
 
 def _summary(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:

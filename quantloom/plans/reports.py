@@ -112,8 +112,8 @@ class ReportTable:
         return list(zip(*self.values.values(), strict=True))
 
     def to_frame(self, spark: SparkSession | None = None) -> DataFrame:
-        """The table as a DataFrame: the plan that makes it, or the values read from JSON."""
-        if self._frame is not None:
+        """The table as a DataFrame: the plan that makes it, or its values, once they are there or were read from JSON."""
+        if self._values is None:
             return self._frame
         made = T.StructType([T.StructField(c.name, T.LongType() if c.kind.startswith("timestamp") else _TYPES[c.kind]()) for c in self.columns])
         out = (spark or SparkSession.active()).createDataFrame(self.rows(), made)
@@ -186,7 +186,7 @@ class TearSheetData:
         return self.tables[id].metadata()
 
     def collect(self) -> TearSheetData:
-        """Compute every table; sources are persisted meanwhile unless they were before."""
+        """Compute every table; sources, and frames that several tables come from, are persisted meanwhile unless they were before."""
         if all(t._values is not None for t in self.tables.values()):
             return self
         held = [s for s in self._source if not s.is_cached]
@@ -312,17 +312,19 @@ def _lags(factor_data: DataFrame, turnover_periods: Sequence[int | str] | None)
     return lags
 
 
-def _returns_tables(d: DataFrame, long_short: bool, group_neutral: bool, by_group: bool, meta: dict) -> dict[str, DataFrame]:
+def _returns_tables(d: DataFrame, long_short: bool, group_neutral: bool, by_group: bool, meta: dict) -> tuple[dict[str, DataFrame], list[DataFrame]]:
+    """The tables, and the frames that several of them come from: means by date and bucket, and the factor's returns."""
     periods = validate_factor_data(d, quantile=True, group=by_group or group_neutral)
     if not meta["quantiles"]:
         raise FactorError("no row has a bucket")
-    daily = tables.mean_by_quantile(d, long_short, group_neutral, by_date=True)
+    raw = perf.mean_return_by_quantile(d, True, False, long_short, group_neutral)
+    daily, means = tables.in_rates(raw, periods), tables.in_rates(perf.over_dates(raw), periods)
     moves = perf.factor_returns(d, demeaned=long_short, group_adjust=group_neutral)
     out = {
-        "returns.summary": tables.returns_summary(d, long_short, group_neutral),
-        "returns.mean_by_quantile": tables.mean_by_quantile(d, long_short, group_neutral),
+        "returns.summary": tables.returns_summary(d, long_short, group_neutral, moves, means),
+        "returns.mean_by_quantile": means,
         "returns.daily_by_quantile": daily,
-        "returns.daily_spread": tables.daily_spread(d, long_short, group_neutral, ends=(meta["quantiles"][-1], meta["quantiles"][0])),
+        "returns.daily_spread": tables.daily_spread(d, long_short, group_neutral, ends=(meta["quantiles"][-1], meta["quantiles"][0]), daily=daily),
         "returns.factor_returns": moves,
     }
     if by_group:
@@ -330,10 +332,11 @@ def _returns_tables(d: DataFrame, long_short: bool, group_neutral: bool, by_grou
     if 1 in periods:
         out["returns.factor_cumulative_1d"] = cumulative_returns(moves.where("period = '1D'")).drop("period")
         out["returns.quantile_cumulative_1d"] = tables.wealth_by_quantile(daily)
-    return out
+    return out, [raw, moves]
 
 
-def _information_tables(d: DataFrame, group_neutral: bool, by_group: bool, rolling_window: int) -> dict[str, DataFrame]:
+def _information_tables(d: DataFrame, group_neutral: bool, by_group: bool, rolling_window: int) -> tuple[dict[str, DataFrame], list[DataFrame]]:
+    """The tables, and the information coefficients that they come from."""
     if isinstance(rolling_window, bool) or rolling_window < 1:
         raise FactorError("the rolling window must be positive")
     ic = perf.factor_information_coefficient(d, group_adjust=group_neutral)
@@ -348,23 +351,26 @@ def _information_tables(d: DataFrame, group_neutral: bool, by_group: bool, rolli
     }
     if by_group:
         out["information.ic_by_group"] = perf.mean_information_coefficient(d, group_adjust=group_neutral, by_group=True)
-    return out
+    return out, [ic]
 
 
-def _turnover_tables(d: DataFrame, lags: Sequence[int]) -> dict[str, DataFrame]:
+def _turnover_tables(d: DataFrame, lags: Sequence[int]) -> tuple[dict[str, DataFrame], list[DataFrame]]:
+    """The tables, and the two series that they come from."""
     by_quantile, by_rank = tables.turnover_series(d, lags), tables.autocorrelation_series(d, lags)
-    return dict(zip(_T, (tables.mean_turnover(by_quantile), tables.mean_autocorrelation(by_rank), by_quantile, by_rank), strict=True))
+    return dict(zip(_T, (tables.mean_turnover(by_quantile), tables.mean_autocorrelation(by_rank), by_quantile, by_rank), strict=True)), [by_quantile, by_rank]
 
 
 def create_returns_tear_sheet_data(factor_data: DataFrame, long_short: bool = True, group_neutral: bool = False, by_group: bool = False) -> TearSheetData:
     meta = _metadata(factor_data)
     options = {"long_short": long_short, "group_neutral": group_neutral, "by_group": by_group}
-    return _sheet("returns", factor_data, options, _returns_tables(factor_data, long_short, group_neutral, by_group, meta), meta=meta)
+    made, shared = _returns_tables(factor_data, long_short, group_neutral, by_group, meta)
+    return _sheet("returns", factor_data, options, made, *shared, meta=meta)
 
 
 def create_information_tear_sheet_data(factor_data: DataFrame, group_neutral: bool = False, by_group: bool = False, rolling_window: int = 22) -> TearSheetData:
     options = {"group_neutral": group_neutral, "by_group": by_group, "rolling_window": rolling_window}
-    return _sheet("information", factor_data, options, _information_tables(factor_data, group_neutral, by_group, rolling_window))
+    made, shared = _information_tables(factor_data, group_neutral, by_group, rolling_window)
+    return _sheet("information", factor_data, options, made, *shared)
 
 
 def create_turnover_tear_sheet_data(factor_data: DataFrame, turnover_periods: Sequence[int | str] | None = None) -> TearSheetData:
@@ -373,7 +379,8 @@ def create_turnover_tear_sheet_data(factor_data: DataFrame, turnover_periods: Se
     lags, meta = _lags(factor_data, turnover_periods), _metadata(factor_data)
     if not meta["quantiles"]:
         raise FactorError("no row has a bucket")
-    return _sheet("turnover", factor_data, {"turnover_periods": lags}, _turnover_tables(factor_data, lags), meta=meta)
+    made, shared = _turnover_tables(factor_data, lags)
+    return _sheet("turnover", factor_data, {"turnover_periods": lags}, made, *shared, meta=meta)
 
 
 def create_summary_tear_sheet_data(factor_data: DataFrame, long_short: bool = True, group_neutral: bool = False, turnover_periods: Sequence[int | str] | None = None) -> TearSheetData:
@@ -386,15 +393,17 @@ def create_full_tear_sheet_data(factor_data: DataFrame, long_short: bool = True,
 
 def _combined(kind: str, d: DataFrame, long_short: bool, group_neutral: bool, by_group: bool, turnover_periods: Sequence[int | str] | None, window: int) -> TearSheetData:
     lags, meta = _lags(d, turnover_periods), _metadata(d)
-    made = {"quantile.statistics": tables.quantile_statistics(d)}
-    made |= _returns_tables(d, long_short, group_neutral, by_group, meta)
+    made, shared = {"quantile.statistics": tables.quantile_statistics(d)}, []
+    parts = [_returns_tables(d, long_short, group_neutral, by_group, meta), _turnover_tables(d, lags)]
     if kind == "full":
-        made |= _information_tables(d, group_neutral, by_group, window)
+        parts.append(_information_tables(d, group_neutral, by_group, window))
     else:
         made["information.summary"] = tables.ic_summary(perf.factor_information_coefficient(d, group_adjust=group_neutral))
-    made |= _turnover_tables(d, lags)
+    for own, common in parts:
+        made |= own
+        shared += common
     options = {"long_short": long_short, "group_neutral": group_neutral, "by_group": by_group, "turnover_periods": lags, "ic_rolling_window": window}
-    return _sheet(kind, d, options, made, meta=meta)
+    return _sheet(kind, d, options, made, *shared, meta=meta)
 
 
 def _moves(returns: DataFrame) -> DataFrame:

@@ -47,16 +47,19 @@ def ic_summary(ic: DataFrame) -> DataFrame:
     return by.select("period", F.col("mean").alias("ic_mean"), F.col("std").alias("ic_std"), risk.alias("risk_adjusted_ic"), "t_stat", "p_value", "skew", "excess_kurtosis", "count")
 
 
-def mean_by_quantile(factor_data: DataFrame, demeaned: bool = True, group_adjust: bool = False, by_date: bool = False, by_group: bool = False) -> DataFrame:
-    """Mean returns by quantile, converted to the rate of the shortest period."""
-    periods = forward_periods(factor_data.columns)
-    out = perf.mean_return_by_quantile(factor_data, by_date, by_group, demeaned, group_adjust)
+def in_rates(means: DataFrame, periods: Sequence[int]) -> DataFrame:
+    """Mean returns and their errors, converted to the rate of the shortest period."""
     mean, error = F.lit(None).cast("double"), F.lit(None).cast("double")
     for p in periods:
         own = F.col("period") == f"{p}D"
         mean = F.when(own, forward_rate(F.col("mean_return"), p, periods[0])).otherwise(mean)
         error = F.when(own, error_rate(F.col("std_error"), p, periods[0])).otherwise(error)
-    return out.withColumns({"mean_return": mean, "std_error": error})
+    return means.withColumns({"mean_return": mean, "std_error": error})
+
+
+def mean_by_quantile(factor_data: DataFrame, demeaned: bool = True, group_adjust: bool = False, by_date: bool = False, by_group: bool = False) -> DataFrame:
+    """Mean returns by quantile, converted to the rate of the shortest period."""
+    return in_rates(perf.mean_return_by_quantile(factor_data, by_date, by_group, demeaned, group_adjust), forward_periods(factor_data.columns))
 
 
 def raw_mean_by_quantile(factor_data: DataFrame, demeaned: bool = True, group_adjust: bool = False, by_date: bool = False, by_group: bool = False) -> DataFrame:
@@ -64,12 +67,15 @@ def raw_mean_by_quantile(factor_data: DataFrame, demeaned: bool = True, group_ad
     return perf.mean_return_by_quantile(factor_data, by_date, by_group, demeaned, group_adjust)
 
 
-def returns_summary(factor_data: DataFrame, long_short: bool = True, group_neutral: bool = False) -> DataFrame:
-    """metric, period, value, count: alpha and beta, mean returns of the outer quantiles and their spread."""
-    ab = perf.factor_alpha_beta(factor_data, demeaned=long_short, group_adjust=group_neutral)
+def returns_summary(factor_data: DataFrame, long_short: bool = True, group_neutral: bool = False, moves: DataFrame | None = None, means: DataFrame | None = None) -> DataFrame:
+    """metric, period, value, count: alpha and beta, mean returns of the outer quantiles and their spread.
+
+    moves and means: the factor's returns and mean_by_quantile(), where they are there already.
+    """
+    ab = perf.factor_alpha_beta(factor_data, moves, demeaned=long_short, group_adjust=group_neutral)
     fits = F.array(*[F.struct(F.lit(k).alias("metric"), F.col(c).alias("value")) for k, c in (("alpha_raw", "alpha"), ("alpha_annualized", "annualized_alpha"), ("beta", "beta"))])
     first = ab.select("period", F.col("count").cast("long").alias("count"), F.explode(fits).alias("x")).select("x.metric", "period", "x.value", "count")
-    by = mean_by_quantile(factor_data, long_short, group_neutral)
+    by = means if means is not None else mean_by_quantile(factor_data, long_short, group_neutral)
     every = Window.partitionBy("period")
     outer = by.withColumns({"hi": F.max("factor_quantile").over(every), "lo": F.min("factor_quantile").over(every)})
     pick = lambda c, v: F.max(F.when(F.col("factor_quantile") == F.col(c), F.col(v)))
@@ -82,9 +88,9 @@ def returns_summary(factor_data: DataFrame, long_short: bool = True, group_neutr
     return first.unionByName(sides.select("period", F.explode(means).alias("x")).select("x.metric", "period", "x.value", "x.count"))
 
 
-def daily_spread(factor_data: DataFrame, long_short: bool = True, group_neutral: bool = False, ends: Sequence[int] | None = None) -> DataFrame:
-    """date, period, difference and joint error of the outer quantiles that each date has."""
-    daily = mean_by_quantile(factor_data, long_short, group_neutral, by_date=True)
+def daily_spread(factor_data: DataFrame, long_short: bool = True, group_neutral: bool = False, ends: Sequence[int] | None = None, daily: DataFrame | None = None) -> DataFrame:
+    """date, period, difference and joint error of the outer quantiles that each date has. daily: mean_by_quantile() by date, where it is there already."""
+    daily = daily if daily is not None else mean_by_quantile(factor_data, long_short, group_neutral, by_date=True)
     ends = ends or factor_data.agg(F.max("factor_quantile"), F.min("factor_quantile")).first()
     both = daily.where(F.col("factor_quantile").isin(*ends)).groupBy("date", "period").agg(F.count_distinct("factor_quantile").alias("n"))
     whole = daily.join(both.where(F.col("n") == len(set(ends))), ["date", "period"], "left_semi")
