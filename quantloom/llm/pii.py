@@ -176,7 +176,7 @@ def _tagged(kind: str) -> Column:
 def find(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs (without the text) with an array of spans (s, e in code points, m) for each of ALL_KINDS.
 
-    Spans of one kind don't overlap; added ones overlap no base span. Null and empty texts
+    Spans of one kind don't overlap; added ones overlap no base span, and phones no identifier. Null and empty texts
     have none; the work on a long text is far from quadratic in its spans. Written to the
     shared folder once: the votes of all candidates come first. Repeated rows are judged
     alike; input columns of these names (and _t, and those of LOOSE after an underscore) are replaced. Empty in, empty out.
@@ -187,7 +187,9 @@ def find(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFra
     staged = staged.withColumns({f"_{k}": F.when(t.rlike(NEEDS[k]), spans_of("_t", LOOSE[k], CONTEXT)).otherwise(F.expr(no_spans(CONTEXT))) for k in LOOSE})
 
     def loose(kind: str) -> Column:
-        free = apart(f"_{kind}", f"concat({', '.join(KINDS)})")
+        # What is laid out like an identifier is no phone number.
+        also = ["transform(_xid, y -> named_struct('s', y.s, 'e', y.e, 'm', y.m))"] if kind == "xphone" else []
+        free = apart(f"_{kind}", f"concat({', '.join([*KINDS, *also])})")
         return F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), code(votes(kind, x), features(x)).alias("v")))
 
     staged = materialize(staged.withColumns({k: loose(k) for k in LOOSE}).drop("_t", text, *[f"_{k}" for k in LOOSE]), "candidates")
