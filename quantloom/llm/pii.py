@@ -31,7 +31,7 @@ KINDS = ("email", "ip", "card", "phone")
 # Looser candidates of the method.
 LOOSE = {
     "xphone": r"(?<![0-9A-Za-z+.(-])\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{2,4}[\x20./-][0-9]{2,5}(?:[\x20./-][0-9]{2,4})?(?![0-9A-Za-z])",
-    "xemail": r"(?i)\b[a-z0-9._-]{2,64}\x20?(?:\(at\)|\[at\])\x20?[a-z0-9-]{2,64}(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[a-z]{2,12})++",
+    "xemail": r"(?i)\b[a-z0-9._-]{2,64}\x20?(?:\(at\)|\[at\])\x20?[a-z0-9-]{2,64}(?:\x20?(?:\(dot\)|\[dot\])\x20?[a-z]{2,12}|\.[a-z]{2,12})++",
     "xid": r"(?<![0-9A-Za-z])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+)(?![0-9A-Za-z])",
     "xname": r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++)?",
 }
