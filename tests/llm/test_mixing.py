@@ -98,14 +98,14 @@ def test_hypergeometric_frequencies(spark):
 
 def test_tree_is_multivariate_hypergeometric(spark):
     """Counts of a shard over many seeds: mean and variance of draws without replacement."""
-    root = spark.createDataFrame([([60, 30, 10],)], "counts array<long>")
-    seen = [r["counts"] for seed in range(40) for r in mixing.leaves(root, 10, seed).collect()]
-    assert all(sum(c) == 10 for c in seen) and len(seen) == 400
-    for i, k in enumerate((60, 30, 10)):
-        mean = sum(c[i] for c in seen) / 400
-        var = sum((c[i] - mean) ** 2 for c in seen) / 400
-        assert mean == k / 10
-        assert var == pytest.approx(10 * k / 100 * (1 - k / 100) * 90 / 99, rel=0.3)
+    root = spark.createDataFrame([([240, 120, 40],)], "counts array<long>")
+    seen = [r["counts"] for seed in range(12) for r in mixing.leaves(root, 40, seed).collect()]
+    assert all(sum(c) == 10 for c in seen) and len(seen) == 480
+    for i, k in enumerate((240, 120, 40)):
+        mean = sum(c[i] for c in seen) / 480
+        var = sum((c[i] - mean) ** 2 for c in seen) / 480
+        assert mean == k / 40
+        assert var == pytest.approx(10 * k / 400 * (1 - k / 400) * 390 / 399, rel=0.3)
 
 
 def test_mixed_rows_keep_their_columns(spark):
