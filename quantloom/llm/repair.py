@@ -32,6 +32,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +49,8 @@ SHARDS_A_FILE = 8
 #: Places that a pair must have for a rule to pay.
 LEAST = 7
 SAMPLE = 1024
-_SLOT_BITS = 18
+#: The rank of a place whose pair doesn't pay.
+_NONE = np.int32(2**31 - 1)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, names: list[str | None] | None = None, part: int = 0, shard: int = 0, first: int = 0) -> bytes:
@@ -71,56 +74,59 @@ def grammar(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray,
     # Places whose pair the last round may have brought about; at first all.
     look = np.arange(max(len(seq) - 1, 0), dtype=np.int32 if len(seq) < 1 << 31 else np.int64)
     while len(look) >= least:
-        first, second = (seq[:-1], seq[1:]) if len(look) == len(seq) - 1 else (seq[look], seq[look + 1])
-        codes = (first.astype(np.uint64) << np.uint64(32)) | second
-        frequent, counts = _frequent(codes, least)
+        every = len(look) == len(seq) - 1
+        first, second = (seq[:-1], seq[1:]) if every else (seq[look], seq[look + 1])
+        frequent, order = _ranked(first, second, base + n_rules, least)
         if not len(frequent):
             break
-        rank = np.empty(len(frequent), np.int32)
-        rank[np.argsort(-counts, kind="stable")] = np.arange(len(frequent), dtype=np.int32)
-        which = _lookup(codes, frequent)
-        found = which >= 0
-        at, order = look[found], rank[which[found]]
-        chosen = _without_overlap(at, order)
-        at, order = at[chosen], order[chosen]
+        if 8 * len(look) > len(seq):
+            by_place = order if every else np.full(len(seq) - 1, _NONE, np.int32)
+            if not every:
+                by_place[look] = order
+            found = by_place != _NONE
+            at = _without_overlap_of_all(by_place, found)
+            at_order = by_place[at]
+        else:
+            own = order != _NONE
+            found, at_order = look[own], order[own]
+            chosen = _without_overlap(found, at_order)
+            at, at_order = found[chosen], at_order[chosen]
         # Pairs whose places others took go without a rule; they may come again.
-        used = np.bincount(order, minlength=len(frequent))
-        real = used >= least
+        real = np.bincount(at_order, minlength=len(frequent)) >= least
         if not real.any():
+            # Runs of one symbol count twice what can be replaced; without those that are too short go on.
+            runs = np.flatnonzero((first == second) & (order != _NONE))
+            fit = np.bincount(order[runs[_without_overlap(look[runs], order[runs])]], minlength=len(frequent)) >= least
+            short = np.zeros(len(look), bool)
+            short[runs[~fit[order[runs]]]] = True
+            if short.any():
+                look = look[~short]
+                continue
             # Each pair alone still has places enough: the most frequent one goes first.
-            best = int(np.flatnonzero(rank == 0)[0])
-            at = look[which == best]
+            at = look[order == 0]
             at = at[_without_overlap(at, np.zeros(len(at), np.int64))]
-            if len(at) < least:
-                # Runs of one symbol count twice what can be replaced; without this pair go on.
-                look = look[which != best]
-                continue
-            order, real = np.zeros(len(at), np.int64), np.zeros(len(frequent), bool)
+            at_order = np.zeros(len(at), np.int64)
             real[0] = True
-        keep = real[order]
-        at, order = at[keep], order[keep]
-        by_rank = np.empty(len(frequent), np.uint64)
-        by_rank[rank] = frequent
-        new = by_rank[real]
+        keep = real[at_order]
+        at, at_order = at[keep], at_order[keep]
+        new = frequent[real]
         pairs.append(np.stack((new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)), axis=1).astype(np.uint32))
-        number = np.cumsum(real) - 1 + base + n_rules
+        seq[at] = (np.cumsum(real) - 1 + base + n_rules)[at_order]
         n_rules += len(new)
-        seq[at] = number[order]
-        seq, look = _next(seq, at, look[found])
+        seq, look = _next(seq, at, found)
     return seq, np.concatenate(pairs)
 
 
 def _next(seq: np.ndarray, at: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """seq without the second symbols of the places `at`, and where to look now: at new symbols, before them, and `again`."""
+    """seq without the second symbols of the places `at`, and where to look now: at new symbols, before them, and `again` (places, or a mark for each)."""
     gone, before = at + 1, at - 1
-    if 16 * len(at) > len(seq):
+    if again.dtype == bool:
         left = np.ones(len(seq), bool)
         left[gone] = False
-        marks = np.zeros(len(seq), bool)
-        marks[again] = marks[at] = True
-        before = before[before >= 0]
-        marks[np.where(left[before], before, before - 1)] = True
-        look = np.flatnonzero(marks[left]).astype(at.dtype)
+        marks = np.append(again, False)
+        # Where the place before is gone, a new symbol stands before that, which is marked.
+        marks[at] = marks[before[before >= 0]] = True
+        look = np.flatnonzero(marks[left]).astype(np.int32 if len(seq) < 1 << 31 else np.int64)
         seq = seq[left]
     else:
         before = np.where(gone[np.minimum(np.searchsorted(gone, before), len(gone) - 1)] == before, before - 1, before)
@@ -141,40 +147,45 @@ def _without(seq: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.concatenate([seq[a:b] for a, b in zip([0, *(gone + 1).tolist()], [*gone.tolist(), len(seq)], strict=True)])
 
 
-def _frequent(codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The codes that occur `least` times or more, ascending, and how often. Rare slots of a hash leave the sort."""
-    slot = _slots(codes, 0)
-    often = np.bincount(slot, minlength=1 << _SLOT_BITS) >= least
-    some = np.sort(codes[often[slot]])
-    if not len(some):
-        return some, some
-    starts = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
-    counts = np.diff(np.append(starts, len(some)))
-    return some[starts][counts >= least], counts[counts >= least]
-
-
-def _slots(codes: np.ndarray, k: int) -> np.ndarray:
-    odd = np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)[k])
-    return ((codes * odd) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-
-
-def _lookup(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The position of each code in the ascending table, -1 where it isn't there."""
-    slot = _slots(codes, 1)
-    owner = np.full(1 << _SLOT_BITS, -1, np.int64)
-    own = _slots(table, 1)
-    owner[own] = np.arange(len(table))
-    out = owner[slot]
-    hit = out >= 0
-    hit[hit] = table[out[hit]] == codes[hit]
-    out[~hit] = -1
-    # Codes of the table that share a slot with a later one are searched for.
-    lost = np.zeros(1 << _SLOT_BITS, bool)
-    lost[own[owner[own] != np.arange(len(table))]] = True
-    rest = np.flatnonzero(~hit & lost[slot])
-    place = np.minimum(np.searchsorted(table, codes[rest]), len(table) - 1)
-    out[rest] = np.where(table[place] == codes[rest], place, -1)
-    return out
+def _ranked(first: np.ndarray, second: np.ndarray, symbols: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that occur `least` times or more, most frequent first, and for each place the rank of its pair, _NONE for other ones."""
+    n, bits = len(first), np.uint64(int(symbols - 1).bit_length())
+    place = np.uint64(int(n - 1).bit_length())
+    codes = (first.astype(np.uint64) << bits) | second
+    if 2 * bits + place <= 64:
+        # Pairs and their places are sorted as one number.
+        codes <<= place
+        codes |= np.arange(n, dtype=np.uint64)
+        codes.sort()
+        index = (codes & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
+        codes >>= place
+    else:
+        index = np.argsort(codes, kind="stable")
+        codes = codes[index]
+    starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    counts = np.diff(np.append(starts, n))
+    often = np.flatnonzero(counts >= least)
+    often = often[np.argsort(-counts[often], kind="stable")]
+    rank = np.full(len(starts), _NONE, np.int32)
+    rank[often] = np.arange(len(often), dtype=np.int32)
+    order = np.empty(n, np.int32)
+    order[index] = np.repeat(rank, counts)
+    code = codes[starts[often]]
+    return ((code >> bits) << np.uint64(32)) | (code & ((np.uint64(1) << bits) - np.uint64(1))), order
+
+
+def _without_overlap_of_all(order: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """The places to take where all have an order, _NONE where not `found`: what _without_overlap() takes."""
+    win = found.copy()
+    less = order[1:] < order[:-1]
+    win[:-1] &= order[:-1] < order[1:]
+    win[1:] &= less
+    rest = found & ~win
+    rest[1:] &= ~win[:-1]
+    rest[:-1] &= ~win[1:]
+    rest = np.flatnonzero(rest)
+    win[rest[_without_overlap(rest, order[rest])]] = True
+    return np.flatnonzero(win)
 
 
 def _without_overlap(at: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -265,10 +276,22 @@ def _expand(seq: np.ndarray, pairs: np.ndarray, base: int) -> np.ndarray:
         seq = out
 
 
+def _ids_of(s: Shard) -> np.ndarray:
+    """All ids of a shard."""
+    size = int(s.lengths.sum())
+    if size > s.ids:
+        return _expand(s.sequence(), s.pairs, s.base).astype("<u4", copy=False)
+    # Each rule is written out once, then symbols are copied.
+    table = np.concatenate((np.arange(s.base), _expand(np.arange(s.base, s.base + len(s.pairs)), s.pairs, s.base))).astype("<u4")
+    offsets = 4 * np.concatenate((np.arange(s.base + 1), s.base + np.cumsum(s.lengths)))
+    symbols = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(table)])
+    return np.frombuffer(symbols.take(pa.array(s.sequence())).buffers()[2] or b"", "<u4", s.ids)
+
+
 def decode(blob: bytes, at: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(ids, ends) of the shard at an offset."""
     s = Shard(blob, at)
-    return _expand(s.sequence(), s.pairs, s.base).astype("<u4", copy=False), s.ends
+    return _ids_of(s), s.ends
 
 
 def decode_range(blob: bytes, start: int, stop: int, at: int = 0) -> np.ndarray:
@@ -313,36 +336,49 @@ def write_files(docs: DataFrame, path: str, text: str = "text", doc_id: str = "d
     order = ["doc_id", "hash", "row"]
     dealt = own.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.spark_partition_id().alias("part"))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokens)
         base = encoder.tokenizer.get_vocab_size()
-        end = np.array([END_ID], "<u4")
         ids: list[np.ndarray] = []
         names: list[str | None] = []
-        ends: list[int] = []
+        ends: list[np.ndarray] = []
         chars = total = shard = part = first = 0
 
-        def flush() -> pd.DataFrame:
-            return pd.DataFrame({"blob": [compress(np.concatenate(ids), np.array(ends), base, LEAST, names, part, shard, first)], "documents": [len(names)]})
+        def flush() -> pa.RecordBatch:
+            blob = compress(np.concatenate(ids), np.concatenate(ends), base, LEAST, names, part, shard, first)
+            return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary()), pa.array([len(names)], pa.int64())], ["blob", "documents"])
 
         for batch in batches:
-            coded = encoder.encode_all(list(batch["text"]))
-            for d, t, p, own_ids in zip(batch["doc_id"], batch["text"], batch["part"], coded, strict=True):
-                if names and chars + len(t) > shard_chars:
-                    yield flush()
-                    first += total
-                    ids, names, ends, chars, total, shard = [], [], [], 0, 0, shard + 1
-                ids += [own_ids, end]
-                total += len(own_ids) + 1
-                chars += len(t)
-                names.append(None if pd.isna(d) else d)
-                ends.append(total)
-                part = int(p)
+            for at, own_ids, counts in encoder.blocks(batch["text"]):
+                own_ends = np.cumsum(counts)
+                own_ids = np.insert(own_ids, own_ends, END_ID)
+                own_ends = own_ends + np.arange(1, len(counts) + 1)
+                docs = batch.slice(at, len(counts))
+                own_names, sizes = docs["doc_id"].to_pylist(), pc.utf8_length(docs["text"]).to_pylist()
+                i = 0
+                while i < len(sizes):
+                    # Documents i to j still go into the shard; a first one always does.
+                    j = i
+                    while j < len(sizes) and (j == i and not names or chars + sizes[j] <= shard_chars):
+                        chars += sizes[j]
+                        j += 1
+                    if i < j:
+                        start = int(own_ends[i - 1]) if i else 0
+                        ids.append(own_ids[start : own_ends[j - 1]])
+                        ends.append(own_ends[i:j] - start + total)
+                        total += int(own_ends[j - 1]) - start
+                        names += own_names[i:j]
+                        part = docs["part"][0].as_py()
+                    if j < len(sizes):
+                        yield flush()
+                        first += total
+                        ids, names, ends, chars, total, shard = [], [], [], 0, 0, shard + 1
+                    i = j
         if names:
             yield flush()
 
     seen = Observation()
-    blobs = dealt.mapInPandas(encode, "blob binary, documents long").observe(seen, F.sum("documents").alias("documents"))
+    blobs = dealt.mapInArrow(encode, "blob binary, documents long").observe(seen, F.sum("documents").alias("documents"))
     # A string of any bytes is written as it is, and a line feed after it.
     blobs.select(F.col("blob").cast("string").alias("value")).write.option("maxRecordsPerFile", SHARDS_A_FILE).option("compression", "none").text(path)
     return seen.get["documents"] or 0
@@ -375,9 +411,8 @@ def read_ids(spark: SparkSession, path: str, documents: int | None = None) -> Da
         for batch in batches:
             for content in batch["content"]:
                 for shard in shards_of(content):
-                    ids = np.ascontiguousarray(_expand(shard.sequence(), shard.pairs, shard.base).astype("<u4", copy=False))
                     begins = np.concatenate(([0], shard.ends[:-1]))
-                    view = memoryview(ids).cast("B")
+                    view = memoryview(np.ascontiguousarray(_ids_of(shard))).cast("B")
                     crc = [zlib.crc32(view[4 * s : 4 * e]) for s, e in zip(begins.tolist(), shard.ends.tolist(), strict=True)]
                     yield pd.DataFrame({"doc_id": shard.names(), "start": begins + starts[shard.part] + shard.first, "n_tokens": shard.ends - begins, "ids_crc32": crc})
 

@@ -3,7 +3,9 @@
 A byte-level BPE tokenizer never merges over the start of a white-space run between two
 words, so a text is cut before every white-space character that stands alone between two
 non-space ones; the pieces are encoded once for each worker and looked up from then on.
-The ids are those of the tokenizer on the whole text.
+Where ids are asked for, pieces also end before a mark after a Latin letter and after such
+a line break, which no word of the tokenizer spans either, and Arrow finds equal ones. The
+ids are those of the tokenizer on the whole text.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +24,27 @@ from quantloom.llm._common import materialize
 
 #: Pieces that a worker remembers, and the longest one, in characters; neither changes a result.
 CACHE_PIECES, CACHE_CHARS = 800_000, 40
-#: Characters that are looked up at a time, about.
-BATCH_CHARS = 1_000_000
+#: Characters that are looked up at a time, about; bytes of them where ids are asked for.
+BATCH_CHARS, BATCH_BYTES = 1_000_000, 4_000_000
 _PIECES = re.compile(r"(?<=\S)(?=\s\S)")
 #: White space that isn't a space or a line break.
 _OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _SPACED, _BROKEN, _WORD = (re.compile(x) for x in (r" \S+\Z", r"\n\S+\Z", r" \S+\Z"))
+#: White space of more than one byte, as numbers; whether a byte is a letter from A to z.
+_WIDE = [int.from_bytes(c.encode(), "big") for c in _OTHER if not c.isascii()]
+_LETTER = np.array([chr(i).isascii() and chr(i).isalpha() for i in range(256)])
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Where an added token would be cut, and one that could stand in words of Latin letters.
+_MARKED, _PLAIN = re.compile(rf"[{_LATIN}][!-&(-.:;?]|\s"), re.compile(rf"[{_LATIN} \n]*\Z")
+#: The characters that stand for bytes in a byte-level vocabulary, and tokens that reach over the start of a word of Latin letters.
+_SHOWN = [i for i in range(256) if 33 <= i < 127 or 161 <= i and i != 173]
+_CHARS = "".join(chr(i) if i in _SHOWN else chr(256 + i - sum(j < i for j in _SHOWN)) for i in range(256))
+_OF_WORDS = "".join(c for i, c in enumerate(_CHARS) if _LETTER[i] or 0x80 <= i < 0xC0 or 0xC3 <= i <= 0xC9)
+_JOINED = re.compile(f"(?=[{_OF_WORDS}ĠĊ]*\\Z).*([{_OF_WORDS}][ĠĊ]|Ċ[{_OF_WORDS}])")
 #: Pieces that are encoded as one text.
 _GROUP = 1000
+#: Words of Latin letters that go to the tokenizer's model as one.
+_RUN = 16
 _ENCODERS: dict[str, Encoder] = {}
 #: Lengths that share one block of the two-level suffix sums.
 BLOCK = 1024
@@ -54,8 +71,11 @@ class Encoder:
         self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.sizes[i] = added.get(token, len(token))
-        # The ids of a piece, and how many they are: counting needs no more than the second.
-        self.known: dict[str, bytes] = {}
+        self.marks = not any(_MARKED.search(t) for t in added)
+        # Whether words of Latin letters, each after a space or line break, have the same ids in one run as alone.
+        self.joins = not any(map(_JOINED.match, vocab)) and not any(map(_PLAIN.match, added)) and not getattr(self.tokenizer.model, "ignore_merges", False)
+        # Pieces and the bytes of their ids; counting needs no more than how many they are.
+        self.pieces, self.ids = pa.array([], pa.binary()), pa.array([], pa.binary())
         self.counts: dict[str, int] = {}
 
     @staticmethod
@@ -81,12 +101,34 @@ class Encoder:
             starts = np.concatenate(([0], ends[:-1])) + np.array([k[0] == " " for k in keys])
             yield keys, ids, starts, ends
 
-    def _encoded(self, new: list[str]) -> dict[str, bytes]:
-        out = {}
-        for keys, ids, starts, ends in self._runs(new):
+    def _encoded(self, new: pa.Array) -> pa.Array:
+        """The bytes of the ids of each piece."""
+        plain = pc.match_substring_regex(new, f"^ ?[{_LATIN}]+$") if self.joins else pa.repeat(False, len(new))
+        rest = new.filter(pc.invert(plain)).to_pylist()
+        keys = [p[1:] if _SPACED.match(p) else " " + p for p in rest]
+        found = {}
+        for own, ids, starts, ends in self._runs(keys):
             raw = ids.tobytes()
-            out.update(zip(keys, [raw[x:y] for x, y in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)], strict=True))
-        return out
+            found.update(zip(own, [raw[x:y] for x, y in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)], strict=True))
+        out = pa.concat_arrays([self._words(new.filter(plain)), pa.array([found[k] for k in keys], pa.large_binary())])
+        return out.take(pa.array(np.argsort(np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable"))))
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """The bytes of the ids of words of Latin letters, with a space before them or without: these follow a line break that is taken off again."""
+        if not len(words):
+            return pa.array([], pa.large_binary())
+        bare = pc.invert(pc.starts_with(words, " "))
+        texts = pc.if_else(bare, pc.binary_replace_slice(words, 0, 0, "\n"), words)
+        last = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1)[1:]
+        whole = texts.buffers()[2].to_pybytes()[: last[-1]].decode("latin-1").translate(_CHARS)
+        cuts = [0, *last[_RUN - 1 : -1 : _RUN].tolist(), len(whole)]
+        model = self.tokenizer.model
+        ids = np.array([t.id for i, j in zip(cuts, cuts[1:], strict=False) for t in model.tokenize(whole[i:j])], "<u4")
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), last) + 1
+        bare = bare.to_numpy(zero_copy_only=False)
+        ids = np.delete(ids, np.concatenate(([0], ends))[:-1][bare])
+        offsets = 4 * np.concatenate(([0], ends - np.cumsum(bare)))
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
 
     def _counted(self, new: list[str]) -> dict[str, int]:
         out = {}
@@ -122,12 +164,52 @@ class Encoder:
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
-        for own in _some(texts):
-            pieces, sizes = self._learn(own, self.known, self._encoded)
-            ends = np.cumsum(self._totals(np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4, sizes))
-            out += np.split(np.frombuffer(b"".join(pieces), "<u4"), ends[:-1])
+        for _, ids, counts in self.blocks(pa.array(texts, pa.large_string())):
+            out += np.split(ids, np.cumsum(counts)[:-1])
         return out
 
+    def blocks(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(place of the first text, ids of all, how many each has) for runs of about BATCH_BYTES; null and empty texts have no ids."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        cuts = np.flatnonzero(np.diff((at[1:] - at[0]) // BATCH_BYTES)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):
+            if i < j:
+                yield i, *self._ids_of(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                # Else Arrow's pool holds on to about 100 MB in each worker.
+                pa.default_memory_pool().release_unused()
+
+    def _ids_of(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of the texts that stand in the UTF-8 bytes `data` between the places `at`."""
+        begins = _begins(data, at, self.marks)
+        if not len(begins):
+            return np.zeros(0, "<u4"), np.zeros(len(at) - 1, np.int64)
+        kind, whole = (pa.binary(), np.int32) if len(data) < 1 << 28 else (pa.large_binary(), np.int64)
+        offsets = np.append(begins, len(data)).astype(whole)
+        pieces = pa.Array.from_buffers(kind, len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        # Equal pieces have one number; those that are known stand first.
+        coded = pa.chunked_array([self.pieces.cast(kind), pieces]).dictionary_encode()
+        coded = coded.chunk(coded.num_chunks - 1)
+        new = self._encoded(coded.dictionary[len(self.pieces) :].cast(pa.large_string()))
+        ids = pa.concat_arrays([self.ids.cast(kind), new.cast(kind)])
+        own = ids.take(coded.indices)
+        self._remember(coded.dictionary, ids, coded.indices)
+        ends = np.frombuffer(own.buffers()[1], whole, len(own) + 1).astype(np.int64) // 4
+        return np.frombuffer(own.buffers()[2] or b"", "<u4", int(ends[-1])), np.diff(ends[np.searchsorted(begins, at)])
+
+    def _remember(self, pieces: pa.Array, ids: pa.Array, used: pa.Array) -> None:
+        """Short pieces are kept; if they are too many, those of the last block alone, the first CACHE_PIECES of them."""
+        keep = np.diff(np.frombuffer(pieces.buffers()[1], np.int32 if pieces.type == pa.binary() else np.int64, len(pieces) + 1)) <= CACHE_CHARS
+        if np.count_nonzero(keep) > CACHE_PIECES:
+            seen = np.zeros(len(keep), bool)
+            seen[used.to_numpy()] = True
+            keep &= seen
+            keep &= np.cumsum(keep) <= CACHE_PIECES
+        if not keep.all():
+            pieces, ids = pieces.filter(pa.array(keep)), ids.filter(pa.array(keep))
+        self.pieces, self.ids = pieces.cast(pa.binary()), ids.cast(pa.binary())
+
     def count_all(self, texts: list[str | None]) -> list[int]:
         out: list[int] = []
         for own in _some(texts):
@@ -149,6 +231,31 @@ def _keys(text: str) -> list[str]:
     return own
 
 
+def _begins(data: np.ndarray, at: np.ndarray, marks: bool) -> np.ndarray:
+    """Where the pieces of the texts between the places `at` begin in their bytes, ascending."""
+    edge = np.zeros(len(data) + 1, bool)
+    edge[at] = True
+    space = np.flatnonzero((data == 32) | (data == 10))
+    space = space[~(edge[space] | edge[space + 1])]
+    # It stands alone if neither neighbour is white: no control character or space, and no wider white space.
+    before, after = data[space - 1], data[space + 1]
+    alone = (before > 32) & (after > 32)
+    wide = np.flatnonzero(alone & ((before > 127) | (after > 127)))
+    if len(wide):
+        i = space[wide]
+        x = [data[np.minimum(i + k, len(data) - 1)].astype(np.int32) for k in (-3, -2, -1, 1, 2, 3)]
+        white = [np.isin(x[a] << 8 | x[b], _WIDE) for a, b in ((1, 2), (3, 4))] + [np.isin(x[a] << 16 | x[a + 1] << 8 | x[a + 2], _WIDE) for a in (0, 3)]
+        alone[wide] = ~np.logical_or.reduce(white)
+    space = space[alone]
+    if marks:
+        mark = np.flatnonzero(((data - np.uint8(33) < 14) & (data != 39)) | (data == 58) | (data == 59) | (data == 63))
+        before, lead = data[mark - 1], data[mark - 2]
+        edge[mark[_LETTER[before] | ((lead == 0xC3) & (before != 0x97) & (before != 0xB7))]] = True
+        edge[space[data[space] == 10] + 1] = True
+    edge[space] = True
+    return np.flatnonzero(edge[:-1])
+
+
 def _some(texts: list[str | None]) -> Iterator[list[str | None]]:
     """The texts in lists of about BATCH_CHARS characters."""
     own, n = [], 0

@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -404,6 +405,36 @@ def test_encoder_on_random_strings():
     assert e.count_all(texts) == [len(x) for x in want]
 
 
+def test_encoder_on_random_marks_and_letters(monkeypatch):
+    """Every ASCII mark, letters of one and two bytes and added tokens, in blocks of a few texts and with pieces forgotten."""
+    from tokenizers import Tokenizer
+
+    path = tokens.default_tokenizer()
+    t, e = Tokenizer.from_file(path), tokens.Encoder(path)
+    assert e.joins and e.marks
+    rng = np.random.default_rng(18)
+    marks = [chr(i) for i in range(33, 127) if not chr(i).isalnum()]
+    symbols = np.array(marks + list("aeinrstLZ") * 4 + list("éßñÉ×÷ǅıжα語\x00\x7f\u2019\u2014\u2003\u3000\xa0\x85") + ["'s", "'ll", "<|endoftext|>"] + [" "] * 20 + ["\n"] * 6)
+    texts = ["".join(symbols[rng.integers(0, len(symbols), rng.integers(1, 30))]) for _ in range(40_000)] + ["", "é.", ".é", "é", " a", "a "]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    got = [x.tolist() for x in e.encode_all(texts)]
+    assert [texts[i] for i in range(len(texts)) if got[i] != want[i]] == []
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 2000)
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 300)
+    e = tokens.Encoder(path)
+    assert [x.tolist() for x in e.encode_all(texts[:4000])] == want[:4000] and 0 < len(e.pieces) <= 300
+    some = pa.array([None, *texts[:50], None, ""])[1:]
+    assert [(i, ids.tolist(), n.tolist()) for i, ids, n in e.blocks(some)] == [(0, sum(want[:50], []), [*map(len, want[:50]), 0, 0])]
+    assert list(e.blocks(pa.array([], pa.string()))) == [] and [x.tolist() for x in e.encode_all([None, ""])] == [[], []]
+
+
+def test_a_word_is_encoded_once_whatever_mark_follows():
+    e = tokens.Encoder(tokens.default_tokenizer())
+    e.encode_all(["x " + " ".join("thstinnt" + m for m in ("", ".", ",", "!", "###", ".", ")")) + "\nréel\nréel: x"])
+    known = e.pieces.cast(pa.string()).to_pylist()
+    assert [p for p in known if p.strip().startswith(("th", "ré"))] == [" thstinnt", "réel"] and len(known) == len(set(known))
+
+
 def pairs_left(seq):
     """How many places without overlap each pair has."""
     count, last = Counter(), {}
@@ -430,6 +461,27 @@ def test_repair_round_trip():
     assert repair.Shard(blob).width == 17 and len(repair.grammar(copies, 50257)[0]) < len(copies) / 20
 
 
+def test_repair_drops_short_runs_at_once(monkeypatch):
+    """A run of 8 has 7 pairs, of which 4 can be replaced: 300 symbols with such a run don't take a round each."""
+    calls, whole = [], repair._without_overlap
+    monkeypatch.setattr(repair, "_without_overlap", lambda at, order: calls.append(len(at)) or whole(at, order))
+    ids = np.concatenate([np.repeat(np.arange(300), 8), np.tile([7, 8, 9], 100)])
+    seq, pairs = repair.grammar(ids, 50257)
+    assert max(pairs_left(seq.tolist()).values()) < repair.LEAST and len(calls) < 40
+    # Symbols so large that pairs and places don't fit one number.
+    wide, more = repair.grammar(ids, 2**31)
+    assert np.array_equal(np.where(wide < 2**31, wide, wide - np.uint32(2**31 - 50257)), seq) and len(more) == len(pairs)
+
+
+def test_repair_writes_out_rules_longer_than_the_ids():
+    """Ids by copies of rules and by levels agree with what went in, where rules nest deeply too."""
+    for ids in (np.tile([1, 2, 3, 4, 5], 3000), np.zeros(70_000, int), np.arange(40)):
+        blob = repair.compress(ids.astype("<u4"), np.array([len(ids)]), 50257)
+        assert (repair.decode(blob)[0] == ids).all()
+        s = repair.Shard(blob)
+        assert (repair._expand(s.sequence(), s.pairs, s.base) == ids).all()
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_repair_files(spark, docs, none, tmp_path, kind):
     """Starts by ascending id, nulls first; repeated and null ids; several shards in a file; ids of another type."""
